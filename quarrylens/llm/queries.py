@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import decontamination, language_id, near_dedup, quality, token_counts, toxicity
+from quarrylens.llm import decontamination, language_id, near_dedup, quality, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffix_dedup.query,
     "op3_token_counts": token_counts.query,
     "op4_language_id": language_id.query,
     "op6_toxicity": toxicity.query,
