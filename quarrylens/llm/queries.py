@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import decontamination, language_id, near_dedup, quality, suffix_dedup, token_counts, toxicity
+from quarrylens.llm import decontamination, fingerprints, language_id, mixing, near_dedup, quality, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.query,
+    "op2_fingerprints": fingerprints.query,
     "op3_token_counts": token_counts.query,
     "op4_language_id": language_id.query,
+    "op5_url_filters": url_filters.query,
     "op6_toxicity": toxicity.query,
+    "op7_mixing": mixing.query,
     "op8_decontamination": decontamination.query,
     "op9_quality": quality.query,
     "op10_near_dedup": near_dedup.query,
