@@ -18,7 +18,8 @@
 
 Pairs inside a component are never emitted, long lists are split by Spark as skewed joins, and no cap
 drops any. Null, empty and blank texts have no shingles and no links; fewer than five words count as one
-shingle. ``id_column`` must be unique; rows with equal ids are taken as one document's copies.
+shingle. A row without an id is linked with nothing and kept.
+``id_column`` should be unique: of rows that share an id, one stands for all in links, and equal rows get equal results.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     """(id, n_shingles, component_id, kept) of each document."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     signed = saved(rows.mapInArrow(signatures, "id long, n_shingles long, h1 long, h2 long, sig array<int>"), "signatures")
-    filled = signed.filter("n_shingles > 0")
+    filled = signed.filter("n_shingles > 0 and id is not null")
     classes = saved(filled.groupBy("h1", "h2").agg(F.min(F.struct("id", "sig", "n_shingles")).alias("r")).select("h1", "h2", F.col("r.id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.sig").alias("sig")), "classes")
 
     # postings; the values that one class alone has only shorten prefixes
@@ -182,8 +183,8 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     roots = contract(links)
     named = classes.select("h1", "h2", "id").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("root"))
     out = signed.join(named, ["h1", "h2"], "left")
-    root = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_column), "n_shingles", root.alias("component_id"), (F.col("id") == root).alias("kept"))
+    root = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_column), "n_shingles", root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
 
 
 def _alike() -> Column:
@@ -197,6 +198,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    kept = components(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi")
+    """One document of each group of near copies, the one with the smallest id; documents without an id stay."""
+    gone = components(docs).filter("not kept").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
