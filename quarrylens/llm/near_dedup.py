@@ -10,13 +10,16 @@
    only its 35 rarest postings (values nobody else has count among them, which leaves most classes with
    none). The most frequent lists are skipped for all classes that have enough rare ones.
 4. In each list, members are first compared with a few hubs, not with each other: what a hub links is
-   one component. After some rounds, lists within one component are done, and in the rest only
-   pairs from different components are counted: agreeing coordinates on the full signatures
-   (at least ``MATCHES``) retain a pair.
-5. Retained pairs are confirmed on the full shingle sets, and the smallest id of each component is found by
+   one component. After some rounds, lists within one component are done. In the others pairs from
+   different components are counted: agreeing coordinates on the full signatures (at least ``MATCHES``)
+   retain a pair.
+5. Lists of more than ``LONG`` members hold near copies of one text whose signatures all agree about as much as
+   links do. There the full sets decide who can be paired, without estimates: shingles are ranked from rare
+   to frequent, and a pair needs a common one so early in both that enough can still follow.
+6. Retained pairs are confirmed on the full shingle sets, and the smallest id of each component is found by
    repeated contraction of the links.
 
-Pairs inside a component are never emitted, long lists are split by Spark as skewed joins, and no cap
+Pairs inside a component are never emitted, frequent keys are split by Spark as skewed joins, and no cap
 drops any. Null, empty and blank texts have no shingles and no links; fewer than five words count as one
 shingle. A row without an id is linked with nothing and kept.
 ``id_column`` should be unique: of rows that share an id, one stands for all in links, and equal rows get equal results.
@@ -37,6 +40,7 @@ from quarrylens.llm.scratch import saved, table
 SHINGLE, PERCENT = 5, 75
 COORDINATES, MATCHES = 64, 30
 HUB_ROUNDS = 3
+LONG = 32
 _VALUES, _POWERS, _SEED = lowered(10), Powers(), 100
 _XOR, _ODD = random_words(101, COORDINATES), random_words(102, COORDINATES) | np.uint64(1)
 
@@ -144,6 +148,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * inter >= PERCENT * (F.size("ma") + F.size("mb") - inter)).select("a", "b")
 
 
+def _held(lists: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``lists`` with where each member's component stands after the links found so far."""
+    if links is None:
+        return lists.withColumn("root", F.col("id"))
+    return lists.join(contract(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _ranked_pairs(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``docs`` (id, root) from different components that the ranks of their shingles leave possible.
+
+    With shingles ranked from rare to frequent, let a pair's first common one stand at places i and j: at most
+    1 + min(size - place) are common. Similar sets of m and n need 0.75 / 1.75 * (m + n).
+    """
+    own = docs.join(sets, "id").withColumn("n", F.size("members"))
+    each = own.select("id", F.explode("members").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("f")).filter("f > 1")
+    ranked = each.join(shared, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
+    ranked = ranked.join(own.select("id", "root", "n"), "id")
+    # shingles that no other set has come first
+    placed = ranked.select("id", "root", "n", F.posexplode("s").alias("k", "s"), (F.col("n") - F.size("s") + 1).alias("from")).select("id", "root", "n", (F.col("from") + F.col("k")).alias("place"), "s.shingle")
+    placed = saved(placed.filter(100 * (1 + F.col("n") - F.col("place")) >= PERCENT * F.col("n")), "placed")
+    x = placed.select("shingle", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    y = placed.select("shingle", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    enough = (100 + PERCENT) * (1 + F.least(x["na"] - x["pa"], y["nb"] - y["pb"])) >= PERCENT * (x["na"] + y["nb"])
+    return x.join(y, (x["shingle"] == y["shingle"]) & (x["a"] < y["b"]) & (x["ra"] != y["rb"]) & enough).select("a", "b")
+
+
 def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of each document."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
@@ -155,31 +186,32 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     posted = classes.select("id", F.posexplode("sig").alias("k", "v")).select("id", F.xxhash64("k", "v").alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     mine = posted.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-    room = F.lit(COORDINATES - MATCHES + 1 - COORDINATES) + F.size("t")
-    lists = saved(mine.filter(room > 0).select("id", F.explode(F.slice("t", 1, room)).alias("t")).select("id", "t.token"), "lists")
+    room = F.size("t") - (MATCHES - 1)
+    popular = F.aggregate("t", F.lit(0).cast("long"), lambda n, t: n + t["n"])
+    lists = saved(mine.withColumn("popular", popular).filter(room > 0).select("id", "popular", F.explode(F.slice("t", 1, room)).alias("t")).select("id", "popular", "t.token"), "lists")
     texts = rows.join(lists.select("id").distinct(), "id", "left_semi")
     sets = saved(texts.dropDuplicates(["id"]).mapInArrow(_set_pass, "id long, members array<long>"), "sets")
     slim = classes.select("id", "n", "sig")
 
     links = None
-    for r in range(HUB_ROUNDS + 1):
-        # where each member's component stands after the links found so far
-        roots = contract(links) if links is not None else None
-        held = lists if roots is None else lists.join(roots, "id", "left").select("id", "token", F.coalesce("root", "id").alias("root"))
-        held = held.withColumn("root", F.col("id")) if roots is None else held
-        open_lists = held.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct(F.xxhash64("id", F.lit(r)), "id")).alias("hub")).filter("r0 < r1")
-        if r < HUB_ROUNDS:
-            hubs = open_lists.select("token", (F.col("r0") if r == 0 else F.col("hub.id")).alias("hub"))
-            pairs = held.join(hubs, "token").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-            pairs = pairs.join(slim.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(slim.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-            pairs = pairs.filter(_alike())
-        else:
-            held = saved(held.join(open_lists.select("token"), "token", "left_semi").join(slim, "id"), "open")
-            x = held.select("token", "root", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-            y = held.select("token", F.col("root").alias("root2"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-            pairs = x.join(y, (x["token"] == y["token"]) & (x["a"] < y["b"]) & (x["root"] != y["root2"]) & _alike())
-        found = _confirmed(pairs.select("a", "b").distinct(), sets)
+    for r in range(HUB_ROUNDS):
+        held = _held(lists, links)
+        # the hub: the member with the most frequent values, which is the closest to the others; then the first; then any
+        first = [F.struct(-F.col("popular"), "id"), F.struct("id", F.col("id").alias("i")), F.struct(F.xxhash64("id", F.lit(r)), "id")][min(r, 2)]
+        hubs = held.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("id", first).alias("hub")).filter("r0 < r1").select("token", "hub")
+        pairs = held.join(hubs, "token").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        pairs = pairs.join(slim.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(slim.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+        found = _confirmed(pairs.filter(_alike()).select("a", "b"), sets)
         links = saved(found if links is None else links.unionByName(found), "found")
+    held = _held(lists, links)
+    open_lists = held.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).filter("r0 < r1").select("token", "members")
+    held = saved(held.select("id", "token", "root").join(open_lists, "token"), "open")
+    short = held.filter(F.col("members") <= LONG).join(slim, "id")
+    x = short.select("token", "root", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    y = short.select("token", F.col("root").alias("root2"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    pairs = x.join(y, (x["token"] == y["token"]) & (x["a"] < y["b"]) & (x["root"] != y["root2"]) & _alike()).select("a", "b")
+    pairs = pairs.unionByName(_ranked_pairs(held.filter(F.col("members") > LONG).select("id", "root").distinct(), sets)).distinct()
+    links = saved(links.unionByName(_confirmed(pairs, sets)), "found")
     roots = contract(links)
     named = classes.select("h1", "h2", "id").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("root"))
     out = signed.join(named, ["h1", "h2"], "left")
