@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quarrylens.plans import proxies
+
+QUERIES: dict = dict(proxies.QUERIES)
+SQL: dict[str, str] = dict(proxies.SQL)
 FLAGSHIP = "duplicate_lines_by_source"
