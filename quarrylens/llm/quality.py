@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylens.llm.kernels import SPACED, Powers, Words, blocks, byte_class, lowered, mix, random_words
-from quarrylens.llm.samples import labelled, logistic, remainder, sigmoid
+from quarrylens.llm.samples import labelled, logistic, remainder, shuffled, sigmoid
 from quarrylens.llm.scratch import table
 
 PER_CLASS = 2_000
@@ -122,6 +122,7 @@ def _linear(rows: list[np.ndarray], y: np.ndarray) -> Model:
 
 def fit(sample: list[tuple[str, int]], natural: float | None = None) -> Model:
     """``natural``: the share of label 1 among all labelled rows, where the sample holds the classes in another one."""
+    sample = shuffled(sample)
     y = np.array([label for _, label in sample], float)
     prior = float(natural if natural is not None else (y.mean() if len(y) else 0.0))
     if len(set(y[::4])) < 2 or len(set(np.delete(y, np.s_[::4]))) < 2:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, cla
     return [(text, y) for _, text, y in seen]
 
 
+def shuffled(rows: list[tuple[str | None, int]]) -> list[tuple[str, int]]:
+    """The rows in an order that depends on their texts alone, so that folds by place don't follow ids or labels."""
+    return sorted(((text or "", y) for text, y in rows), key=lambda r: (zlib.crc32(r[0].encode()), *r))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylens.llm.samples import labelled, logistic, remainder, sigmoid
+from quarrylens.llm.samples import labelled, logistic, remainder, shuffled, sigmoid
 from quarrylens.llm.scratch import table
 
 PER_CLASS = 1_200
@@ -111,7 +111,7 @@ class Model:
 
 def fit(rows: list[tuple[str, int]]) -> Model:
     """Dictionaries from two thirds of the rows, the calibration from the others."""
-    rows = [((text or "").encode(), y) for text, y in rows]
+    rows = [(text.encode(), y) for text, y in shuffled(rows)]
     prior = float(np.mean([y for _, y in rows])) if rows else 0.0
     seen = {y: [t.lower() for i, (t, y2) in enumerate(rows) if y2 == y and i % 3] for y in (0, 1)}
     rest = [row for i, row in enumerate(rows) if i % 3 == 0]
