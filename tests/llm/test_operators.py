@@ -242,7 +242,6 @@ def test_language(spark, docs, none):
     assert language_id.fit([]).predict(__import__("pyarrow").array(["x"]))[0] == ["und"]
 
 
-    assert zlib.crc32(b"17") % 3 in (0, 1, 2)
 
 
 def test_remainder(spark):
