@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import decontamination, fingerprints, language_id, mixing, near_dedup, quality, suffix_dedup, token_counts, toxicity, url_filters
+from quarrylens.llm import decontamination, fingerprints, language_id, mixing, near_dedup, oracles, quality, suffix_dedup, token_counts, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": near_dedup.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_suffix_dedup": oracles.OP1, "op8_decontamination": oracles.OP8, "op10_near_dedup": oracles.OP10}
