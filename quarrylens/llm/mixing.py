@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylens.llm.scratch import saved, table
+from quarrylens.llm.scratch import files_for, saved, table
 
 WEIGHTS = (1, 2, 3)
 MOST, BLOCK, SHARD = 3, 256, 4_096
@@ -83,8 +83,8 @@ def slots(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """(id, size, source_size, target, taken) of each document."""
-    sizes = saved(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
-    sources = saved(_sources(sizes, weights, most), "sources")
+    sizes = saved(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes", files_for(docs.count()))
+    sources = saved(_sources(sizes, weights, most), "sources", 1)
     # every document's place in its source's stream
     known = sources.select(F.col("source").alias("_source"), "sid", "rows", "source_size", "target")
     placed = sizes.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")

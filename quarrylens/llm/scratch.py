@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -27,14 +28,35 @@ def folder(spark: SparkSession) -> str:
     return where
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table and read back."""
+def files_for(rows: int, each: int = 100_000) -> int:
+    """How many files a table should have whose rows number about ``rows``."""
+    return max(8, -(-rows // each))
+
+
+def saved(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """``df`` written as a Parquet table and read back; ``files``: dealt out to so many, where tasks are many and rows few."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    (df if files is None else df.repartition(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Held:
+    """Small tables kept by the executors while a loop runs. They keep their lineage, so a lost executor's part is made again."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.frames[-1]
+
+    def release(self) -> None:
+        for df in self.frames:
+            df.unpersist()
+        self.frames.clear()
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the table behind a frame that ``saved`` returned, once nothing reads it any more."""
     sc = df.sparkSession.sparkContext

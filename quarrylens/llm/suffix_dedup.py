@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm.kernels import Powers, blocks, prefix_sums, random_words, spans_hash
-from quarrylens.llm.scratch import saved, table
+from quarrylens.llm.scratch import files_for, saved, table
 
 SPAN, TRIGGER = 200, 16
 REACH = SPAN // 2 + 1
@@ -223,20 +223,21 @@ def kept_bytes(raw: bytes, runs: list[dict] | None) -> tuple[bytes, int, int]:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(id, t, runs) of the rows of ``docs`` (id, t, text) that hold repeated strings; t is a hash of the text."""
+    files = files_for(docs.count())
     twice = docs.select("text").mapInArrow(_suffix_pass, "c long").groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c")
     phrases = docs.select("id", "t", "text").mapInArrow(_phrase_pass, "c long, u long, id long, t int, first int, shape int")
-    alike = saved(phrases.join(twice, "c"), "phrases")
+    alike = saved(phrases.join(twice, "c"), "phrases", files)
     entries = alike.groupBy("c", "u").agg(F.count("*").alias("n"), F.min(F.struct("id", "t", "first", "shape")).alias("r"))
-    entries = saved(entries, "entries")
-    groups = entries.groupBy("c").agg(F.count("*").alias("entries")).filter("entries > 1")
-    asked = entries.join(groups, "c").withColumn("parts", F.ceil(F.col("entries") / GROUP)).select(
+    entries = saved(entries, "entries", files)
+    groups = entries.groupBy("c").agg(F.count("*").alias("entries", files)).filter("entries > 1")
+    asked = entries.join(groups, "c").withColumn("parts", F.ceil(F.col("entries", files) / GROUP)).select(
         F.col("r.id").alias("id"), F.col("r.t").alias("t"), F.struct("c", F.pmod(F.xxhash64("u"), F.col("parts")).alias("salt"), (F.col("parts") > 1).alias("salted"), F.col("r.first").alias("first"), F.col("r.shape").alias("shape")).alias("a")
     )
     asked = asked.groupBy("id", "t").agg(F.collect_list("a").alias("asked"))
     cut = docs.join(asked, ["id", "t"]).select("id", "t", "text", "asked")
     cut = cut.mapInArrow(_cut_pass, "c long, salt long, salted boolean, id long, t int, first int, shape int, bytes binary")
     ordered = cut.repartition("c", "salt").sortWithinPartitions("c", "salt").mapInArrow(_order_pass, "id long, t int, lo int, hi int, h long, weight int")
-    ordered = saved(ordered, "ordered")
+    ordered = saved(ordered, "ordered", files)
     across = ordered.filter("weight > 0")
     again = across.groupBy("h").agg(F.sum("weight").alias("n")).filter("n > 1").select("h")
     found = ordered.filter("weight = 0").select("id", "t", "lo", "hi").unionByName(across.filter("weight = 1").join(again, "h").select("id", "t", "lo", "hi"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.scratch import saved, table
+from quarrylens.llm.scratch import files_for, saved, table
 
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 DAMPING, STEPS, LEAST = 0.85, 10, 0.5
@@ -58,11 +58,11 @@ def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return found.filter("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, steps: int = STEPS) -> DataFrame:
+def spread(seeds: DataFrame, links: DataFrame, steps: int = STEPS, files: int | None = None) -> DataFrame:
     """(host, rank): personalised PageRank of ``seeds`` (host, share) over ``links`` (src, dst, weight)."""
     out = links.groupBy(F.col("src").alias("s")).agg(F.sum("weight").alias("all"))
-    shares = saved(links.join(out, F.col("src") == F.col("s")).select("src", "dst", (F.col("weight") / F.col("all")).alias("share")), "shares")
-    start = saved(seeds.select("host", (F.col("share") * (1 - DAMPING)).alias("rank")), "seeds")
+    shares = saved(links.join(out, F.col("src") == F.col("s")).select("src", "dst", (F.col("weight") / F.col("all")).alias("share")), "shares", files)
+    start = saved(seeds.select("host", (F.col("share") * (1 - DAMPING)).alias("rank")), "seeds", files)
     if shares.isEmpty():
         return start
     rank = seeds.select("host", F.col("share").alias("rank"))
@@ -70,22 +70,23 @@ def spread(seeds: DataFrame, links: DataFrame, steps: int = STEPS) -> DataFrame:
         moved = rank.join(shares, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank"))
         rank = moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank"))
         if step % CUT == 0:
-            rank = saved(rank, "rank")
+            rank = saved(rank, "rank", files)
     return rank
 
 
 def judge(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", rules: tuple = RULES) -> DataFrame:
     """(id, host, path, rule, verdict, standing) of each page."""
     own = with_host(pages.select(F.col(id_column), F.col(url_column).alias("url"), F.col(html_column).alias("html")), "url")
+    files = files_for(pages.count())
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = own.withColumn("rule", name).withColumn("ruled", verdict)
     seeded = own.filter("host <> ''").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").cast("double").alias("allow"), F.count_if(F.col("ruled") == "block").cast("double").alias("block"))
-    seeded = saved(seeded.filter("allow + block > 0"), "seeded")
-    links = saved(host_links(own), "links")
+    seeded = saved(seeded.filter("allow + block > 0"), "seeded", files)
+    links = saved(host_links(own), "links", files)
     totals = seeded.agg(F.sum("allow").alias("a"), F.sum("block").alias("b")).first()  # two numbers
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    trust = spread(seeded.filter("allow > 0").select("host", (F.col("allow") / (totals["a"] or 1.0)).alias("share")), links)
-    distrust = spread(seeded.filter("block > 0").select("host", (F.col("block") / (totals["b"] or 1.0)).alias("share")), back)
+    trust = spread(seeded.filter("allow > 0").select("host", (F.col("allow") / (totals["a"] or 1.0)).alias("share")), links, files=files)
+    distrust = spread(seeded.filter("block > 0").select("host", (F.col("block") / (totals["b"] or 1.0)).alias("share")), back, files=files)
     # both in pages, so that many seeds on one side don't outweigh the other by their number alone
     hosts = trust.select("host", (F.col("rank") * (totals["a"] or 0.0)).alias("t"), F.lit(0.0).alias("d")).unionByName(distrust.select("host", F.lit(0.0).alias("t"), (F.col("rank") * (totals["b"] or 0.0)).alias("d")))
     hosts = hosts.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")).select("host", F.when(F.col("t") + F.col("d") > 0, F.round(F.col("t") / (F.col("t") + F.col("d")), 9)).alias("standing"))
