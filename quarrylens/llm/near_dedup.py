@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm.kernels import SPACED, Powers, Words, blocks, lowered, mix, random_words
-from quarrylens.llm.scratch import Held, files_for, saved, table
+from quarrylens.llm.scratch import files_for, saved, table
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, MATCHES = 64, 30
@@ -115,22 +115,22 @@ def _common(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
 
 
-def contract(links: DataFrame, keep: Held) -> DataFrame:
+def contract(links: DataFrame, files: int) -> DataFrame:
     """(id, root) for every end of ``links`` (a, b): root is the smallest id that can be reached.
 
     Each round points every node to its smallest neighbour, follows the pointers once more, and rewrites the links
     between the nodes pointed to; the rounds needed grow with the logarithm of the longest chain.
     """
-    links = keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    links = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links", files)
     steps: list[DataFrame] = []
     while links.count():
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("up"))
         step = least.alias("x").join(least.select(F.col("id").alias("k"), F.col("up").alias("upper")).alias("y"), F.col("x.up") == F.col("y.k"), "left").select("x.id", F.least("x.up", F.coalesce("y.upper", "x.up")).alias("up"))
-        step = keep(step)
+        step = saved(step, "step", files)
         steps.append(step)
         links = links.join(step.select(F.col("id").alias("a"), F.col("up").alias("a2")), "a").join(step.select(F.col("id").alias("b"), F.col("up").alias("b2")), "b")
-        links = keep(links.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter("a < b").distinct())
+        links = saved(links.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter("a < b").distinct(), "links", files)
     spark = links.sparkSession
     if not steps:
         return spark.createDataFrame([], "id long, root long")
@@ -148,14 +148,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * inter >= PERCENT * (F.size("ma") + F.size("mb") - inter)).select("a", "b")
 
 
-def _held(lists: DataFrame, links: DataFrame | None, keep: Held) -> DataFrame:
+def _held(lists: DataFrame, links: DataFrame | None, files: int) -> DataFrame:
     """``lists`` with where each member's component stands after the links found so far."""
     if links is None:
         return lists.withColumn("root", F.col("id"))
-    return lists.join(contract(links, keep), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return lists.join(contract(links, files), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def _ranked_pairs(docs: DataFrame, sets: DataFrame, keep: Held) -> DataFrame:
+def _ranked_pairs(docs: DataFrame, sets: DataFrame, files: int) -> DataFrame:
     """The pairs (a, b) of ``docs`` (id, root) from different components that the ranks of their shingles leave possible.
 
     With shingles ranked from rare to frequent, let a pair's first common one stand at places i and j: at most
@@ -168,7 +168,7 @@ def _ranked_pairs(docs: DataFrame, sets: DataFrame, keep: Held) -> DataFrame:
     ranked = ranked.join(own.select("id", "root", "n"), "id")
     # shingles that no other set has come first
     placed = ranked.select("id", "root", "n", F.posexplode("s").alias("k", "s"), (F.col("n") - F.size("s") + 1).alias("from")).select("id", "root", "n", (F.col("from") + F.col("k")).alias("place"), "s.shingle")
-    placed = keep(placed.filter(100 * (1 + F.col("n") - F.col("place")) >= PERCENT * F.col("n")))
+    placed = saved(placed.filter(100 * (1 + F.col("n") - F.col("place")) >= PERCENT * F.col("n")), "placed", files)
     x = placed.select("shingle", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("place").alias("pa"))
     y = placed.select("shingle", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
     enough = (100 + PERCENT) * (1 + F.least(x["na"] - x["pa"], y["nb"] - y["pb"])) >= PERCENT * (x["na"] + y["nb"])
@@ -178,7 +178,7 @@ def _ranked_pairs(docs: DataFrame, sets: DataFrame, keep: Held) -> DataFrame:
 def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of each document."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    keep, files = Held(), files_for(rows.count())
+    files = files_for(rows.count())
     signed = saved(rows.mapInArrow(signatures, "id long, n_shingles long, h1 long, h2 long, sig array<int>"), "signatures", files)
     filled = signed.filter("n_shingles > 0 and id is not null")
     classes = saved(filled.groupBy("h1", "h2").agg(F.min(F.struct("id", "sig", "n_shingles")).alias("r")).select("h1", "h2", F.col("r.id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.sig").alias("sig")), "classes", files)
@@ -196,24 +196,23 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     links = None
     for r in range(HUB_ROUNDS):
-        held = _held(lists, links, keep)
+        held = _held(lists, links, files)
         # the hub: the member with the most frequent values, which is the closest to the others; then the first; then any
         first = [F.struct(-F.col("popular"), "id"), F.struct("id", F.col("id").alias("i")), F.struct(F.xxhash64("id", F.lit(r)), "id")][min(r, 2)]
         hubs = held.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("id", first).alias("hub")).filter("r0 < r1").select("token", "hub")
         pairs = held.join(hubs, "token").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         pairs = pairs.join(slim.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(slim.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
         found = _confirmed(pairs.filter(_alike()).select("a", "b"), sets)
-        links = keep(found if links is None else links.unionByName(found))
-    held = _held(lists, links, keep)
+        links = saved(found if links is None else links.unionByName(found), "links", files)
+    held = _held(lists, links, files)
     open_lists = held.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).filter("r0 < r1").select("token", "members")
-    held = keep(held.select("id", "token", "root").join(open_lists, "token"))
+    held = saved(held.select("id", "token", "root").join(open_lists, "token"), "open", files)
     short = held.filter(F.col("members") <= LONG).join(slim, "id")
     x = short.select("token", "root", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     y = short.select("token", F.col("root").alias("root2"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     pairs = x.join(y, (x["token"] == y["token"]) & (x["a"] < y["b"]) & (x["root"] != y["root2"]) & _alike()).select("a", "b")
-    pairs = pairs.unionByName(_ranked_pairs(held.filter(F.col("members") > LONG).select("id", "root").distinct(), sets, keep)).distinct()
-    roots = saved(contract(links.unionByName(_confirmed(pairs, sets)), keep), "roots", files)
-    keep.release()
+    pairs = pairs.unionByName(_ranked_pairs(held.filter(F.col("members") > LONG).select("id", "root").distinct(), sets, files)).distinct()
+    roots = saved(contract(links.unionByName(_confirmed(pairs, sets)), files), "roots", files)
     named = classes.select("h1", "h2", "id").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("root"))
     out = signed.join(named, ["h1", "h2"], "left")
     root = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("id"))

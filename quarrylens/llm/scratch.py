@@ -10,7 +10,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -41,22 +40,6 @@ def saved(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class Held:
-    """Small tables kept by the executors while a loop runs. They keep their lineage, so a lost executor's part is made again."""
-
-    def __init__(self) -> None:
-        self.frames: list[DataFrame] = []
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.frames.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return self.frames[-1]
-
-    def release(self) -> None:
-        for df in self.frames:
-            df.unpersist()
-        self.frames.clear()
-
-
 def drop(df: DataFrame) -> None:
     """Deletes the table behind a frame that ``saved`` returned, once nothing reads it any more."""
     sc = df.sparkSession.sparkContext
