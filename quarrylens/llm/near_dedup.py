@@ -185,7 +185,7 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     # postings; the values that one class alone has only shorten prefixes
     posted = classes.select("id", F.posexplode("sig").alias("k", "v")).select("id", F.xxhash64("k", "v").alias("token"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = saved(posted.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "shared", files)
     mine = posted.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
     room = F.size("t") - (MATCHES - 1)
     popular = F.aggregate("t", F.lit(0).cast("long"), lambda n, t: n + t["n"])
@@ -200,6 +200,7 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         # the hub: the member with the most frequent values, which is the closest to the others; then the first; then any
         first = [F.struct(-F.col("popular"), "id"), F.struct("id", F.col("id").alias("i")), F.struct(F.xxhash64("id", F.lit(r)), "id")][min(r, 2)]
         hubs = held.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("id", first).alias("hub")).filter("r0 < r1").select("token", "hub")
+        hubs = saved(hubs, "hubs", files)  # so that the join below can split frequent tokens
         pairs = held.join(hubs, "token").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         pairs = pairs.join(slim.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(slim.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
         found = _confirmed(pairs.filter(_alike()).select("a", "b"), sets)

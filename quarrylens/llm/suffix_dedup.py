@@ -225,11 +225,13 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """(id, t, runs) of the rows of ``docs`` (id, t, text) that hold repeated strings; t is a hash of the text."""
     files = files_for(docs.count())
     twice = docs.select("text").mapInArrow(_suffix_pass, "c long").groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c")
+    twice = saved(twice, "twice", files)  # both sides of the join are then dealt out anew, and frequent keys split
     phrases = docs.select("id", "t", "text").mapInArrow(_phrase_pass, "c long, u long, id long, t int, first int, shape int")
     alike = saved(phrases.join(twice, "c"), "phrases", files)
     entries = alike.groupBy("c", "u").agg(F.count("*").alias("n"), F.min(F.struct("id", "t", "first", "shape")).alias("r"))
     entries = saved(entries, "entries", files)
     groups = entries.groupBy("c").agg(F.count("*").alias("entries", files)).filter("entries > 1")
+    groups = saved(groups, "groups", files)
     asked = entries.join(groups, "c").withColumn("parts", F.ceil(F.col("entries", files) / GROUP)).select(
         F.col("r.id").alias("id"), F.col("r.t").alias("t"), F.struct("c", F.pmod(F.xxhash64("u"), F.col("parts")).alias("salt"), (F.col("parts") > 1).alias("salted"), F.col("r.first").alias("first"), F.col("r.shape").alias("shape")).alias("a")
     )
