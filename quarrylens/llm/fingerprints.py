@@ -23,24 +23,29 @@ K, SKETCH, LONGEST = 5, 64, 24
 WORD = rf"[^\x20\x09-\x0D]{{1,{LONGEST}}}"
 
 
+def _short(h: Column) -> Column:
+    """The upper half of a hash, as an int."""
+    return F.shiftright(h, 32).cast("int")
+
+
 def with_anchors(df: DataFrame, text_column: str, out: str) -> DataFrame:
-    """``df`` with the sorted sketch of the anchors of a text, an array of longs below 2**32."""
+    """``df`` with the sorted sketch of the anchors of a text, an array of ints."""
     df = df.withColumn("_w", F.transform(F.regexp_extract_all(text_column, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
     n = F.size("_w")
     df = df.withColumn("_s", F.when(n >= K, F.transform(F.slice("_w", 1, F.greatest(n - 1, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_w", i + 1)))))
 
     def chosen(a: Column, i: Column) -> Column:
         b, c, d = F.get("_s", i + 1), F.get("_s", i + 2), F.get("_s", i + 3)
-        return F.when(F.least(a, d) <= F.least(b, c), F.shiftrightunsigned(F.xxhash64(a, b, d), 32))
+        return F.when(F.least(a, d) <= F.least(b, c), _short(F.xxhash64(a, b, d)))
 
     df = df.withColumn("_a", F.transform(F.slice("_s", 1, F.greatest(F.size("_s") - (K - 2), F.lit(1))), chosen))
     df = df.withColumn("_a", F.slice(F.sort_array(F.array_distinct(F.filter("_a", lambda x: x.isNotNull()))), 1, SKETCH))
-    whole = F.when(n > 0, F.array(F.shiftrightunsigned(F.xxhash64("_w"), 32))).otherwise(F.array().cast("array<bigint>"))
+    whole = F.when(n > 0, F.array(_short(F.xxhash64("_w")))).otherwise(F.array().cast("array<int>"))
     return df.withColumn(out, F.when(F.size("_a") > 0, F.col("_a")).otherwise(whole)).drop("_w", "_s", "_a")
 
 
 def spelled(sketch: str) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(2**32 - 1))), 8, "0")), "")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -68,17 +73,18 @@ def _next_keys(keys: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each document."""
-    own = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63)).cast("long")).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
+    no_id = F.lit(-(2**63)).cast("long")
+    own = docs.select(F.coalesce(F.col(id_column).cast("long"), no_id).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
     own = own.withColumn("t", F.xxhash64("text"))
     following = _next_keys(own.select("id", "t"))
     n = F.char_length("text")
-    here = with_anchors(own, "text", "a").withColumn("n_chars", n.cast("long")).select("_id", "id", "t", "n_chars", "a", F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))").alias("head"))
+    here = with_anchors(own, "text", "a").withColumn("n_chars", n.cast("int")).select("id", "t", "n_chars", "a", F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))").alias("head"))
     there = own.select(F.col("id").alias("next_id"), F.col("t").alias("next_t"), F.col("text").alias("next")).dropDuplicates(["next_id", "next_t"])
     both = here.join(following, ["id", "t"]).join(there, ["next_id", "next_t"])
     both = both.withColumn("edited", F.concat("head", F.expr("substring(next, 1, cast(floor(n_chars / 2) as int))")))
     both = with_anchors(with_anchors(both, "next", "b"), "edited", "e")
     return both.select(
-        F.col("_id").alias(id_column), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spelled("a").alias("fingerprint"), spelled("e").alias("edited_fingerprint"), likeness("a", "e").alias("near_edited"), likeness("a", "b").alias("near_next")
+        F.nullif("id", no_id).alias(id_column), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), spelled("a").alias("fingerprint"), spelled("e").alias("edited_fingerprint"), likeness("a", "e").alias("near_edited"), likeness("a", "b").alias("near_next")
     )
 
 
