@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from quarrylens import config
 from quarrylens.config import Thresholds
+from quarrylens.functions import scanners
 from quarrylens.functions import text as X
 from quarrylens.operators import access, changes, churn, clones, grading, identities, incremental, lines, metrics, mirrors, sampling
 from quarrylens.sources import sinks
@@ -537,3 +538,24 @@ select distinct least(pa, pb) as root_a, greatest(pa, pb) as root_b, suffix from
 def mirror_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "pages").select(F.lit(1).alias("repo_id"), F.regexp_extract(F.regexp_extract("url", "://(.*)$", 1), r"^[^?#]*", 0).alias("path")).filter("path like '%/%' and not path like '%/'").distinct()
     return mirrors.candidate_pairs(own, ["repo_id"]).drop("repo_id")
+
+
+# ---------------------------------------------------------------- scanners
+
+
+@query()
+def scanner_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read as source files, the language by id: lines, comments, handlers, functions, calls and decisions by source."""
+    ends = F.element_at(F.array(*[F.lit(x) for x in ("py", "java", "ts")]), (F.col("doc_id") % 3 + 1).cast("int"))
+    blobs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("blob_id"), F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit("."), ends).alias("path"), F.col("text").alias("content"))
+    views = lines.file_views(blobs)
+    names = ["comment_lines", "total_lines", "bare", "broad", "swallow", "suppress", "functions", "function_lines", "calls", "decisions"]
+    return views.groupBy("source", "lang").agg(F.sum(F.size("code")).alias("code_lines"), F.sum(F.size("norm")).alias("norm_lines"), F.count_if("data_table").alias("data_tables"), *[F.sum(c).alias(c) for c in names])
+
+
+@query()
+def edit_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edits between each document and the one 20 ids before, as line ranges."""
+    own = norm_lines(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("l")).select("doc_id", F.transform("l", lambda x: x["text"]).alias("l"))
+    before = own.select((F.col("doc_id") + 20).alias("doc_id"), F.col("l").alias("b"))
+    return own.join(before, "doc_id").select("doc_id", F.posexplode(scanners.edits("b", "l")).alias("edit", "e")).select("doc_id", "edit", "e.*")
