@@ -55,34 +55,36 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _next_keys(keys: DataFrame) -> DataFrame:
-    """(id, t, next_id, next_t) of each distinct key, in ascending order, the first after the last.
+    """(id, t, n_chars, next_id, next_t) of each distinct key, in ascending order, the first after the last.
 
     Keys are range-partitioned; only the first key of each partition meets in one place.
     """
     spark = keys.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = saved(keys.distinct().repartitionByRange(n, "id", "t").withColumn("p", F.spark_partition_id()), "keys")
+    dealt = saved(keys.repartitionByRange(n, "id", "t").dropDuplicates(["id", "t"]).withColumn("p", F.spark_partition_id()), "keys")
     following = F.lead(F.struct("id", "t")).over(Window.partitionBy("p").orderBy("id", "t"))
     firsts = dealt.groupBy("p").agg(F.min(F.struct("id", "t")).alias("first"))
     order = Window.orderBy("p")
     edge = firsts.select("p", F.coalesce(F.lead("first").over(order), F.first("first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("edge"))
     full = dealt.withColumn("following", following).join(F.broadcast(edge), "p")  # one row a partition
     step = F.coalesce("following", "edge")
-    return full.select("id", "t", step["id"].alias("next_id"), step["t"].alias("next_t"))
+    return full.select("id", "t", "n_chars", step["id"].alias("next_id"), step["t"].alias("next_t"))
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each document."""
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each document.
+
+    A text travels to the document before it, which takes its sketch and as much of its beginning as the edit needs;
+    with the first half and the sketch of the document's own text that makes the edited text.
+    """
     no_id = F.lit(-(2**63)).cast("long")
     own = docs.select(F.coalesce(F.col(id_column).cast("long"), no_id).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
-    own = own.withColumn("t", F.xxhash64("text"))
-    following = _next_keys(own.select("id", "t"))
-    n = F.char_length("text")
-    here = with_anchors(own, "text", "a").withColumn("n_chars", n.cast("int")).select("id", "t", "n_chars", "a", F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))").alias("head"))
+    own = own.withColumn("t", F.xxhash64("text")).withColumn("n_chars", F.char_length("text"))
+    following = _next_keys(own.select("id", "t", "n_chars"))
     there = own.select(F.col("id").alias("next_id"), F.col("t").alias("next_t"), F.col("text").alias("next")).dropDuplicates(["next_id", "next_t"])
-    both = here.join(following, ["id", "t"]).join(there, ["next_id", "next_t"])
-    both = both.withColumn("edited", F.concat("head", F.expr("substring(next, 1, cast(floor(n_chars / 2) as int))")))
-    both = with_anchors(with_anchors(both, "next", "b"), "edited", "e")
+    ahead = with_anchors(there.join(following, ["next_id", "next_t"]), "next", "b").select("id", "t", "b", F.expr("substring(next, 1, cast(floor(n_chars / 2) as int))").alias("start"))
+    here = with_anchors(own, "text", "a").select("id", "t", "n_chars", "a", F.expr("substring(text, 1, n_chars - cast(floor(n_chars / 2) as int))").alias("head"))
+    both = with_anchors(here.join(ahead, ["id", "t"]).withColumn("edited", F.concat("head", "start")), "edited", "e")
     return both.select(
         F.nullif("id", no_id).alias(id_column), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), spelled("a").alias("fingerprint"), spelled("e").alias("edited_fingerprint"), likeness("a", "e").alias("near_edited"), likeness("a", "b").alias("near_next")
     )
