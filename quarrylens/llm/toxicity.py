@@ -1,10 +1,11 @@
 """Operator 6: toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one on ordinary text, and one that holds the passages that mark
-toxic text, followed by the same ordinary text. Every window of ``WINDOW`` bytes of a text (overlapping by
+Two zstandard dictionaries are made from labelled text: one trained on ordinary text, and one that puts before it the passages
+that are denser in toxic text, by how often they occur and not only by where they are absent. Every window of ``WINDOW`` bytes of a text (overlapping by
 ``OVERLAP``) is compressed with both; by how many bytes the toxic dictionary does better is the window's
-distance. A logistic model fitted on labelled rows that the dictionaries haven't seen turns a text's
-largest distances into a score, so the threshold on it is calibrated.
+distance. A logistic model turns a text's largest distances and the mean over all its windows into a score, so the threshold
+on it is calibrated. It is fitted on all labelled rows, each measured by dictionaries of the ``FOLDS`` - 1 folds without it;
+the dictionaries that score are made from all of them.
 
 The fit reads a sample of at most ``PER_CLASS`` labelled rows of each class; everything else covers all rows and whole texts.
 Null and empty texts get the score of a text without any distance. Without labelled rows of both classes, every score
@@ -28,9 +29,10 @@ from quarrylens.llm.scratch import table
 
 PER_CLASS = 1_200
 WINDOW, OVERLAP, LEVEL = 128, 24, 9
-ORDINARY_BYTES, TOXIC_BYTES = 32_768, 4_096
-#: a marking passage: 5-byte strings that at least this share of toxic texts hold, e**LEAST_ODDS times as often as ordinary ones
-GRAM, LEAST_SHARE, LEAST_ODDS = 5, 0.03, 4.0
+ORDINARY_BYTES, FOLDS = 32_768, 3
+#: a marking passage: 8-byte strings that at least this share of toxic texts hold, e**LEAST_ODDS times as dense as in ordinary
+#: ones and by LEAST_Z standard deviations more frequent than there; passages of one text alone are chance
+GRAM, LEAST_SHARE, LEAST_ODDS, LEAST_Z, LEAST_TEXTS = 8, 0.03, 2.0, 5.0, 2
 THRESHOLD = 0.7
 
 
@@ -44,35 +46,39 @@ def windows(text: bytes) -> list[bytes]:
 
 
 def _grams(text: bytes) -> np.ndarray:
-    data = np.frombuffer(text, np.uint8).astype(np.int64)
+    data = np.frombuffer(text, np.uint8).astype(np.uint64)
     if len(data) < GRAM:
-        return np.zeros(0, np.int64)
-    return sum(data[i : len(data) - GRAM + 1 + i] << (8 * i) for i in range(GRAM))
+        return np.zeros(0, np.uint64)
+    return sum(data[i : len(data) - GRAM + 1 + i] << np.uint64(8 * i) for i in range(GRAM))
 
 
-def _shares(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    grams, n = np.unique(np.concatenate([np.unique(_grams(t)) for t in texts] or [np.zeros(0, np.int64)]), return_counts=True)
-    return grams, n
+def _counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The strings of ``GRAM`` bytes, how many texts hold each, how often they occur, and of how many there are."""
+    all_grams = [_grams(t) for t in texts] or [np.zeros(0, np.uint64)]
+    grams, often = np.unique(np.concatenate(all_grams), return_counts=True)
+    _, n = np.unique(np.concatenate([np.unique(g) for g in all_grams]), return_counts=True)
+    return grams, n, often, int(often.sum())
 
 
 def passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """The distinct passages of toxic texts made of marking strings, the most frequent last."""
-    grams, n = _shares(toxic)
-    grams, n = grams[n >= max(3, LEAST_SHARE * len(toxic))], n[n >= max(3, LEAST_SHARE * len(toxic))]
-    others, m = _shares(ordinary)
+    grams, n, often, total = _counts(toxic)
+    others, _, m, total_others = _counts(ordinary)
     if not len(grams):
         return []
     at = np.minimum(np.searchsorted(others, grams), max(0, len(others) - 1))
     there = np.where(others[at] == grams, m[at], 0) if len(others) else np.zeros(len(grams), np.int64)
-    marking = grams[np.log((n + 0.5) / (len(toxic) + 1)) - np.log((there + 0.5) / (len(ordinary) + 1)) > LEAST_ODDS]
+    usual = (there + 0.5) / max(1, total_others)
+    dense = np.log((often + 0.5) / total / usual) > LEAST_ODDS
+    certain = (often - usual * total) / np.sqrt(usual * total + 1) > LEAST_Z
+    marking = grams[(n >= max(3, LEAST_SHARE * len(toxic))) & dense & certain]
     found: Counter[bytes] = Counter()
     for t in toxic:
         hits = np.flatnonzero(np.isin(_grams(t), marking))
         if len(hits):
             cut = np.flatnonzero(np.diff(hits) > GRAM)
-            for a, b in zip(np.concatenate([hits[:1], hits[cut + 1]]), np.concatenate([hits[cut], hits[-1:]]), strict=True):
-                found[t[a : b + GRAM]] += 1
-    return [p for p, _ in sorted(found.items(), key=lambda x: (x[1], x[0]))]
+            found.update({t[a : b + GRAM] for a, b in zip(np.concatenate([hits[:1], hits[cut + 1]]), np.concatenate([hits[cut], hits[-1:]]), strict=True)})
+    return [p for p, n in sorted(found.items(), key=lambda x: (x[1], x[0])) if n >= LEAST_TEXTS]
 
 
 class Model:
@@ -96,36 +102,45 @@ class Model:
             out.append(zs.ZstdCompressor(dict_data=known, compression_params=how).compress)
         return out
 
-    def features(self, text: bytes, ordinary, toxic) -> list[float]:
-        """Of the windows' distances: the largest, the next one, and the mean of what exceeds one byte."""
+    @staticmethod
+    def features(text: bytes, ordinary, toxic) -> list[float]:
+        """Of the windows' distances: the largest, the next one, the mean of what exceeds one byte, and the mean of all."""
         distances = sorted((len(ordinary(w)) - len(toxic(w)) for w in windows(text.lower())), reverse=True)
         over = sum(d - 1 for d in distances if d > 1)
-        return [min(max(distances[0], 0), 12), min(max(distances[1] if len(distances) > 1 else 0, 0), 12), over / len(distances), 1.0]
+        return [min(max(distances[0], 0), 12), min(max(distances[1] if len(distances) > 1 else 0, 0), 12), over / len(distances), sum(distances) / len(distances), 1.0]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.prior)
         ordinary, toxic = self.compressors()
-        return sigmoid(np.array([self.features(t, ordinary, toxic) for t in texts]).reshape(-1, 4) @ self.weights)
+        return sigmoid(np.array([self.features(t, ordinary, toxic) for t in texts]).reshape(-1, 5) @ self.weights)
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """Dictionaries from two thirds of the rows, the calibration from the others."""
-    rows = [(text.encode(), y) for text, y in shuffled(rows)]
-    prior = float(np.mean([y for _, y in rows])) if rows else 0.0
-    seen = {y: [t.lower() for i, (t, y2) in enumerate(rows) if y2 == y and i % 3] for y in (0, 1)}
-    rest = [row for i, row in enumerate(rows) if i % 3 == 0]
-    if not seen[0] or not seen[1] or len({y for _, y in rest}) < 2:
-        return Model(b"", b"", None, prior)
-    pieces = [w for t in seen[0] for w in windows(t)]
+def dictionaries(rows: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary of labelled lower-case texts."""
+    toxic, fine = ([t for t, y2 in rows if y2 == y] for y in (1, 0))
+    pieces = [w for t in fine for w in windows(t)]
     try:
         ordinary = zs.train_dictionary(ORDINARY_BYTES, pieces[:: max(1, len(pieces) // 8_000)]).as_bytes()
     except zs.ZstdError:  # too little text to choose from
         ordinary = b"".join(pieces)[:ORDINARY_BYTES]
-    model = Model(ordinary, b" ".join(passages(seen[1], seen[0]))[-TOXIC_BYTES:] + ordinary, np.zeros(4), prior)
-    with_both = model.compressors()
-    model.weights = logistic(np.array([model.features(t, *with_both) for t, _ in rest]), np.array([y for _, y in rest], float))
-    return model
+    return ordinary, b" ".join(passages(toxic, fine)) + ordinary
+
+
+def fit(rows: list[tuple[str, int]]) -> Model:
+    """Dictionaries from all rows; the calibration from each fold's rows, measured by the dictionaries of the other folds."""
+    rows = [(text.encode(), y) for text, y in shuffled(rows)]
+    prior = float(np.mean([y for _, y in rows])) if rows else 0.0
+    low = [(t.lower(), y) for t, y in rows]
+    others = [[row for i, row in enumerate(low) if i % FOLDS != k] for k in range(FOLDS)]
+    if any(len({y for _, y in part}) < 2 for part in others):
+        return Model(b"", b"", None, prior)
+    measured = []
+    for k, part in enumerate(others):
+        with_both = Model(*dictionaries(part), None, prior).compressors()
+        measured += [(Model.features(t, *with_both), y) for t, y in low[k::FOLDS]]
+    weights = logistic(np.array([x for x, _ in measured]), np.array([y for _, y in measured], float))
+    return Model(*dictionaries(low), weights, prior)
 
 
 def toxicity(docs: DataFrame, model: Model, text_column: str = "text", out: str = "score") -> DataFrame:

@@ -213,6 +213,22 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity(none, model).count() == 0 and toxicity.fit([]).scores([b"x"]).tolist() == [0.0]
 
 
+def test_toxicity_by_density():
+    """Toxic texts are full of words that ordinary texts hold too, now and then."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(600):
+        bad = k % 5 == 0
+        w = words(rng, 120, 2_000).split()
+        for _ in range(12 if bad else rng.randrange(3) // 2):
+            w.insert(rng.randrange(len(w)), rng.choice(["achlich", "achkeit", "bomente"]) + rng.choice(["er", "en", "st", "ch", "um"]))
+        rows.append((" ".join(w), int(bad)))
+    model = toxicity.fit(rows[:400])
+    scores = model.scores([t.encode() for t, _ in rows[400:]])
+    bad, fine = [[s for s, (_, y) in zip(scores, rows[400:], strict=True) if y == c] for c in (1, 0)]
+    assert sum(s >= 0.7 for s in bad) >= 0.9 * len(bad) and not sum(s >= 0.7 for s in fine) > 0.02 * len(fine)
+
+
 def test_quality(spark, docs, none):
     import pyarrow as pa
 
