@@ -9,7 +9,8 @@ too short for the guarantee are looked up at every position by their own length.
 
 The benchmark travels to the workers in blocks of at most ``BLOCK_WORDS`` words, so what is broadcast is
 bounded: a larger benchmark takes more passes over the documents, with the same result. Nothing is
-shuffled unless there is more than one block.
+shuffled unless there is more than one block; then the documents are written once with a key of each row, by which the
+passes are put together.
 
 Null and empty texts have no words, and an item without words is in no document. Item ids are compared as
 strings; repeated item ids count once. Repeated documents are judged one by one.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm.kernels import ALNUM, Powers, Words, blocks, lowered
-from quarrylens.llm.scratch import table
+from quarrylens.llm.scratch import saved, table
 
 WINDOW, GRAM, KEEP = 10, 5, 6
 BLOCK_WORDS = 200_000
@@ -155,7 +156,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str | None]], shape: str, whol
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of each document; ids must be unique if the benchmark needs several blocks."""
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of ``docs``."""
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = rows.schema[0].dataType.simpleString()
     items_iter = _blocks_of_items(benchmark, item_column, item_text, block_words)
@@ -163,7 +164,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     second = next(items_iter, None)
     if second is None:
         return _pass(rows, first, f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", True).withColumnRenamed("id", id_column)
-    shape = f"id {kind}, n_words long, items array<string>, places array<long>"
+    keyed = saved(rows.withColumn("key", F.monotonically_increasing_id()), "documents")
+    rows = keyed.select(F.struct("key", "id").alias("row"), "text")
+    shape = f"row {rows.schema[0].dataType.simpleString()}, n_words long, items array<string>, places array<long>"
     parts = [_pass(rows, first, shape, False), _pass(rows, second, shape, False)]
     parts += [_pass(rows, items, shape, False) for items in items_iter]
     union = parts[0]
@@ -171,8 +174,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
         union = union.unionByName(p)
     items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
     n_hit = F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long")
-    return union.groupBy("id").agg(F.max("n_words").alias("n_words"), n_hit.alias("n_hit"), items.alias("items")).select(
-        F.col("id").alias(id_column), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    return union.groupBy("row").agg(F.max("n_words").alias("n_words"), n_hit.alias("n_hit"), items.alias("items")).select(
+        F.col("row.id").alias(id_column), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
 
 

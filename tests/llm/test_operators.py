@@ -96,6 +96,16 @@ def test_decontamination_is_exact(spark, docs):
     assert decontamination.decontaminate(docs, bench.limit(0)).filter("contaminated or n_items > 0").count() == 0
 
 
+def test_decontamination_keeps_repeated_and_null_ids_apart(spark):
+    rng = random.Random(2)
+    item, other = words(rng, 40, 5_000), words(rng, 40, 5_000)
+    rows = [(1, item), (1, "x y " + other), (1, "x y"), (1, "x y"), (None, item), (None, "z " + item), (None, ""), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    one, several = [sorted(map(str, decontamination.decontaminate(docs, bench, block_words=n).collect())) for n in (200_000, 30)]
+    assert len(one) == len(rows) and several == one
+
+
 def test_token_counts(docs, none):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
