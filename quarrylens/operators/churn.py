@@ -45,21 +45,23 @@ def watermark(commits: DataFrame, now: Column, partition: list[str], order: str
     return commits.withColumn("watermark", F.max(believable).over(Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def lineages(renames: DataFrame, paths: DataFrame, most: int = 64) -> DataFrame:
+def lineages(renames: DataFrame, paths: DataFrame) -> DataFrame:
     """(repo_id, path, idx_from, lineage): the first name of the file that a path names from a commit on.
 
-    ``renames``: (repo_id, idx, old_path, new_path); ``paths``: (repo_id, path, idx) of first additions. Names are followed back
-    through at most ``most`` renames, one join each, until none changes.
+    ``renames``: (repo_id, idx, old_path, new_path); ``paths``: (repo_id, path, idx) of first additions. A name is followed back by
+    the latest rename into it before the one that was followed last, until no name moves. A rename is followed as far as it
+    has come itself, so a chain of n takes about log2(n) joins.
     """
     from quarrylens.sources.tables import cut
 
-    now = cut(paths.select("repo_id", "path", F.col("idx").alias("idx_from"), F.col("path").alias("lineage")).unionByName(renames.select("repo_id", F.col("new_path").alias("path"), F.col("idx").alias("idx_from"), F.col("old_path").alias("lineage"))))
-    edge = renames.select("repo_id", F.col("new_path").alias("lineage"), F.col("idx").alias("_at"), F.col("old_path").alias("_older"))
-    for _ in range(most):
-        step = now.join(edge, ["repo_id", "lineage"], "left").filter("_at is null or _at < idx_from")
-        step = step.groupBy("repo_id", "path", "idx_from", "lineage").agg(F.max_by("_older", "_at").alias("_older"))
-        moved = step.filter("_older is not null").limit(1).count()
-        now = cut(step.select("repo_id", "path", "idx_from", F.coalesce("_older", "lineage").alias("lineage")))
-        if not moved:
-            break
-    return now
+    key = ["repo_id", "path", "idx_from", "renamed"]
+    start = paths.select("repo_id", "path", F.col("idx").alias("idx_from"), F.lit(False).alias("renamed"), F.col("path").alias("lineage"))
+    start = start.unionByName(renames.select("repo_id", F.col("new_path").alias("path"), F.col("idx").alias("idx_from"), F.lit(True).alias("renamed"), F.col("old_path").alias("lineage")))
+    now = cut(start.withColumn("until", F.col("idx_from")))
+    while True:
+        edge = now.filter("renamed").select(F.col("repo_id").alias("_repo"), F.col("path").alias("_name"), F.col("idx_from").alias("_at"), F.col("lineage").alias("_older"), F.col("until").alias("_until"))
+        step = now.join(edge, (F.col("repo_id") == F.col("_repo")) & (F.col("lineage") == F.col("_name")) & (F.col("_at") < F.col("until")), "left")
+        step = cut(step.groupBy(*key, "lineage", "until").agg(F.max(F.when(F.col("_at").isNotNull(), F.struct("_at", "_until", "_older"))).alias("_to")))
+        now = step.select(*key, F.coalesce("_to._older", "lineage").alias("lineage"), F.coalesce("_to._until", "until").alias("until"))
+        if step.filter("_to is not null").isEmpty():
+            return now.select("repo_id", "path", "idx_from", "lineage")

@@ -33,6 +33,16 @@ def test_churn_is_a_stack(spark):
     assert Counter((r["key"], r["add_idx"], r["del_idx"]) for r in got.collect()) == want and want
 
 
+def test_lineages_follow_all_earlier_renames(spark):
+    renames = [(1, 5, "a", "b"), (1, 9, "x", "a"), (2, 1, "a", "b"), (2, 2, "b", "a"), (2, 3, "a", "b")] + [(3, k, f"n{k - 1}", f"n{k}") for k in range(1, 71)]
+    paths = [(1, "a", 0), (1, "x", 6), (2, "a", 0), (3, "n0", 0)]
+    got = churn.lineages(spark.createDataFrame(renames, "repo_id int, idx int, old_path string, new_path string"), spark.createDataFrame(paths, "repo_id int, path string, idx int"))
+    got = {(r["repo_id"], r["path"], r["idx_from"]): r["lineage"] for r in got.collect()}
+    assert len(got) == len(renames) + len(paths)
+    assert got[1, "b", 5] == "a" and got[1, "a", 9] == "x" and got[2, "b", 3] == "a" and got[2, "a", 2] == "a"
+    assert {v for k, v in got.items() if k[0] == 3} == {"n0"}
+
+
 def test_future_dates_do_not_move_the_watermark(spark):
     df = spark.createDataFrame([(1, 0, 10), (1, 1, 10_000), (1, 2, 7), (1, 3, 20)], "repo int, idx int, committed_at bigint")
     assert [r["watermark"] for r in churn.watermark(df, F.lit(100), ["repo"]).orderBy("idx").collect()] == [10, 10, 10, 20]
