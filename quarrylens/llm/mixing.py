@@ -10,7 +10,8 @@
    multinomial, and sums over the shards before give each shard its range of the source's slots.
 4. A slot's place in its epoch is mapped to a block by a pseudorandom permutation of the source's blocks (swap-or-not, a
    bijection of any number of blocks, without a table). The shorter block closes each epoch.
-5. Slots are joined with blocks by (source, block), and documents take their shares of the blocks that they lie in.
+5. Slots are joined with blocks by (source, block), and documents take their shares of the blocks that they lie in. ``mixture``
+   returns these: of which document which words stand in which slot of which shard. The query counts them per document.
 
 Targets are met to the word wherever a source has words, and no document is taken more than ``MOST`` times. All draws are hashes of
 fixed seeds, so reruns agree. A null text has no words, a source of none has target 0, a null source is a source of its
@@ -81,8 +82,13 @@ def slots(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     return each.select("shard", "sid", "slot", chosen.alias("block"), left.cast("long").alias("words"))
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """(id, size, source_size, target, taken) of each document."""
+def mixture(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """(shard, sid, slot, block, off, id, row, size, source_size, target, first, words): the mix, part by part.
+
+    Slot ``slot`` of source ``sid``, which lies in ``shard``, holds ``words`` words of the document from its word ``first`` on, at the
+    ``off``-th word of the slot; by (shard, sid, slot, off) the parts are in the order of the mix. ``row`` tells rows of one id apart. A document of which the mix
+    takes nothing has one row or more without shard and slot and with 0 words.
+    """
     sizes = saved(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes", files_for(docs.count()))
     sources = saved(_sources(sizes, weights, most), "sources", 1)
     # every document's place in its source's stream
@@ -93,16 +99,25 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     buckets = buckets.select("sid", "bucket", F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     within = Window.partitionBy("sid", "bucket").orderBy("id", "size")
     placed = placed.join(buckets, ["sid", "bucket"]).withColumn("rn", F.row_number().over(within)).withColumn("off", F.col("start") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    # blocks with how often the mix holds them whole, and the words of the cut one
-    length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
-    held = slots(sources, block).join(sources.select("sid", "source_size"), "sid").groupBy("sid", "block").agg(F.count_if(F.col("words") == length).alias("whole"), F.coalesce(F.sum(F.when(F.col("words") < length, F.col("words"))), F.lit(0)).alias("cut"))
     parts = placed.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("off") / block), F.floor((F.col("off") + F.col("size") - 1) / block))).otherwise(F.array(F.lit(None).cast("long")))))
+    parts = parts.withColumn("begin", F.greatest(F.col("off"), F.col("block") * block)).withColumn("end", F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * block))
+    # each part with the slots that hold it; a cut slot may end before it
+    held = slots(sources, block).withColumnRenamed("words", "held")
     joined = parts.join(held, ["sid", "block"], "left")
-    begin, end = F.greatest(F.col("off"), F.col("block") * block), F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * block)
-    some = F.greatest(F.lit(0), F.least(end, F.col("block") * block + F.col("cut")) - begin)
-    taken = F.coalesce(F.col("whole") * (end - begin) + some, F.lit(0))
-    out = joined.groupBy("sid", "bucket", "rn", "id", "size", "source_size", "target").agg(F.sum(taken).cast("long").alias("taken"))
-    return out.select(F.col("id").alias(id_column), "size", "source_size", "target", "taken")
+    words = F.greatest(F.lit(0), F.least("end", F.col("block") * block + F.col("held")) - F.col("begin"))
+    joined = joined.withColumn("words", F.when(F.col("slot").isNotNull(), words).otherwise(0).cast("long"))
+    some = F.col("words") > 0
+    row = F.struct("sid", "bucket", "rn").alias("row")
+    within_slot, within_text = F.col("begin") - F.col("block") * block, F.col("begin") - F.col("off")
+    return joined.select(
+        F.when(some, F.col("shard")).alias("shard"), "sid", F.when(some, F.col("slot")).alias("slot"), F.when(some, F.col("block")).alias("block"), F.when(some, within_slot).alias("off"), F.col("id").alias(id_column), row, "size", "source_size", "target", F.when(some, within_text).alias("first"), "words"
+    )
+
+
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """(id, size, source_size, target, taken) of each document: how many of its words the mix holds."""
+    out = mixture(docs, id_column, text_column, source_column, weights, most, block).groupBy("row", id_column, "size", "source_size", "target").agg(F.sum("words").alias("taken"))
+    return out.select(id_column, "size", "source_size", "target", "taken")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,26 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixture_fills_every_slot(spark, docs):
+    rows = mixing.mixture(docs, block=64).collect()
+    slots = {}
+    for r in rows:
+        assert 0 <= (r["first"] or 0) and (r["first"] or 0) + r["words"] <= r["size"] and (r["shard"] is None) == (r["words"] == 0)
+        if r["words"]:
+            slots.setdefault((r["sid"], r["slot"]), []).append((r["off"], r["words"], r["shard"]))
+    for parts in slots.values():  # without gaps, in one shard
+        parts.sort()
+        assert len({p[2] for p in parts}) == 1 and [p[0] for p in parts] == [sum(q[1] for q in parts[:k]) for k in range(len(parts))] and sum(p[1] for p in parts) <= 64
+    owed = {r["sid"]: int(r["target"] + 0.5) for r in rows}
+    assert {sid: sum(p[1] for k, v in slots.items() if k[0] == sid for p in v) for sid in owed} == owed
+    by_shard = sorted((sid, slot, parts[0][2]) for (sid, slot), parts in slots.items())
+    assert all(a[2] <= b[2] for a, b in zip(by_shard, by_shard[1:], strict=False) if a[0] == b[0])
+    taken = {}
+    for r in rows:
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["words"]
+    assert taken == {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block=64).collect()}
+
+
 def test_mixing_targets_stop_and_are_shared(spark):
     rows = [(1, "a " * 10, "a"), (2, "b " * 5, "b"), (3, "c " * 2, "c"), (4, "d " * 1000, None)]
     got = by_id(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")), "target", "taken")
