@@ -4,7 +4,9 @@ A url's rule is the longest of the rules (host, path) whose host is the url's ho
 url's path. Where no rule fits, the host's standing decides: trust spreads from the hosts of pages that rules allow, along the
 links between hosts (personalised PageRank), and distrust from the hosts of pages that rules block, against them, since a page
 answers for what it links to. Standing is trust / (trust + distrust), each as a share of the seeds' mean; a host is
-blocked if its standing is below ``LEAST``, and allowed where neither reaches it.
+blocked if its standing is below ``LEAST``, and allowed where neither reaches it. Ranks are summed walk by walk, so they only grow,
+and spread until ``CUT`` steps reach no new host and add to none more than ``TOLERANCE`` of its rank; the mass that still moves
+falls by ``DAMPING`` a step, so this comes about on any graph.
 
 Links are absolute or scheme-relative urls in ``href`` and ``src`` attributes; links within a host don't count. A pair of hosts weighs as many
 pages as link it. Hosts are split and counted by Spark before they meet; nothing of the graph is collected or broadcast
@@ -17,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.scratch import files_for, saved, table
+from quarrylens.llm.scratch import drop, files_for, saved, table
 
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-DAMPING, STEPS, LEAST = 0.85, 10, 0.5
-#: steps between written tables, so that plans stay short
+DAMPING, TOLERANCE, LEAST = 0.85, 1e-6, 0.5
+#: steps between written tables, so that plans stay short, and between tests of convergence
 CUT = 5
 _LINK = r"""(?i)(?:href|src)\s*=\s*["']?((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s<>]*)"""
 
@@ -58,20 +60,27 @@ def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return found.filter("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, steps: int = STEPS, files: int | None = None) -> DataFrame:
-    """(host, rank): personalised PageRank of ``seeds`` (host, share) over ``links`` (src, dst, weight)."""
+def spread(seeds: DataFrame, links: DataFrame, files: int | None = None) -> DataFrame:
+    """(host, rank): personalised PageRank of ``seeds`` (host, share) over ``links`` (src, dst, weight), run until it converges."""
     out = links.groupBy(F.col("src").alias("s")).agg(F.sum("weight").alias("all"))
     shares = saved(links.join(out, F.col("src") == F.col("s")).select("src", "dst", (F.col("weight") / F.col("all")).alias("share")), "shares", files)
     start = saved(seeds.select("host", (F.col("share") * (1 - DAMPING)).alias("rank")), "seeds", files)
     if shares.isEmpty():
         return start
-    rank = seeds.select("host", F.col("share").alias("rank"))
-    for step in range(1, steps + 1):
-        moved = rank.join(shares, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank"))
-        rank = moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if step % CUT == 0:
-            rank = saved(rank, "rank", files)
-    return rank
+    before = start
+    while True:
+        rank = before
+        for _ in range(CUT):
+            moved = rank.join(shares, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank"))
+            rank = moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank"))
+        rank = saved(rank, "rank", files)
+        known = before.select("host", F.col("rank").alias("known"))
+        done = rank.join(known, "host", "left").filter(F.col("known").isNull() | (F.col("rank") - F.col("known") > TOLERANCE * F.col("rank"))).isEmpty()
+        if before is not start:
+            drop(before)
+        if done:
+            return rank
+        before = rank
 
 
 def judge(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", rules: tuple = RULES) -> DataFrame:

@@ -290,6 +290,16 @@ def test_language(spark, docs, none):
 
 
 
+def test_url_distrust_goes_all_the_way(spark):
+    pages = [(k, f"http://h{k}.net/", f'<a href="http://h{k + 1}.net/">') for k in range(14)] + [(14, "http://h14.net/", '<a href="http://spam.com/de/1">'), (15, "http://spam.com/de/1", None)]
+    got = {r["page_id"]: r for r in url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(r["verdict"] == "block" and (k == 15 or r["standing"] == 0) for k, r in got.items())
+    ring = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0)], "src string, dst string, weight double")
+    ranks = {r["host"]: r["rank"] for r in url_filters.spread(spark.createDataFrame([("a", 1.0)], "host string, share double"), ring, files=1).collect()}
+    want = {h: 0.15 * 0.85**k / (1 - 0.85**3) for k, h in enumerate("abc")}
+    assert all(abs(ranks[h] / want[h] - 1) < 1e-5 for h in want)
+
+
 def test_remainder(spark):
     import zlib
 
