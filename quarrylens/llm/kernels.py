@@ -1,8 +1,9 @@
 """Vectorised byte, word and hash kernels that the Arrow-side operators share.
 
 All of them work on a block of documents: one uint8 buffer and the offsets of its documents. Blocks
-are bounded in bytes (a single longer document is a block of its own), so memory doesn't grow with
-the Arrow batch.
+are bounded in bytes (a single longer document is a block of its own), and arrays with a value for each
+byte are made for ``SEGMENT_BYTES`` at a time, so memory grows neither with the Arrow batch nor by much more than
+its own size with a very long document.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+SEGMENT_BYTES = 1 << 19
 
 _U = np.uint64
 _RADIX = 0x9E3779B97F4A7C15 | 1
@@ -81,19 +83,46 @@ def spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: P
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0xA24BAED4963EE407))
 
 
+#: shared by all operators of a worker
+POWERS = Powers()
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``limit`` bytes that no word crosses; one that holds a longer word is as long as that."""
+    limit = limit or SEGMENT_BYTES
+    lo, n = 0, len(data)
+    while lo < n:
+        hi = lo + limit
+        while hi < n and is_word[data[hi]] and is_word[data[hi - 1]]:
+            ahead = is_word[data[hi : hi + limit]]
+            cut = offsets[np.searchsorted(offsets, hi)]  # words end with their document
+            gap = hi + (int(ahead.argmin()) if not ahead.all() else len(ahead))
+            if cut <= gap or gap < hi + len(ahead):
+                hi = min(int(cut), gap)
+                break
+            hi = gap
+        yield lo, min(hi, n)
+        lo = hi
+
+
 class Words:
     """The words of a block: byte spans, hashes, and for each document the range of its words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, values: np.ndarray, powers: Powers):
-        inside = is_word[data]
-        broken = np.zeros(len(data) + 1, bool)
-        broken[offsets] = True
-        first, last = inside.copy(), inside.copy()
-        if len(data):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, values: np.ndarray, powers: Powers = POWERS):
+        starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+        for lo, hi in segments(data, offsets, is_word):
+            part = data[lo:hi]
+            inside = is_word[part]
+            broken = np.zeros(len(part) + 1, bool)
+            broken[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, "right")] - lo] = True
+            first, last = inside.copy(), inside.copy()
             first[1:] &= ~inside[:-1] | broken[1:-1]
             last[:-1] &= ~inside[1:] | broken[1:-1]
-        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.hash = spans_hash(prefix_sums(values[data], powers), self.starts, self.ends, powers)
+            begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+            starts.append(begin + lo)
+            ends.append(end + lo)
+            hashes.append(spans_hash(prefix_sums(values[part], powers), begin, end, powers))
+        self.starts, self.ends, self.hash = np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
         #: words of document d: bounds[d] to bounds[d + 1]
         self.bounds = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.bounds)

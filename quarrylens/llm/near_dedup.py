@@ -21,8 +21,9 @@
 
 Pairs inside a component are never emitted, frequent keys are split by Spark as skewed joins, and no cap
 drops any. Null, empty and blank texts have no shingles and no links; fewer than five words count as one
-shingle. A row without an id is linked with nothing and kept.
-``id_column`` should be unique: of rows that share an id, one stands for all in links, and equal rows get equal results.
+shingle. A row without an id is linked with nothing and kept. Ids may repeat: every row is judged by its own text, equal rows
+get equal results, and the smallest id of a component is that of any of its rows. Columns besides id and text don't matter, and an
+empty table gives an empty result. A very long text is read a part at a time; its shingles' hashes are held together.
 """
 
 from __future__ import annotations
@@ -34,20 +35,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.kernels import SPACED, Powers, Words, blocks, lowered, mix, random_words
-from quarrylens.llm.scratch import files_for, saved, table
+from quarrylens.llm.kernels import SPACED, Words, blocks, lowered, mix, random_words
+from quarrylens.llm.scratch import bounded, files_for, saved, table, unused, with_row_key
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, MATCHES = 64, 30
 HUB_ROUNDS = 3
 LONG = 32
-_VALUES, _POWERS, _SEED = lowered(10), Powers(), 100
+_VALUES, _SEED = lowered(10), 100
 _XOR, _ODD = random_words(101, COORDINATES), random_words(102, COORDINATES) | np.uint64(1)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all shingles of a block (repeats included), and their bounds by document."""
-    w = Words(data, offsets, SPACED, _VALUES, _POWERS)
+    w = Words(data, offsets, SPACED, _VALUES)
     hashes, _, bounds = w.grams(n, _SEED)
     short = np.flatnonzero((w.counts > 0) & (w.counts < n))
     if len(short):
@@ -64,9 +65,10 @@ def _whole(w: Words, d: int, c: np.ndarray) -> np.ndarray:
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text, which is the last column, gives way to what is known of its shingles."""
     for batch in batches:
         size, high, low, values = [], [], [], []
-        for lo, hi, data, offsets in blocks(batch.column(1)):
+        for lo, hi, data, offsets in blocks(batch.column(batch.num_columns - 1)):
             hashes, bounds = shingles(data, offsets)
             counts = np.diff(bounds)
             full = np.flatnonzero(counts)
@@ -92,14 +94,13 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not size:
             continue
         flat = np.concatenate(values).view(np.int32).ravel()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.concatenate(size)), pa.array(np.concatenate(high).view(np.int64)), pa.array(np.concatenate(low).view(np.int64)), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, COORDINATES, dtype=np.int32), pa.array(flat))],
-            ["id", "n_shingles", "h1", "h2", "sig"],
-        )
+        sig = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, COORDINATES, dtype=np.int32), pa.array(flat))
+        known = [pa.array(np.concatenate(size)), pa.array(np.concatenate(high).view(np.int64)), pa.array(np.concatenate(low).view(np.int64)), sig]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *known], [*batch.schema.names[:-1], "n_shingles", "h1", "h2", "sig"])
 
 
 def _set_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, sorted distinct shingle hashes)."""
+    """(node, sorted distinct shingle hashes)."""
     for batch in batches:
         sets = []
         for lo, hi, data, offsets in blocks(batch.column(1)):
@@ -107,7 +108,7 @@ def _set_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets += [np.unique(hashes[bounds[d] : bounds[d + 1]]).view(np.int64) for d in range(hi - lo)]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], ["id", "members"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], ["node", "members"])
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -142,8 +143,8 @@ def contract(links: DataFrame, files: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity asked for."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
     inter = F.size(F.array_intersect("ma", "mb"))
     return both.filter(100 * inter >= PERCENT * (F.size("ma") + F.size("mb") - inter)).select("a", "b")
 
@@ -151,78 +152,98 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _held(lists: DataFrame, links: DataFrame | None, files: int) -> DataFrame:
     """``lists`` with where each member's component stands after the links found so far."""
     if links is None:
-        return lists.withColumn("root", F.col("id"))
-    return lists.join(contract(links, files), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        return lists.withColumn("root", F.col("node"))
+    return lists.join(contract(links, files).withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _ranked_pairs(docs: DataFrame, sets: DataFrame, files: int) -> DataFrame:
-    """The pairs (a, b) of ``docs`` (id, root) from different components that the ranks of their shingles leave possible.
+def _ranked_pairs(classes: DataFrame, sets: DataFrame, files: int) -> DataFrame:
+    """The pairs (a, b) of ``classes`` (node, root) from different components that the ranks of their shingles leave possible.
 
     With shingles ranked from rare to frequent, let a pair's first common one stand at places i and j: at most
     1 + min(size - place) are common. Similar sets of m and n need 0.75 / 1.75 * (m + n).
     """
-    own = docs.join(sets, "id").withColumn("n", F.size("members"))
-    each = own.select("id", F.explode("members").alias("shingle"))
+    own = classes.join(sets, "node").withColumn("n", F.size("members"))
+    each = own.select("node", F.explode("members").alias("shingle"))
     shared = each.groupBy("shingle").agg(F.count("*").alias("f")).filter("f > 1")
-    ranked = each.join(shared, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
-    ranked = ranked.join(own.select("id", "root", "n"), "id")
+    ranked = each.join(shared, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
+    ranked = ranked.join(own.select("node", "root", "n"), "node")
     # shingles that no other set has come first
-    placed = ranked.select("id", "root", "n", F.posexplode("s").alias("k", "s"), (F.col("n") - F.size("s") + 1).alias("from")).select("id", "root", "n", (F.col("from") + F.col("k")).alias("place"), "s.shingle")
+    placed = ranked.select("node", "root", "n", F.posexplode("s").alias("k", "s"), (F.col("n") - F.size("s") + 1).alias("from")).select("node", "root", "n", (F.col("from") + F.col("k")).alias("place"), "s.shingle")
     placed = saved(placed.filter(100 * (1 + F.col("n") - F.col("place")) >= PERCENT * F.col("n")), "placed", files)
-    x = placed.select("shingle", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    y = placed.select("shingle", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    x = placed.select("shingle", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    y = placed.select("shingle", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
     enough = (100 + PERCENT) * (1 + F.least(x["na"] - x["pa"], y["nb"] - y["pb"])) >= PERCENT * (x["na"] + y["nb"])
     return x.join(y, (x["shingle"] == y["shingle"]) & (x["a"] < y["b"]) & (x["ra"] != y["rb"]) & enough).select("a", "b")
 
 
-def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of each document."""
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+def grouped(rows: DataFrame) -> DataFrame:
+    """(id, key, n_shingles, component_id) of ``rows`` (id, key, text); keys tell rows apart, ids needn't.
+
+    A class of equal sets is known by its node, a number of its own, and its text is read from one row.
+    """
     files = files_for(rows.count())
-    signed = saved(rows.mapInArrow(signatures, "id long, n_shingles long, h1 long, h2 long, sig array<int>"), "signatures", files)
+    kind = rows.schema["key"].dataType.simpleString()
+    signed = saved(bounded(rows).select("id", "key", "text").mapInArrow(signatures, f"id long, key {kind}, n_shingles long, h1 long, h2 long, sig array<int>"), "signatures", files)
     filled = signed.filter("n_shingles > 0 and id is not null")
-    classes = saved(filled.groupBy("h1", "h2").agg(F.min(F.struct("id", "sig", "n_shingles")).alias("r")).select("h1", "h2", F.col("r.id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.sig").alias("sig")), "classes", files)
+    classes = filled.groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "sig", "n_shingles")).alias("r"))
+    classes = classes.select("h1", "h2", F.monotonically_increasing_id().alias("node"), "r.id", "r.key", F.col("r.n_shingles").alias("n"), F.col("r.sig").alias("sig"))
+    classes = saved(classes, "classes", files)
 
     # postings; the values that one class alone has only shorten prefixes
-    posted = classes.select("id", F.posexplode("sig").alias("k", "v")).select("id", F.xxhash64("k", "v").alias("token"))
+    posted = classes.select("node", F.posexplode("sig").alias("k", "v")).select("node", F.xxhash64("k", "v").alias("token"))
     shared = saved(posted.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "shared", files)
-    mine = posted.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    mine = posted.join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
     room = F.size("t") - (MATCHES - 1)
     popular = F.aggregate("t", F.lit(0).cast("long"), lambda n, t: n + t["n"])
-    lists = saved(mine.withColumn("popular", popular).filter(room > 0).select("id", "popular", F.explode(F.slice("t", 1, room)).alias("t")).select("id", "popular", "t.token"), "lists", files)
-    texts = rows.join(lists.select("id").distinct(), "id", "left_semi")
-    sets = saved(texts.dropDuplicates(["id"]).mapInArrow(_set_pass, "id long, members array<long>"), "sets", files)
-    slim = classes.select("id", "n", "sig")
+    lists = saved(mine.withColumn("popular", popular).filter(room > 0).select("node", "popular", F.explode(F.slice("t", 1, room)).alias("t")).select("node", "popular", "t.token"), "lists", files)
+    asked = classes.select("node", "key").join(lists.select("node").distinct(), "node", "left_semi")
+    sets = saved(rows.select("key", "text").join(asked, "key").select("node", "text").mapInArrow(_set_pass, "node long, members array<long>"), "sets", files)
+    slim = classes.select("node", "n", "sig")
 
     links = None
     for r in range(HUB_ROUNDS):
         held = _held(lists, links, files)
         # the hub: the member with the most frequent values, which is the closest to the others; then the first; then any
-        first = [F.struct(-F.col("popular"), "id"), F.struct("id", F.col("id").alias("i")), F.struct(F.xxhash64("id", F.lit(r)), "id")][min(r, 2)]
-        hubs = held.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("id", first).alias("hub")).filter("r0 < r1").select("token", "hub")
+        first = [F.struct(-F.col("popular"), "node"), F.struct("node", F.col("node").alias("i")), F.struct(F.xxhash64("node", F.lit(r)), "node")][min(r, 2)]
+        hubs = held.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("node", first).alias("hub")).filter("r0 < r1").select("token", "hub")
         hubs = saved(hubs, "hubs", files)  # so that the join below can split frequent tokens
-        pairs = held.join(hubs, "token").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        pairs = pairs.join(slim.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(slim.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+        pairs = held.join(hubs, "token").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        pairs = pairs.join(slim.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(slim.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
         found = _confirmed(pairs.filter(_alike()).select("a", "b"), sets)
         links = saved(found if links is None else links.unionByName(found), "links", files)
     held = _held(lists, links, files)
     open_lists = held.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).filter("r0 < r1").select("token", "members")
-    held = saved(held.select("id", "token", "root").join(open_lists, "token"), "open", files)
-    short = held.filter(F.col("members") <= LONG).join(slim, "id")
-    x = short.select("token", "root", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    y = short.select("token", F.col("root").alias("root2"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    held = saved(held.select("node", "token", "root").join(open_lists, "token"), "open", files)
+    short = held.filter(F.col("members") <= LONG).join(slim, "node")
+    x = short.select("token", "root", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    y = short.select("token", F.col("root").alias("root2"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     pairs = x.join(y, (x["token"] == y["token"]) & (x["a"] < y["b"]) & (x["root"] != y["root2"]) & _alike()).select("a", "b")
-    pairs = pairs.unionByName(_ranked_pairs(held.filter(F.col("members") > LONG).select("id", "root").distinct(), sets, files)).distinct()
-    roots = saved(contract(links.unionByName(_confirmed(pairs, sets)), files), "roots", files)
-    named = classes.select("h1", "h2", "id").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("root"))
-    out = signed.join(named, ["h1", "h2"], "left")
-    root = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_column), "n_shingles", root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
+    pairs = pairs.unionByName(_ranked_pairs(held.filter(F.col("members") > LONG).select("node", "root").distinct(), sets, files)).distinct()
+    roots = saved(contract(links.unionByName(_confirmed(pairs, sets)), files).withColumnRenamed("id", "node"), "roots", files)
+    # the smallest id of each component of several classes
+    linked = classes.select("h1", "h2", "node", "id").join(roots, "node")
+    least = saved(linked.groupBy("root").agg(F.min("id").alias("least")), "least", files)
+    named = linked.join(least, "root").select("h1", "h2", "least")
+    named = saved(classes.select("h1", "h2", "id").join(named, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", "id").alias("least")), "named", files)
+    out = signed.select("id", "key", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+    component = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")))
+    return out.select("id", "key", "n_shingles", component.alias("component_id"))
+
+
+def _rows(docs: DataFrame, id_column: str, text_column: str, key: str) -> DataFrame:
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(key).alias("key"), F.col(text_column).alias("text"))
+
+
+def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) of each document."""
+    key = unused(docs, "row")
+    out = grouped(_rows(with_row_key(docs, key), id_column, text_column, key))
+    return out.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _alike() -> Column:
     """Of a pair's sizes and signatures: what similar sets must have."""
-    sizes = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    sizes = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
     return sizes & (_common(F.col("sa"), F.col("sb")) >= MATCHES)
 
 
@@ -231,6 +252,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; documents without an id stay."""
-    gone = components(docs).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One row of each group of near copies, one of those with the smallest id; rows without an id or without words stay.
+
+    Rows are told apart by where they are stored: repeated rows are copies of each other, and rows that share an id but not a text are
+    documents of their own.
+    """
+    at = unused(docs, "row")
+    rows = with_row_key(docs, at)
+    found = grouped(_rows(rows, "doc_id", "text", at))
+    found = saved(found.filter("id is not null and n_shingles > 0").select("key", "id", "component_id"), "found")
+    stays = found.groupBy("component_id").agg(F.min(F.struct("id", "key"))["key"].alias("key"))
+    gone = found.join(stays.select("key"), "key", "left_anti").select(F.col("key").alias(at))
+    return rows.join(gone, at, "left_anti").select(*docs.columns)

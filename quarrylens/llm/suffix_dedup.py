@@ -4,21 +4,24 @@ A byte is removed if a string of ``SPAN`` (200) bytes that covers it starts anyw
 
 1. Parse. A rolling hash over ``TRIGGER`` bytes is taken at every byte; the trigger of a start i is the place of the
    smallest hash (the rightmost of equals) among the ``SPAN // 2 + 1`` places from i on. Triggers depend only on
-   the bytes of the string that starts at i, so equal strings have their triggers at the same offset. Starts with the same
-   trigger make a phrase, which is read together with what follows, up to the end of its last string.
-2. Prune. The parse suffix of a trigger begins with ``SPAN // 2`` bytes that all strings of its phrase hold. A phrase
-   whose parse suffix begins like no other one in the corpus holds no repeated string, and goes.
-3. Dictionary. Equal phrases are one entry with a count; all strings of an entry that occurs twice are repeated.
-4. Order. Entries whose parse suffixes begin alike are brought together. Their parse suffixes are sorted, with the common
-   prefixes of neighbours; the suffixes of the dictionary's phrases are grouped; the two combine into the order of
-   all strings, in which a string is repeated if it shares ``SPAN`` bytes with a neighbour.
-5. Starts so found are gathered by document and the bytes that they cover are cut out.
+   the bytes of the string that starts at i, so equal strings have their triggers at the same offset. The starts of one trigger, up to
+   the end of its hashed bytes, are a phrase. The parse suffix of a phrase is the text from its trigger on.
+2. Prune. A phrase whose parse suffix begins like no other one in the corpus, by the hash of ``SPAN // 2`` bytes that all strings of
+   the phrase hold, has no repeated string, and goes. Equal phrases with equal parse suffixes are one entry with a count; all
+   strings of an entry that occurs twice are repeated.
+3. Order. Entries whose parse suffixes begin alike are brought together. Their distinct phrases are the dictionary, whose suffix array is
+   built by prefix doubling; their parse suffixes are sorted, with the common prefixes of neighbours. No phrase's suffix is
+   a prefix of another's, so the two combine into the order of all strings, byte by byte, and a string is repeated if it shares
+   ``SPAN`` bytes with a neighbour.
+4. Starts so found are gathered by document and the bytes that they cover are cut out.
 
 Very frequent parse suffixes are dealt out to several tasks (``GROUP`` entries each); strings that such a task finds no
-twin for are counted by hash over all of them, so no group has to fit in one task and none is cut short. Hashes have 64
-bits.
+twin for are counted by hash over all of them, so no group has to fit in one task and none is cut short. Keys are hashes of 64
+bits: that entries are one, and that strings of dealt-out groups are equal, is not compared byte by byte.
 
-Null and empty texts, and texts under 200 bytes, lose nothing. Repeated rows are copies of each other; ids may repeat or be null.
+Null and empty texts, and texts under 200 bytes, lose nothing. Rows are known by where they are stored: ids may repeat or be null,
+repeated rows are copies of each other, and other columns don't matter. A very long text is parsed ``PIECE`` bytes at a time.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,16 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.kernels import Powers, blocks, prefix_sums, random_words, spans_hash
-from quarrylens.llm.scratch import files_for, saved, table
+from quarrylens.llm.kernels import POWERS, blocks, prefix_sums, random_words, spans_hash
+from quarrylens.llm.scratch import bounded, files_for, saved, table, unused, with_row_key
 
 SPAN, TRIGGER = 200, 16
 REACH = SPAN // 2 + 1
 #: dictionary entries of one parse suffix that a task takes at most, and entries that are ordered at a time
-GROUP, CHUNK = 1_000, 8_000
-_VALUES, _POWERS = random_words(1, 256), Powers()
+GROUP, CHUNK = 200, 4_000
+PIECE = 1 << 19
+_VALUES = random_words(1, 256)
 _PLACE = np.uint64((1 << 24) - 1)
 _SEGMENT = 1 << 22
+_KEY = "struct<file:bigint,row:bigint>"
 
 
 def _rightmost_least(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -64,9 +69,9 @@ class Parse:
     """The phrases of a block: document, first and last start, trigger (places in the block)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.sums = prefix_sums(_VALUES[data], _POWERS)
+        self.sums = prefix_sums(_VALUES[data], POWERS)
         at = np.arange(max(0, len(data) - TRIGGER + 1))
-        hashes = spans_hash(self.sums, at, at + TRIGGER, _POWERS)
+        hashes = spans_hash(self.sums, at, at + TRIGGER, POWERS)
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         starts = np.arange(max(0, len(data) - SPAN + 1))
         starts = starts[owner[: len(starts)] == owner[SPAN - 1 :]] if len(starts) else starts
@@ -80,79 +85,105 @@ class Parse:
         self.doc = owner[self.first] if len(starts) else starts
 
     def suffix_keys(self) -> np.ndarray:
-        return spans_hash(self.sums, self.trigger, self.trigger + SPAN // 2, _POWERS).view(np.int64)
+        return spans_hash(self.sums, self.trigger, self.trigger + SPAN // 2, POWERS).view(np.int64)
 
     def entry_keys(self) -> np.ndarray:
-        return spans_hash(self.sums, self.first, self.last + SPAN, _POWERS).view(np.int64)
+        return spans_hash(self.sums, self.first, self.last + SPAN, POWERS).view(np.int64)
+
+
+def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, place in its text, bytes, offsets): blocks of documents, and of longer ones parts that hold each start's string once."""
+    for lo, hi, data, offsets in blocks(column):
+        if hi - lo > 1 or len(data) <= PIECE:
+            yield lo, 0, data, offsets
+            continue
+        for at in range(0, len(data) - SPAN + 1, PIECE):
+            part = data[at : at + PIECE + SPAN - 1]
+            yield lo, at, part, np.array([0, len(part)])
 
 
 def _suffix_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, offsets in blocks(batch.column(0)):
+        for _, _, data, offsets in pieces(batch.column(0)):
             yield pa.RecordBatch.from_arrays([pa.array(Parse(data, offsets).suffix_keys())], ["c"])
 
 
 def _phrase_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, _, data, offsets in blocks(batch.column(2)):
+        for lo, at, data, offsets in pieces(batch.column(1)):
             p = Parse(data, offsets)
-            rows = pa.array(lo + p.doc)
-            base = offsets[p.doc]
+            first = at + p.first - offsets[p.doc]
             # the length and the trigger's offset share one column
             shape = (p.last - p.first) * 256 + (p.trigger - p.first)
-            yield pa.RecordBatch.from_arrays([pa.array(p.suffix_keys()), pa.array(p.entry_keys()), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((p.first - base).astype(np.int32)), pa.array(shape.astype(np.int32))], ["c", "u", "id", "t", "first", "shape"])
+            yield pa.RecordBatch.from_arrays([pa.array(p.suffix_keys()), pa.array(p.entry_keys()), batch.column(0).take(pa.array(lo + p.doc)), pa.array(first.astype(np.int32)), pa.array(shape.astype(np.int32))], ["c", "u", "key", "first", "shape"])
 
 
 def _cut_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the phrases asked for: the rows of ``asked`` are (c, salt, salted, first, shape)."""
-    names = ["c", "salt", "salted", "id", "t", "first", "shape", "bytes"]
+    """The bytes of the phrases asked for, with their parse suffixes: of each text the rows of ``asked`` (c, salt, salted, first, shape)."""
+    names = ["c", "salt", "salted", "key", "first", "shape", "bytes"]
     for batch in batches:
-        for text, i, t, asked in zip(batch.column(2), batch.column(0), batch.column(1), batch.column(3), strict=True):
-            raw = (text.as_py() or "").encode()
-            rows = asked.as_py()
-            for lo in range(0, len(rows), 4_096):
-                part = rows[lo : lo + 4_096]
-                cut = [raw[r["first"] : r["first"] + r["shape"] // 256 + SPAN] for r in part]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["c"] for r in part], pa.int64()), pa.array([r["salt"] for r in part], pa.int64()), pa.array([r["salted"] for r in part], pa.bool_()), pa.array([i.as_py()] * n, pa.int64()), pa.array([t.as_py()] * n, pa.int32()), pa.array([r["first"] for r in part], pa.int32()), pa.array([r["shape"] for r in part], pa.int32()), pa.array(cut, pa.binary())],
-                    names,
-                )
+        keys, texts, asked = batch.columns
+        ends, rows = asked.offsets.to_numpy(), asked.values
+        for k in range(batch.num_rows):
+            raw = texts[k].as_buffer()
+            for lo in range(ends[k], ends[k + 1], 4_096):
+                part = rows.slice(lo, min(4_096, ends[k + 1] - lo))
+                c, salt, salted, first, shape = part.flatten()
+                begin = first.to_numpy()
+                cut = [raw[a:b].to_pybytes() for a, b in zip(begin.tolist(), (begin + shape.to_numpy() // 256 + SPAN).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([c, salt, salted, pa.repeat(keys[k], len(part)), first, shape, pa.array(cut, pa.binary())], names)
+
+
+def dictionary_suffixes(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of every suffix among those of the distinct phrases, where each phrase's suffixes begin), by prefix doubling; equal suffixes have equal ranks."""
+    distinct = sorted(set(phrases))
+    begins = np.concatenate([[0], np.cumsum([len(p) for p in distinct])])
+    known = dict(zip(distinct, begins.tolist(), strict=False))
+    data = np.frombuffer(b"".join(distinct), np.uint8).astype(np.uint64) + np.uint64(1)  # 0: the phrase has ended
+    n = len(data)
+    left = np.repeat(begins[1:], np.diff(begins)) - np.arange(n)
+    key, width = np.zeros(n, np.uint64), 7
+    for k in range(width):
+        ahead = np.zeros(n, np.uint64)
+        ahead[: n - k] = data[k:]
+        key = key << np.uint64(9) | np.where(left > k, ahead, np.uint64(0))
+    rank = np.unique(key, return_inverse=True)[1]
+    while width < left.max(initial=0) and rank.max() + 1 < n:
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - width] = rank[width:] + 1
+        rank = np.unique(rank * (n + 1) + np.where(left > width, ahead, 0), return_inverse=True)[1]
+        width *= 2
+    return rank, np.array([known[p] for p in phrases], np.int64)
 
 
 def repeated(cut: list[bytes], triggers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each start of each phrase: (phrase, offset, repeated among these, hash of its string)."""
-    sizes = np.array([len(b) for b in cut])
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.frombuffer(b"".join(cut), np.uint8)
-    sums = prefix_sums(_VALUES[data], _POWERS)
+    """For each start of each entry: (entry, offset, repeated among these, hash of its string)."""
     # parse suffixes, sorted, and the common prefixes of neighbours
     right = np.zeros((len(cut), SPAN), np.uint8)
-    for k, b in enumerate(cut):
-        tail = b[triggers[k] : triggers[k] + SPAN]
+    for k, (b, t) in enumerate(zip(cut, triggers.tolist(), strict=True)):
+        tail = b[t : t + SPAN]
         right[k, : len(tail)] = np.frombuffer(tail, np.uint8)
     order = np.argsort(right.view(f"S{SPAN}").ravel(), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     differs = right[order][1:] != right[order][:-1]
     lcp = np.where(differs.any(axis=1), differs.argmax(axis=1), SPAN) if len(order) > 1 else np.zeros(0, np.int64)
-    # suffixes of the dictionary's phrases, from each start to the trigger
-    phrase = np.repeat(np.arange(len(cut)), lengths + 1)
-    offset = np.arange(len(phrase)) - np.repeat(np.cumsum(lengths + 1) - (lengths + 1), lengths + 1)
-    start = offsets[phrase] + offset
-    until = offsets[phrase] + triggers[phrase]
-    head = spans_hash(sums, start, until, _POWERS)
-    # corpus order: by the phrase's suffix, then by the parse suffix
-    both = np.lexsort((rank[phrase], head))
-    found = np.zeros(len(phrase), bool)
-    if len(both) > 1:
-        same = np.flatnonzero(head[both][1:] == head[both][:-1])
-        a, b = both[same], both[same + 1]
-        common = _least_between(lcp, rank[phrase[a]], rank[phrase[b]]) + (until[a] - start[a])
-        hit = common >= SPAN
-        found[a[hit]] = True
-        found[b[hit]] = True
-    return phrase, offset, found, spans_hash(sums, start, start + SPAN, _POWERS)
+    # the dictionary's suffixes, one for each start
+    suffixes, begins = dictionary_suffixes([b[: t + TRIGGER] for b, t in zip(cut, triggers.tolist(), strict=True)])
+    entry = np.repeat(np.arange(len(cut)), lengths + 1)
+    offset = np.arange(len(entry)) - np.repeat(np.cumsum(lengths + 1) - (lengths + 1), lengths + 1)
+    suffix = suffixes[begins[entry] + offset]
+    # corpus order: by the dictionary's suffix, then by the parse suffix
+    both = np.argsort(suffix * len(cut) + rank[entry], kind="stable")
+    found = np.zeros(len(entry), bool)
+    same = np.flatnonzero(suffix[both][1:] == suffix[both][:-1])
+    a, b = both[same], both[same + 1]
+    common = _least_between(lcp, rank[entry[a]], rank[entry[b]]) + triggers[entry[a]] - offset[a]
+    found[a[common >= SPAN]] = True
+    found[b[common >= SPAN]] = True
+    data = np.frombuffer(b"".join(cut), np.uint8)
+    start = np.concatenate([[0], np.cumsum([len(b) for b in cut])])[entry] + offset
+    return entry, offset, found, spans_hash(prefix_sums(_VALUES[data], POWERS), start, start + SPAN, POWERS)
 
 
 def _least_between(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -169,37 +200,42 @@ def _least_between(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def _order_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by (c, salt); whole groups are ordered together. Of dealt-out groups, also the strings' hashes:
-    those without a twin here (weight 1), and one for each that has one (weight 2)."""
-    held: list[tuple] = []
-
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        shape = np.array([r[6] for r in rows])
-        phrase, offset, found, hashes = repeated([r[7] for r in rows], shape % 256, shape // 256)
-        salted = np.array([r[2] for r in rows])[phrase]
-        edge = np.flatnonzero(found & ~(np.concatenate([[False], found[:-1] & (phrase[1:] == phrase[:-1])])))
-        stop = np.flatnonzero(found & ~(np.concatenate([found[1:] & (phrase[1:] == phrase[:-1]), [False]])))
-        lone = np.flatnonzero(salted & ~found)
-        _, one = np.unique(hashes[salted & found], return_index=True)
-        twin = np.flatnonzero(salted & found)[one]
-        at = np.concatenate([edge, lone, twin])
-        end = np.concatenate([stop, lone, twin])
-        first = np.array([r[5] for r in rows])
-        kind = np.repeat([0, 1, 2], [len(edge), len(lone), len(twin)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.array([r[3] for r in rows])[phrase[at]], pa.int64()), pa.array(np.array([r[4] for r in rows])[phrase[at]].astype(np.int32)), pa.array((first[phrase[at]] + offset[at]).astype(np.int32)), pa.array((first[phrase[end]] + offset[end]).astype(np.int32)), pa.array(hashes[at].view(np.int64)), pa.array(kind)],
-            ["id", "t", "lo", "hi", "h", "weight"],
-        )
+def _ordered(rows: pa.Table) -> pa.RecordBatch:
+    """The repeated runs of whole groups. Of dealt-out groups, also the strings' hashes: those without a twin here (weight 1), and one for
+    each that has one (weight 2)."""
+    shape, first = rows["shape"].to_numpy(), rows["first"].to_numpy()
+    entry, offset, found, hashes = repeated(rows["bytes"].to_pylist(), shape % 256, shape // 256)
+    dealt = rows["salted"].to_numpy()[entry]
+    before = np.concatenate([[False], found[:-1] & (entry[1:] == entry[:-1])])
+    after = np.concatenate([found[1:] & (entry[1:] == entry[:-1]), [False]])
+    edge, stop = np.flatnonzero(found & ~before), np.flatnonzero(found & ~after)
+    lone, twins = np.flatnonzero(dealt & ~found), np.flatnonzero(dealt & found)
+    twin = twins[np.unique(hashes[twins], return_index=True)[1]]
+    at, end = np.concatenate([edge, lone, twin]), np.concatenate([stop, lone, twin])
+    weight = np.repeat([0, 1, 2], [len(edge), len(lone), len(twin)]).astype(np.int32)
+    place = lambda x: pa.array((first[entry[x]] + offset[x]).astype(np.int32))
+    keys = rows["key"].combine_chunks().take(pa.array(entry[at]))
+    return pa.RecordBatch.from_arrays([keys, place(at), place(end), pa.array(hashes[at].view(np.int64)), pa.array(weight)], ["key", "lo", "hi", "h", "weight"])
+
 
+def _order_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive sorted by (c, salt); whole groups are ordered together, about ``CHUNK`` entries at a time."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if len(held) >= CHUNK and row[:2] != held[-1][:2]:
-                yield flush(held)
-                held = []
-            held.append(row)
+        if not batch.num_rows:
+            continue
+        groups = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in (*held[-1:], batch)]
+        changes = np.flatnonzero((groups[-1][:, 1:] != groups[-1][:, :-1]).any(axis=0)) + 1
+        if held and (groups[0][:, -1] != groups[1][:, 0]).any():
+            changes = np.concatenate([[0], changes])
+        begin, size = 0, sum(b.num_rows for b in held)
+        for at in changes.tolist():
+            if size + at - begin >= CHUNK:
+                yield _ordered(pa.Table.from_batches([*held, batch.slice(begin, at - begin)]))
+                held, begin, size = [], at, 0
+        held.append(batch.slice(begin))
     if held:
-        yield flush(held)
+        yield _ordered(pa.Table.from_batches(held))
 
 
 def kept_bytes(raw: bytes, runs: list[dict] | None) -> tuple[bytes, int, int]:
@@ -221,40 +257,43 @@ def kept_bytes(raw: bytes, runs: list[dict] | None) -> tuple[bytes, int, int]:
     return b"".join(out), removed, spans
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(id, t, runs) of the rows of ``docs`` (id, t, text) that hold repeated strings; t is a hash of the text."""
-    files = files_for(docs.count())
-    twice = docs.select("text").mapInArrow(_suffix_pass, "c long").groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c")
+def repeated_runs(rows: DataFrame) -> DataFrame:
+    """(key, runs) of the ``rows`` (key, text) that hold repeated strings."""
+    files = files_for(rows.count())
+    rows = bounded(rows)
+    twice = rows.select("text").mapInArrow(_suffix_pass, "c long").groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c")
     twice = saved(twice, "twice", files)  # both sides of the join are then dealt out anew, and frequent keys split
-    phrases = docs.select("id", "t", "text").mapInArrow(_phrase_pass, "c long, u long, id long, t int, first int, shape int")
+    phrases = rows.select("key", "text").mapInArrow(_phrase_pass, f"c long, u long, key {_KEY}, first int, shape int")
     alike = saved(phrases.join(twice, "c"), "phrases", files)
-    entries = alike.groupBy("c", "u").agg(F.count("*").alias("n"), F.min(F.struct("id", "t", "first", "shape")).alias("r"))
+    entries = alike.groupBy("c", "u").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "shape")).alias("r"))
     entries = saved(entries, "entries", files)
-    groups = entries.groupBy("c").agg(F.count("*").alias("entries")).filter("entries > 1")
-    groups = saved(groups, "groups", files)
+    groups = saved(entries.groupBy("c").agg(F.count("*").alias("entries")).filter("entries > 1"), "groups", files)
     asked = entries.join(groups, "c").withColumn("parts", F.ceil(F.col("entries") / GROUP)).select(
-        F.col("r.id").alias("id"), F.col("r.t").alias("t"), F.struct("c", F.pmod(F.xxhash64("u"), F.col("parts")).alias("salt"), (F.col("parts") > 1).alias("salted"), F.col("r.first").alias("first"), F.col("r.shape").alias("shape")).alias("a")
+        F.col("r.key").alias("key"), F.struct("c", F.pmod(F.xxhash64("u"), F.col("parts")).alias("salt"), (F.col("parts") > 1).alias("salted"), F.col("r.first").alias("first"), F.col("r.shape").alias("shape")).alias("a")
     )
-    asked = asked.groupBy("id", "t").agg(F.collect_list("a").alias("asked"))
-    cut = docs.join(asked, ["id", "t"]).select("id", "t", "text", "asked")
-    cut = cut.mapInArrow(_cut_pass, "c long, salt long, salted boolean, id long, t int, first int, shape int, bytes binary")
-    ordered = cut.repartition("c", "salt").sortWithinPartitions("c", "salt").mapInArrow(_order_pass, "id long, t int, lo int, hi int, h long, weight int")
+    asked = asked.groupBy("key").agg(F.collect_list("a").alias("asked"))
+    cut = rows.join(asked, "key").select("key", "text", "asked")
+    cut = cut.mapInArrow(_cut_pass, f"c long, salt long, salted boolean, key {_KEY}, first int, shape int, bytes binary")
+    ordered = cut.repartition("c", "salt").sortWithinPartitions("c", "salt").mapInArrow(_order_pass, f"key {_KEY}, lo int, hi int, h long, weight int")
     ordered = saved(ordered, "ordered", files)
     across = ordered.filter("weight > 0")
-    again = across.groupBy("h").agg(F.sum("weight").alias("n")).filter("n > 1").select("h")
-    found = ordered.filter("weight = 0").select("id", "t", "lo", "hi").unionByName(across.filter("weight = 1").join(again, "h").select("id", "t", "lo", "hi"))
-    whole = alike.join(entries.filter("n > 1").select("c", "u"), ["c", "u"]).select("id", "t", F.col("first").alias("lo"), (F.col("first") + F.floor(F.col("shape") / 256)).cast("int").alias("hi"))
-    return found.unionByName(whole).groupBy("id", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    again = saved(across.groupBy("h").agg(F.sum("weight").alias("n")).filter("n > 1").select("h"), "again", files)
+    found = ordered.filter("weight = 0").select("key", "lo", "hi").unionByName(across.filter("weight = 1").join(again, "h").select("key", "lo", "hi"))
+    whole = alike.join(saved(entries.filter("n > 1").select("c", "u"), "whole", files), ["c", "u"]).select("key", F.col("first").alias("lo"), (F.col("first") + F.floor(F.col("shape") / 256)).cast("int").alias("hi"))
+    return found.unionByName(whole).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
 
 
-def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.withColumn("id", F.coalesce(F.col(id_column).cast("long"), F.lit(0).cast("long"))).withColumn("t", F.hash(text_column)).withColumn("text", F.col(text_column))
+def _with_runs(docs: DataFrame, text_column: str) -> tuple[DataFrame, str]:
+    """``docs`` with the repeated runs of each text, and that column's name; the row's key is its last column."""
+    key, runs = unused(docs, "row"), unused(docs, "runs")
+    rows = with_row_key(docs, key)
+    found = repeated_runs(rows.select(F.col(key).alias("key"), F.col(text_column).alias("text")))
+    return rows.join(found.select(F.col("key").alias(key), F.col("runs").alias(runs)), key, "left"), runs
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each document; kept: the remaining bytes."""
-    own = _keyed(docs.select(id_column, text_column), id_column, text_column)
-    runs = repeated_runs(own.select("id", "t", "text"))
+    own, runs = _with_runs(docs, text_column)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,17 +303,16 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     names = [id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     kind = docs.schema[id_column].dataType.simpleString()
-    return own.join(runs, ["id", "t"], "left").select(F.col(id_column), F.col("text"), "runs").mapInArrow(cut, f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return bounded(own.select(id_column, text_column, runs)).mapInArrow(cut, f"`{id_column}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))).drop("kept")
+    return dedup(table(spark, sf_dir, "documents")).drop("kept").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without repeated strings; bytes of a character cut in two go with it."""
-    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))).withColumn("_t", F.hash("text"))
-    runs = repeated_runs(own.select(F.col("_id").alias("id"), F.col("_t").alias("t"), "text")).select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("runs").alias("_runs"))
+    """All documents, their texts without repeated strings; bytes of a character cut in two go with it. n_chars follows the text."""
+    own, runs = _with_runs(docs, "text")
     at, names = docs.columns.index("text"), docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,5 +322,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    left = own.join(runs, ["_id", "_t"], "left").select(*[docs[c] for c in names], "_runs").mapInArrow(cut, docs.schema)
+    left = bounded(own.select(*names, runs)).mapInArrow(cut, docs.schema)
     return left.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else left
