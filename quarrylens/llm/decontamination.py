@@ -1,42 +1,43 @@
 """Operator 8: benchmark decontamination by winnowing.
 
-Words are hashed; of every ``KEEP`` consecutive ``GRAM``-word hashes the smallest is kept (the rightmost of
-equals). A shared span of ``GRAM + KEEP - 1`` words holds the same kept hash on both sides, so no window
-of ten words goes unseen. Kept hashes of documents are looked up among those of the benchmark, and each
-hit is extended: the windows of the document that hold the hit are compared with the benchmark's
-windows, first by hash and then word for word. Items of fewer than ten words are one window; those
-too short for the guarantee are looked up at every position by their own length.
-
-The benchmark travels to the workers in blocks of at most ``BLOCK_WORDS`` words, so what is broadcast is
-bounded: a larger benchmark takes more passes over the documents, with the same result. Nothing is
-shuffled unless there is more than one block; then the documents are written once with a key of each row, by which the
-passes are put together.
-
-Null and empty texts have no words, and an item without words is in no document. Item ids are compared as
-strings; repeated item ids count once. Repeated documents are judged one by one.
+1. Words are hashed; of every ``KEEP`` consecutive ``GRAM``-word hashes the smallest is kept (the rightmost of equals). A shared span of
+   ``GRAM + KEEP - 1`` words holds the same kept hash on both sides, so no window of ten words goes unseen. Items of fewer than ten
+   words are one window; those too short for the guarantee are looked up at every position by their own length.
+2. The fingerprints of the documents are joined with those of the benchmark.
+3. Hits are extended: the windows of the document that hold a hit are joined with the benchmark's windows, by hash and word for word.
+
+Both sides are tables, whose sizes decide how Spark joins them: nothing of either is collected, or broadcast by hand, but the lengths
+below ten that items have. What is common to many documents is joined with distinct hashes and windows, so no pairs of documents
+arise, and frequent ones are split as skewed joins.
+
+Null and empty texts have no words, and an item without words is in no document. Item ids are compared as strings, a null one reads as the
+empty string; repeated item ids count once. Rows are known by where they are stored: ids may be null or repeat, repeated documents
+are judged one by one, and other columns don't matter. A very long text is read a part at a time; its words' hashes are held
+together. An empty table gives an empty result, an empty benchmark clean documents.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.kernels import ALNUM, Powers, Words, blocks, lowered
-from quarrylens.llm.scratch import saved, table
+from quarrylens.llm.kernels import ALNUM, Words, blocks, lowered
+from quarrylens.llm.scratch import bounded, saved, table, unused, with_row_key
 
 WINDOW, GRAM, KEEP = 10, 5, 6
-BLOCK_WORDS = 200_000
-_VALUES, _POWERS, _SEED = lowered(8), Powers(), 80
+#: a word in Spark's expressions, both cases
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: in place of a length: fingerprints that winnowing keeps
+KEPT = 0
+_VALUES, _SEED = lowered(8), 80
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    return Words(data, offsets, ALNUM, _VALUES, _POWERS)
+    return Words(data, offsets, ALNUM, _VALUES)
 
 
 def kept(hashes: np.ndarray, bounds: np.ndarray, keep: int) -> np.ndarray:
@@ -53,155 +54,119 @@ def kept(hashes: np.ndarray, bounds: np.ndarray, keep: int) -> np.ndarray:
     return np.unique(where[owner[: len(where)] == owner[keep - 1 :]])
 
 
-class Benchmark:
-    """The windows of a block of items, by hash, and their kept fingerprints."""
+def _fingerprints(w: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, place in it) of the kept fingerprints, or of all windows of a length."""
+    n = length or GRAM
+    hashes, at, bounds = w.grams(n, _SEED + n)
+    chosen = kept(hashes, bounds, KEEP) if length == KEPT else np.arange(len(hashes))
+    doc = np.searchsorted(bounds, chosen, "right") - 1
+    return hashes[chosen], doc, at[chosen] - w.bounds[doc]
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW, gram: int = GRAM, keep: int = KEEP):
-        self.window, self.gram, self.keep = window, gram, keep
-        self.items = [item for item, _ in items]
-        # windows: length -> hash -> [(item, words)]
-        self.windows: dict[int, dict[int, list[tuple[int, tuple[bytes, ...]]]]] = defaultdict(lambda: defaultdict(list))
-        prints = []
-        for lo, hi, data, offsets in blocks(pa.array([text for _, text in items], pa.string())):
+
+def _spelled(data: np.ndarray, w: Words, first: int, n: int) -> str:
+    return b" ".join(data[s:e].tobytes().lower() for s, e in zip(w.starts[first : first + n], w.ends[first : first + n], strict=True)).decode()
+
+
+def _item_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, n, h, words): the windows of each item, and its kept fingerprints under ``KEPT``."""
+    for batch in batches:
+        for lo, hi, data, offsets in blocks(batch.column(1)):
             w = words_of(data, offsets)
-            raw = data.tobytes()
-            spelled = [raw[s:e].lower() for s, e in zip(w.starts, w.ends, strict=True)]
-            grams = {n: w.grams(n, _SEED + n) for n in {min(int(c), window) for c in w.counts if c}}
-            for n, (hashes, at, bounds) in grams.items():
-                for d in range(hi - lo):
-                    if min(int(w.counts[d]), window) == n:
-                        for h, p in zip(hashes[bounds[d] : bounds[d + 1]].tolist(), at[bounds[d] : bounds[d + 1]].tolist(), strict=True):
-                            self.windows[n][h].append((lo + d, tuple(spelled[p : p + n])))
-            hashes, _, bounds = w.grams(gram, _SEED + gram)
-            prints.append(hashes[kept(hashes, bounds, keep)])
-        self.windows = {n: dict(x) for n, x in self.windows.items()}
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
-        self.sorted = {n: np.sort(np.fromiter(x, np.uint64, len(x))) for n, x in self.windows.items()}
-
-    def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, dict[int, set[int]]]:
-        """The words of a block of documents, which of them are hit, and the items found in each document."""
-        w = words_of(data, offsets)
-        found: dict[int, set[int]] = defaultdict(set)
-        marked = np.zeros(len(w.hash) + 1, np.int64)
-        base = None
-        for n, known in self.sorted.items():
-            hashes, at, bounds = w.grams(n, _SEED + n)
-            if n >= self.gram + self.keep - 1:
-                if base is None:
-                    grams, gram_at, gram_bounds = w.grams(self.gram, _SEED + self.gram)
-                    chosen = kept(grams, gram_bounds, self.keep)
-                    base = gram_at[chosen[_among(grams[chosen], self.prints)]]
-                # extend: every window of n words that holds the hit
-                starts = np.unique((base[:, None] - np.arange(n - self.gram + 1)[None, :]).ravel())
-                place = np.searchsorted(at, starts)
-                ok = place < len(at)
-                candidates = place[ok][at[place[ok]] == starts[ok]]
-            else:
-                candidates = np.arange(len(hashes))
-            for c in candidates[_among(hashes[candidates], known)].tolist():
-                p = int(at[c])
-                here = tuple(bytes(data[s:e]).lower() for s, e in zip(w.starts[p : p + n], w.ends[p : p + n], strict=True))
-                items = {i for i, there in self.windows[n][int(hashes[c])] if there == here}
-                if items:
-                    marked[p] += 1
-                    marked[p + n] -= 1
-                    found[int(np.searchsorted(w.bounds, p, "right")) - 1] |= items
-        return w, np.cumsum(marked[:-1]) > 0, found
-
-
-def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(x), bool)
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
-
-
-def _blocks_of_items(benchmark: DataFrame, item_column: str, text_column: str, most: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of at most ``most`` words (one item at least); only one block is held at a time."""
-    held, size = [], 0
-    for item, text in benchmark.select(F.col(item_column).cast("string"), text_column).orderBy(item_column, text_column).toLocalIterator():
-        n = len((text or "").split())
-        if held and size + n > most:
-            yield held
-            held, size = [], 0
-        held.append((item, text))
-        size += n
-    yield held
-
-
-def _pass(docs: DataFrame, items: list[tuple[str, str | None]], shape: str, whole: bool) -> DataFrame:
-    """One block of items against all documents: whole results, or what several blocks' results are joined from."""
-    known = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = known.value
+            rows = []
+            for n in sorted({min(int(c), WINDOW) for c in w.counts if c}):
+                whole = np.minimum(w.counts, WINDOW) == n
+                for h, d, at in zip(*(x.tolist() for x in _fingerprints(w, n)), strict=True):
+                    if whole[d]:
+                        rows.append((lo + d, n, h, _spelled(data, w, int(w.bounds[d]) + at, n)))
+            hashes, docs, _ = _fingerprints(w, KEPT)
+            rows += [(lo + d, KEPT, h, None) for h, d in zip(hashes.tolist(), docs.tolist(), strict=True)]
+            at, n, h, spelled = zip(*rows, strict=True) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(spelled, pa.string())], ["item", "n", "h", "words"])
+
+
+def _document_pass(lengths: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_hit, names, places = [], [], [], []
-            for lo, hi, data, offsets in blocks(batch.column(1)):
-                w, hit, found = b.hits(data, offsets)
-                n_words += w.counts.tolist()
-                sums = np.concatenate([[0], np.cumsum(hit)])
-                n_hit += (sums[w.bounds[1:]] - sums[w.bounds[:-1]]).tolist()
-                for d in range(hi - lo):
-                    names.append(sorted({b.items[i] for i in found.get(d, ())}))
-                    if not whole:
-                        places.append(np.flatnonzero(hit[w.bounds[d] : w.bounds[d + 1]]).tolist() if d in found else [])
-            columns = [batch.column(0), pa.array(n_words, pa.int64())]
-            if whole:
-                columns += [pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array([x > 0 for x in n_hit], pa.bool_())]
-            else:
-                columns += [pa.array(names, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in shape.split(", ")])
-
-    return docs.mapInArrow(match, shape)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of ``docs``."""
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    kind = rows.schema[0].dataType.simpleString()
-    items_iter = _blocks_of_items(benchmark, item_column, item_text, block_words)
-    first = next(items_iter)
-    second = next(items_iter, None)
-    if second is None:
-        return _pass(rows, first, f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", True).withColumnRenamed("id", id_column)
-    keyed = saved(rows.withColumn("key", F.monotonically_increasing_id()), "documents")
-    rows = keyed.select(F.struct("key", "id").alias("row"), "text")
-    shape = f"row {rows.schema[0].dataType.simpleString()}, n_words long, items array<string>, places array<long>"
-    parts = [_pass(rows, first, shape, False), _pass(rows, second, shape, False)]
-    parts += [_pass(rows, items, shape, False) for items in items_iter]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
-    n_hit = F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long")
-    return union.groupBy("row").agg(F.max("n_words").alias("n_words"), n_hit.alias("n_hit"), items.alias("items")).select(
-        F.col("row.id").alias(id_column), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
-    )
+            for lo, _, data, offsets in blocks(batch.column(1)):
+                w = words_of(data, offsets)
+                for n in lengths:
+                    hashes, doc, at = _fingerprints(w, n)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + doc)), pa.array(np.full(len(doc), n, np.int32)), pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int32))], ["key", "n", "h", "at"])
 
+    return fingerprints
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
+def _extend_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, first, n, h, words): the windows around the hits (n, at) of each text."""
+    for batch in batches:
+        keys, texts, hits = batch.columns
+        for lo, hi, data, offsets in blocks(texts):
+            w = words_of(data, offsets)
+            grams: dict[int, dict[int, int]] = {}
+            rows = []
+            for d in range(lo, hi):
+                begin, count = int(w.bounds[d - lo]), int(w.counts[d - lo])
+                asked = set()
+                for hit in hits[d].as_py():
+                    n, at = hit["n"] or WINDOW, hit["at"]
+                    asked |= {(n, s) for s in (range(at + GRAM - WINDOW, at + 1) if hit["n"] == KEPT else (at,)) if 0 <= s <= count - n}
+                for n, s in sorted(asked):
+                    if n not in grams:
+                        hashes, at, _ = w.grams(n, _SEED + n)
+                        grams[n] = dict(zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True))
+                    rows.append((d, s, n, grams[n][begin + s], _spelled(data, w, begin + s, n)))
+            at, first, n, h, spelled = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(spelled, pa.string())], ["key", "first", "n", "h", "words"])
+
+
+def occurrences(rows: DataFrame, benchmark: DataFrame, item_column: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((key, first, n, h, words), (item, n, h, words)): the benchmark's windows in ``rows`` (key, text), and all of them."""
+    items = bounded(benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text")))
+    windows = saved(items.mapInArrow(_item_pass, "item string, n int, h long, words string"), "windows")
+    known = saved(windows.filter(F.col("n") != WINDOW).select("n", "h").distinct(), "fingerprints")
+    lengths = sorted(r["n"] for r in known.select("n").distinct().collect())  # WINDOW numbers at most
+    kind = rows.schema["key"].dataType.simpleString()
+    found = bounded(rows.select("key", "text")).mapInArrow(_document_pass(lengths), f"key {kind}, n int, h long, at int").join(known, ["n", "h"])
+    hits = found.groupBy("key").agg(F.collect_set(F.struct("n", "at")).alias("hits"))
+    hits = saved(hits, "hits")
+    around = rows.select("key", "text").join(hits, "key").select("key", "text", "hits").mapInArrow(_extend_pass, f"key {kind}, first int, n int, h long, words string")
+    windows = windows.filter(F.col("n") != KEPT)
+    distinct = saved(windows.select("n", "h", "words").distinct(), "distinct")
+    return saved(around.join(distinct, ["n", "h", "words"], "left_semi").select("key", "first", "n", "h", "words"), "matched"), windows
+
+
+def _covered(spans: Column) -> Column:
+    """How many places the spans (first, end), in order of first, cover."""
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["first"]))).alias("n"))
+    return F.aggregate(spans, start, step)["n"]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of ``docs``."""
+    key = unused(docs, "row")
+    rows = with_row_key(docs, key).select(F.col(key).alias("key"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    matched, windows = occurrences(rows, benchmark, item_column, item_text)
+    hit = matched.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", (F.col("first") + F.col("n")).alias("end")))).alias("spans")).select("key", _covered(F.col("spans")).alias("n_hit"))
+    items = matched.select("key", "n", "h", "words").distinct().join(windows.distinct(), ["n", "h", "words"]).select("key", "item").distinct()
+    items = items.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = rows.select("id", "key", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")).join(hit.join(items, "key"), "key", "left")
+    items, n_hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0)).cast("long")
+    return out.select(F.col("id").alias(id_column), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark, with all their columns and in place; each block of items takes one pass and nothing is shuffled."""
-    at, shape = docs.columns.index(text_column), docs.schema
-    for items in _blocks_of_items(benchmark, item_column, item_text, block_words):
-        known = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
 
-        def keep(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                bad = np.zeros(batch.num_rows, bool)
-                for lo, _, data, offsets in blocks(batch.column(at)):
-                    for d in known.value.hits(data, offsets)[2]:
-                        bad[lo + d] = True
-                yield batch.filter(pa.array(~bad))
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("doc_id", F.col("doc_id").cast("long"))
+
 
-        docs = docs.mapInArrow(keep, shape)
-    return docs
+def clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no window of the benchmark, with all their columns."""
+    key = unused(docs, "row")
+    rows = with_row_key(docs, key)
+    matched, _ = occurrences(rows.select(F.col(key).alias("key"), F.col(text_column).alias("text")), benchmark, item_column, item_text)
+    return rows.join(matched.select(F.col("key").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no window of the benchmark."""
+    """The documents that hold no window of the benchmark; null and empty texts stay."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
