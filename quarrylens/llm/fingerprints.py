@@ -1,14 +1,19 @@
 """Operator 2: document fingerprints by closed syncmers, in DataFrame operations only.
 
-A text is read as words (runs without ASCII white space; longer ones in pieces of ``LONGEST`` characters). A k-mer is ``K`` consecutive words, and is
-chosen if the smallest of its inner pairs of words, by hash, is its first or its last: a choice that depends on the
-k-mer alone, so equal passages yield equal anchors wherever they stand. The fingerprint is the sketch of the ``SKETCH``
-smallest anchor hashes, as hexadecimal text; texts without an anchor have one made of all their words. The likeness of two
-fingerprints is the share of common anchors among the ``SKETCH`` smallest of both together: an estimate of
-the Jaccard similarity of the anchors, exact where both have few. Equal fingerprints have likeness 1, two empty ones too.
+A text is read as words (runs without ASCII white space); a run of more than ``LONGEST`` characters is read as its single characters,
+so that its anchors depend on what stands around them and not on how far they are from its start. A k-mer is ``K`` consecutive words,
+and is chosen if the smallest of its inner pairs of words, by hash, is its first or its last: a choice that depends on the
+k-mer alone, so equal passages yield equal anchors wherever they stand. ``anchors`` returns all anchors of a text with their places, and
+``shared_passages`` matches texts by them: anchors in common whose places differ by the same shift.
+
+The query's fingerprint is a digest of them: the sketch of the ``SKETCH`` smallest anchor hashes, as hexadecimal text; texts
+without an anchor have one made of all their words. The likeness of two fingerprints is the share of common anchors among the
+``SKETCH`` smallest of both together: an estimate of the Jaccard similarity of the anchors, exact where both have few. Equal
+fingerprints have likeness 1, two empty ones too.
 
 Null counts as the empty text, whose fingerprint is empty. Documents follow each other by id (null first), then by
-a hash of the text; equal rows are one document here and get equal results. A lone document is its own next one.
+a hash of the text; equal rows are one document here and get equal results. A lone document is its own next one. Other columns don't
+matter, a very long text is an array of its words' hashes, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +25,8 @@ from pyspark.sql.window import Window
 from quarrylens.llm.scratch import saved, table
 
 K, SKETCH, LONGEST = 5, 64, 24
-WORD = rf"[^\x20\x09-\x0D]{{1,{LONGEST}}}"
+_RUN = r"[^\x20\x09-\x0D]"
+WORD = rf"(?<!{_RUN}){_RUN}{{1,{LONGEST}}}+(?!{_RUN})|{_RUN}"
 
 
 def _short(h: Column) -> Column:
@@ -28,20 +34,39 @@ def _short(h: Column) -> Column:
     return F.shiftright(h, 32).cast("int")
 
 
-def with_anchors(df: DataFrame, text_column: str, out: str) -> DataFrame:
-    """``df`` with the sorted sketch of the anchors of a text, an array of ints."""
+def _with_kmers(df: DataFrame, text_column: str) -> DataFrame:
+    """``df`` with the hashes of a text's words (_w) and, for each k-mer, its hash where it is chosen (_k); for fewer than ``K`` words null or nulls."""
     df = df.withColumn("_w", F.transform(F.regexp_extract_all(text_column, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
     n = F.size("_w")
     df = df.withColumn("_s", F.when(n >= K, F.transform(F.slice("_w", 1, F.greatest(n - 1, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_w", i + 1)))))
 
     def chosen(a: Column, i: Column) -> Column:
         b, c, d = F.get("_s", i + 1), F.get("_s", i + 2), F.get("_s", i + 3)
-        return F.when(F.least(a, d) <= F.least(b, c), _short(F.xxhash64(a, b, d)))
+        return F.when(F.least(a, d) <= F.least(b, c), F.xxhash64(a, b, d))
+
+    return df.withColumn("_k", F.transform(F.slice("_s", 1, F.greatest(F.size("_s") - (K - 2), F.lit(1))), chosen))
+
+
+def anchors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, at, anchor) of every anchor of every text; at: the place of its first word."""
+    own = _with_kmers(docs.select(F.col(id_column).alias("_id"), F.coalesce(text_column, F.lit("")).alias("_text")), "_text")
+    return own.select(F.col("_id").alias(id_column), F.posexplode("_k").alias("at", "anchor")).filter("anchor is not null")
 
-    df = df.withColumn("_a", F.transform(F.slice("_s", 1, F.greatest(F.size("_s") - (K - 2), F.lit(1))), chosen))
-    df = df.withColumn("_a", F.slice(F.sort_array(F.array_distinct(F.filter("_a", lambda x: x.isNotNull()))), 1, SKETCH))
-    whole = F.when(n > 0, F.array(_short(F.xxhash64("_w")))).otherwise(F.array().cast("array<int>"))
-    return df.withColumn(out, F.when(F.size("_a") > 0, F.col("_a")).otherwise(whole)).drop("_w", "_s", "_a")
+
+def shared_passages(left: DataFrame, right: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(left, right, shift, anchors, first, last): what two sides of ``anchors`` share, by how far it is moved; places are those of the left side."""
+    a = left.select(F.col(id_column).alias("left"), F.col("at").alias("_at"), "anchor")
+    b = right.select(F.col(id_column).alias("right"), F.col("at").alias("_there"), "anchor")
+    found = a.join(b, "anchor").withColumn("shift", F.col("_there") - F.col("_at"))
+    return found.groupBy("left", "right", "shift").agg(F.count("*").alias("anchors"), F.min("_at").alias("first"), (F.max("_at") + K - 1).alias("last"))
+
+
+def with_sketch(df: DataFrame, text_column: str, out: str) -> DataFrame:
+    """``df`` with the sorted sketch of the anchors of a text, an array of ints."""
+    df = _with_kmers(df, text_column)
+    df = df.withColumn("_a", F.slice(F.sort_array(F.array_distinct(F.transform(F.filter("_k", lambda x: x.isNotNull()), _short))), 1, SKETCH))
+    whole = F.when(F.size("_w") > 0, F.array(_short(F.xxhash64("_w")))).otherwise(F.array().cast("array<int>"))
+    return df.withColumn(out, F.when(F.size("_a") > 0, F.col("_a")).otherwise(whole)).drop("_w", "_s", "_k", "_a")
 
 
 def spelled(sketch: str) -> Column:
@@ -82,9 +107,9 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     own = own.withColumn("t", F.xxhash64("text")).withColumn("n_chars", F.char_length("text"))
     following = _next_keys(own.select("id", "t", "n_chars"))
     there = own.select(F.col("id").alias("next_id"), F.col("t").alias("next_t"), F.col("text").alias("next")).dropDuplicates(["next_id", "next_t"])
-    ahead = with_anchors(there.join(following, ["next_id", "next_t"]), "next", "b").select("id", "t", "b", F.expr("substring(next, 1, cast(floor(n_chars / 2) as int))").alias("start"))
-    here = with_anchors(own, "text", "a").select("id", "t", "n_chars", "a", F.expr("substring(text, 1, n_chars - cast(floor(n_chars / 2) as int))").alias("head"))
-    both = with_anchors(here.join(ahead, ["id", "t"]).withColumn("edited", F.concat("head", "start")), "edited", "e")
+    ahead = with_sketch(there.join(following, ["next_id", "next_t"]), "next", "b").select("id", "t", "b", F.expr("substring(next, 1, cast(floor(n_chars / 2) as int))").alias("start"))
+    here = with_sketch(own, "text", "a").select("id", "t", "n_chars", "a", F.expr("substring(text, 1, n_chars - cast(floor(n_chars / 2) as int))").alias("head"))
+    both = with_sketch(here.join(ahead, ["id", "t"]).withColumn("edited", F.concat("head", "start")), "edited", "e")
     return both.select(
         F.nullif("id", no_id).alias(id_column), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), spelled("a").alias("fingerprint"), spelled("e").alias("edited_fingerprint"), likeness("a", "e").alias("near_edited"), likeness("a", "b").alias("near_next")
     )
