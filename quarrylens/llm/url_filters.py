@@ -6,7 +6,7 @@ links between hosts (personalised PageRank), and distrust from the hosts of page
 answers for what it links to. Standing is trust / (trust + distrust), each as a share of the seeds' mean; a host is
 blocked if its standing is below ``LEAST``, and allowed where neither reaches it. Ranks are summed walk by walk, so they only grow,
 and spread until ``CUT`` steps reach no new host and add to none more than ``TOLERANCE`` of its rank; the mass that still moves
-falls by ``DAMPING`` a step, so this comes about on any graph.
+falls by ``DAMPING`` a step, so this comes about on any graph. A walk ends at a host without links: its mass isn't dealt out anew.
 
 Links are absolute or scheme-relative urls in ``href`` and ``src`` attributes; links within a host don't count. A pair of hosts weighs as many
 pages as link it. Hosts are split and counted by Spark before they meet; nothing of the graph is collected or broadcast
@@ -55,8 +55,8 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
 
 def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """(src, dst, weight) between different hosts; ``pages`` has host."""
-    found = pages.filter(F.col("host") != "").select("host", F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)))).alias("link"))
-    found = found.select(F.col("host").alias("src"), _lower(F.regexp_extract("link", r"//([^/?#]*)", 1)).alias("dst"))
+    hosts = F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)), lambda link: _lower(F.regexp_extract(link, r"//([^/?#]*)", 1))))
+    found = pages.filter(F.col("host") != "").select(F.col("host").alias("src"), F.explode(hosts).alias("dst"))
     return found.filter("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
