@@ -6,9 +6,10 @@ k-means on its training texts; the language of the centroid with the largest cos
 whose distance from that centroid exceeds the centroid's radius, the distance within which ``INSIDE`` of the training texts
 nearest to it lie, is marked as rejected.
 
-The fit reads at most ``PER_LANGUAGE`` labelled rows of each language, one for each bucket of hashed ids; predictions
-cover all rows and whole texts. Null texts and texts without a letter are ``und`` with score 0. Without
-training rows every text is ``und``. Repeated rows and extra columns don't matter.
+The fit reads at most ``PER_LANGUAGE`` labelled rows of each language, one for each bucket of hashed ids, whole texts of
+``CLASS_BYTES`` together; predictions cover all rows and whole texts. Null texts and texts without a letter are ``und`` with
+score 0. Without training rows every text is ``und``. Repeated rows and ids, null ids and extra columns don't matter: rows are judged
+one by one, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylens.llm.kernels import blocks
-from quarrylens.llm.samples import remainder
-from quarrylens.llm.scratch import table
+from quarrylens.llm.samples import remainder, within_budget
+from quarrylens.llm.scratch import bounded, table
 
-PER_LANGUAGE, MOST_CHARS = 500, 20_000
+PER_LANGUAGE = 500
 WIDTH, CENTROIDS, INSIDE = 8_192, 4, 0.995
 #: documents whose dense vectors are held at a time
 ROWS = 128
@@ -123,12 +124,12 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> list[tuple[str, str]]:
-    """The row with the smallest hash of each of ``per_language`` buckets of ids, by language."""
-    own = docs.filter(F.col(lang_column).isNotNull() & (F.char_length(text_column) <= MOST_CHARS))
-    h = F.xxhash64(id_column)
-    chosen = own.groupBy(lang_column, F.pmod(h, F.lit(per_language))).agg(F.min(F.struct(h.alias("h"), F.col(id_column).alias("id"))).alias("m")).select(F.col("m.id").alias("_id"), F.col(lang_column).alias("_lang"))
-    rows = own.join(F.broadcast(chosen), F.col(id_column).eqNullSafe(F.col("_id")) & (F.col(lang_column) == F.col("_lang"))).select(F.col(text_column).alias("t"), F.col(lang_column).alias("l"))
-    return sorted({(r["t"], r["l"]) for r in rows.collect()})
+    """The row with the smallest hashes of id and text of each of ``per_language`` buckets of ids, by language."""
+    h, t = F.xxhash64(id_column), F.xxhash64(text_column)
+    own = docs.filter(F.col(lang_column).isNotNull()).select(F.col(lang_column).alias("_lang"), F.pmod(h, F.lit(per_language)).alias("_bucket"), F.struct(h.alias("h"), t.alias("t")).alias("_key"), F.col(text_column).alias("_text"))
+    chosen = own.groupBy("_lang", "_bucket").agg(F.min("_key").alias("_key"))
+    rows = own.join(F.broadcast(chosen), ["_lang", "_bucket", "_key"]).dropDuplicates(["_lang", "_bucket"])
+    return sorted({(r["_text"], r["_lang"]) for r in within_budget(rows, "_lang", "_text").collect() if r["_text"]})
 
 
 def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
@@ -141,7 +142,7 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFr
             best, score, rejected = known.value.predict(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score), pa.array(rejected)], names)
 
-    return docs.mapInArrow(predict, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
+    return bounded(docs).mapInArrow(predict, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

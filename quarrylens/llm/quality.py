@@ -6,9 +6,10 @@ of their own. Indicators are scaled by the log ratio of the classes' smoothed co
 model is fitted to them by dual coordinate descent. A logistic calibration on rows that the model hasn't
 seen turns margins into scores.
 
-The fit reads at most ``PER_CLASS`` labelled rows of each class; scores cover all rows and whole texts. Null and empty texts
-have no features and get the score of the intercept. Without labelled rows of both classes, every score is the share of
-label 1 (0 without labels). Ids in ``labels`` may repeat: the larger label counts.
+The fit reads at most ``PER_CLASS`` labelled rows of each class, whole texts of ``CLASS_BYTES`` together; scores cover all rows and
+whole texts. Null and empty texts have no features and get the score of the intercept. Without labelled rows of both classes,
+every score is the share of label 1 (0 without labels). Ids in ``labels`` may repeat: the larger label counts. Ids in documents may be
+null or repeat, and other columns don't matter: rows are judged one by one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylens.llm.kernels import SPACED, Powers, Words, blocks, byte_class, lowered, mix, random_words
+from quarrylens.llm.kernels import SPACED, Words, blocks, byte_class, lowered, mix, random_words
 from quarrylens.llm.samples import labelled, logistic, remainder, shuffled, sigmoid
-from quarrylens.llm.scratch import table
+from quarrylens.llm.scratch import bounded, table
 
 PER_CLASS = 2_000
 FEATURES = 1 << 18
 SMOOTHING, COST, EPOCHS = 1.0, 0.1, 30
 THRESHOLD = 0.3
-_VALUES, _POWERS, _SEED = lowered(9), Powers(), 90
+_VALUES, _SEED = lowered(9), 90
 _LINES = byte_class("\n")
 
 
@@ -46,9 +47,9 @@ _PLACES = random_words(92, 8)
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct feature columns of each document of a block, and their bounds by document."""
-    words = Words(data, offsets, SPACED, _VALUES, _POWERS)
-    shapes = Words(data, offsets, SPACED, _SHAPES, _POWERS)
-    lines = Words(data, offsets, _LINES, _VALUES, _POWERS)
+    words = Words(data, offsets, SPACED, _VALUES)
+    shapes = Words(data, offsets, SPACED, _SHAPES)
+    lines = Words(data, offsets, _LINES, _VALUES)
     n = len(offsets) - 1
     owner = np.repeat(np.arange(n), words.counts)
     pairs, at, _ = words.grams(2, _SEED)
@@ -152,12 +153,12 @@ def quality(docs: DataFrame, model: Model, text_column: str = "text", out: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known.value.scores(batch.column(at)), pa.float64())], names)
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return bounded(docs).mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def trained(spark: SparkSession, sf_dir: str) -> Model:
-    docs, labels = table(spark, sf_dir, "documents").filter(remainder("doc_id", 5) != 0), table(spark, sf_dir, "labels")
-    share = labels.filter(remainder("doc_id", 5) != 0).agg(F.avg((F.col("quality") > 0).cast("double"))).first()[0]
+    docs, labels = (table(spark, sf_dir, name).filter(remainder("doc_id", 5) != 0) for name in ("documents", "labels"))
+    share = labels.agg(F.avg((F.col("quality") > 0).cast("double"))).first()[0]
     return fit(labelled(docs, labels, "quality", PER_CLASS), share)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.scratch import table
+from quarrylens.llm.scratch import bounded, table
 
 TOKENIZER = "word_bpe_49k.json"
 BATCH_BYTES = 65_536
@@ -98,7 +98,7 @@ def token_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     names = [id_column, "n_bytes", "n_tokens", "over_limit"]
-    return rows.mapInArrow(counts, f"`{id_column}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return bounded(rows).mapInArrow(counts, f"`{id_column}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

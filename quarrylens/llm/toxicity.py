@@ -1,20 +1,21 @@
 """Operator 6: toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled text: one trained on ordinary text, and one that puts before it the passages
-that are denser in toxic text, by how often they occur and not only by where they are absent. Every window of ``WINDOW`` bytes of a text (overlapping by
+Two zstandard dictionaries are trained: one on the windows of ordinary labelled text, and one on the stretches of toxic labelled
+text that are denser there, by how often their strings occur and not only by where they are absent. The second stands before the
+first, so that what both kinds of text share costs the same with either. Every window of ``WINDOW`` bytes of a text (overlapping by
 ``OVERLAP``) is compressed with both; by how many bytes the toxic dictionary does better is the window's
 distance. A logistic model turns a text's largest distances and the mean over all its windows into a score, so the threshold
 on it is calibrated. It is fitted on all labelled rows, each measured by dictionaries of the ``FOLDS`` - 1 folds without it;
-the dictionaries that score are made from all of them.
+the dictionaries that score are trained on all of them.
 
-The fit reads a sample of at most ``PER_CLASS`` labelled rows of each class; everything else covers all rows and whole texts.
-Null and empty texts get the score of a text without any distance. Without labelled rows of both classes, every score
-is the share of label 1 (0 without labels). Ids in ``labels`` may repeat: the larger label counts.
+The fit reads a sample of at most ``PER_CLASS`` labelled rows of each class, whole texts of ``CLASS_BYTES`` together; everything else
+covers all rows and whole texts. Null and empty texts get the score of a text without any distance. Without labelled rows of both
+classes, every score is the share of label 1 (0 without labels). Ids in ``labels`` may repeat: the larger label counts. Ids in
+documents may be null or repeat, and other columns don't matter: rows are judged one by one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,24 +26,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylens.llm.samples import labelled, logistic, remainder, shuffled, sigmoid
-from quarrylens.llm.scratch import table
+from quarrylens.llm.scratch import bounded, table, unused
 
 PER_CLASS = 1_200
 WINDOW, OVERLAP, LEVEL = 128, 24, 9
-ORDINARY_BYTES, FOLDS = 32_768, 3
-#: a marking passage: 8-byte strings that at least this share of toxic texts hold, e**LEAST_ODDS times as dense as in ordinary
-#: ones and by LEAST_Z standard deviations more frequent than there; passages of one text alone are chance
-GRAM, LEAST_SHARE, LEAST_ODDS, LEAST_Z, LEAST_TEXTS = 8, 0.03, 2.0, 5.0, 2
+ORDINARY_BYTES, TOXIC_BYTES, FOLDS = 65_536, 4_096, 3
+#: a marking string: GRAM bytes that at least this share of toxic texts hold, e**LEAST_ODDS times as dense as in ordinary
+#: ones and by LEAST_Z standard deviations more frequent than there
+GRAM, LEAST_SHARE, LEAST_ODDS, LEAST_Z = 8, 0.03, 2.0, 5.0
 THRESHOLD = 0.7
 
 
-def windows(text: bytes) -> list[bytes]:
+def windows(text: bytes) -> Iterator[bytes]:
     """Overlapping windows; a shorter last one is repeated to full length, as zstandard stores what it can hardly shorten."""
-    step = WINDOW - OVERLAP
-    out = [text[i : i + WINDOW] for i in range(0, max(1, len(text) - OVERLAP), step)]
-    last = out[-1]
-    out[-1] = (last * (WINDOW // max(1, len(last)) + 1))[:WINDOW]
-    return out
+    for at in range(0, max(1, len(text) - OVERLAP), WINDOW - OVERLAP):
+        w = text[at : at + WINDOW]
+        yield w if len(w) == WINDOW else (w * (WINDOW // max(1, len(w)) + 1))[:WINDOW]
 
 
 def _grams(text: bytes) -> np.ndarray:
@@ -60,8 +59,8 @@ def _counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int
     return grams, n, often, int(often.sum())
 
 
-def passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The distinct passages of toxic texts made of marking strings, the most frequent last."""
+def stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The stretches of toxic texts that are made of marking strings, each as often as it occurs."""
     grams, n, often, total = _counts(toxic)
     others, _, m, total_others = _counts(ordinary)
     if not len(grams):
@@ -72,13 +71,21 @@ def passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     dense = np.log((often + 0.5) / total / usual) > LEAST_ODDS
     certain = (often - usual * total) / np.sqrt(usual * total + 1) > LEAST_Z
     marking = grams[(n >= max(3, LEAST_SHARE * len(toxic))) & dense & certain]
-    found: Counter[bytes] = Counter()
+    found = []
     for t in toxic:
         hits = np.flatnonzero(np.isin(_grams(t), marking))
         if len(hits):
             cut = np.flatnonzero(np.diff(hits) > GRAM)
-            found.update({t[a : b + GRAM] for a, b in zip(np.concatenate([hits[:1], hits[cut + 1]]), np.concatenate([hits[cut], hits[-1:]]), strict=True)})
-    return [p for p, n in sorted(found.items(), key=lambda x: (x[1], x[0])) if n >= LEAST_TEXTS]
+            found += [t[a : b + GRAM] for a, b in zip(np.concatenate([hits[:1], hits[cut + 1]]), np.concatenate([hits[cut], hits[-1:]]), strict=True)]
+    return found
+
+
+def trained_dictionary(size: int, samples: list[bytes]) -> bytes:
+    """A zstandard dictionary of at most ``size`` bytes; of too little text to choose from, the text itself."""
+    try:
+        return zs.train_dictionary(size, samples).as_bytes()
+    except zs.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 class Model:
@@ -105,9 +112,14 @@ class Model:
     @staticmethod
     def features(text: bytes, ordinary, toxic) -> list[float]:
         """Of the windows' distances: the largest, the next one, the mean of what exceeds one byte, and the mean of all."""
-        distances = sorted((len(ordinary(w)) - len(toxic(w)) for w in windows(text.lower())), reverse=True)
-        over = sum(d - 1 for d in distances if d > 1)
-        return [min(max(distances[0], 0), 12), min(max(distances[1] if len(distances) > 1 else 0, 0), 12), over / len(distances), sum(distances) / len(distances), 1.0]
+        first, second, over, total, n = 0, 0, 0, 0, 0
+        for w in windows(text.lower()):
+            d = len(ordinary(w)) - len(toxic(w))
+            n, total = n + 1, total + d
+            if d > 0:
+                over += d - 1
+                first, second = (d, first) if d > first else (first, max(second, d))
+        return [min(first, 12), min(second, 12), over / n, total / n, 1.0]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.weights is None:
@@ -119,12 +131,8 @@ class Model:
 def dictionaries(rows: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary of labelled lower-case texts."""
     toxic, fine = ([t for t, y2 in rows if y2 == y] for y in (1, 0))
-    pieces = [w for t in fine for w in windows(t)]
-    try:
-        ordinary = zs.train_dictionary(ORDINARY_BYTES, pieces[:: max(1, len(pieces) // 8_000)]).as_bytes()
-    except zs.ZstdError:  # too little text to choose from
-        ordinary = b"".join(pieces)[:ORDINARY_BYTES]
-    return ordinary, b" ".join(passages(toxic, fine)) + ordinary
+    ordinary = trained_dictionary(ORDINARY_BYTES, [w for t in fine for w in windows(t)])
+    return ordinary, trained_dictionary(TOXIC_BYTES, stretches(toxic, fine)) + ordinary
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
@@ -152,12 +160,12 @@ def toxicity(docs: DataFrame, model: Model, text_column: str = "text", out: str
             scores = model.scores([(x.as_py() or "").encode() for x in batch.column(at)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names)
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return bounded(docs).mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def trained(spark: SparkSession, sf_dir: str) -> Model:
-    own = table(spark, sf_dir, "documents").filter(remainder("doc_id", 3) != 1)
-    return fit(labelled(own, table(spark, sf_dir, "labels"), "toxic", PER_CLASS))
+    docs, labels = (table(spark, sf_dir, name).filter(remainder("doc_id", 3) != 1) for name in ("documents", "labels"))
+    return fit(labelled(docs, labels, "toxic", PER_CLASS))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,4 +175,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose score stays below the threshold."""
-    return toxicity(docs, trained(spark, sf_dir), out="_toxicity").filter(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    score = unused(docs, "toxicity")
+    return toxicity(docs, trained(spark, sf_dir), out=score).filter(F.col(score) < THRESHOLD).drop(score)
