@@ -87,12 +87,11 @@ def test_decontamination_is_exact(spark, docs):
     items = [(1, " ".join(long[50:90])), (2, "a b c d"), (3, None), (4, ""), (10, " ".join(long[80:120])), (2, "a b c d"), (7, "One"), (8, rows[-8][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {r[0]: w for r, w in zip(rows, contaminated([r[1] for r in rows], items), strict=True)}
-    for block in (200_000, 30):
-        got = by_id(decontamination.decontaminate(docs, bench, block_words=block), "n_words", "n_hit", "n_items", "items_sha256")
-        assert got == want
-        kept = decontamination.clean(docs, bench, block_words=block)
-        assert kept.columns == docs.columns
-        assert {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if not w[1]}
+    got = by_id(decontamination.decontaminate(docs, bench), "n_words", "n_hit", "n_items", "items_sha256")
+    assert got == want and sum(w[1] > 0 for w in want.values()) > 5
+    kept = decontamination.clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if not w[1]}
     assert decontamination.decontaminate(docs, bench.limit(0)).filter("contaminated or n_items > 0").count() == 0
 
 
@@ -102,8 +101,10 @@ def test_decontamination_keeps_repeated_and_null_ids_apart(spark):
     rows = [(1, item), (1, "x y " + other), (1, "x y"), (1, "x y"), (None, item), (None, "z " + item), (None, ""), (2, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
-    one, several = [sorted(map(str, decontamination.decontaminate(docs, bench, block_words=n).collect())) for n in (200_000, 30)]
-    assert len(one) == len(rows) and several == one
+    got = decontamination.decontaminate(docs, bench).collect()
+    want = contaminated([t for _, t in rows], [(1, item), (2, other)])
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in got) == sorted((str(i), *w) for (i, _), w in zip(rows, want, strict=True))
+    assert len(decontamination.clean(docs, bench).collect()) == 4
 
 
 def test_token_counts(docs, none):
@@ -179,8 +180,8 @@ def test_mixture_fills_every_slot(spark, docs):
         assert len({p[2] for p in parts}) == 1 and [p[0] for p in parts] == [sum(q[1] for q in parts[:k]) for k in range(len(parts))] and sum(p[1] for p in parts) <= 64
     owed = {r["sid"]: int(r["target"] + 0.5) for r in rows}
     assert {sid: sum(p[1] for k, v in slots.items() if k[0] == sid for p in v) for sid in owed} == owed
-    by_shard = sorted((sid, slot, parts[0][2]) for (sid, slot), parts in slots.items())
-    assert all(a[2] <= b[2] for a, b in zip(by_shard, by_shard[1:], strict=False) if a[0] == b[0])
+    places = sorted({(r["shard"], r["place"]) for r in rows if r["words"]})
+    assert len(places) == len(slots) and places == [divmod(k, mixing.SHARD) for k in range(len(slots))]
     taken = {}
     for r in rows:
         taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["words"]
@@ -336,3 +337,77 @@ def test_pipeline_keeps_columns_and_matches_brute_force(spark, tmp_path):
     want = {r[0]: w for r, w in zip(first, removed([r[1] for r in first]), strict=True)}
     assert all(hashlib.sha256(t.encode()).hexdigest() == want[i][3] for i, t in left.items())
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(left)
+
+
+def test_near_dedup_keeps_unrelated_texts_of_repeated_ids(spark):
+    rng = random.Random(11)
+    base, other = words(rng, 80), words(rng, 80)
+    near = base.replace("w1 ", "z1 ", 1)
+    rows = [(1, base, "a"), (5, near, "b"), (5, other, "c"), (5, other, "c"), (None, base, "d"), (7, None, "e"), (7, None, "e"), (2, "  ", "f"), (9, other + " tail", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Row string")
+    got = sorted(near_dedup.components(docs).collect(), key=str)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == [(1, 1), (2, 2), (5, 1), (5, 5), (5, 5), (7, 7), (7, 7), (9, 5)]
+    left = near_dedup.stage(spark, docs, "")
+    assert left.columns == ["doc_id", "text", "Row"]
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[5], rows[6], rows[7]], key=str)
+    assert near_dedup.stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_dictionary_suffixes_are_in_order():
+    rng = random.Random(12)
+    for _ in range(200):
+        phrases = [bytes(rng.choice(b"\x00ab\xff") for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(1, 8))]
+        phrases += [b"a" * 60, b"a" * 33] + phrases[:2]
+        rank, begins = suffix_dedup.dictionary_suffixes(phrases)
+        got = [(int(rank[b + k]), p[k:]) for p, b in zip(phrases, begins, strict=True) for k in range(len(p))]
+        order = {x: n for n, x in enumerate(sorted({x for _, x in got}))}
+        assert all(n == order[x] for n, x in got)
+
+
+def test_suffix_dedup_parses_long_texts_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    texts = [words(rng, 400), "y" * 3_000, "", "short", words(rng, 90) + "ü" * 500]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["key", "text"])
+
+    def starts():
+        rows = [r for b in suffix_dedup._phrase_pass([batch]) for r in b.to_pylist()]
+        return {(r["key"], r["first"] + k): r["first"] + r["shape"] % 256 for r in rows for k in range(r["shape"] // 256 + 1)}
+
+    whole = starts()
+    assert len(whole) == sum(max(0, len(t.encode()) - 199) for t in texts)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 250)
+    from quarrylens.llm import kernels
+
+    monkeypatch.setattr(kernels, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(suffix_dedup, "blocks", lambda column: kernels.blocks(column, 100))
+    assert starts() == whole
+
+
+@pytest.mark.parametrize("chunk", [1, 5, 4_000])
+def test_suffix_dedup_orders_whole_groups(chunk, monkeypatch):
+    """Groups of entries, cut over batches anyhow: a string is repeated if another one of its group equals it."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    rng = random.Random(14)
+    rows = []
+    for c in range(12):
+        tail = bytes(rng.choice(b"ab") for _ in range(260))
+        for k in range(rng.randrange(2, 9)):
+            head = bytes(rng.choice(b"xy") for _ in range(4))
+            n = rng.randrange(0, 4)
+            cut = (head + tail[: rng.choice((204, 203))] + bytes(rng.choice(b"cd") for _ in range(10)))[: n + 200]
+            rows.append((c, c % 2, False, {"file": c, "row": k}, 10, n * 256 + 4, cut))
+    kind = pa.schema([("c", pa.int64()), ("salt", pa.int64()), ("salted", pa.bool_()), ("key", pa.struct([("file", pa.int64()), ("row", pa.int64())])), ("first", pa.int32()), ("shape", pa.int32()), ("bytes", pa.binary())])
+    table = pa.Table.from_pylist([dict(zip(kind.names, r, strict=True)) for r in rows], kind)
+    got = set()
+    for b in suffix_dedup._order_pass(iter(table.to_batches(max_chunksize=3))):
+        for r in b.to_pylist():
+            got |= {(r["key"]["file"], r["key"]["row"], x) for x in range(r["lo"], r["hi"] + 1)}
+    seen = {}
+    for c, _, _, key, first, shape, cut in rows:
+        for k in range(shape // 256 + 1):
+            seen.setdefault((c, cut[k : k + 200]), []).append((c, key["row"], first + k))
+    assert got == {x for at in seen.values() if len(at) > 1 for x in at} and got
