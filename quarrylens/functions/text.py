@@ -143,7 +143,7 @@ def canonical_remote(url: Column) -> Column:
 def browse_base(url: Column) -> Column:
     """The page of a remote: ``git@host:path`` and ssh become https."""
     bare = F.regexp_replace(F.trim(url), r"\.git/*$", "")
-    scp = F.regexp_replace(bare, r"^(?:ssh://)?[\w.\-]+@([^:/]+)[:/](.*)$", "https://$1/$2")
+    scp = F.regexp_replace(bare, r"^(?:ssh://)?[\w.\-]+(?::[^/@]*)?@([^:/]+)[:/](.*)$", "https://$1/$2")
     return F.regexp_replace(redact(scp), r"/+$", "")
 
 
@@ -164,6 +164,33 @@ def remote_error(url: Column) -> Column:
     )
 
 
+def remote_parts(url: Column) -> Column:
+    """struct(remote, user, secret): a remote without what authenticates.
+
+    https: ``user:secret@``, and a lone user part is a token; ssh: the user stays, only a password goes.
+    """
+    u = F.trim(url)
+    given = F.regexp_extract(u, r"^\w[\w+.\-]*://([^/@]*)@", 1)
+    split = F.instr(given, ":") > 0
+    before = F.substring_index(given, ":", 1)
+    password = F.regexp_extract(given, r"^[^:]*:(.*)$", 1)
+    https = F.lower(u).startswith("http")
+    some = lambda c: F.nullif(c, F.lit(""))
+    remote = F.when(https, redact(u)).otherwise(F.regexp_replace(u, r"^(\w[\w+.\-]*://[^/@:]*):[^/@]*@", "$1@"))
+    user = F.when(https & ~split, F.lit(None).cast("string")).otherwise(some(before))
+    return F.struct(remote.alias("remote"), user.alias("user"), some(F.when(split, password).when(https, given).otherwise("")).alias("secret"))
+
+
+def sealed(secret: Column, key: Column) -> Column:
+    """A secret at rest: AES in Galois counter mode under a key of 16, 24 or 32 bytes, base64; each call draws its own nonce."""
+    return F.base64(F.aes_encrypt(secret, key, F.lit("GCM")))
+
+
+def opened(stored: Column, key: Column) -> Column:
+    """What ``sealed`` stored; null where the key or the text is another."""
+    return F.try_aes_decrypt(F.unbase64(stored), key, F.lit("GCM")).cast("string")
+
+
 def repo_name(url: Column) -> Column:
     """The last segment of a remote's path."""
     return F.element_at(F.split(F.regexp_replace(F.regexp_replace(F.trim(url), r"[?#].*$", ""), r"(?:\.git)?/*$", ""), "[/:]"), -1)
@@ -180,8 +207,8 @@ def keys_of(text: Column) -> Column:
 
 
 def permalink(base: Column, branch: Column, path: Column, line: Column) -> Column:
-    encoded = F.replace(F.replace(F.url_encode(path), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20"))
-    return F.concat(base, F.lit("/blob/"), F.replace(F.url_encode(branch), F.lit("%2F"), F.lit("/")), F.lit("/"), encoded, F.lit("#L"), line.cast("string"))
+    encoded = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20"))
+    return F.concat(base, F.lit("/blob/"), encoded(branch), F.lit("/"), encoded(path), F.lit("#L"), line.cast("string"))
 
 
 # names and e-mails
@@ -239,10 +266,26 @@ def extra_globs(text: str | None) -> list[str]:
     return [g.strip() for line in lines for g in line.split(",") if g.strip()]
 
 
+def globs_pattern(text: Column) -> Column:
+    """One regular expression for a repository's own globs, as ``extra_globs`` reads them; null where there are none."""
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"#[^\n]*", ""), r"[,\n\r]")
+    globs = F.filter(F.transform(parts, lambda g: F.trim(g)), lambda g: g != "")
+
+    def pattern(g: Column) -> Column:
+        g = F.regexp_replace(g, r"([^\w*?/\-])", r"\\$1")
+        for glob, shape in (("**/", "\x01"), ("**", "\x02"), ("*", "[^/]*"), ("?", "[^/]"), ("\x01", "(?:.*/)?"), ("\x02", ".*")):
+            g = F.replace(g, F.lit(glob), F.lit(shape))
+        return g
+
+    return F.when(F.size(globs) > 0, F.concat(F.lit("^(?:"), F.array_join(F.transform(globs, pattern), "|"), F.lit(")$")))
+
+
 def is_excluded(path: Column, globs: tuple[str, ...] | list[str] = config.DEFAULT_EXCLUDES) -> Column:
     """One alternation for all globs; a glob matches the whole path."""
     return path.rlike("^(?:" + "|".join(glob_pattern(g) for g in globs) + ")$") if globs else F.lit(False)
 
 
-def is_relevant(path: Column, globs: tuple[str, ...] | list[str] = config.DEFAULT_EXCLUDES) -> Column:
-    return (language_of(path) != "UNKNOWN") & ~is_excluded(path, globs)
+def is_relevant(path: Column, globs: tuple[str, ...] | list[str] = config.DEFAULT_EXCLUDES, own: Column | None = None) -> Column:
+    """Whether a path is analysed; ``own``: the repository's own globs as one pattern, null without any."""
+    kept = (language_of(path) != "UNKNOWN") & ~is_excluded(path, globs)
+    return kept if own is None else kept & ~F.coalesce(F.rlike(path, own), F.lit(False))

@@ -66,6 +66,35 @@ def is_import(root: Column, added: Column, moved: Column, parent_lines: Column)
     return root | (~(moved > config.IMPORT_MOVED_SHARE * added) & wholesale)
 
 
+def check_pairs(added: DataFrame, parent: DataFrame, most: int, run: int = config.RUN) -> int:
+    """How many pairs of windows ``longest_matches`` joins; an error beyond ``most``, before anything is joined."""
+    key = ["repo_id", "idx", "h"]
+    a = windows(added, run, ["repo_id", "idx", "path", "edit"]).groupBy(*key).agg(F.count("*").alias("a"))
+    b = windows(parent, run, ["repo_id", "idx", "src"]).groupBy(*key).agg(F.count("*").alias("b"))
+    pairs = a.join(b, key).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+    if pairs > most:
+        raise OverflowError(f"{pairs} pairs of windows, {most} are allowed")
+    return pairs
+
+
+def tree_changes(tree_files: DataFrame) -> DataFrame:
+    """(repo_id, idx, old_path, new_path, old_blob, new_blob): what each commit changes, from interval-encoded trees alone.
+
+    What ends at a commit meets what begins at it by path; a path that goes and one that comes with the same blob are a rename, the
+    k-th of a blob to the k-th. By ``coalesce(new_path, old_path)`` the changes of a commit are in order.
+    """
+    key = ["repo_id", "idx"]
+    ends = tree_files.filter("valid_to is not null").select("repo_id", F.col("valid_to").alias("idx"), "path", F.col("blob_id").alias("old_blob"))
+    begins = tree_files.select("repo_id", F.col("valid_from").alias("idx"), "path", F.col("blob_id").alias("new_blob"))
+    both = ends.join(begins, [*key, "path"], "full").filter(~F.col("old_blob").eqNullSafe(F.col("new_blob")))
+    place = lambda blob: F.row_number().over(Window.partitionBy(*key, blob).orderBy("path"))
+    gone = both.filter("new_blob is null").select(*key, F.col("old_blob").alias("blob"), place("old_blob").alias("k"), F.col("path").alias("old_path"), "old_blob")
+    come = both.filter("old_blob is null").select(*key, F.col("new_blob").alias("blob"), place("new_blob").alias("k"), F.col("path").alias("new_path"), "new_blob")
+    moved = gone.join(come, [*key, "blob", "k"], "full").select(*key, "old_path", "new_path", "old_blob", "new_blob")
+    stays = both.filter("old_blob is not null and new_blob is not null").select(*key, F.col("path").alias("old_path"), F.col("path").alias("new_path"), "old_blob", "new_blob")
+    return moved.unionByName(stays)
+
+
 def edited_lines(file_changes: DataFrame, before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(added, removed) norm lines of every edit: (repo_id, idx, path, edit, pos, text) each.
 

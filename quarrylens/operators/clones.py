@@ -11,7 +11,9 @@ from pyspark.sql.window import Window
 
 from quarrylens import config
 from quarrylens.functions import text as X
-from quarrylens.operators.lines import windows
+from quarrylens.operators import graphs
+from quarrylens.operators.lines import hashed, windows
+from quarrylens.sources.tables import cut
 
 
 def covered_setbased(lines: DataFrame, partition: list[str], file: str, size: int = config.DUP_MIN_LINES, tokens: int = config.DUP_MIN_TOKENS) -> DataFrame:
@@ -20,13 +22,34 @@ def covered_setbased(lines: DataFrame, partition: list[str], file: str, size: in
     A metric of its own: windows are judged alone, so it neither bounds nor is bounded by the exact one.
     """
     w = windows(lines, size, [*partition, file])
-    w = w.withColumn("tokens", X.token_count(F.col("window"))).filter(F.col("tokens") >= tokens)
-    twice = w.groupBy(*partition, "h", "window").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    hit = w.join(twice, [*partition, "h", "window"], "left_semi")
+    w = hashed(w.filter(X.token_count(F.col("window")) >= tokens).select(*partition, file, "pos", "h", "window"))
+    twice = w.groupBy(*partition, "h", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    hit = w.join(twice, [*partition, "h", "h2"], "left_semi")
     return hit.select(*partition, file, F.explode(F.sequence(F.col("pos"), F.col("pos") + size - 1)).alias("pos")).distinct()
 
 
-_HITS = "file_a string, line_a int, file_b string, line_b int, lines int, seq int"
+def sharing(lines: DataFrame, file: str, size: int = config.DUP_MIN_LINES, tokens: int = config.DUP_MIN_TOKENS) -> DataFrame:
+    """(file, partners, first_partner): how many other files share a window with each, and the smallest of them; ``lines``: (file, pos, text).
+
+    Files with the same windows are one class, and classes are paired instead of files: copies of a file cost one row, however many
+    there are.
+    """
+    w = windows(lines, size, [file]).filter(X.token_count(F.col("window")) >= tokens)
+    held = hashed(w.select(file, "h", "window")).groupBy(file).agg(F.array_sort(F.collect_set(F.struct("h", "h2"))).alias("held"))
+    held = held.withColumn("class", F.struct(F.xxhash64("held").alias("x"), F.xxhash64(F.lit(1), "held").alias("y")))
+    order = Window.partitionBy("class").orderBy(file)
+    ranked = cut(held.withColumn("rank", F.row_number().over(order)))
+    classes = cut(ranked.groupBy("class").agg(F.count("*").alias("size"), F.min(file).alias("first"), F.min(F.when(F.col("rank") == 2, F.col(file))).alias("second")))
+    each = cut(ranked.filter("rank = 1").select("class", F.explode("held").alias("window")))
+    near = each.join(each.withColumnRenamed("class", "other"), "window").filter("class <> other").select("class", "other").distinct()
+    near = near.join(classes.select(F.col("class").alias("other"), "size", "first"), "other").groupBy("class").agg(F.sum("size").alias("_near"), F.min("first").alias("_first"))
+    own = ranked.select(file, "class", "rank").join(classes, "class").join(near, "class", "left")
+    beside = F.when(F.col("rank") == 1, F.col("second")).otherwise(F.col("first"))
+    out = own.select(file, (F.coalesce("_near", F.lit(0)) + F.col("size") - 1).alias("partners"), F.least(beside, F.col("_first")).alias("first_partner"))
+    return out.filter("partners > 0")
+
+
+_HITS = "file_a string, line_a int, file_b string, line_b int, lines int"
 
 
 def find_clones(files: list[tuple[str, list[int], list[str], list[int]]], min_lines: int = config.DUP_MIN_LINES, min_tokens: int = config.DUP_MIN_TOKENS, locations: int = config.BUCKET_LOCATIONS) -> tuple[list[tuple], dict[str, set[int]]]:
@@ -66,14 +89,18 @@ def find_clones(files: list[tuple[str, list[int], list[str], list[int]]], min_li
 def exact(lines: DataFrame, partition: list[str]) -> tuple[DataFrame, DataFrame]:
     """(clones, duplicated lines by file) of each tree; ``lines``: (partition, path, pos, line_no, text).
 
-    One tree is one group: later decisions depend on earlier ones. Lines that no other place of the tree repeats in a window are
-    replaced by their count before the group is gathered, so a group holds what is repeated, not the tree.
+    Later decisions depend on earlier ones only where files share a window, so each connected component of files is a group of its own.
+    What no other place of the tree repeats is replaced by a gap before that, so a group holds what is repeated, not files. ``seq`` is
+    the order in which a walk over the whole tree finds the clones: that of the second side.
     """
     size = config.DUP_MIN_LINES
-    w = windows(lines, size, [*partition, "path"])
-    twice = w.groupBy(*partition, "h").agg(F.count("*").alias("n")).filter("n > 1").select(*partition, "h")
-    near = w.join(twice, [*partition, "h"], "left_semi").select(*partition, "path", F.explode(F.sequence(F.col("pos"), F.col("pos") + size - 1)).alias("pos")).distinct()
-    kept = lines.join(near, [*partition, "path", "pos"]).withColumn("tokens", X.token_count(F.col("text")))
+    w = cut(windows(lines, size, [*partition, "path"]).select(*partition, "path", "pos", "h"))
+    twice = cut(w.groupBy(*partition, "h").agg(F.count("*").alias("n"), F.min("path").alias("a")).filter("n > 1"))
+    near = w.join(twice, [*partition, "h"])
+    links = near.select(*partition, "a", F.col("path").alias("b")).distinct()
+    group = graphs.components(links, partition).select(*partition, F.col("node").alias("path"), "component")
+    near = near.select(*partition, "path", F.explode(F.sequence(F.col("pos"), F.col("pos") + size - 1)).alias("pos")).distinct()
+    kept = lines.join(near, [*partition, "path", "pos"]).join(group, [*partition, "path"]).withColumn("tokens", X.token_count(F.col("text")))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.select(*partition).schema.fields)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -93,17 +120,16 @@ def exact(lines: DataFrame, partition: list[str]) -> tuple[DataFrame, DataFrame]
                 last = pos
             files.append((path, numbers, text, tokens))
         clones, covered = find_clones(files)
-        rows = [("clone", *c, k) for k, c in enumerate(clones)] + [("file", path, 0, "", 0, len(at), 0) for path, at in covered.items()]
-        out = pd.DataFrame(rows, columns=["kind", "file_a", "line_a", "file_b", "line_b", "lines", "seq"])
+        rows = [("clone", *c) for c in clones] + [("file", path, 0, "", 0, len(at)) for path, at in covered.items()]
+        out = pd.DataFrame(rows, columns=["kind", "file_a", "line_a", "file_b", "line_b", "lines"])
         for k in reversed(partition):
             out.insert(0, k, pdf[k].iloc[0] if len(pdf) else None)
         return out
 
-    found = kept.groupBy(*partition).applyInPandas(run, f"{shape}, kind string, {_HITS}")
-    from quarrylens.sources.tables import cut
-
-    found = cut(found)
-    return found.filter("kind = 'clone'").drop("kind"), found.filter("kind = 'file'").select(*partition, F.col("file_a").alias("path"), F.col("lines").alias("dup_lines"))
+    found = cut(kept.groupBy(*partition, "component").applyInPandas(run, f"{shape}, kind string, {_HITS}"))
+    order = Window.partitionBy(*partition).orderBy("file_b", "line_b")
+    hits = found.filter("kind = 'clone'").drop("kind").withColumn("seq", F.row_number().over(order) - 1)
+    return hits, found.filter("kind = 'file'").select(*partition, F.col("file_a").alias("path"), F.col("lines").alias("dup_lines"))
 
 
 def shown(clones: DataFrame, partition: list[str], most: int = config.CLONES_SHOWN) -> DataFrame:
@@ -119,8 +145,12 @@ def partners(clones: DataFrame, partition: list[str]) -> DataFrame:
     return both.groupBy(*partition, "path").agg(F.countDistinct("other").alias("partners"), F.slice(F.array_sort(F.collect_set("other")), 1, 3).alias("examples"))
 
 
-def bundles(dup_by_file: DataFrame, sizes: DataFrame, clones: DataFrame, partition: list[str]) -> DataFrame:
-    """Files made of others: many norm lines (``sizes``: partition, path, norm_lines), half of them duplicated, with many partners."""
+def bundles(dup_by_file: DataFrame, sizes: DataFrame, clones: DataFrame, partition: list[str], most: int | None = None) -> DataFrame:
+    """Files made of others: many norm lines (``sizes``: partition, path, norm_lines), half of them duplicated, with many partners.
+
+    By partners, the most first; ``most``: so many of each tree (a probe shows four).
+    """
     own = dup_by_file.join(sizes, [*partition, "path"]).join(partners(clones, partition), [*partition, "path"])
     own = own.filter((F.col("norm_lines") >= config.BUNDLE_MIN_LINES) & (F.col("dup_lines") >= config.BUNDLE_SHARE * F.col("norm_lines")) & (F.col("partners") >= config.BUNDLE_PARTNERS))
-    return own.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(F.col("partners").desc(), "path")))
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(F.col("partners").desc(), "path")))
+    return ranked if most is None else ranked.filter(F.col("rank") <= most)

@@ -35,7 +35,7 @@ def findings(a: DataFrame, bundles: DataFrame, clones: DataFrame, suspects: Data
     pairs = suspects.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name_a", "name_b"))).alias("p"))
     named = F.array_join(F.transform("p", lambda x: F.concat(x["name_a"], F.lit(" <-> "), x["name_b"])), " · ")
     out.append(_row(pairs, WARN, "identitySuspects", {"nameA": c("p")[0]["name_a"], "nameB": c("p")[0]["name_b"], "pairs": F.size("p")}, named))
-    s = spikes.select("repo_id", "sha", "subject", "pct", F.col("added").alias("s_added"), F.col("churn").alias("s_churn"), F.col("committed_at").alias("s_at")).join(a.select("repo_id", "churn_pct"), "repo_id").filter((c("pct") >= t.churnWarn) & (c("pct") >= 2 * c("churn_pct")))
+    s = spikes.select("repo_id", "sha", "subject", "pct", F.col("added").alias("s_added"), F.col("churn").alias("s_churn"), F.col("committed_at").alias("s_at")).join(a.select("repo_id", "churn_pct", *(["t"] if "t" in a.columns else [])), "repo_id").filter((c("pct") >= t.churnWarn) & (c("pct") >= 2 * c("churn_pct")))
     spike = {"sha": X.short_sha(c("sha")), "fullSha": c("sha"), "subject": c("subject"), "pct": X.half_up(c("pct"), 1), "added": c("s_added"), "churn": c("s_churn"), "at": c("s_at"), "average": X.half_up(c("churn_pct"), 1)}
     out.append(_row(s, F.when(c("pct") >= t.churnCrit, CRIT).otherwise(WARN), "churnSpike", spike, X.short_sha(c("sha"))))
     out.append(_row(a.filter(c("state_copy").isin(WARN, CRIT)), c("state_copy"), "copyPasteHigh", {"pct": X.half_up(c("copy_pct"), 1), "lines": c("copied"), "added": c("added"), "refactorPct": X.half_up(c("refactor_pct"), 1)}))

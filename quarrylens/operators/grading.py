@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,37 @@ def bands(spark, thresholds: Thresholds) -> DataFrame:
     return spark.createDataFrame(rows, "dominant_language string, level_warn double, level_crit double")
 
 
-def states(a: DataFrame, t: Thresholds) -> DataFrame:
+class RowThresholds:
+    """Thresholds that each row carries in a column ``t``, in place of one set for all."""
+
+    def __getattr__(self, name: str) -> Column:
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return F.col("t")[name]
+
+
+def with_thresholds(rows: DataFrame, repos: DataFrame, base: Thresholds) -> DataFrame:
+    """``rows`` with ``t``: those of their repository (repo_id, thresholds: JSON), and of ``base`` for what it doesn't give or can't be read."""
+    plain = {f.name: f.type for f in fields(Thresholds) if f.name != "dupLevel"}
+    shape = ", ".join([*(f"{k} {'int' if v == 'int' else 'double'}" for k, v in plain.items()), "dupLevel map<string, struct<warn:double,crit:double>>"])
+    own = repos.select("repo_id", F.from_json(F.coalesce("thresholds", F.lit("{}")), shape).alias("j"))
+    band = lambda b: F.struct(F.lit(float(b[0])).alias("warn"), F.lit(float(b[1])).alias("crit"))
+    levels = F.create_map(*[x for k, b in base.dupLevel.items() for x in (F.lit(k), band(b))])
+    given = F.coalesce(F.col("j.dupLevel"), F.expr("cast(map() as map<string, struct<warn:double,crit:double>>)"))
+    kept = F.map_filter(levels, lambda k, v: ~F.map_contains_key(given, k))
+    values = [F.coalesce(F.col("j")[k], F.lit(getattr(base, k))).alias(k) for k in plain]
+    joined = rows.join(own, "repo_id", "left")
+    return joined.withColumn("t", F.struct(*values, F.map_concat(given, kept).alias("dupLevel"))).drop("j")
+
+
+def states(a: DataFrame, t: Thresholds | RowThresholds) -> DataFrame:
     """``a`` (aggregates of one repository a row) with the state of every metric; unknown where it can't be judged."""
-    a = a.join(F.broadcast(bands(a.sparkSession, t)), "dominant_language", "left")  # a row a language
+    if isinstance(t, RowThresholds):
+        band = F.try_element_at(t.dupLevel, F.col("dominant_language"))
+        positive = (band["warn"] > 0) & (band["crit"] > 0)
+        a = a.withColumn("level_warn", F.when(positive, band["warn"])).withColumn("level_crit", F.when(positive, band["crit"]))
+    else:
+        a = a.join(F.broadcast(bands(a.sparkSession, t)), "dominant_language", "left")  # a row a language
     a = a.withColumn("state_copy", F.when(F.col("added") == 0, UNKNOWN).otherwise(lower_is_better(F.col("copy_pct"), t.copyPasteWarn, t.copyPasteCrit)))
     a = a.withColumn("state_refactor", F.when(F.col("moved") + F.col("copied") == 0, UNKNOWN).otherwise(higher_is_better(F.col("refactor_pct"), t.refactorWarn, t.refactorCrit)))
     a = a.withColumn("state_churn", F.when(F.col("churn_added") == 0, UNKNOWN).otherwise(lower_is_better(F.col("churn_pct"), t.churnWarn, t.churnCrit)))
@@ -50,7 +80,7 @@ def states(a: DataFrame, t: Thresholds) -> DataFrame:
     return a.withColumn("state_bus", F.when(F.col("bus_factor") <= 1, CRIT).when(F.col("bus_factor") == 2, WARN).otherwise(GOOD))
 
 
-def grades(s: DataFrame, partition: list[str], t: Thresholds) -> DataFrame:
+def grades(s: DataFrame, partition: list[str], t: Thresholds | RowThresholds) -> DataFrame:
     """(partition, grade, state, axis, reason): duplication, maintainability and change safety, the worst axis named."""
     first = F.when(rank(F.col("state_level")) > rank(F.col("state_copy")), "level").otherwise("copyPaste")
     so_far = worst(F.col("state_copy"), F.col("state_level"))

@@ -52,12 +52,31 @@ def windows(lines: DataFrame, size: int, partition: list[str], pos: str = "pos")
     return out.withColumn("h", F.xxhash64("window"))
 
 
+def hashed(w: DataFrame) -> DataFrame:
+    """Windows with a second hash in place of their text: 128 bits tell them apart, and no text is shuffled."""
+    return w.withColumn("h2", F.xxhash64(F.lit(1), "window")).drop("window")
+
+
 def dominant(lines_by_language: DataFrame, partition: list[str], language: str = "lang", lines: str = "lines") -> DataFrame:
     """The language with most lines; ties go to the first by name."""
     ordered = Window.partitionBy(*partition).orderBy(F.col(lines).desc(), F.col(language))
     return lines_by_language.withColumn("_r", F.row_number().over(ordered)).filter("_r = 1").drop("_r")
 
 
+def dominant_extension(files: DataFrame, partition: list[str]) -> DataFrame:
+    """(partition, extension, files): the extension that most paths have, in lower case; ties go to the first by name."""
+    name = F.element_at(F.split("path", "/"), -1)
+    extension = F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1))).otherwise("")
+    return dominant(files.groupBy(*partition, extension.alias("extension")).agg(F.count("*").alias("files")), partition, "extension", "files")
+
+
+def first_norm_at(norm: DataFrame, wanted: DataFrame, partition: list[str]) -> DataFrame:
+    """``wanted`` (partition, line) with pos, the first norm line at or after a line; null after the last. ``norm``: (partition, pos, line_no)."""
+    held = wanted.withColumn("_w", F.monotonically_increasing_id())
+    found = held.join(norm.select(*partition, "pos", "line_no"), partition).filter(F.col("line_no") >= F.col("line")).groupBy("_w").agg(F.min("pos").alias("pos"))
+    return held.join(found, "_w", "left").drop("_w")
+
+
 def tree_at(tree_files: DataFrame, idx: Column) -> Column:
     """Whether a row of an interval-encoded tree belongs to commit ``idx``."""
     return (F.col("valid_from") <= idx) & (F.col("valid_to").isNull() | (idx < F.col("valid_to")))

@@ -81,6 +81,12 @@ def percentiles(rows: DataFrame, value: str, partition: list[str], points: tuple
     return held.select(*partition, "n", F.posexplode("v").alias("k", "value")).withColumn("p", F.element_at(F.array(*[F.lit(p) for p in points]), F.col("k") + 1)).drop("k")
 
 
+def right_tail(rows: DataFrame, value: str, item: str, partition: list[str], most: int = 6) -> DataFrame:
+    """The rows with the largest values, ranked; ties by item."""
+    order = Window.partitionBy(*partition).orderBy(F.col(value).desc(), item)
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
 def leave_one_out(rows: DataFrame, item: str, value: str, partition: list[str], points: tuple[float, ...] = (0.75, 0.85, 0.9)) -> DataFrame:
     """(partition, p, shift, culprit): by how much a percentile moves at most when one row is left out, and which.
 

@@ -53,11 +53,11 @@ def sampled(commits: DataFrame, partition: list[str], at: str = "committed_at",
     return commits.join(picked.union(ends).distinct(), [*partition, order], "left_semi")
 
 
-def window_reference(rows: DataFrame, partition: list[str], days: int, at: str = "committed_at", order: str = "idx", is_sampled: Column | None = None) -> DataFrame:
-    """(partition, ref): the first sampled row, in order, not older than ``days`` before the last row; else the oldest sampled one."""
+def window_reference(rows: DataFrame, partition: list[str], days: int | Column, at: str = "committed_at", order: str = "idx", is_sampled: Column | None = None) -> DataFrame:
+    """(partition, ref): the first sampled row, in order, not older than ``days`` (a number, or an aggregate) before the last row; else the oldest sampled one."""
     use = is_sampled if is_sampled is not None else F.lit(True)
     last = rows.groupBy(*partition).agg((F.max_by(at, order) - days * config.DAY_MS).alias("_cut"))
-    held = rows.join(last, partition) if partition else rows.crossJoin(last)
+    held = rows.join(last, partition)
     inside = F.when(use & (F.col(at) >= F.col("_cut")), F.col(order))
     return held.groupBy(*partition).agg(F.coalesce(F.min(inside), F.min(F.when(use, F.col(order)))).alias("ref"))
 
