@@ -1,15 +1,20 @@
-"""Git histories as tables. The driver lists commits and trees with the ``git`` command; contents are read once for each blob."""
+"""Git histories as tables. Repositories are read by the executors, one task for each history, and blobs in batches of their own."""
 
 from __future__ import annotations
 
+import os
 import shutil
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarrylens import config
-from quarrylens.sources.tables import SCHEMAS
+from quarrylens.sources.sinks import _canonical
+from quarrylens.sources.tables import SCHEMAS, cut
 
 MIN_FREE_BYTES, MAX_CLONE_BYTES = 2 << 30, 4 << 30
 
@@ -34,7 +39,7 @@ def sync(url: str, folder: str) -> str:
     at.parent.mkdir(parents=True, exist_ok=True)
     if shutil.disk_usage(at.parent).free < MIN_FREE_BYTES:
         raise OSError("not enough free space for a clone")
-    if at.exists() and _git(folder, "config", "--get", "remote.origin.url").strip() != url:
+    if at.exists() and stale(folder, url):
         shutil.rmtree(at)
     if at.exists():
         _git(folder, "fetch", "-q", "--prune", "origin", "+refs/heads/*:refs/heads/*")
@@ -46,11 +51,50 @@ def sync(url: str, folder: str) -> str:
     return folder
 
 
+def stale(folder: str, url: str) -> str | None:
+    """Why a clone can't stand for a registered remote: it can't be read, is of another remote, or keeps a secret; None where it can."""
+    try:
+        stored = _git(folder, "config", "--get", "remote.origin.url").strip()
+    except (OSError, subprocess.CalledProcessError):
+        return "unreadable"
+    if stored != _public(stored):
+        return "secret"
+    return None if _canonical(stored) == _canonical(url) else "another remote"
+
+
+def _public(url: str) -> str:
+    """A remote without its secret: no user part on https, no password on ssh."""
+    scheme, sep, rest = url.partition("://")
+    user, at, host = rest.partition("/")[0].rpartition("@")
+    if not sep or not at:
+        return url
+    kept = "" if scheme.lower().startswith("http") else user.split(":")[0] + "@"
+    return f"{scheme}://{kept}{host}{rest[len(user) + 1 + len(host) :]}"
+
+
 def orphans(root: str, ids: set[str]) -> list[str]:
     """Clone folders whose repository isn't registered."""
     return sorted(p.name for p in Path(root).iterdir() if p.is_dir() and p.name not in ids)
 
 
+def sweep(root: str, ids: set[str]) -> list[str]:
+    """Deletes the folders of ``orphans`` and names them; a link is left alone."""
+    gone = [name for name in orphans(root, ids) if not (Path(root) / name).is_symlink()]
+    for name in gone:
+        shutil.rmtree(Path(root) / name)
+    return gone
+
+
+def probe(url: str, token: str | None = None, seconds: int = 15) -> dict:
+    """``branches`` without credentials and, where that fails and there is a token, with it: reachable, anonymous, token_verified, branches, error."""
+    first = branches(_public(url), seconds)
+    if first["reachable"] or not token:
+        return first | {"anonymous": first["reachable"], "token_verified": False}
+    scheme, _, rest = _public(url).partition("://")
+    second = branches(f"{scheme}://token:{token}@{rest}", seconds) if rest and scheme.lower().startswith("http") else first
+    return second | {"anonymous": False, "token_verified": second["reachable"]}
+
+
 def branches(url: str, seconds: int = 15) -> dict:
     """What a remote offers: reachable, its branches, or the kind of failure."""
     try:
@@ -71,52 +115,110 @@ def error_kind(message: str | None) -> str:
     return "other"
 
 
+_CHANGE = "path string, old_path string, blob string, old_blob string, valid_from int, valid_to int"
+_ROWS = f"kind string, repo_id int, folder string, idx int, sha string, parent_sha string, author_name string, author_email string, committed_at bigint, subject string, content string, truncated boolean, {_CHANGE}"
+#: rows of a batch of a history
+_BATCH = 10_000
+
+
+def history(repo_id: int, folder: str, branch: str, most: int = config.MAX_COMMITS) -> Iterator[dict]:
+    """The rows of one repository: commits of the first-parent chain (the newest ``most``), changes, files as intervals, its head and mail map.
+
+    Held at a time: the chain's log lines and the files of one tree.
+    """
+    own = {"repo_id": repo_id, "folder": folder}
+    head = head_of(folder, branch)
+    log = _git(folder, "log", "--first-parent", f"--max-count={most + 1}", "--format=%H%x1f%P%x1f%an%x1f%ae%x1f%ct%x1f%s%x1e", head)
+    rows = [r.strip("\n").split("\x1f") for r in log.split("\x1e") if r.strip()]
+    truncated = len(rows) > most
+    open_rows: dict[str, tuple[str, int]] = {}
+    for idx, (sha, parents, name, mail, at, subject) in enumerate(rows[:most][::-1]):
+        before = parents.split(" ")[0] or None
+        parent = None if truncated and idx == 0 else before
+        yield own | {"kind": "commit", "idx": idx, "sha": sha, "parent_sha": before, "author_name": name, "author_email": mail, "committed_at": int(at) * 1000, "subject": subject[: config.SUBJECT_CHARS]}
+        found = [(None, p, None, b) for p, b in _tree(folder, sha)] if parent is None else _diff(folder, parent, sha)
+        for old, new, _, new_blob in found:
+            if old in open_rows and (new != old or new_blob != open_rows[old][0]):
+                blob, since = open_rows.pop(old)
+                yield own | {"kind": "file", "path": old, "blob": blob, "valid_from": since, "valid_to": idx}
+        for old, new, old_blob, new_blob in found:
+            if new is not None:
+                open_rows[new] = (new_blob, idx)
+            if not (parent is None and before):
+                yield own | {"kind": "change", "idx": idx, "old_path": old, "path": new, "old_blob": old_blob, "blob": new_blob}
+    for path, (blob, since) in open_rows.items():
+        yield own | {"kind": "file", "path": path, "blob": blob, "valid_from": since}
+    yield own | {"kind": "head", "sha": head, "truncated": truncated}
+    try:
+        yield own | {"kind": "mailmap", "content": _git(folder, "show", f"{head}:.mailmap")}
+    except subprocess.CalledProcessError:
+        pass
+
+
+def contents(folder: str, blobs: list[str]) -> Iterator[bytes | None]:
+    """The contents of blobs through one ``git`` process; None for one that is too long."""
+    with subprocess.Popen(["git", "-C", folder, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as p:
+        for blob in blobs:
+            p.stdin.write(f"{blob}\n".encode())
+            p.stdin.flush()
+            size = int(p.stdout.readline().split()[2])
+            if size <= config.MAX_FILE_BYTES:
+                yield p.stdout.read(size)
+            else:
+                left = size
+                while left:
+                    left -= len(p.stdout.read(min(left, 1 << 20)))
+                yield None
+            p.stdout.read(1)
+        p.stdin.close()
+
+
 def tables(spark: SparkSession, repos: list[tuple[int, str, str]], most: int = config.MAX_COMMITS) -> dict[str, DataFrame]:
-    """commits, tree_files, file_changes, blobs, mailmaps and heads of local repositories (repo_id, folder, branch).
+    """commits, tree_files, file_changes, blobs, mailmaps and heads of repositories (repo_id, folder, branch) in folders that executors see.
 
     History is the first-parent chain of the head, its newest ``most`` commits. Trees are kept as intervals: a row for each time that a
-    path holds one blob.
+    path holds one blob. A blob is read once for each extension it has.
     """
-    commits, trees, changes, blobs, mailmaps, heads = [], [], [], {}, [], []
-    for repo_id, folder, branch in repos:
-        head = head_of(folder, branch)
-        log = _git(folder, "log", "--first-parent", f"--max-count={most + 1}", "--format=%H%x1f%P%x1f%an%x1f%ae%x1f%ct%x1f%s%x1e", head)
-        rows = [r.strip("\n").split("\x1f") for r in log.split("\x1e") if r.strip()]
-        truncated = len(rows) > most
-        rows = rows[:most][::-1]
-        open_rows: dict[str, tuple[str, int]] = {}
-        for idx, (sha, parents, name, mail, at, subject) in enumerate(rows):
-            parent = parents.split(" ")[0] if parents and not (truncated and idx == 0) else None
-            commits.append((repo_id, idx, sha, parents.split(" ")[0] or None, name, mail, int(at) * 1000, subject[: config.SUBJECT_CHARS]))
-            if parent is None:
-                raw = [(None, p, None, b) for p, b in _tree(folder, sha)]
-            else:
-                raw = _diff(folder, parent, sha)
-            for old, new, old_blob, new_blob in raw:
-                if old is not None and old in open_rows and (new != old or new_blob != old_blob):
-                    blob, since = open_rows.pop(old)
-                    trees.append((repo_id, old, blob, since, idx))
-            for old, new, old_blob, new_blob in raw:
-                if new is not None:
-                    open_rows[new] = (new_blob, idx)
-                    blobs.setdefault((new_blob, new.rsplit(".", 1)[-1]), (folder, new))
-                if not (parent is None and idx == 0 and parents):
-                    changes.append((repo_id, idx, old, new, old_blob, new_blob))
-        trees += [(repo_id, p, b, since, None) for p, (b, since) in open_rows.items()]
-        heads.append((repo_id, head, truncated))
-        try:
-            mailmaps.append((repo_id, _git(folder, "show", f"{head}:.mailmap")))
-        except subprocess.CalledProcessError:
-            pass
-    contents = []
-    for (blob, _), (folder, path) in blobs.items():
-        raw = _git(folder, "cat-file", "blob", blob, text=False)
-        binary = len(raw) > config.MAX_FILE_BYTES or b"\x00" in raw[:8000]
-        contents.append((blob, path, None if binary else raw.decode("utf-8", "replace")))
-    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    names = [c.split()[0] for c in _ROWS.split(", ")]
+    known = spark.createDataFrame([(r, os.path.abspath(f), b) for r, f, b in repos], "repo_id int, folder string, branch string")
+    shape = spark.createDataFrame([], _ROWS).schema
+    kinds = {f.name: pa.int32() if f.dataType.simpleString() == "int" else pa.int64() if f.dataType.simpleString() == "bigint" else pa.bool_() if f.dataType.simpleString() == "boolean" else pa.string() for f in shape.fields}
+
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds[c]) for c in names], names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                held = []
+                for row in history(r["repo_id"], r["folder"], r["branch"], most):
+                    held.append(row)
+                    if len(held) == _BATCH:
+                        yield batch_of(held)
+                        held = []
+                yield batch_of(held)
+
+    rows = cut(known.repartition(max(1, len(repos)), "repo_id").mapInArrow(read, shape))
+    kind = lambda k: rows.filter(F.col("kind") == k)
+    files = kind("file").select("repo_id", "path", F.col("blob").alias("blob_id"), "valid_from", "valid_to")
+    extension = F.substring_index("path", ".", -1)
+    wanted = kind("file").groupBy(F.col("blob").alias("blob_id"), extension.alias("_e")).agg(F.min(F.struct("folder", "path")).alias("p")).select("blob_id", "p.folder", "p.path")
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by_folder: dict[str, list[dict]] = {}
+            for r in batch.to_pylist():
+                by_folder.setdefault(r["folder"], []).append(r)
+            for folder, asked in by_folder.items():
+                for r, raw in zip(asked, contents(folder, [r["blob_id"] for r in asked]), strict=True):
+                    text = None if raw is None or b"\x00" in raw[:8000] else raw.decode("utf-8", "replace")
+                    yield pa.RecordBatch.from_arrays([pa.array([r["blob_id"]]), pa.array([r["path"]]), pa.array([text], pa.string())], ["blob_id", "path", "content"])
+
+    blobs = cut(wanted.repartition("folder", F.pmod(F.xxhash64("blob_id"), F.lit(64))).mapInArrow(load, SCHEMAS["blobs"]))
     return {
-        "commits": made(commits, SCHEMAS["commits"]), "tree_files": made(trees, SCHEMAS["tree_files"]), "file_changes": made(changes, SCHEMAS["file_changes"]), "blobs": made(contents, SCHEMAS["blobs"]),
-        "mailmaps": made(mailmaps, "repo_id int, content string"), "heads": made(heads, "repo_id int, sha string, truncated boolean"),
+        "commits": kind("commit").select("repo_id", "idx", "sha", "parent_sha", "author_name", "author_email", "committed_at", "subject"), "tree_files": files,
+        "file_changes": kind("change").select("repo_id", "idx", "old_path", F.col("path").alias("new_path"), "old_blob", F.col("blob").alias("new_blob")),
+        "blobs": blobs, "mailmaps": kind("mailmap").select("repo_id", "content"), "heads": kind("head").select("repo_id", "sha", "truncated"),
     }
 
 

@@ -47,8 +47,8 @@ def page(report_json: str, title: str) -> str:
 
 
 def write_annotated(cohort: DataFrame, path: str, dropped: dict[str, str], least_loc: int = 1_000) -> None:
-    """A cohort's rows with included and excludeReason, as TSV."""
-    annotated(cohort, dropped, least_loc).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    """A cohort's rows with included and excludeReason, as TSV files."""
+    annotated(cohort, dropped, least_loc).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
 def annotated(cohort: DataFrame, dropped: dict[str, str], least_loc: int = 1_000) -> DataFrame:
@@ -80,6 +80,17 @@ def released(status: Column, at: Column, now: Column, minutes: int = 10) -> Colu
     return F.when(status.isin("QUEUED", "RUNNING") & (at <= now - minutes * 60_000), "FAILED").otherwise(status)
 
 
+def upserted(status: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The states of jobs (repo_id, status, at, …) with ``fresh`` ones in place of those they renew."""
+    return status.join(fresh.select("repo_id"), "repo_id", "left_anti").unionByName(fresh)
+
+
+def renewed(status: DataFrame, live: DataFrame, now: Column) -> DataFrame:
+    """A heartbeat: jobs that are queued or running and among ``live`` (repo_id) are as of ``now``."""
+    beat = status.join(live.select("repo_id").distinct().withColumn("_live", F.lit(True)), "repo_id", "left")
+    return beat.withColumn("at", F.when(F.col("_live") & F.col("status").isin("QUEUED", "RUNNING"), now).otherwise(F.col("at"))).drop("_live")
+
+
 def latest_ok(runs: DataFrame) -> DataFrame:
     """The latest run of each repository that went well."""
     return runs.filter(F.col("status") == "OK").groupBy("repo_id").agg(F.max_by(F.struct(*[F.col(c) for c in runs.columns if c != "repo_id"]), "started_at").alias("r")).select("repo_id", "r.*")

@@ -29,11 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder (``spark.checkpoint.dir``; a temporary one where it is unset) and read back."""
+    """``df`` written to the shared folder (``spark.checkpoint.dir``; a temporary one where it is unset and Spark runs in one process) and read back."""
     spark = df.sparkSession
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="quarrylens-"))
     where = f"{root.rstrip('/')}/plans-{sc.applicationId}"
     path = sc._jvm.org.apache.hadoop.fs.Path(where)
