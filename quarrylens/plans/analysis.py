@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,7 +13,7 @@ from quarrylens import config
 from quarrylens.config import Thresholds
 from quarrylens.functions import scanners
 from quarrylens.functions import text as X
-from quarrylens.operators import changes, churn, clones, findings, grading, identities, lines, metrics, mirrors, sampling
+from quarrylens.operators import changes, churn, clones, findings, grading, identities, incremental, lines, metrics, mirrors, sampling
 from quarrylens.sources.tables import cut
 
 
@@ -32,18 +33,66 @@ class Outcome:
     caveats: DataFrame
 
 
-def analyse(tables: dict[str, DataFrame], now_ms: int, thresholds: Thresholds | None = None, globs: tuple[str, ...] = config.DEFAULT_EXCLUDES) -> Outcome:
-    """``tables``: as ``quarrylens.sources.git.tables`` makes them. ``now_ms``: the analysis clock."""
-    t = thresholds or Thresholds()
-    commits = tables["commits"]
+#: pairs of windows that copies are sought in; a run beyond it stops before it starts
+MOST_PAIRS = 10**13
+
+
+class Cancelled(Exception):
+    """A run was asked to stop."""
+
+
+def _silent(phase: str, done: int, of: int) -> bool:
+    return True
+
+
+def analyse(
+    tables: dict[str, DataFrame],
+    now_ms: int,
+    thresholds: Thresholds | None = None,
+    globs: tuple[str, ...] = config.DEFAULT_EXCLUDES,
+    repos: DataFrame | None = None,
+    cached: DataFrame | None = None,
+    previous: DataFrame | None = None,
+    progress: Callable[[str, int, int], bool] = _silent,
+) -> Outcome:
+    """``tables``: as ``quarrylens.sources.git.tables`` makes them. ``now_ms``: the analysis clock.
+
+    ``repos`` (repo_id, excludes, thresholds) may add globs and override thresholds for each repository. With ``cached`` metrics and
+    ``previous`` (repo_id, previous_run_at) only the commits from the replay floor on are computed again; the figures are the
+    same. ``progress`` is told of each phase as it begins; where it answers False the run ends with ``Cancelled``.
+    """
+
+    def phase(name: str) -> None:
+        names = ("read", "replay", "authors", "duplicates", "grades")
+        commits.sparkSession.sparkContext.setJobDescription(f"analysis: {name}")
+        if progress(name, names.index(name) + 1, len(names)) is False:
+            raise Cancelled(name)
+
+    commits, base = tables["commits"], thresholds or Thresholds()
+    t = base if repos is None else grading.RowThresholds()
+    phase("read")
     views = cut(lines.file_views(tables["blobs"].dropDuplicates(["blob_id"])))
-    trees = cut(tables["tree_files"].filter(X.is_relevant(F.col("path"), globs)))
-    mix, events, totals = _changes(tables, trees, views, globs)
-    stats = _stats(commits, mix, events, totals, trees, views, now_ms)
+    own = None
+    if repos is not None:
+        own = repos.select("repo_id", X.globs_pattern(F.col("excludes")).alias("own_globs"))
+    trees = cut(_relevant(tables["tree_files"], globs, own, "path"))
+    samples = cut(sampling.sampled(commits, ["repo_id"]).select("repo_id", "idx", "sha"))
+    floor = None
+    if cached is not None and previous is not None:
+        floor = cut(incremental.floors(commits, cached, previous, samples))
+    phase("replay")
+    mix, events, totals = _changes(tables, trees, views, globs, own, floor)
+    stats = _stats(_from(commits, floor), mix, events, totals, trees, views, _from(samples, floor).select("repo_id", "idx"), now_ms)
+    phase("authors")
+    if floor is not None:
+        place = commits.select("repo_id", "sha", F.col("idx").alias("_idx")).join(floor, "repo_id").filter("_idx < floor")
+        held = cached.join(place, ["repo_id", "sha"]).withColumn("idx", F.col("_idx"))
+        stats = held.select(*[F.col(f.name).cast(f.dataType) for f in stats.schema.fields]).unionByName(stats)
     who = cut(identities.keyed(commits.join(stats.select("repo_id", "idx", "added"), ["repo_id", "idx"]), identities.mailmap(tables["mailmaps"])))
     authors = cut(identities.merged(identities.rollup(who, ["repo_id"]), ["repo_id"]))
     stats = cut(stats.join(who.select("repo_id", "idx", "author_key"), ["repo_id", "idx"], "left"))
     raw = identities.raw_identities(commits, ["repo_id"])
+    phase("duplicates")
     at_head = commits.groupBy("repo_id").agg(F.max("idx").alias("idx"))
     tree = cut(trees.join(at_head, "repo_id").filter(lines.tree_at(trees, F.col("idx"))).select("repo_id", "path", "blob_id"))
     flagged, kept, found, by_file = _duplicates(tree, views)
@@ -55,8 +104,18 @@ def analyse(tables: dict[str, DataFrame], now_ms: int, thresholds: Thresholds |
     head = total.join(measured, "repo_id", "left").join(duplicated, "repo_id", "left").join(found.groupBy("repo_id").agg(F.count("*").alias("dup_clones")), "repo_id", "left").join(language, "repo_id", "left")
     head = head.na.fill(0, ["dup_measured_lines", "dup_lines", "dup_clones"]).withColumn("handlers", F.col("bare") + F.col("broad") + F.col("swallow") + F.col("suppress"))
     head = head.join(stats.groupBy("repo_id").agg(F.max_by("committed_at", "idx").alias("committed_at"), F.min_by("committed_at", "idx").alias("first_at"), F.count("*").alias("commits")), "repo_id")
-    reference = sampling.window_reference(stats, ["repo_id"], t.windowDays, is_sampled=F.col("loc").isNotNull()).withColumnRenamed("ref", "idx")
-    reference = stats.join(reference, ["repo_id", "idx"]).select("repo_id", F.col("committed_at").alias("ref_at"), F.col("dup_lines").alias("ref_dup_lines"), F.col("loc").alias("ref_loc"), F.col("calls").alias("ref_calls"))
+    phase("grades")
+    if repos is not None:
+        head = cut(grading.with_thresholds(head, repos, base))
+        windows = stats.join(head.select("repo_id", F.col("t.windowDays").cast("long").alias("_days")), "repo_id")
+        reference = sampling.window_reference(windows, ["repo_id"], F.max("_days"), is_sampled=F.col("loc").isNotNull())
+    else:
+        reference = sampling.window_reference(stats, ["repo_id"], base.windowDays, is_sampled=F.col("loc").isNotNull())
+    old = metrics.older(stats).withColumn("_measured", F.when(F.col("dup_measured_lines") > 0, F.col("dup_measured_lines")).otherwise(F.col("loc")))
+    reference = old.join(reference.withColumnRenamed("ref", "idx"), ["repo_id", "idx"]).select(
+        "repo_id", F.col("committed_at").alias("ref_at"), F.col("dup_lines").alias("ref_dup_lines"), F.col("loc").alias("ref_loc"), F.col("calls").alias("ref_calls"),
+        F.when((F.col("functions") > 0) & (F.col("total_lines") > 0), F.struct((100.0 * X.ratio(F.col("dup_lines"), F.col("_measured"))).alias("dup_pct"), "complexity", "comment_pct", "function_length")).alias("then"),
+    )
     people = authors.groupBy("repo_id").agg(F.count("*").alias("authors"), F.max_by(F.struct("name", "commits"), F.struct("commits", F.col("author_key"))).alias("top"))
     all_ = metrics.headline(stats, ["repo_id"]).join(metrics.deltas(metrics.level(head), reference, ["repo_id"]), "repo_id").join(identities.bus_factor(authors, ["repo_id"]), "repo_id").join(people, "repo_id").join(raw, "repo_id")
     judged = cut(grading.states(metrics.older(all_), t))
@@ -70,14 +129,29 @@ def analyse(tables: dict[str, DataFrame], now_ms: int, thresholds: Thresholds |
     return Outcome(stats, judged, authors, shown, bundle, flagged, pairs, grading.grades(judged, ["repo_id"], t), grading.top_findings(notes, ["repo_id"]), findings.caveats(judged, flagged, truncated))
 
 
-def _changes(tables: dict[str, DataFrame], trees: DataFrame, views: DataFrame, globs: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(line mix of each commit, churn events, norm lines of each commit's parent tree)."""
+def _relevant(rows: DataFrame, globs: tuple[str, ...], own: DataFrame | None, *paths: str) -> DataFrame:
+    """``rows`` with a relevant path; of two paths, those that aren't relevant are null, and one has to be left."""
+    if own is not None:
+        rows = rows.join(own, "repo_id", "left")
+    extra = None if own is None else F.col("own_globs")
+    ok = [F.col(p).isNotNull() & X.is_relevant(F.col(p), globs, extra) for p in paths]
+    if len(paths) > 1:
+        rows = rows.withColumns({p: F.when(c, F.col(p)) for p, c in zip(paths, ok, strict=True)}).filter(F.coalesce(*paths).isNotNull())
+    else:
+        rows = rows.filter(ok[0])
+    return rows.drop("own_globs")
+
+
+def _from(rows: DataFrame, floor: DataFrame | None) -> DataFrame:
+    return rows if floor is None else incremental.suffix(rows, floor)
+
+
+def _changes(tables: dict[str, DataFrame], trees: DataFrame, views: DataFrame, globs: tuple[str, ...], own: DataFrame | None, floor: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(line mix of each commit, churn events, norm lines of each commit's parent tree), from the floor on where there is one."""
     key = ["repo_id", "idx"]
     norm = views.select("blob_id", "norm")
     none = F.expr("cast(array() as array<struct<line_no:int,text:string>>)")
-    path_ok = lambda c: F.col(c).isNotNull() & X.is_relevant(F.col(c), globs)
-    ch = tables["file_changes"].filter(path_ok("old_path") | path_ok("new_path"))
-    ch = ch.withColumn("old_path", F.when(path_ok("old_path"), F.col("old_path"))).withColumn("new_path", F.when(path_ok("new_path"), F.col("new_path")))
+    ch = _relevant(_from(tables["file_changes"], floor), globs, own, "old_path", "new_path")
     ch = ch.join(norm.select(F.col("blob_id").alias("old_blob"), F.col("norm").alias("before")), "old_blob", "left").join(norm.select(F.col("blob_id").alias("new_blob"), F.col("norm").alias("after")), "new_blob", "left")
     ch = ch.withColumn("before", F.when(F.col("old_path").isNotNull(), F.coalesce("before", none)).otherwise(none)).withColumn("after", F.when(F.col("new_path").isNotNull(), F.coalesce("after", none)).otherwise(none))
     ch = cut(ch.withColumn("edits", scanners.edits(F.transform("before", lambda x: x["text"]), F.transform("after", lambda x: x["text"]))))
@@ -93,7 +167,9 @@ def _changes(tables: dict[str, DataFrame], trees: DataFrame, views: DataFrame, g
     gone_lines = removed.select(*key, F.col("path").alias("src"), "pos", F.lit(True).alias("g1"))
     gone_paths = ch.filter("old_path is not null and (new_path is null or new_path <> old_path)").select(*key, F.col("old_path").alias("src"), F.lit(True).alias("g2")).distinct()
     parent = parent.join(gone_lines, [*key, "src", "pos"], "left").join(gone_paths, [*key, "src"], "left").select(*key, "src", "pos", "text", (F.coalesce("g1", F.lit(False)) | F.coalesce("g2", F.lit(False))).alias("gone"))
-    mix = cut(changes.line_mix(added, cut(parent), removed.groupBy(*key, "path", "edit").agg(F.count("*").alias("lines"))))
+    parent = cut(parent)
+    changes.check_pairs(added, parent, MOST_PAIRS)
+    mix = cut(changes.line_mix(added, parent, removed.groupBy(*key, "path", "edit").agg(F.count("*").alias("lines"))))
     # one lineage through renames
     renames = ch.filter("old_path is not null and new_path is not null and old_path <> new_path").select("repo_id", "idx", "old_path", "new_path")
     first = added.groupBy("repo_id", "path").agg(F.min("idx").alias("idx"))
@@ -111,14 +187,13 @@ def _changes(tables: dict[str, DataFrame], trees: DataFrame, views: DataFrame, g
     return mix, both, totals
 
 
-def _stats(commits: DataFrame, mix: DataFrame, events: DataFrame, totals: DataFrame, trees: DataFrame, views: DataFrame, now_ms: int) -> DataFrame:
+def _stats(commits: DataFrame, mix: DataFrame, events: DataFrame, totals: DataFrame, trees: DataFrame, views: DataFrame, sample: DataFrame, now_ms: int) -> DataFrame:
     key = ["repo_id", "idx"]
     at = commits.select(*key, F.col("committed_at").alias("at"))
     found = churn.churned(churn.matches(events.join(at, key), ["repo_id", "lineage", "text"], ["idx", "path", "pos"], carry=("idx",)))
     churned = found.groupBy("repo_id", F.col("add_idx").alias("idx")).agg(F.count("*").alias("churn"))
     out = commits.join(mix, key, "left").na.fill(0, ["added", "novel", "copied", "moved", "deleted"]).join(churned, key, "left").na.fill(0, ["churn"]).join(totals, key, "left")
     out = out.withColumn("import_commit", changes.is_import(F.col("parent_sha").isNull(), F.col("added"), F.col("moved"), F.col("parent_lines"))).withColumn("churn_censored", churn.is_censored(F.col("committed_at"), F.lit(now_ms)))
-    sample = sampling.sampled(commits, ["repo_id"]).select(*key)
     static = cut(lines.tree_totals(trees, views, sample))
     member = trees.join(sample, "repo_id").filter(lines.tree_at(trees, F.col("idx")))
     rows = member.select(*key, "path", "blob_id").join(lines.exploded(views, "norm", "blob_id"), "blob_id").select(*key, "path", "pos", "line_no", "text")
@@ -139,26 +214,64 @@ def _duplicates(tree: DataFrame, views: DataFrame) -> tuple[DataFrame, DataFrame
     return flagged, kept, cut(found), cut(by_file)
 
 
-def report(o: Outcome, repos: DataFrame) -> DataFrame:
+def _series(stats: DataFrame) -> DataFrame:
+    """(repo_id, copyPaste, refactor, churn, duplication, errorSwallow, connectivity): each card's values, in order."""
+    key = ["repo_id"]
+    gather = lambda d, **cols: d.groupBy("repo_id").agg(*[F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col(v).cast("double").alias("v")))), lambda x: x["v"]).alias(k) for k, v in cols.items()])
+    out = gather(metrics.rolling(stats, key), copyPaste="rolling_copy_pct", refactor="rolling_refactor_pct")
+    out = out.join(gather(metrics.churn_series(stats), churn="churn_pct"), key, "full")
+    return out.join(gather(metrics.sampled_series(stats), duplication="dup_lines", errorSwallow="err_per_kloc", connectivity="calls_per_kloc"), key, "full")
+
+
+def _cards(t: Thresholds | grading.RowThresholds) -> Column:
+    """The six graded cards: value, unit, state, which way is better, series, change, and what they were judged by."""
+    c = F.col
+    num = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("double")
+    moved = (c("direction") != config.FLAT) & (c("direction") != config.UNKNOWN)
+    fixed = lambda warn, crit: {"warn": num(warn), "crit": num(crit), "basis": F.lit("fixed")}
+    cards = (
+        ("copyPaste", X.half_up(c("copy_pct"), 1), "percent", "state_copy", "lower", None, {"lines": c("copied"), "added": c("added")} | fixed(t.copyPasteWarn, t.copyPasteCrit)),
+        ("refactor", X.half_up(c("refactor_pct"), 1), "percent", "state_refactor", "higher", None, {"moved": c("moved"), "copied": c("copied")} | fixed(t.refactorWarn, t.refactorCrit)),
+        ("churn", X.half_up(c("churn_pct"), 1), "percent", "state_churn", "lower", None, {"lines": c("churn_lines"), "added": c("churn_added"), "censored": c("censored_commits")} | fixed(t.churnWarn, t.churnCrit)),
+        (
+            "duplication", c("dup_lines"), "lines", "state_level", "lower", F.when(moved, X.half_up(c("dup_delta_pct"), 1)),
+            {"pct": X.half_up(c("dup_pct"), 2), "clones": c("dup_clones"), "then": c("ref_dup_lines"), "windowDays": c("reference_days"), "deltaLines": c("dup_delta_lines"), "level": c("state_level"), "direction": c("direction"), "levelApplicable": c("level_warn").isNotNull(),
+             "language": c("dominant_language"), "basis": F.when(c("level_warn").isNotNull(), "cohort").otherwise(""), "levelWarn": F.coalesce("level_warn", F.lit(0.0)), "levelCrit": F.coalesce("level_crit", F.lit(0.0)), "floorLines": num(t.dupDeltaFloorLines)},
+        ),
+        ("errorSwallow", X.half_up(c("err_density"), 2), "perKloc", "state_err", "lower", None, fixed(t.errDensityWarn, t.errDensityCrit)),
+        ("connectivity", X.half_up(c("conn_density"), 1), "perKloc", "state_conn", "higher", X.half_up(c("conn_delta_pct"), 1), {"then": X.half_up(c("conn_then"), 1), "windowDays": c("reference_days"), "approximate": F.lit(True)} | fixed(t.connDeltaWarn, t.connDeltaCrit)),
+    )
+    none = F.lit(None).cast("double")
+    as_list = lambda x: F.parse_json(F.to_json(x))  # noqa: E731  the cards' details differ in shape
+    return F.array(
+        *[
+            as_list(F.struct(F.lit(name).alias("key"), num(value).alias("value"), F.lit(unit).alias("unit"), c(state).alias("state"), F.lit(better).alias("direction"), c(f"series.{name}").alias("spark"), (none if delta is None else delta.cast("double")).alias("delta"), F.struct(*[v.alias(k) for k, v in detail.items()]).alias("detail")))
+            for name, value, unit, state, better, delta, detail in cards
+        ]
+    )
+
+
+def _older() -> Column:
+    """The four ungraded figures with their changes since the reference; no change where there is none to compare with."""
+    figures = (("duplicates", "dup_pct", "percent", 2), ("complexity", "complexity", "perFunction", 2), ("commentDensity", "comment_pct", "percent", 1), ("functionLength", "function_length", "lines", 1))
+    return F.array(*[F.struct(F.lit(k).alias("key"), X.half_up(F.col(v), d).alias("value"), F.lit(u).alias("unit"), X.half_up(X.change(F.col(f"then.{v}"), F.col(v)), 1).alias("delta")) for k, v, u, d in figures])
+
+
+def report(o: Outcome, repos: DataFrame, thresholds: Thresholds | None = None) -> DataFrame:
     """(repo_id, report): the nested report of each repository as JSON; ``repos``: repo_id, name, url."""
     gather = lambda d, name, cols, *order: d.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in cols if c not in order]))).alias(name))
     head = o.head.withColumn("span_days", F.greatest(F.lit(1), F.floor((F.col("committed_at") - F.col("first_at")) / config.DAY_MS)))
+    series = _series(o.stats)
+    head = head.join(series.select("repo_id", F.struct(*series.columns[1:]).alias("series")), "repo_id", "left")
     base = repos.select("repo_id", F.struct("name", X.browse_base(F.col("url")).alias("browse")).alias("repo")).join(head, "repo_id")
-    kpis = F.array(
-        *[
-            F.struct(F.lit(name).alias("key"), X.half_up(F.col(value), digits).alias("value"), F.lit(unit).alias("unit"), F.col(state).alias("state"), (F.col(delta) if delta else F.lit(None)).cast("double").alias("delta"))
-            for name, value, digits, unit, state, delta in (
-                ("copyPaste", "copy_pct", 1, "percent", "state_copy", None), ("refactor", "refactor_pct", 1, "percent", "state_refactor", None), ("churn", "churn_pct", 1, "percent", "state_churn", None),
-                ("duplication", "dup_pct", 2, "percent", "state_level", "dup_delta_pct"), ("errorSwallow", "err_density", 2, "perKloc", "state_err", None), ("connectivity", "conn_density", 1, "perKloc", "state_conn", "conn_delta_pct"),
-            )
-        ]
-    )
-    legacy = F.struct(X.half_up(F.col("dup_pct"), 2).alias("duplication"), X.half_up(F.col("complexity"), 2).alias("complexity"), X.half_up(F.col("comment_pct"), 1).alias("comments"), X.half_up(F.col("function_length"), 1).alias("functionLength"))
-    out = base.select("repo_id", F.struct("repo.*", "span_days", "commits", F.lit(config.ALGO_VERSION).alias("algo_version")).alias("repo"), kpis.alias("kpis"), legacy.alias("legacy"))
+    t = grading.RowThresholds() if "t" in o.head.columns else thresholds or Thresholds()
+    out = base.select("repo_id", F.struct("repo.*", "span_days", "commits", F.lit(config.ALGO_VERSION).alias("algo_version")).alias("repo"), _cards(t).alias("kpis"), _older().alias("legacy"))
     series = o.stats.select("repo_id", "idx", X.short_sha(F.col("sha")).alias("sha"), "committed_at", "subject", "import_commit", "added", "copied", "moved", "deleted", "churn", "churn_censored", "loc", "dup_lines", "calls", "err_swallow")
+    by_commits = o.authors.withColumn("_minus", -F.col("commits"))
     parts = [
         gather(series, "series", series.columns[1:], "idx"), gather(o.grades, "grades", ["grade", "state", "axis", "reason"], "grade"), gather(o.findings, "findings", ["rank", "severity", "code", "params", "evidence", "findings_total"], "rank"),
-        gather(o.caveats, "caveats", ["code", "params"], "code"), gather(o.clones, "clones", ["rank", "file_a", "line_a", "file_b", "line_b", "lines"], "rank"), gather(o.authors, "authors", ["author_key", "name", "commits", "added_lines", "identities"], "author_key"),
+        gather(o.caveats, "caveats", ["code", "params"], "code"), gather(o.clones, "clones", ["rank", "file_a", "line_a", "file_b", "line_b", "lines"], "rank"), gather(o.mirrors, "mirrors", ["rank", "original", "mirror", "shared_paths", "dropped_lines", "identical_share"], "rank"),
+        gather(by_commits, "authors", ["_minus", "author_key", "name", "commits", "added_lines", "identities"], "_minus", "author_key").withColumn("authors", F.transform("authors", lambda a: a.dropFields("_minus"))),
     ]
     for p in parts:
         out = out.join(p, "repo_id", "left")
