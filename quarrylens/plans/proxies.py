@@ -17,7 +17,7 @@ from quarrylens.functions import scanners
 from quarrylens.functions import text as X
 from quarrylens.operators import access, changes, churn, clones, grading, identities, incremental, lines, metrics, mirrors, sampling
 from quarrylens.sources import sinks
-from quarrylens.sources.tables import table
+from quarrylens.sources.tables import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,9 +67,9 @@ dup as (select source, count(*) as dup_lines from hit group by source)
 select tot.source, norm_lines, coalesce(dup_lines, 0) as dup_lines, round(100.0::double * coalesce(dup_lines, 0) / norm_lines, 6) as dup_pct from tot left join dup using (source)""")
 def duplicate_lines_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = norm_lines(spark, sf_dir)
-    w = lines.windows(own, config.RUN, ["doc_id"])
-    rep = w.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    hit = w.join(rep, "window", "left_semi").select("source", "doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + 2)).alias("p")).distinct()
+    w = lines.hashed(lines.windows(own, config.RUN, ["doc_id"]).select("source", "doc_id", "pos", "h", "window"))
+    rep = w.groupBy("h", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h", "h2")
+    hit = w.join(rep, ["h", "h2"], "left_semi").select("source", "doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + 2)).alias("p")).distinct()
     total = own.groupBy("source").agg(F.count("*").alias("norm_lines"))
     out = total.join(hit.groupBy("source").agg(F.count("*").alias("dup_lines")), "source", "left").na.fill(0, ["dup_lines"])
     return out.withColumn("dup_pct", F.round(100.0 * X.ratio(F.col("dup_lines"), F.col("norm_lines")), 6))
@@ -88,7 +88,7 @@ def line_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_WINDOW3}, n as (select win, count(*) as n from w3 group by win)
 select n as occurrences, count(*) as windows from n group by n""")
 def ngram_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _windows3(spark, sf_dir).groupBy("h", "window").agg(F.count("*").alias("occurrences")).groupBy("occurrences").agg(F.count("*").alias("windows"))
+    return lines.hashed(_windows3(spark, sf_dir)).groupBy("h", "h2").agg(F.count("*").alias("occurrences")).groupBy("occurrences").agg(F.count("*").alias("windows"))
 
 
 # DuckDB knows only ASCII at word boundaries
@@ -130,9 +130,7 @@ def clones_setbased(spark: SparkSession, sf_dir: str) -> DataFrame:
 p as (select distinct a.doc_id, b.doc_id as other from (select distinct doc_id, win from t5) a join (select distinct doc_id, win from t5) b on a.win = b.win and a.doc_id <> b.doc_id)
 select doc_id, count(*) as partners, list_min(list(other)) as first_partner from p group by doc_id""")
 def clone_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = lines.windows(norm_lines(spark, sf_dir), config.DUP_MIN_LINES, ["doc_id"]).filter(X.token_count(F.col("window")) >= config.DUP_MIN_TOKENS).select("doc_id", "h", "window").distinct()
-    both = w.join(w.select(F.col("doc_id").alias("other"), "h", "window"), ["h", "window"]).filter("doc_id <> other").select("doc_id", "other").distinct()
-    return both.groupBy("doc_id").agg(F.count("*").alias("partners"), F.min("other").alias("first_partner"))
+    return clones.sharing(norm_lines(spark, sf_dir).select("doc_id", "pos", "text"), "doc_id")
 
 
 @query()
@@ -141,42 +139,67 @@ def clones_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clones.shown(found, ["source"]).select("source", "file_a", "line_a", "file_b", "line_b", "lines", "rank")
 
 
-@query()
-def clone_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = norm_lines(spark, sf_dir).select("source", F.format_string("%012d", "doc_id").alias("path"), "pos", "line_no", "text")
-    found, by_file = clones.exact(own, ["source"])
-    sizes = own.groupBy("source", "path").agg(F.count("*").alias("norm_lines"))
-    return clones.bundles(by_file, sizes, found, ["source"])
+_PAIRS = "c as (select l_returnflag as tree, l_suppkey % 90 as a, l_partkey % 90 as b from lineitem)"
 
 
-# each document of an even id is a commit that adds its lines to a tree of the documents with odd ids of its source
-@query(f"""with {_NORM},
-a as (select source, doc_id, pos, text from norm where doc_id % 2 = 0), b as (select source, doc_id as src, pos, text from norm where doc_id % 2 = 1),
-pairs as (select a.source, a.doc_id, a.pos as i, b.src, b.pos as j from a join b on a.source = b.source and a.text = b.text),
-isl as (select *, i - row_number() over (partition by source, doc_id, src, i - j order by i) as g from pairs),
-len as (select *, max(i) over (partition by source, doc_id, src, i - j, g) - i + 1 as len from isl),
-best as (select source, doc_id, i, max(len) as len from len where len >= 3 group by all)
-select source, doc_id, count(*) as match_starts, max(len) as longest from best group by source, doc_id""")
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as clones: the supplier's file and the part's."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("tree"), F.format_string("f%02d", F.col("l_suppkey") % 90).alias("file_a"), F.format_string("f%02d", F.col("l_partkey") % 90).alias("file_b"))
+
+
+@query(f"""with {_PAIRS}, e as (select tree, a, b from c union select tree, b, a from c)
+select tree, 'f' || lpad(a::varchar, 2, '0') as path, count(distinct b) as partners, list_sort(list(distinct 'f' || lpad(b::varchar, 2, '0')))[1:3]::varchar as examples from e where a <> b group by tree, a""")
+def partner_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clones.partners(_pairs(spark, sf_dir), ["tree"])
+    return out.withColumn("examples", F.format_string("[%s]", F.array_join("examples", ", ")))
+
+
+@query(f"""with {_PAIRS}, e as (select tree, a, b from c where a <> b union select tree, b, a from c where a <> b), n as (select tree, a, count(*) as partners from e group by tree, a),
+d as (select l_returnflag as tree, l_suppkey % 90 as a, count(*) as dup_lines from lineitem where l_linenumber < 4 group by all), z as (select l_returnflag as tree, l_suppkey % 90 as a, count(*) as norm_lines from lineitem group by all),
+r as (select tree, a, dup_lines, norm_lines, partners, row_number() over (partition by tree order by partners desc, a) as rank from d join z using (tree, a) join n using (tree, a) where norm_lines >= 100 and dup_lines >= 0.5 * norm_lines and partners >= 20)
+select tree, 'f' || lpad(a::varchar, 2, '0') as path, dup_lines, norm_lines, partners, rank::int as rank from r where rank <= 4""")
+def bundle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four files of each tree that look most like bundles."""
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("tree"), F.format_string("f%02d", F.col("l_suppkey") % 90).alias("path"), "l_linenumber")
+    dup, sizes = own.filter("l_linenumber < 4").groupBy("tree", "path").agg(F.count("*").alias("dup_lines")), own.groupBy("tree", "path").agg(F.count("*").alias("norm_lines"))
+    return clones.bundles(dup, sizes, _pairs(spark, sf_dir), ["tree"], most=4).select("tree", "path", "dup_lines", "norm_lines", "partners", "rank")
+
+
+# each document of an even id is a commit that adds its lines to a tree of the documents with odd ids in its language; every third of those goes
+_COPIED = f"""{_NORM}, k as (select doc_id, lang from documents),
+a as (select lang, doc_id, pos, text from norm join k using (doc_id) where doc_id % 2 = 0), b as (select lang, doc_id as src, pos, text from norm join k using (doc_id) where doc_id % 2 = 1),
+pairs as (select a.lang, a.doc_id, a.pos as i, b.src, b.pos as j from a join b on a.lang = b.lang and a.text = b.text),
+isl as (select *, i - row_number() over (partition by lang, doc_id, src, i - j order by i) as g from pairs),
+len as (select *, max(i) over (partition by lang, doc_id, src, i - j, g) - i + 1 as len from isl),
+best as (select lang, doc_id, i, max(len) as len, arg_min(src, (-len, src, j)) as src from len where len >= 3 group by all)"""
+
+
+@query(f"""with {_COPIED} select lang, doc_id, count(*) as match_starts, max(len) as longest from best group by lang, doc_id""")
 def copied_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = changes.longest_matches(*_copy_input(spark, sf_dir))
-    return best.groupBy(F.col("repo_id").alias("source"), F.col("idx").alias("doc_id")).agg(F.count("*").alias("match_starts"), F.max("len").alias("longest"))
+    return best.groupBy(F.col("repo_id").alias("lang"), F.col("idx").alias("doc_id")).agg(F.count("*").alias("match_starts"), F.max("len").alias("longest"))
 
 
 def _copy_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    own = norm_lines(spark, sf_dir)
-    added = own.filter("doc_id % 2 = 0").select(F.col("source").alias("repo_id"), F.col("doc_id").alias("idx"), F.lit("new").alias("path"), F.lit(0).alias("edit"), "pos", "text")
-    tree = own.filter("doc_id % 2 = 1").select(F.col("source").alias("repo_id"), F.format_string("%012d", "doc_id").alias("src"), "pos", "text", (F.col("doc_id") % 3 == 0).alias("gone"))
+    own = cut(norm_lines(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("repo_id")), "doc_id"))
+    added = own.filter("doc_id % 2 = 0").select("repo_id", F.col("doc_id").alias("idx"), F.lit("new").alias("path"), F.lit(0).alias("edit"), "pos", "text")
+    tree = own.filter("doc_id % 2 = 1").select("repo_id", F.format_string("%012d", "doc_id").alias("src"), "pos", "text", (F.col("doc_id") % 3 == 0).alias("gone"))
     # only files that share a window with a commit matter to it
     w = lines.windows(added, config.RUN, ["repo_id", "idx"]).select("repo_id", "idx", "h").distinct()
     near = lines.windows(tree, config.RUN, ["repo_id", "src"]).select("repo_id", "src", "h").join(w, ["repo_id", "h"]).select("repo_id", "idx", "src").distinct()
-    return added, tree.join(near, ["repo_id", "src"])
+    return added, cut(tree.join(near, ["repo_id", "src"]))
 
 
-@query()
+@query(f"""with recursive {_COPIED},
+follow as (select x.lang, x.doc_id, x.i, x.len, x.src, min(y.i) as after from best x left join best y on x.lang = y.lang and x.doc_id = y.doc_id and y.i >= x.i + x.len group by all),
+walk as (select f.* from follow f join (select lang, doc_id, min(i) as i from best group by all) using (lang, doc_id, i) union all select f.* from walk w join follow f on f.lang = w.lang and f.doc_id = w.doc_id and f.i = w.after),
+mix as (select doc_id, sum(case when src % 3 = 0 then 0 else len end)::bigint as copied, sum(case when src % 3 = 0 then len else 0 end)::bigint as moved from walk group by doc_id), n as (select lang, doc_id, count(*) as added from a group by all)
+select lang, doc_id, added, added - coalesce(copied, 0) - coalesce(moved, 0) as novel, coalesce(copied, 0) as copied, coalesce(moved, 0) as moved, 0::bigint as deleted from n left join mix using (doc_id)""")
 def line_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     added, parent = _copy_input(spark, sf_dir)
     gone = added.select("repo_id", "idx", F.lit(0).alias("lines")).distinct()
-    return changes.line_mix(added, parent, gone)
+    out = changes.line_mix(added, parent, gone).withColumnsRenamed({"repo_id": "lang", "idx": "doc_id"})
+    return _long(out, "novel", "copied", "moved", "deleted")
 
 
 @query(f"""with {_NORM}, n as (select source, doc_id, text, count(*) as n from norm group by all),
@@ -184,13 +207,7 @@ c as (select a.source, a.doc_id as a, b.doc_id as b, sum(least(a.n, b.n)) as com
 s as (select doc_id, sum(n) as lines from n group by doc_id)
 select c.source, a, b, common::bigint as common from c join s x on c.a = x.doc_id join s y on c.b = y.doc_id where common >= 0.9 * greatest(x.lines, y.lines)""")
 def similar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = norm_lines(spark, sf_dir)
-    size = own.groupBy("doc_id").agg(F.count("*").alias("n"))
-    n = own.groupBy("source", "doc_id", "text").agg(F.count("*").alias("c"))
-    pairs = n.select("source", "text", F.col("doc_id").alias("a")).join(n.select("source", "text", F.col("doc_id").alias("b")), ["source", "text"]).filter("a < b").select("source", "a", "b").distinct()
-    held = own.select(F.col("doc_id").alias("file"), "text")
-    judged = mirrors.shared_lines(held, ["a"], ["b"], pairs).join(size.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-    return judged.filter(F.col("common") >= config.MIRROR_FILE_SAME * F.greatest("na", "nb")).select("source", "a", "b", "common")
+    return mirrors.similar(norm_lines(spark, sf_dir).select("source", "doc_id", "text"), ["source"], "doc_id")
 
 
 @query(f"""with {_NORM}, l as (select source, lang, count(*) as lines from norm join (select doc_id, lang from documents) using (doc_id) group by all)
@@ -268,15 +285,14 @@ def sampled_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AUTHORS = "a as (select repo_id, author, count(*) as commits, sum(added)::bigint as added_lines from facts group by all)"
 
 
-def _authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = facts(spark, sf_dir)
+def _authors(own: DataFrame) -> DataFrame:
     return own.groupBy("repo_id", F.format_string("%03d", "author").alias("author_key")).agg(F.count("*").alias("commits"), F.sum("added").alias("added_lines"))
 
 
 @query(f"""with {FACTS}, {_AUTHORS}, r as (select repo_id, row_number() over w as n, sum(commits) over w as run, sum(commits) over (partition by repo_id) as total from a window w as (partition by repo_id order by commits desc, author rows unbounded preceding))
 select repo_id, min(n)::int as bus_factor from r where run * 2 >= total group by repo_id""")
 def bus_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identities.bus_factor(_authors(spark, sf_dir), ["repo_id"])
+    return identities.bus_factor(_authors(facts(spark, sf_dir)), ["repo_id"])
 
 
 @query(f"""with {FACTS}, d as (select repo_id, idx, floor(committed_at / 86400000.0)::bigint as day from facts), f as (select *, lag(day) over (partition by repo_id order by idx) as b from d),
@@ -315,8 +331,7 @@ _DELTAS = f"""with {FACTS}, last as (select repo_id, arg_max(committed_at, idx)
   1000.0::double * ref_calls / ref_loc as conn_then, 1000.0::double * calls / loc as conn from last join r using (repo_id))"""
 
 
-def _head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = facts(spark, sf_dir)
+def _head_rows(own: DataFrame) -> DataFrame:
     head = own.filter("loc is not null").groupBy("repo_id").agg(F.max_by(F.struct("committed_at", "dup_lines", "loc", "calls", "err_swallow"), "idx").alias("h")).select("repo_id", "h.*")
     ref = sampling.window_reference(own, ["repo_id"], 90, is_sampled=F.col("loc").isNotNull())
     at = own.join(ref.withColumnRenamed("ref", "idx"), ["repo_id", "idx"]).select("repo_id", F.col("committed_at").alias("ref_at"), F.col("dup_lines").alias("ref_dup_lines"), F.col("loc").alias("ref_loc"), F.col("calls").alias("ref_calls"))
@@ -325,12 +340,13 @@ def _head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_DELTAS} select repo_id, reference_days, dup_delta_lines, round(dup_delta_pct, 6) as dup_delta_pct, round(conn_then, 6) as conn_then, round(100.0 * (conn - conn_then) / conn_then, 6) as conn_delta_pct from d")
 def window_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _head_rows(spark, sf_dir).select("repo_id", "reference_days", "dup_delta_lines", *[F.round(c, 6).alias(c) for c in ("dup_delta_pct", "conn_then", "conn_delta_pct")])
+    return _head_rows(cut(facts(spark, sf_dir))).select("repo_id", "reference_days", "dup_delta_lines", *[F.round(c, 6).alias(c) for c in ("dup_delta_pct", "conn_then", "conn_delta_pct")])
 
 
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = metrics.headline(facts(spark, sf_dir), ["repo_id"])
-    all_ = head.join(_head_rows(spark, sf_dir), "repo_id").join(bus_factor(spark, sf_dir), "repo_id").withColumn("dominant_language", F.when(F.substring("repo_id", 1, 1) < "3", "JAVA").otherwise("PYTHON"))
+    own = cut(facts(spark, sf_dir))
+    head = metrics.headline(own, ["repo_id"])
+    all_ = head.join(_head_rows(own), "repo_id").join(identities.bus_factor(_authors(own), ["repo_id"]), "repo_id").withColumn("dominant_language", F.when(F.substring("repo_id", 1, 1) < "3", "JAVA").otherwise("PYTHON"))
     return grading.states(all_, Thresholds())
 
 
@@ -351,9 +367,28 @@ def metric_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded(spark, sf_dir).select("repo_id", "state_copy", "state_refactor", "state_churn", "state_level", "direction", "state_dup_delta", "state_err", "state_conn")
 
 
-@query()
+_RANK = "case {0} when 'crit' then 3 when 'warn' then 2 when 'good' then 1 else 0 end"
+
+
+@query(f"""{_STATES}, v as (select repo_id, 100.0::double * copied / added as copy_pct, 100.0::double * churn / churn_added as churn_pct, dup_pct, err, 100.0 * (conn - conn_then) / conn_then as conn_pct, dup_delta_lines, dup_delta_pct, case when repo_id < '3' then 6.0 else 5.5 end as lw
+  from h join k using (repo_id) join n using (repo_id) join d using (repo_id)),
+ a as (select repo_id, author, count(*) as commits from facts group by all), b as (select repo_id, row_number() over w as n, sum(commits) over w as run, sum(commits) over (partition by repo_id) as total from a window w as (partition by repo_id order by commits desc, author rows unbounded preceding)),
+ bus as (select repo_id, min(n)::double as bus from b where run * 2 >= total group by repo_id),
+ s as (select *, case when copy_pct >= 15 then 'crit' when copy_pct >= 8 then 'warn' else 'good' end as copy, case when churn_pct >= 20 then 'crit' when churn_pct >= 10 then 'warn' else 'good' end as churn, case when dup_pct >= 11.3 then 'crit' when dup_pct >= lw then 'warn' else 'good' end as level,
+  case when abs(dup_delta_lines) < 20 or dup_delta_lines <= 0 then 'good' when dup_delta_pct is null then 'warn' when dup_delta_pct >= 15 and abs(dup_delta_lines) >= 100 then 'crit' when dup_delta_pct >= 5 then 'warn' else 'good' end as delta,
+  case when err >= 3 then 'crit' when err >= 1 then 'warn' else 'good' end as errs, case when conn_pct <= -8 then 'crit' when conn_pct <= -2 then 'warn' else 'good' end as cons, case when bus <= 1 then 'crit' when bus = 2 then 'warn' else 'good' end as people from v join bus using (repo_id)),
+ rk as (select *, {_RANK.format("copy")} as rcopy, {_RANK.format("level")} as rlevel, {_RANK.format("delta")} as rdelta, {_RANK.format("errs")} as rerr, {_RANK.format("cons")} as rcon, {_RANK.format("churn")} as rchurn, {_RANK.format("people")} as rbus from s),
+ g as (select *, 'duplication' as grade, case when rdelta > greatest(rcopy, rlevel) then 'direction' when rlevel > rcopy then 'level' else 'copyPaste' end as axis, case when rdelta > greatest(rcopy, rlevel) then delta when rlevel > rcopy then level else copy end as state from rk
+  union all select *, 'maintainability', case when rerr >= rcon then 'errorSwallow' else 'connectivity' end, case when rcon > rerr then cons else errs end from rk
+  union all select *, 'changeSafety', case when rbus >= rchurn then 'busFactor' else 'churn' end, case when rbus > rchurn then people else churn end from rk),
+ q as (select *, state = 'crit' as c, state in ('good', 'unknown') as quiet from g)
+select repo_id, grade, state, axis, case when quiet then null when axis = 'busFactor' then 'bus' when axis = 'direction' then 'lines' else 'metric' end as kind,
+ round(case when quiet then null when axis = 'busFactor' then bus when axis = 'direction' then dup_delta_lines when axis = 'errorSwallow' then floor(err * 100 + 0.5) / 100 when axis = 'connectivity' then floor(conn_pct * 10 + 0.5) / 10 when axis = 'churn' then floor(churn_pct * 10 + 0.5) / 10
+  when axis = 'copyPaste' then floor(copy_pct * 10 + 0.5) / 10 else floor(dup_pct * 100 + 0.5) / 100 end, 6) as value,
+ (case when quiet then null when axis = 'errorSwallow' then case when c then 3 else 1 end when axis = 'connectivity' then case when c then -8 else -2 end when axis = 'churn' then case when c then 20 else 10 end when axis = 'copyPaste' then case when c then 15 else 8 end when axis = 'level' then case when c then 11.3 else lw end end)::double as "limit" from q""")
 def combined_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grading.grades(graded(spark, sf_dir), ["repo_id"], Thresholds())
+    out = grading.grades(graded(spark, sf_dir), ["repo_id"], Thresholds())
+    return out.select("repo_id", "grade", "state", "axis", "reason.kind", F.round("reason.value", 6).alias("value"), "reason.limit")
 
 
 @query("""with f as (select o_orderpriority as repo_id, case when o_totalprice > 300000 then 'crit' when o_totalprice > 200000 then 'warn' when o_totalprice > 1000 then 'good' else 'unknown' end as severity, ['bundleFile', 'crossFileClone', 'cloneConcentration', 'busFactor', 'identitySuspects', 'churnSpike', 'copyPasteHigh', 'errorHandling', 'connectivityDrift', 'busFactorClean'][o_orderkey % 10 + 1] as code from orders),
@@ -448,8 +483,7 @@ def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select p_brand, p_partkey, p_retailprice, r::int as rank from (select *, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as r from part) where r <= 6""")
 def right_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("p_brand").orderBy(F.col("p_retailprice").desc(), "p_partkey")
-    return table(spark, sf_dir, "part").withColumn("rank", F.row_number().over(w)).filter("rank <= 6").select("p_brand", "p_partkey", "p_retailprice", "rank")
+    return metrics.right_tail(table(spark, sf_dir, "part"), "p_retailprice", "p_partkey", ["p_brand"]).select("p_brand", "p_partkey", "p_retailprice", "rank")
 
 
 @query("""select p_partkey, case when p_size is null then 'probe failed' when p_size < 10 then 'under 10 measured lines' when p_brand = 'Brand#11' then 'by hand' end as "excludeReason", case when p_size >= 10 and p_brand <> 'Brand#11' then 'yes' else 'no' end as included from part""")
@@ -553,9 +587,17 @@ def scanner_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.groupBy("source", "lang").agg(F.sum(F.size("code")).alias("code_lines"), F.sum(F.size("norm")).alias("norm_lines"), F.count_if("data_table").alias("data_tables"), *[F.sum(c).alias(c) for c in names])
 
 
-@query()
+@query(f"""with {_NORM}, l as (select doc_id, list(text order by pos) as l from norm group by doc_id)
+select y.doc_id, sha256(array_to_string(y.l, chr(10))) as rebuilt, (len(y.l) - len(x.l))::bigint as grown, x.l <> y.l as edited from l x join l y on y.doc_id = x.doc_id + 20""")
 def edit_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edits between each document and the one 20 ids before, as line ranges."""
+    """Each document rebuilt from the one 20 ids before by the edits between them."""
     own = norm_lines(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("l")).select("doc_id", F.transform("l", lambda x: x["text"]).alias("l"))
-    before = own.select((F.col("doc_id") + 20).alias("doc_id"), F.col("l").alias("b"))
-    return own.join(before, "doc_id").select("doc_id", F.posexplode(scanners.edits("b", "l")).alias("edit", "e")).select("doc_id", "edit", "e.*")
+    both = own.join(own.select((F.col("doc_id") + 20).alias("doc_id"), F.col("l").alias("b")), "doc_id").withColumn("edits", scanners.edits("b", "l"))
+    # what stays before each edit, what the edit brings, and what stays after the last
+    whole = F.concat("edits", F.array(F.struct(F.size("b").alias("begin_a"), F.size("b").alias("end_a"), F.size("l").alias("begin_b"), F.size("l").alias("end_b"))))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    taken = lambda side, a, b: F.slice(side, a + 1, F.greatest(b - a, F.lit(0)))
+    step = lambda s, e: F.struct(e["end_a"].alias("at"), F.concat(s["out"], taken(F.col("b"), s["at"], e["begin_a"]), taken(F.col("l"), e["begin_b"], e["end_b"])).alias("out"))
+    rebuilt = F.aggregate(whole, start, step)["out"]
+    change = F.aggregate("edits", F.lit(0).cast("long"), lambda n, e: n + (e["end_b"] - e["begin_b"]) - (e["end_a"] - e["begin_a"]))
+    return both.select("doc_id", F.sha2(F.array_join(rebuilt, "\n"), 256).alias("rebuilt"), change.alias("grown"), (F.size("edits") > 0).alias("edited"))
