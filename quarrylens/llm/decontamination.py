@@ -26,13 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm.kernels import ALNUM, Words, blocks, lowered
-from quarrylens.llm.scratch import bounded, saved, table, unused, with_row_key
+from quarrylens.llm.scratch import bounded, files_for, saved, table, unused, with_row_key
 
 WINDOW, GRAM, KEEP = 10, 5, 6
-#: a word in Spark's expressions, both cases
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: in place of a length: fingerprints that winnowing keeps
-KEPT = 0
+#: in place of a length: fingerprints that winnowing keeps, and a text's number of words in place of a hash
+KEPT, WORDS = 0, -1
 _VALUES, _SEED = lowered(8), 80
 
 
@@ -85,12 +83,15 @@ def _item_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _document_pass(lengths: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, n, h, at): the fingerprints of each text, and one row with its number of words."""
+
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, data, offsets in blocks(batch.column(1)):
                 w = words_of(data, offsets)
-                for n in lengths:
-                    hashes, doc, at = _fingerprints(w, n)
+                every = (w.counts.astype(np.uint64), np.arange(len(w.counts)), np.zeros(len(w.counts), np.int64))
+                for n in [WORDS, *lengths]:
+                    hashes, doc, at = every if n == WORDS else _fingerprints(w, n)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + doc)), pa.array(np.full(len(doc), n, np.int32)), pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int32))], ["key", "n", "h", "at"])
 
     return fingerprints
@@ -119,20 +120,23 @@ def _extend_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(spelled, pa.string())], ["key", "first", "n", "h", "words"])
 
 
-def occurrences(rows: DataFrame, benchmark: DataFrame, item_column: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """((key, first, n, h, words), (item, n, h, words)): the benchmark's windows in ``rows`` (key, text), and all of them."""
+def occurrences(rows: DataFrame, benchmark: DataFrame, item_column: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((key, first, n, h, words), (item, n, h, words), (key, n_words)): the benchmark's windows in ``rows`` (key, text), all of them, and the rows' words."""
     items = bounded(benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text")))
-    windows = saved(items.mapInArrow(_item_pass, "item string, n int, h long, words string"), "windows")
-    known = saved(windows.filter(F.col("n") != WINDOW).select("n", "h").distinct(), "fingerprints")
+    files, few = files_for(rows.count()), files_for(items.count(), 2_000)
+    windows = saved(items.mapInArrow(_item_pass, "item string, n int, h long, words string"), "windows", few)
+    known = saved(windows.filter(F.col("n") != WINDOW).select("n", "h").distinct(), "fingerprints", few)
     lengths = sorted(r["n"] for r in known.select("n").distinct().collect())  # WINDOW numbers at most
     kind = rows.schema["key"].dataType.simpleString()
-    found = bounded(rows.select("key", "text")).mapInArrow(_document_pass(lengths), f"key {kind}, n int, h long, at int").join(known, ["n", "h"])
-    hits = found.groupBy("key").agg(F.collect_set(F.struct("n", "at")).alias("hits"))
-    hits = saved(hits, "hits")
+    prints = bounded(rows.select("key", "text")).mapInArrow(_document_pass(lengths), f"key {kind}, n int, h long, at int")
+    found = prints.join(known.withColumn("known", F.lit(True)), ["n", "h"], "left").filter(F.col("known") | (F.col("n") == WORDS))
+    found = saved(found.select("key", "n", "h", "at"), "found", files)
+    hits = saved(found.filter(F.col("n") != WORDS).groupBy("key").agg(F.collect_set(F.struct("n", "at")).alias("hits")), "hits", files)
     around = rows.select("key", "text").join(hits, "key").select("key", "text", "hits").mapInArrow(_extend_pass, f"key {kind}, first int, n int, h long, words string")
     windows = windows.filter(F.col("n") != KEPT)
-    distinct = saved(windows.select("n", "h", "words").distinct(), "distinct")
-    return saved(around.join(distinct, ["n", "h", "words"], "left_semi").select("key", "first", "n", "h", "words"), "matched"), windows
+    distinct = saved(windows.select("n", "h", "words").distinct(), "distinct", few)
+    matched = saved(around.join(distinct, ["n", "h", "words"], "left_semi").select("key", "first", "n", "h", "words"), "matched", files)
+    return matched, windows, found.filter(F.col("n") == WORDS).select("key", F.col("h").alias("n_words"))
 
 
 def _covered(spans: Column) -> Column:
@@ -146,11 +150,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of ``docs``."""
     key = unused(docs, "row")
     rows = with_row_key(docs, key).select(F.col(key).alias("key"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    matched, windows = occurrences(rows, benchmark, item_column, item_text)
+    matched, windows, counts = occurrences(rows, benchmark, item_column, item_text)
     hit = matched.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", (F.col("first") + F.col("n")).alias("end")))).alias("spans")).select("key", _covered(F.col("spans")).alias("n_hit"))
     items = matched.select("key", "n", "h", "words").distinct().join(windows.distinct(), ["n", "h", "words"]).select("key", "item").distinct()
     items = items.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    out = rows.select("id", "key", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")).join(hit.join(items, "key"), "key", "left")
+    out = rows.select("id", "key").join(counts, "key").join(hit.join(items, "key"), "key", "left")
     items, n_hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(F.col("id").alias(id_column), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
@@ -163,7 +167,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item
     """The rows of ``docs`` that hold no window of the benchmark, with all their columns."""
     key = unused(docs, "row")
     rows = with_row_key(docs, key)
-    matched, _ = occurrences(rows.select(F.col(key).alias("key"), F.col(text_column).alias("text")), benchmark, item_column, item_text)
+    matched, _, _ = occurrences(rows.select(F.col(key).alias("key"), F.col(text_column).alias("text")), benchmark, item_column, item_text)
     return rows.join(matched.select(F.col("key").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
