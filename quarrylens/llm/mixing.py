@@ -39,9 +39,9 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column], files: int) -> DataFrame:
     """``df`` with sums over all rows before, in ``order``: ranges of rows are summed apart, and only their totals meet in one place."""
-    dealt = saved(df.repartitionByRange(_partitions(df), *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    dealt = saved(df.repartitionByRange(_partitions(df), *order).withColumn("_p", F.spark_partition_id()), "ranges", files)
     zero = lambda c: F.coalesce(c, F.lit(0))
     earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("_p").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()]).select("_p", *[zero(F.sum(f"_{k}").over(earlier)).alias(f"_{k}") for k in sums])
@@ -53,11 +53,12 @@ def _running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Dat
 def _sources(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """(sid, source, rows, source_size, target): one row for each source."""
     by = sizes.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size"))
-    by = _running(by, [F.col("source").asc_nulls_last()], {"sid": F.lit(1)})
+    files = files_for(sizes.agg(F.approx_count_distinct("source")).first()[0])
+    by = _running(by, [F.col("source").asc_nulls_last()], {"sid": F.lit(1)}, files)
     by = by.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("sid", F.lit(len(weights))).cast("int") + 1))
     # the level at which targets stop: sources in order of how early they fill up
-    by = _running(by.withColumn("fills", most * F.col("source_size") / F.col("weight")), [F.col("fills"), F.col("sid")], {"size_before": F.col("source_size"), "weight_before": F.col("weight")})
-    by = saved(by, "sources")
+    by = _running(by.withColumn("fills", most * F.col("source_size") / F.col("weight")), [F.col("fills"), F.col("sid")], {"size_before": F.col("source_size"), "weight_before": F.col("weight")}, files)
+    by = saved(by, "sources", files)
     total = by.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()  # two numbers
     level = (F.lit(total["size"]) - most * F.col("size_before")) / (F.lit(total["weight"]) - F.col("weight_before"))
     reached = by.withColumn("level", level).filter("fills >= level").agg(F.min(F.struct("fills", "sid", "level"))["level"].alias("level")).first()["level"]
@@ -83,7 +84,8 @@ def slots(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     s = s.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("full", F.floor(F.col("source_size") / block))
     s = s.withColumn("epochs", F.floor(F.col("owed") / F.col("source_size"))).withColumn("rest", F.col("owed") - F.col("epochs") * F.col("source_size"))
     s = s.withColumn("slots", F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / block)).filter("slots > 0")
-    s = saved(_running(s, [F.col("sid")], {"first": F.col("slots")}), "owed")
+    files = files_for(s.count())
+    s = saved(_running(s, [F.col("sid")], {"first": F.col("slots")}, files), "owed", files)
     total = s.agg(F.sum("slots")).first()[0] or 0
     # in ranges, so that a large source is not one task's
     ranges = s.withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RANGE)))).repartition(_partitions(s), "sid", "range")
@@ -121,7 +123,8 @@ def mixture(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     parts = placed.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("off") / block), F.floor((F.col("off") + F.col("size") - 1) / block))).otherwise(F.array(F.lit(None).cast("long")))))
     parts = parts.withColumn("begin", F.greatest(F.col("off"), F.col("block") * block)).withColumn("end", F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * block))
     # each part with the slots that hold it; a cut slot may end before it
-    held = slots(sources, block).withColumnRenamed("words", "held")
+    # the planner takes all slots for as small as the table of sources that they come from, and would broadcast them
+    held = slots(sources, block).withColumnRenamed("words", "held").hint("merge")
     joined = parts.join(held, ["sid", "block"], "left")
     words = F.greatest(F.lit(0), F.least("end", F.col("block") * block + F.col("held")) - F.col("begin"))
     joined = joined.withColumn("words", F.when(F.col("slot").isNotNull(), words).otherwise(0).cast("long"))
@@ -144,5 +147,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document."""
+    """How many words the mix takes of each document: a row for each row, those without words or id too."""
     return mix(docs)
