@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylens.llm.scratch import saved, table
+from quarrylens.llm.scratch import files_for, saved, table
 
 K, SKETCH, LONGEST = 5, 64, 24
 _RUN = r"[^\x20\x09-\x0D]"
@@ -79,14 +79,14 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.size(both) == 0, 1.0).otherwise(shared / F.size(both)).cast("double")
 
 
-def _next_keys(keys: DataFrame) -> DataFrame:
+def _next_keys(keys: DataFrame, files: int) -> DataFrame:
     """(id, t, n_chars, next_id, next_t) of each distinct key, in ascending order, the first after the last.
 
     Keys are range-partitioned; only the first key of each partition meets in one place.
     """
     spark = keys.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = saved(keys.repartitionByRange(n, "id", "t").dropDuplicates(["id", "t"]).withColumn("p", F.spark_partition_id()), "keys")
+    dealt = saved(keys.repartitionByRange(n, "id", "t").dropDuplicates(["id", "t"]).withColumn("p", F.spark_partition_id()), "keys", files)
     following = F.lead(F.struct("id", "t")).over(Window.partitionBy("p").orderBy("id", "t"))
     firsts = dealt.groupBy("p").agg(F.min(F.struct("id", "t")).alias("first"))
     order = Window.orderBy("p")
@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     no_id = F.lit(-(2**63)).cast("long")
     own = docs.select(F.coalesce(F.col(id_column).cast("long"), no_id).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
     own = own.withColumn("t", F.xxhash64("text")).withColumn("n_chars", F.char_length("text"))
-    following = _next_keys(own.select("id", "t", "n_chars"))
+    following = _next_keys(own.select("id", "t", "n_chars"), files_for(docs.count()))
     there = own.select(F.col("id").alias("next_id"), F.col("t").alias("next_t"), F.col("text").alias("next")).dropDuplicates(["next_id", "next_t"])
     ahead = with_sketch(there.join(following, ["next_id", "next_t"]), "next", "b").select("id", "t", "b", F.expr("substring(next, 1, cast(floor(n_chars / 2) as int))").alias("start"))
     here = with_sketch(own, "text", "a").select("id", "t", "n_chars", "a", F.expr("substring(text, 1, n_chars - cast(floor(n_chars / 2) as int))").alias("head"))

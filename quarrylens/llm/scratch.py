@@ -38,7 +38,7 @@ def files_for(rows: int, each: int = 40_000) -> int:
 
 
 def saved(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
-    """``df`` written as a Parquet table and read back; ``files``: dealt out to so many, where tasks are many and rows few."""
+    """``df`` written as a Parquet table and read back; ``files``: dealt out to so many, as tasks are many and rows often few."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}.parquet"
     (df if files is None else df.repartition(files)).write.parquet(path)
