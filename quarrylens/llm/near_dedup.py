@@ -177,7 +177,9 @@ def _ranked_pairs(classes: DataFrame, sets: DataFrame, files: int) -> DataFrame:
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """(id, key, n_shingles, component_id) of ``rows`` (id, key, text); keys tell rows apart, ids needn't.
+    """(id, key, n_shingles, component_id, component) of ``rows`` (id, key, text); keys tell rows apart, ids needn't.
+
+    component_id is the smallest id of a row's component, and component its number, which no other one has; null without id or words.
 
     A class of equal sets is known by its node, a number of its own, and its text is read from one row.
     """
@@ -223,11 +225,12 @@ def grouped(rows: DataFrame) -> DataFrame:
     # the smallest id of each component of several classes
     linked = classes.select("h1", "h2", "node", "id").join(roots, "node")
     least = saved(linked.groupBy("root").agg(F.min("id").alias("least")), "least", files)
-    named = linked.join(least, "root").select("h1", "h2", "least")
-    named = saved(classes.select("h1", "h2", "id").join(named, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", "id").alias("least")), "named", files)
+    named = linked.join(least, "root").select("node", "root", "least")
+    named = classes.select("h1", "h2", "node", "id").join(named, "node", "left")
+    named = saved(named.select("h1", "h2", F.coalesce("root", "node").alias("component"), F.coalesce("least", "id").alias("least")), "named", files)
     out = signed.select("id", "key", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
-    component = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")))
-    return out.select("id", "key", "n_shingles", component.alias("component_id"))
+    smallest = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")))
+    return out.select("id", "key", "n_shingles", smallest.alias("component_id"), F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).alias("component"))
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str, key: str) -> DataFrame:
@@ -260,7 +263,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     at = unused(docs, "row")
     rows = with_row_key(docs, at)
     found = grouped(_rows(rows, "doc_id", "text", at))
-    found = saved(found.filter("id is not null and n_shingles > 0").select("key", "id", "component_id"), "found")
-    stays = found.groupBy("component_id").agg(F.min(F.struct("id", "key"))["key"].alias("key"))
+    found = saved(found.filter("component is not null").select("key", "id", "component"), "found", files_for(rows.count()))
+    stays = found.groupBy("component").agg(F.min(F.struct("id", "key"))["key"].alias("key"))
     gone = found.join(stays.select("key"), "key", "left_anti").select(F.col("key").alias(at))
     return rows.join(gone, at, "left_anti").select(*docs.columns)
