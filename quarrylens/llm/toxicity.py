@@ -174,6 +174,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose score stays below the threshold."""
+    """The documents whose score stays below the threshold, with their columns; null and empty texts have no distance and stay unless toxic rows are the rule."""
     score = unused(docs, "toxicity")
     return toxicity(docs, trained(spark, sf_dir), out=score).filter(F.col(score) < THRESHOLD).drop(score)

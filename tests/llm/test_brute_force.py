@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from quarrylens.llm import fingerprints, kernels, language_id, mixing, quality, toxicity, url_filters
+from quarrylens.llm import fingerprints, kernels, language_id, mixing, quality, token_counts, toxicity, url_filters
 
 
 def words(rng, n, size=400):
@@ -91,6 +91,27 @@ def test_anchors_and_their_places(spark):
     assert len(before & after) > 0.9 * len(before)
 
 
+# ---------------------------------------------------------------- 3
+
+
+def test_token_counts_of_long_texts_in_parts(monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(token_counts, "HELD_BYTES", 60)
+    monkeypatch.setattr(token_counts, "LONGEST", 7)
+    monkeypatch.setattr(token_counts, "BATCH_BYTES", 20)
+    monkeypatch.setattr(token_counts, "KEPT", 50)
+    rng = random.Random(3)
+    bits = ["ab", "7", "12", "é", "é", "\u0301", "漢字", "。", "，", "<|endoftext|>", "'s", "'re", "...", "_", "²", "ſ", "İ", " ", "\n", "Ａ", "ﬁ", "-", "\u00a0"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(0, 90))) for _ in range(1_500)] + ["x" * 500, "9" * 500, "漢。" * 200, "", " \t "]
+    c = token_counts.counter()
+    c.kept.clear()
+    whole = [len(x.ids) for x in c.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert c.counts([t.encode() for t in texts]) == whole
+    assert sum(len(token_counts.pieces(t.encode())) > len(t.encode().split()) for t in texts) > 1_000
+    assert b"".join(token_counts.parts("a b".encode() * 99)) == b"a b" * 99
+    c.kept.clear()
+
+
 # ---------------------------------------------------------------- 4
 
 

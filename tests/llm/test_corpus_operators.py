@@ -411,3 +411,17 @@ def test_suffix_dedup_orders_whole_groups(chunk, monkeypatch):
         for k in range(shape // 256 + 1):
             seen.setdefault((c, cut[k : k + 200]), []).append((c, key["row"], first + k))
     assert got == {x for at in seen.values() if len(at) > 1 for x in at} and got
+
+
+def test_near_dedup_finds_all_links_just_above_the_limit(spark):
+    """Pairs of similarity 0.771, which signatures tell apart the least, and of 0.706, which aren't links."""
+    rng = random.Random(15)
+    rows = []
+    for k in range(350):
+        w = words(rng, 120, 100_000).split()
+        near = list(w)
+        for at in [(10, 40, 70), (10, 40, 70, 100)][k % 2]:
+            near[at] = f"z{rng.randrange(100_000)}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(near))]
+    got = by_id(near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id")
+    assert got == {i: (116, i - i % 2 if i // 2 % 2 == 0 else i) for i, _ in rows}
