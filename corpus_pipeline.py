@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of
 ``documents``; the last returns how many words the mix takes of each remaining document.
+
+Documents with null ids, texts or other columns pass through: a null or empty text is not toxic, near no other, holds no benchmark
+item, and gives the mix no words. Equal rows are copies of each other. Columns beyond those of ``documents`` are kept whatever
+their names, long texts are read in parts, and an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
