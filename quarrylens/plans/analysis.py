@@ -163,6 +163,8 @@ def _changes(tables: dict[str, DataFrame], trees: DataFrame, views: DataFrame, g
     theirs = lines.windows(spread, config.RUN, ["blob_id"]).select("blob_id", "h").distinct()
     member = trees.select("repo_id", F.col("path").alias("src"), "blob_id", "valid_from", "valid_to").join(theirs, "blob_id")
     near = ours.join(member, ["repo_id", "h"]).filter((F.col("valid_from") < F.col("idx")) & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("idx")))).select(*key, "src", "blob_id").distinct()
+    # of files with one content the first by path wins every tie
+    near = near.groupBy(*key, "blob_id").agg(F.min("src").alias("src"))
     parent = near.join(spread, "blob_id").select(*key, "src", "pos", "text")
     gone_lines = removed.select(*key, F.col("path").alias("src"), "pos", F.lit(True).alias("g1"))
     gone_paths = ch.filter("old_path is not null and (new_path is null or new_path <> old_path)").select(*key, F.col("old_path").alias("src"), F.lit(True).alias("g2")).distinct()

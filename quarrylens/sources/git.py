@@ -117,8 +117,8 @@ def error_kind(message: str | None) -> str:
 
 _CHANGE = "path string, old_path string, blob string, old_blob string, valid_from int, valid_to int"
 _ROWS = f"kind string, repo_id int, folder string, idx int, sha string, parent_sha string, author_name string, author_email string, committed_at bigint, subject string, content string, truncated boolean, {_CHANGE}"
-#: rows of a batch of a history
-_BATCH = 10_000
+#: rows of a batch of a history, and characters of a batch of contents
+_BATCH, _BATCH_CHARS = 10_000, 4 << 20
 
 
 def history(repo_id: int, folder: str, branch: str, most: int = config.MAX_COMMITS) -> Iterator[dict]:
@@ -182,6 +182,7 @@ def tables(spark: SparkSession, repos: list[tuple[int, str, str]], most: int = c
     names = [c.split()[0] for c in _ROWS.split(", ")]
     known = spark.createDataFrame([(r, os.path.abspath(f), b) for r, f, b in repos], "repo_id int, folder string, branch string")
     shape = spark.createDataFrame([], _ROWS).schema
+    texts = pa.schema([(c.split()[0], pa.string()) for c in SCHEMAS["blobs"].split(", ")])
     kinds = {f.name: pa.int32() if f.dataType.simpleString() == "int" else pa.int64() if f.dataType.simpleString() == "bigint" else pa.bool_() if f.dataType.simpleString() == "boolean" else pa.string() for f in shape.fields}
 
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
@@ -209,10 +210,16 @@ def tables(spark: SparkSession, repos: list[tuple[int, str, str]], most: int = c
             by_folder: dict[str, list[dict]] = {}
             for r in batch.to_pylist():
                 by_folder.setdefault(r["folder"], []).append(r)
+            held, size = [], 0
             for folder, asked in by_folder.items():
                 for r, raw in zip(asked, contents(folder, [r["blob_id"] for r in asked]), strict=True):
                     text = None if raw is None or b"\x00" in raw[:8000] else raw.decode("utf-8", "replace")
-                    yield pa.RecordBatch.from_arrays([pa.array([r["blob_id"]]), pa.array([r["path"]]), pa.array([text], pa.string())], ["blob_id", "path", "content"])
+                    held.append({"blob_id": r["blob_id"], "path": r["path"], "content": text})
+                    size += len(text or "")
+                    if size > _BATCH_CHARS:
+                        yield pa.RecordBatch.from_pylist(held, texts)
+                        held, size = [], 0
+            yield pa.RecordBatch.from_pylist(held, texts)
 
     blobs = cut(wanted.repartition("folder", F.pmod(F.xxhash64("blob_id"), F.lit(64))).mapInArrow(load, SCHEMAS["blobs"]))
     return {
