@@ -23,6 +23,7 @@ import os
 import re
 import sys
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,14 +53,6 @@ def parts(text: bytes) -> Iterator[bytes]:
     yield text[lo:]
 
 
-def pieces(part: bytes) -> list[bytes]:
-    """What can be counted alone."""
-    out = part.split()  # at ASCII white space
-    if max(map(len, out), default=0) <= LONGEST:
-        return out
-    return [q for p in out for q in (broken(p) if len(p) > LONGEST else (p,))]
-
-
 def broken(piece: bytes) -> Iterator[bytes]:
     """A long piece in parts of at least ``LONGEST`` characters, cut where there is a boundary."""
     text, lo = piece.decode(), 0
@@ -116,8 +109,12 @@ class Counter:
         return out
 
     def _add(self, held: list[tuple[int, bytes]], out: list[int]) -> None:
-        kept, split = self.kept, [(k, pieces(part)) for k, part in held]
-        new = self.learn({p for _, ps in split for p in ps if p not in kept})
+        kept, split = self.kept, [(k, part.split()) for k, part in held]  # at ASCII white space
+        new = set(chain.from_iterable(ps for _, ps in split)).difference(kept)
+        if any(len(p) > LONGEST for p in new):  # none of these is kept
+            split = [(k, [q for p in ps for q in (broken(p) if len(p) > LONGEST else (p,))]) for k, ps in split]
+            new = set(chain.from_iterable(ps for _, ps in split)).difference(kept)
+        new = self.learn(new)
         kept.update(new)
         for k, ps in split:
             out[k] += sum(map(kept.__getitem__, ps))
