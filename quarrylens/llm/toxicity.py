@@ -34,6 +34,8 @@ ORDINARY_BYTES, TOXIC_BYTES, FOLDS = 65_536, 4_096, 3
 #: a marking string: GRAM bytes that at least this share of toxic texts hold, e**LEAST_ODDS times as dense as in ordinary
 #: ones and by LEAST_Z standard deviations more frequent than there
 GRAM, LEAST_SHARE, LEAST_ODDS, LEAST_Z = 8, 0.03, 2.0, 5.0
+#: shares in which strings are counted
+PARTS = 8
 THRESHOLD = 0.7
 
 
@@ -51,26 +53,33 @@ def _grams(text: bytes) -> np.ndarray:
     return sum(data[i : len(data) - GRAM + 1 + i] << np.uint64(8 * i) for i in range(GRAM))
 
 
-def _counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The strings of ``GRAM`` bytes, how many texts hold each, how often they occur, and of how many there are."""
-    all_grams = [_grams(t) for t in texts] or [np.zeros(0, np.uint64)]
-    grams, often = np.unique(np.concatenate(all_grams), return_counts=True)
-    _, n = np.unique(np.concatenate([np.unique(g) for g in all_grams]), return_counts=True)
-    return grams, n, often, int(often.sum())
+def _counts(texts: list[bytes], part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one of ``PARTS`` shares of all strings of ``GRAM`` bytes: which there are, how many texts hold each, and how often they occur."""
+    held = [g[(g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(61) == part] for g in map(_grams, texts)] or [np.zeros(0, np.uint64)]
+    grams, often = np.unique(np.concatenate(held), return_counts=True)
+    _, n = np.unique(np.concatenate([np.unique(g) for g in held]), return_counts=True)
+    return grams, n, often
+
+
+def marking_strings(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
+    """The strings of ``GRAM`` bytes that mark toxic texts."""
+    total, total_others = (sum(max(0, len(t) - GRAM + 1) for t in texts) for texts in (toxic, ordinary))
+    out = []
+    for part in range(PARTS):  # so that the driver doesn't hold all strings of all texts at once
+        grams, n, often = _counts(toxic, part)
+        others, _, m = _counts(ordinary, part)
+        at = np.minimum(np.searchsorted(others, grams), max(0, len(others) - 1))
+        there = np.where(others[at] == grams, m[at], 0) if len(others) else np.zeros(len(grams), np.int64)
+        usual = (there + 0.5) / max(1, total_others)
+        dense = np.log((often + 0.5) / max(1, total) / usual) > LEAST_ODDS
+        certain = (often - usual * total) / np.sqrt(usual * total + 1) > LEAST_Z
+        out.append(grams[(n >= max(3, LEAST_SHARE * len(toxic))) & dense & certain])
+    return np.concatenate(out)
 
 
 def stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """The stretches of toxic texts that are made of marking strings, each as often as it occurs."""
-    grams, n, often, total = _counts(toxic)
-    others, _, m, total_others = _counts(ordinary)
-    if not len(grams):
-        return []
-    at = np.minimum(np.searchsorted(others, grams), max(0, len(others) - 1))
-    there = np.where(others[at] == grams, m[at], 0) if len(others) else np.zeros(len(grams), np.int64)
-    usual = (there + 0.5) / max(1, total_others)
-    dense = np.log((often + 0.5) / total / usual) > LEAST_ODDS
-    certain = (often - usual * total) / np.sqrt(usual * total + 1) > LEAST_Z
-    marking = grams[(n >= max(3, LEAST_SHARE * len(toxic))) & dense & certain]
+    marking = marking_strings(toxic, ordinary)
     found = []
     for t in toxic:
         hits = np.flatnonzero(np.isin(_grams(t), marking))
