@@ -153,7 +153,8 @@ def _held(lists: DataFrame, links: DataFrame | None, files: int) -> DataFrame:
     """``lists`` with where each member's component stands after the links found so far."""
     if links is None:
         return lists.withColumn("root", F.col("node"))
-    return lists.join(contract(links, files).withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = saved(contract(links, files).withColumnRenamed("id", "node"), "roots", files)  # read twice by each round
+    return lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _ranked_pairs(classes: DataFrame, sets: DataFrame, files: int) -> DataFrame:
