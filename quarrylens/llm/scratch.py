@@ -34,7 +34,7 @@ def folder(spark: SparkSession) -> str:
 
 def files_for(rows: int, each: int = 40_000) -> int:
     """How many files a table should have whose rows number about ``rows``: small ones cost more to make than to read."""
-    return max(2, -(-rows // each))
+    return max(4, -(-rows // each))
 
 
 def saved(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
