@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm.kernels import SPACED, Words, blocks, lowered, mix, random_words
-from quarrylens.llm.scratch import bounded, files_for, saved, table, unused, with_row_key
+from quarrylens.llm.scratch import bounded, drop, files_for, saved, table, unused, with_row_key
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, MATCHES = 64, 30
@@ -130,8 +130,9 @@ def contract(links: DataFrame, files: int) -> DataFrame:
         step = least.alias("x").join(least.select(F.col("id").alias("k"), F.col("up").alias("upper")).alias("y"), F.col("x.up") == F.col("y.k"), "left").select("x.id", F.least("x.up", F.coalesce("y.upper", "x.up")).alias("up"))
         step = saved(step, "step", files)
         steps.append(step)
-        links = links.join(step.select(F.col("id").alias("a"), F.col("up").alias("a2")), "a").join(step.select(F.col("id").alias("b"), F.col("up").alias("b2")), "b")
-        links = saved(links.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter("a < b").distinct(), "links", files)
+        further = links.join(step.select(F.col("id").alias("a"), F.col("up").alias("a2")), "a").join(step.select(F.col("id").alias("b"), F.col("up").alias("b2")), "b")
+        done, links = links, saved(further.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter("a < b").distinct(), "links", files)
+        drop(done)
     spark = links.sparkSession
     if not steps:
         return spark.createDataFrame([], "id long, root long")
