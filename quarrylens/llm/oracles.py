@@ -43,3 +43,36 @@ reach as (select doc_id, doc_id as r from documents union select reach.doc_id, b
 low as (select doc_id, min(r) as component_id from reach group by doc_id)
 select d.doc_id, coalesce(n_shingles, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept from d left join n using (doc_id) join low using (doc_id)
 """
+
+_WHOLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+OP11 = f"""
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings where label is not null and {_WHOLE}),
+s as (select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, list_inner_product(a.q, r.q)::bigint as score from e a join e r on a.vec_id % 50 = 0 and a.vec_id <> r.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank, vec_id as negative_id, positive_score, score as negative_score
+      from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+_ROUND = """,
+a{r} as materialized (select part, vec_id, min(struct_pack(d := (xx + bb - 2 * list_inner_product(x.v, b.v))::bigint, entry := b.entry)) as near
+      from (select *, list_inner_product(v, v) as xx from x) x join (select *, list_inner_product(v, v) as bb from b{r}) b using (part) group by part, vec_id)"""
+_MEANS = """,
+b{s} as materialized (select b.part, b.entry, coalesce(m.v, b.v) as v from b{r} b left join
+      (select part, entry, list(floor(s / n) order by pos) as v from (select a.part, a.near.entry as entry, pos, sum(x.v[pos]) as s, count(*) as n
+       from a{r} a join x using (part, vec_id), range(1, 1 + (select max(len(v)) from x)) g(pos) group by all) group by part, entry) m on m.part = b.part and m.entry = b.entry)"""
+
+OP12 = (
+    f"""
+with e as (select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as q from embeddings where {_WHOLE}),
+x as materialized (select vec_id, label, part, q[part * (len(q) // 4) + 1:(part + 1) * (len(q) // 4)] as v from e, range(4) g(part)),
+b0 as materialized (select part, row_number() over (partition by part order by vec_id) - 1 as entry, v from x qualify row_number() over (partition by part order by vec_id) <= 256)"""
+    + "".join(_ROUND.format(r=r) + _MEANS.format(r=r, s=r + 1) for r in range(4))
+    + _ROUND.format(r=4)
+    + """,
+c as (select vec_id, string_agg(printf('%02x', near.entry), '' order by part) as code, sum(near.d)::bigint as error from a4 group by vec_id),
+h as (select sha256(string_agg(c::bigint::varchar, ',' order by part, entry, pos)) as codebooks_sha256 from (select part, entry, pos, v[pos] as c from b4, range(1, 1 + (select max(len(v)) from x)) g(pos)))
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from c join e using (vec_id), h
+"""
+)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import decontamination, fingerprints, language_id, mixing, near_dedup, oracles, quality, suffix_dedup, token_counts, toxicity, url_filters
+from quarrylens.llm import decontamination, fingerprints, hard_negatives, language_id, mixing, near_dedup, oracles, quality, suffix_dedup, token_counts, toxicity, url_filters, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontamination.query,
     "op9_quality": quality.query,
     "op10_near_dedup": near_dedup.query,
+    "op11_hard_negatives": hard_negatives.query,
+    "op12_vector_codes": vector_codes.query,
 }
 
-SQL: dict[str, str] = {"op1_suffix_dedup": oracles.OP1, "op8_decontamination": oracles.OP8, "op10_near_dedup": oracles.OP10}
+SQL: dict[str, str] = {"op1_suffix_dedup": oracles.OP1, "op8_decontamination": oracles.OP8, "op10_near_dedup": oracles.OP10, "op11_hard_negatives": oracles.OP11, "op12_vector_codes": oracles.OP12}
