@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import decontamination, fingerprints, hard_negatives, language_id, mixing, near_dedup, oracles, quality, suffix_dedup, token_counts, toxicity, url_filters, vector_codes
+from quarrylens.llm import decontamination, fingerprints, hard_negatives, language_id, mixing, near_dedup, oracles, quality, suffix_dedup, token_counts, token_files, toxicity, url_filters, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": near_dedup.query,
     "op11_hard_negatives": hard_negatives.query,
     "op12_vector_codes": vector_codes.query,
+    "op13_token_files": token_files.query,
 }
 
 SQL: dict[str, str] = {"op1_suffix_dedup": oracles.OP1, "op8_decontamination": oracles.OP8, "op10_near_dedup": oracles.OP10, "op11_hard_negatives": oracles.OP11, "op12_vector_codes": oracles.OP12}
