@@ -41,6 +41,7 @@ SHARD_BYTES = 64 << 20
 READ_BYTES, GAP_BYTES = 4 << 20, 1 << 16
 BUCKET = 1024
 KEPT = 300_000
+SPECIAL = b"<|"
 MAGIC = b"TOKENIDS"
 _FOOTER = struct.Struct("<QQI4s")  # documents, ids, bytes of an id
 
@@ -82,14 +83,16 @@ class Encoder(Counter):
         return out
 
     def _pieces_of(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]  # at ASCII white space
-        if any(len(p) > LONGEST for ps in split for p in ps):
-            split = [[q for p in ps for q in (broken(p) if len(p) > LONGEST else (p,))] for ps in split]
+        # at ASCII white space; the tokenizer lower-cases all but special strings
+        split = [(t if SPECIAL in t else t.lower()).split() for t in texts]
         known, older = self.known, self.older
         new = set(chain.from_iterable(split)).difference(known)
-        again = new.intersection(older)
+        if any(len(p) > LONGEST for p in new):  # none of these is kept
+            split = [[q for p in ps for q in (broken(p) if len(p) > LONGEST else (p,))] for ps in split]
+            new = set(chain.from_iterable(split)).difference(known)
+        again = [p for p in new if p in older]
         known.update((p, older[p]) for p in again)
-        learnt = self._learn(new - again)
+        learnt = self._learn(new.difference(again))
         known.update(learnt)
         for ps in split:
             yield b"".join(map(known.__getitem__, ps))
