@@ -133,10 +133,56 @@ def clone_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clones.sharing(norm_lines(spark, sf_dir).select("doc_id", "pos", "text"), "doc_id")
 
 
-@query()
+def _walked(tree: str) -> str:
+    """The greedy walk over trees of documents, one accepted clone for each step of a recursion; ``hits`` has its clones."""
+    return f"""with recursive {_NORM},
+g as (select d.{tree} as tree, n.doc_id, pos, line_no, n.text, len(regexp_extract_all(n.text, '[\\p{{L}}\\p{{Nd}}_$]+')) + len(regexp_extract_all(n.text, '[^\\p{{L}}\\p{{Nd}}_$\\s]')) as tokens, row_number() over (order by d.{tree}, n.doc_id, pos) as gid from norm n join documents d using (doc_id)),
+sums as (select list_prepend(0, list(upto order by gid)) as before from (select gid, sum(tokens) over (order by gid) as upto from g)),
+w5 as (select * from (select tree, doc_id, pos, gid, text || chr(10) || lead(text, 1) over w || chr(10) || lead(text, 2) over w || chr(10) || lead(text, 3) over w || chr(10) || lead(text, 4) over w as win from g window w as (partition by doc_id order by pos)) where win is not null),
+places as (select *, row_number() over (partition by tree, win order by doc_id, pos) as k from w5 qualify k <= 16),
+pairs as (select b.tree, a.doc_id as a, b.doc_id as b, a.pos as q, b.pos as p, a.gid as gq, b.gid as gp from w5 b join places a on a.tree = b.tree and a.win = b.win and a.gid < b.gid),
+diag as (select distinct a, b, p - q as shift from pairs),
+alike as (select diag.*, y.pos as p, y.pos - row_number() over (partition by diag.a, diag.b, shift order by y.pos) as run from diag join g y on y.doc_id = diag.b join g x on x.doc_id = diag.a and x.pos = y.pos - shift and x.text = y.text),
+ends as (select a, b, shift, p, max(p) over (partition by a, b, shift, run) + 1 as until from alike),
+c as materialized (select tree, pairs.a, pairs.b, gq, gp, until - pairs.p as most, row_number() over (partition by tree order by gp, gq) as rank from pairs join ends on ends.a = pairs.a and ends.b = pairs.b and shift = pairs.p - q and ends.p = pairs.p),
+walk as (select distinct tree, 0::bigint as rank, 0::bigint as gq, 0::bigint as gp, 0::bigint as n, []::bigint[] as covered from g union all
+ select tree, rank, gq, gp, n, list_concat(covered, list_concat(range(gp, gp + n), range(gq, gq + n))) from (
+  select w.tree, c.rank, c.gq, c.gp, c.a, c.b, covered, least(most, list_min(list_filter(covered, lambda x: x >= c.gp and x < c.gp + most)) - c.gp, list_min(list_filter(covered, lambda x: x >= c.gq and x < c.gq + most)) - c.gq) as n
+  from walk w join c on c.tree = w.tree and c.rank > w.rank), sums
+ where n >= 5 and before[gp + n] - before[gp] >= 50 and (a <> b or gp - gq >= n) qualify row_number() over (partition by tree order by rank) = 1),
+hits as (select walk.tree, x.doc_id as a, x.line_no as line_a, y.doc_id as b, y.line_no as line_b, n as lines, row_number() over (partition by walk.tree order by walk.rank) - 1 as seq from walk join g x on x.gid = gq join g y on y.gid = gp where n > 0)"""
+
+
+_FILE = "lpad({0}::varchar, 12, '0')"
+
+
+def _document_clones(spark: SparkSession, sf_dir: str, tree: str) -> tuple[DataFrame, DataFrame]:
+    trees = table(spark, sf_dir, "documents").select("doc_id", F.col(tree).alias("tree"))
+    return clones.exact(norm_lines(spark, sf_dir).select("doc_id", "pos", "line_no", "text").join(trees, "doc_id").select("tree", F.format_string("%012d", "doc_id").alias("path"), "pos", "line_no", "text"), ["tree"])
+
+
+@query(f"""{_walked("source")},
+r as (select *, row_number() over (partition by tree order by lines desc, a, line_a, b, line_b) as rank from hits where seq < 400)
+select tree as source, {_FILE.format("a")} as file_a, line_a, {_FILE.format("b")} as file_b, line_b, lines::int as lines, rank::int as rank from r where rank <= 60""")
 def clones_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = clones.exact(norm_lines(spark, sf_dir).select("source", F.format_string("%012d", "doc_id").alias("path"), "pos", "line_no", "text"), ["source"])
-    return clones.shown(found, ["source"]).select("source", "file_a", "line_a", "file_b", "line_b", "lines", "rank")
+    """The clones that a report of each source shows."""
+    found, _ = _document_clones(spark, sf_dir, "source")
+    return clones.shown(found, ["tree"]).select(F.col("tree").alias("source"), "file_a", "line_a", "file_b", "line_b", "lines", "rank")
+
+
+@query(f"""{_walked("lang")} select tree as lang, seq::int as seq, {_FILE.format("a")} as file_a, line_a, {_FILE.format("b")} as file_b, line_b, lines::int as lines from hits""")
+def clones_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All clones of the documents of each language, in the order of the walk."""
+    found, _ = _document_clones(spark, sf_dir, "lang")
+    return found.select(F.col("tree").alias("lang"), "seq", "file_a", "line_a", "file_b", "line_b", "lines")
+
+
+@query(f"""{_walked("lang")}, e as (select tree, a as doc_id, lines from hits union all select tree, b, lines from hits)
+select tree as lang, {_FILE.format("doc_id")} as path, sum(lines)::int as dup_lines from e group by all""")
+def duplicated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document that a clone covers."""
+    _, by_file = _document_clones(spark, sf_dir, "lang")
+    return by_file.select(F.col("tree").alias("lang"), "path", "dup_lines")
 
 
 _PAIRS = "c as (select l_returnflag as tree, l_suppkey % 90 as a, l_partkey % 90 as b from lineitem)"

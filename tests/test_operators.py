@@ -85,23 +85,6 @@ def test_line_mix_is_the_greedy_longest_match(spark):
     assert got == want and any(c for c, _ in want.values()) and any(m for _, m in want.values())
 
 
-def test_exact_clones_need_no_unrepeated_lines(spark):
-    rng = random.Random(7)
-    block = [f"shared line number {k} with words to count" for k in range(9)]
-    files = {}
-    for f in range(6):
-        text = [f"own {f} {k} {rng.random()}" for k in range(8)]
-        text[4:4] = block[rng.randrange(3) :]
-        files[f"f{f}"] = text + (block if f == 3 else [])
-    rows = [("r", p, k, k + 1, t) for p, ls in files.items() for k, t in enumerate(ls)]
-    df = spark.createDataFrame(rows, "repo string, path string, pos int, line_no int, text string")
-    found, by_file = clones.exact(df, ["repo"])
-    tokens = lambda t: len(re.findall(r"[\w$]+", t)) + len(re.findall(r"[^\w$\s]", t))
-    want, covered = clones.find_clones([(p, list(range(1, len(ls) + 1)), ls, [tokens(t) for t in ls]) for p, ls in sorted(files.items())])
-    assert sorted((r["file_a"], r["line_a"], r["file_b"], r["line_b"], r["lines"]) for r in found.collect()) == sorted(want) and len(want) >= 3
-    assert {r["path"]: r["dup_lines"] for r in by_file.collect()} == {p: len(at) for p, at in covered.items()}
-
-
 def mirror_tree(spark, other):
     rows = [(1, f"{root}/pkg/F{k}.java", 30, 30) for root in ("guava", other) for k in range(40)]
     text = [(1, p, f"line {k} of {p.rsplit('/', 1)[1]}") for _, p, _, _ in rows for k in range(30)]

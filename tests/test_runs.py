@@ -200,40 +200,6 @@ def test_components(spark):
     assert got == up
 
 
-def naive_clones(files, least_lines, least_tokens, places):
-    """Each place in turn, against the earlier places that begin with the same lines."""
-    covered, out = set(), []
-    spots = [(p, i) for p, text, _ in files for i in range(len(text) - least_lines + 1)]
-    text, tokens = {p: t for p, t, _ in files}, {p: n for p, _, n in files}
-    for at, (p, i) in enumerate(spots):
-        if (p, i) in covered:
-            continue
-        alike = [(q, j) for q, j in spots[:at] if text[q][j : j + least_lines] == text[p][i : i + least_lines]][:places]
-        for q, j in alike:
-            n = 0
-            while i + n < len(text[p]) and j + n < len(text[q]) and text[p][i + n] == text[q][j + n] and (p, i + n) not in covered and (q, j + n) not in covered:
-                n += 1
-            if n >= least_lines and not (p == q and j + n > i) and sum(tokens[p][i : i + n]) >= least_tokens:
-                covered |= {(p, i + k) for k in range(n)} | {(q, j + k) for k in range(n)}
-                out.append((q, j + 1, p, i + 1, n))
-                break
-    return out, covered
-
-
-def test_exact_clones_of_a_tree_in_parts(spark):
-    rng = random.Random(8)
-    for trial in range(3):
-        files = []
-        for f in range(9):
-            own = "abc" if f < 5 else "xyz"
-            files.append((f"f{f}", [f"line {rng.choice(own)} of some words that make a dozen tokens" for _ in range(40)], [10] * 40))
-        rows = [(trial, p, k, k + 1, t) for p, text, _ in files for k, t in enumerate(text)]
-        found, by_file = clones.exact(spark.createDataFrame(rows, "repo int, path string, pos int, line_no int, text string"), ["repo"])
-        want, covered = naive_clones(files, config.DUP_MIN_LINES, config.DUP_MIN_TOKENS, config.BUCKET_LOCATIONS)
-        assert [tuple(r)[:5] for r in found.orderBy("seq").select("file_a", "line_a", "file_b", "line_b", "lines", "seq").collect()] == want and want
-        assert {r["path"]: r["dup_lines"] for r in by_file.collect()} == {p: n for p in {q for q, _ in covered} for n in [sum(q == p for q, _ in covered)]}
-
-
 def test_similar_files_and_sharing(spark):
     rng = random.Random(9)
     rows, base = [], [f"line {k}" for k in range(30)]
