@@ -18,6 +18,7 @@ no rows. Other columns don't matter.
 
 from __future__ import annotations
 
+import re
 import struct
 import sys
 import uuid
@@ -42,6 +43,7 @@ READ_BYTES, GAP_BYTES = 4 << 20, 1 << 16
 BUCKET = 1024
 KEPT = 300_000
 SPECIAL = b"<|"
+_STEM = re.compile("([a-zß-öø-ÿÀ-ÖØ-Þ]+)([!-&(-/:-@\\[-`{-~]*)")
 MAGIC = b"TOKENIDS"
 _FOOTER = struct.Struct("<QQI4s")  # documents, ids, bytes of an id
 
@@ -53,8 +55,12 @@ class Encoder(Counter):
     """Token ids as bytes, with the pieces and boundaries that token counts rest on; the pieces met last are kept."""
 
     def __init__(self, path: str):
+        from tokenizers.pre_tokenizers import ByteLevel
+
         super().__init__(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        spelt = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = str.maketrans({c: spelt(c.lower())[0][0] for c in map(chr, range(0xC0, 0x100)) if c.isalpha()})
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -68,37 +74,68 @@ class Encoder(Counter):
         raw, starts = ids.tobytes(), [0, *ends[:-1].tolist()]
         return [raw[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
 
-    def _learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        out: dict[bytes, bytes] = {}
+    def _whole(self, pieces: Iterable[bytes]) -> None:
+        """Learns pieces by the whole tokenizer, in batches of equal bytes."""
         batch: list[bytes] = []
         held = 0
         for p in pieces:
             batch.append(p)
             held += len(p)
             if held >= BATCH_BYTES:
-                out.update(zip(batch, self._batch(batch), strict=True))
+                self.known.update(zip(batch, self._batch(batch), strict=True))
                 batch, held = [], 0
         if batch:
-            out.update(zip(batch, self._batch(batch), strict=True))
+            self.known.update(zip(batch, self._batch(batch), strict=True))
+
+    def _missing(self, pieces: Iterable[bytes]) -> list[bytes]:
+        """Those pieces that aren't known; what was known before is known again."""
+        known, older, out = self.known, self.older, []
+        for p in pieces:
+            if p not in known:
+                if (ids := older.get(p)) is not None:
+                    known[p] = ids
+                else:
+                    out.append(p)
         return out
 
+    def _learn(self, new: set[bytes]) -> list[bytes]:
+        """Learns pieces. Latin letters are a match of their own before ASCII characters other than letters, digits and apostrophes, and none of them
+        composes with another, so the model gets them as they are, past the normaliser and the pattern."""
+        learnt = self._missing(new)
+        split: dict[bytes, tuple[bytes, bytes]] = {}
+        stems: set[bytes] = set()
+        for p in learnt:
+            if m := _STEM.fullmatch(p.decode()):
+                stem, tail = m.groups()
+                if tail:
+                    split[p] = stem.encode(), tail.encode()
+                else:
+                    stems.add(p)
+        stems.update(self._missing({s for s, _ in split.values()} - stems))
+        merge, letters, code, kind, known = self.tokenizer.model.tokenize, self.letters, struct.pack, self.kind.char, self.known
+        for p in stems:
+            ids = [x.id for x in merge(p.decode().translate(letters))]
+            known[p] = code(f"<{len(ids)}{kind}", *ids)
+        tails = self._missing({t for _, t in split.values()})
+        self._whole(chain(tails, (p for p in learnt if p not in split and p not in stems)))
+        for p, (stem, tail) in split.items():
+            known[p] = known[stem] + known[tail]
+        return [*learnt, *stems, *tails]
+
     def _pieces_of(self, texts: list[bytes]) -> Iterator[bytes]:
         # at ASCII white space; the tokenizer lower-cases all but special strings
         split = [(t if SPECIAL in t else t.lower()).split() for t in texts]
-        known, older = self.known, self.older
-        new = set(chain.from_iterable(split)).difference(known)
+        new = set(chain.from_iterable(split)).difference(self.known)
         if any(len(p) > LONGEST for p in new):  # none of these is kept
             split = [[q for p in ps for q in (broken(p) if len(p) > LONGEST else (p,))] for ps in split]
-            new = set(chain.from_iterable(split)).difference(known)
-        again = [p for p in new if p in older]
-        known.update((p, older[p]) for p in again)
-        learnt = self._learn(new.difference(again))
-        known.update(learnt)
+            new = set(chain.from_iterable(split)).difference(self.known)
+        learnt = self._learn(new)
+        known = self.known
         for ps in split:
             yield b"".join(map(known.__getitem__, ps))
         for p in learnt:
             if len(p) > KEPT_BYTES:
-                del known[p]
+                known.pop(p, None)
         if len(known) > KEPT:
             self.known, self.older = {}, known
 
