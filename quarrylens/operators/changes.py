@@ -8,6 +8,17 @@ from pyspark.sql.window import Window
 
 from quarrylens import config
 from quarrylens.operators.lines import windows
+from quarrylens.sources.tables import cut
+
+
+def _hash(*parts: Column) -> Column:
+    """128 bits that stand for lines or blocks of lines."""
+    return F.struct(F.xxhash64(*parts).alias("x"), F.xxhash64(F.lit(1), *parts).alias("y"))
+
+
+def _in_both(a: DataFrame, b: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    b = cut(b.join(a.select(*on).distinct(), on, "left_semi"))
+    return cut(a.join(b.select(*on).distinct(), on, "left_semi")), b
 
 
 def longest_matches(added: DataFrame, parent: DataFrame, run: int = config.RUN) -> DataFrame:
@@ -15,23 +26,47 @@ def longest_matches(added: DataFrame, parent: DataFrame, run: int = config.RUN)
     earliest start.
 
     ``added``: (repo_id, idx, path, edit, pos, text), ``parent``: (repo_id, idx, src, pos, text, gone), gone telling that commit idx
-    deletes the line. Windows of ``run`` lines are joined by hash and compared; neighbouring window pairs on one diagonal form
-    islands, so a match is found once, whatever its length. Result: (repo_id, idx, path, edit, i, len, moved).
+    deletes the line; positions follow each other. Result: (repo_id, idx, path, edit, i, len, moved).
+
+    No place is paired with another one. Blocks of 1, 2, 4, ... lines that occur on both sides get a hash by doubling. What an added line
+    matches is a node, the hash of a prefix, and grows from the largest block down: a node has a child by a block if any line of the parent has that
+    prefix and that block behind it. Nodes are known by content, so added lines that begin alike share them, and a line
+    of the parent is a row for each node on its way that an added line still asks about. So a window that is common to all files costs their
+    number, not its square; joins are on hashes, and the best place of a node is a minimum.
     """
     key = ["repo_id", "idx"]
-    ours = windows(added, run, [*key, "path", "edit"]).select(*key, "path", "edit", F.col("pos").alias("i"), "h", F.col("window").alias("ours"))
-    order = Window.partitionBy(*key, "src").orderBy("pos")
-    counted = parent.withColumn("before", F.sum(F.col("gone").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("gone").cast("int"))
-    counted = counted.withColumn("after", F.lead("before", run - 1).over(order) + F.lead(F.col("gone").cast("int"), run - 1).over(order))
-    theirs = windows(counted, run, [*key, "src"]).select(*key, "src", F.col("pos").alias("j"), "h", F.col("window").alias("theirs"), "before", "after")
-    pairs = ours.join(theirs, [*key, "h"]).filter("ours = theirs").drop("ours", "theirs", "h")
-    diagonal = [*key, "path", "edit", "src"]
-    pairs = pairs.withColumn("d", F.col("i") - F.col("j"))
-    pairs = pairs.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy(*diagonal, "d").orderBy("i")))
-    rest = Window.partitionBy(*diagonal, "d", "island").orderBy("i").rowsBetween(0, Window.unboundedFollowing)
-    pairs = pairs.withColumn("len", F.max("i").over(rest) - F.col("i") + run).withColumn("moved", F.last("after").over(rest) - F.col("before") == F.col("len"))
-    best = F.min(F.struct((-F.col("len")).alias("minus"), "src", "j", "moved")).alias("b")
-    return pairs.groupBy(*key, "path", "edit", "i").agg(best).select(*key, "path", "edit", "i", (-F.col("b.minus")).alias("len"), F.col("b.moved").alias("moved"))
+    mine, theirs = [*key, "path", "edit"], [*key, "src"]
+    w = lambda df, file: windows(df, run, file).select(*file, "pos", _hash(F.col("window")).alias("node"))
+    ours, places = _in_both(w(added, mine), w(parent, theirs), [*key, "node"])
+    ours, places = (x.withColumn("cur", F.lit(run)) for x in (ours, places))
+
+    a, b = _in_both(added.select(*mine, "pos", _hash(F.col("text")).alias("c")), parent.select(*theirs, "pos", _hash(F.col("text")).alias("c")), [*key, "c"])
+    levels = []
+    while not a.isEmpty():
+        n = 1 << len(levels)
+        levels.append((n, a, b))
+        twice = lambda df, file, n=n: df.join(df.select(*file, (F.col("pos") - n).alias("pos"), F.col("c").alias("c2")), [*file, "pos"]).select(*file, "pos", _hash(F.col("c"), F.col("c2")).alias("c"))
+        a, b = _in_both(twice(a, mine), twice(b, theirs), [*key, "c"])
+
+    child = [*key, "node", "c"]
+    for n, a, b in reversed(levels):
+        behind = lambda df, blocks, file: df.withColumn("_at", F.col("pos") + F.col("cur")).join(blocks.withColumnRenamed("pos", "_at"), [*file, "_at"])
+        asked = behind(ours, a, mine).select(*mine, "pos", *child[2:])
+        grown = cut(behind(places, b, theirs).join(asked.select(*child).distinct(), child, "left_semi").drop("_at"))
+        up = _hash(F.col("node"), F.col("c"))
+        further = asked.join(grown.select(*child).distinct(), child, "left_semi").select(*mine, "pos", up.alias("_up"))
+        ours = ours.join(further, [*mine, "pos"], "left")
+        ours = cut(ours.select(*mine, "pos", F.coalesce("_up", "node").alias("node"), F.when(F.col("_up").isNull(), F.col("cur")).otherwise(F.col("cur") + n).alias("cur")))
+        grown = grown.select(*theirs, "pos", up.alias("node"), (F.col("cur") + n).alias("cur"))
+        places = cut(places.select(*theirs, "pos", "node", "cur").unionByName(grown).join(ours.select(*key, "node").distinct(), [*key, "node"], "left_semi"))
+
+    best = places.groupBy(*key, "node").agg(F.min(F.struct("src", F.col("pos").alias("j"))).alias("b"))
+    found = ours.join(best, [*key, "node"]).select(*mine, F.col("pos").alias("i"), F.col("cur").alias("len"), "b.src", "b.j")
+    order = Window.partitionBy(*theirs).orderBy("pos")
+    going = parent.filter("gone").select(*theirs, "pos")  # a block is moved if all of its lines go
+    island = going.withColumn("_g", F.col("pos") - F.row_number().over(order)).groupBy(*theirs, "_g").agg(F.min("pos").alias("_from"), F.max("pos").alias("_to"))
+    moved = found.join(island, theirs).filter("_from <= j and _to >= j + len - 1").select(*mine, "i", F.lit(True).alias("moved"))
+    return found.join(moved, [*mine, "i"], "left").select(*mine, "i", "len", F.coalesce("moved", F.lit(False)).alias("moved"))
 
 
 def consume(matches: DataFrame) -> DataFrame:
@@ -66,17 +101,6 @@ def is_import(root: Column, added: Column, moved: Column, parent_lines: Column)
     return root | (~(moved > config.IMPORT_MOVED_SHARE * added) & wholesale)
 
 
-def check_pairs(added: DataFrame, parent: DataFrame, most: int, run: int = config.RUN) -> int:
-    """How many pairs of windows ``longest_matches`` joins; an error beyond ``most``, before anything is joined."""
-    key = ["repo_id", "idx", "h"]
-    a = windows(added, run, ["repo_id", "idx", "path", "edit"]).groupBy(*key).agg(F.count("*").alias("a"))
-    b = windows(parent, run, ["repo_id", "idx", "src"]).groupBy(*key).agg(F.count("*").alias("b"))
-    pairs = a.join(b, key).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
-    if pairs > most:
-        raise OverflowError(f"{pairs} pairs of windows, {most} are allowed")
-    return pairs
-
-
 def tree_changes(tree_files: DataFrame) -> DataFrame:
     """(repo_id, idx, old_path, new_path, old_blob, new_blob): what each commit changes, from interval-encoded trees alone.
 

@@ -33,10 +33,6 @@ class Outcome:
     caveats: DataFrame
 
 
-#: pairs of windows that copies are sought in; a run beyond it stops before it starts
-MOST_PAIRS = 10**13
-
-
 class Cancelled(Exception):
     """A run was asked to stop."""
 
@@ -170,7 +166,6 @@ def _changes(tables: dict[str, DataFrame], trees: DataFrame, views: DataFrame, g
     gone_paths = ch.filter("old_path is not null and (new_path is null or new_path <> old_path)").select(*key, F.col("old_path").alias("src"), F.lit(True).alias("g2")).distinct()
     parent = parent.join(gone_lines, [*key, "src", "pos"], "left").join(gone_paths, [*key, "src"], "left").select(*key, "src", "pos", "text", (F.coalesce("g1", F.lit(False)) | F.coalesce("g2", F.lit(False))).alias("gone"))
     parent = cut(parent)
-    changes.check_pairs(added, parent, MOST_PAIRS)
     mix = cut(changes.line_mix(added, parent, removed.groupBy(*key, "path", "edit").agg(F.count("*").alias("lines"))))
     # one lineage through renames
     renames = ch.filter("old_path is not null and new_path is not null and old_path <> new_path").select("repo_id", "idx", "old_path", "new_path")

@@ -222,11 +222,11 @@ best as (select lang, doc_id, i, max(len) as len, arg_min(src, (-len, src, j)) a
 
 @query(f"""with {_COPIED} select lang, doc_id, count(*) as match_starts, max(len) as longest from best group by lang, doc_id""")
 def copied_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = changes.longest_matches(*_copy_input(spark, sf_dir))
+    best = changes.longest_matches(*_copy_input(spark, sf_dir)[:2])
     return best.groupBy(F.col("repo_id").alias("lang"), F.col("idx").alias("doc_id")).agg(F.count("*").alias("match_starts"), F.max("len").alias("longest"))
 
 
-def _copy_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _copy_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     own = cut(norm_lines(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("repo_id")), "doc_id"))
     added = own.filter("doc_id % 2 = 0").select("repo_id", F.col("doc_id").alias("idx"), F.lit("new").alias("path"), F.lit(0).alias("edit"), "pos", "text")
     # of files with one content the first by path wins every tie
@@ -235,17 +235,17 @@ def _copy_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     # only files that share a window with a commit matter to it
     w = lines.windows(added, config.RUN, ["repo_id", "idx"]).select("repo_id", "idx", "h").distinct()
     near = lines.windows(tree, config.RUN, ["repo_id", "src"]).select("repo_id", "src", "h").join(w, ["repo_id", "h"]).select("repo_id", "idx", "src").distinct()
-    return added, cut(tree.join(near, ["repo_id", "src"]))
+    gone = own.filter("doc_id % 2 = 1 and doc_id % 3 = 0").groupBy("repo_id", "doc_id").agg(F.count("*").alias("lines"))
+    return added, cut(tree.join(near, ["repo_id", "src"])), added.select("repo_id", "idx").distinct().join(gone, "repo_id")
 
 
 @query(f"""with recursive {_COPIED},
 follow as (select x.lang, x.doc_id, x.i, x.len, x.src, min(y.i) as after from best x left join best y on x.lang = y.lang and x.doc_id = y.doc_id and y.i >= x.i + x.len group by all),
 walk as (select f.* from follow f join (select lang, doc_id, min(i) as i from best group by all) using (lang, doc_id, i) union all select f.* from walk w join follow f on f.lang = w.lang and f.doc_id = w.doc_id and f.i = w.after),
-mix as (select doc_id, sum(case when src % 3 = 0 then 0 else len end)::bigint as copied, sum(case when src % 3 = 0 then len else 0 end)::bigint as moved from walk group by doc_id), n as (select lang, doc_id, count(*) as added from a group by all)
-select lang, doc_id, added, added - coalesce(copied, 0) - coalesce(moved, 0) as novel, coalesce(copied, 0) as copied, coalesce(moved, 0) as moved, 0::bigint as deleted from n left join mix using (doc_id)""")
+mix as (select doc_id, sum(case when src % 3 = 0 then 0 else len end)::bigint as copied, sum(case when src % 3 = 0 then len else 0 end)::bigint as moved from walk group by doc_id), n as (select lang, doc_id, count(*) as added from a group by all), gone as (select lang, count(*) as deleted from b where src % 3 = 0 group by lang)
+select lang, doc_id, added, added - coalesce(copied, 0) - coalesce(moved, 0) as novel, coalesce(copied, 0) as copied, coalesce(moved, 0) as moved, coalesce(deleted, 0)::bigint as deleted from n left join mix using (doc_id) left join gone using (lang)""")
 def line_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    added, parent = _copy_input(spark, sf_dir)
-    gone = added.select("repo_id", "idx", F.lit(0).alias("lines")).distinct()
+    added, parent, gone = _copy_input(spark, sf_dir)
     out = changes.line_mix(added, parent, gone).withColumnsRenamed({"repo_id": "lang", "idx": "doc_id"})
     return _long(out, "novel", "copied", "moved", "deleted")
 

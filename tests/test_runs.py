@@ -238,11 +238,3 @@ def test_secrets(spark):
     key, other = F.lit(b"0123456789abcdef"), F.lit(b"fedcba9876543210")
     r = spark.range(1).select(X.sealed(F.lit("secret"), key).alias("s")).select("s", X.opened(F.col("s"), key).alias("a"), X.opened(F.col("s"), other).alias("b")).first()
     assert r["a"] == "secret" and r["b"] is None and "secret" not in r["s"]
-
-
-def test_pairs_of_windows_are_counted_first(spark):
-    added = spark.createDataFrame([(1, 0, "n", 0, k, "same") for k in range(10)], "repo_id int, idx int, path string, edit int, pos int, text string")
-    parent = spark.createDataFrame([(1, 0, "p", k, "same", False) for k in range(12)], "repo_id int, idx int, src string, pos int, text string, gone boolean")
-    assert changes.check_pairs(added, parent, 80) == 80
-    with pytest.raises(OverflowError):
-        changes.check_pairs(added, parent, 79)
