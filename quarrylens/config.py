@@ -34,6 +34,7 @@ MIRROR_SAMPLE = 24
 MIRROR_IDENTICAL = 0.75
 MIRROR_FILE_SAME = 0.90
 MIRROR_PER_BASENAME = 40
+RENAME_SHARE = 0.5
 DATA_TABLE_MIN_LINES = 30
 DATA_TABLE_SHARE = 0.8
 SUBJECT_CHARS = 400

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylens import config
+from quarrylens.operators import renames
 from quarrylens.operators.lines import windows
 from quarrylens.sources.tables import cut
 
@@ -101,22 +102,25 @@ def is_import(root: Column, added: Column, moved: Column, parent_lines: Column)
     return root | (~(moved > config.IMPORT_MOVED_SHARE * added) & wholesale)
 
 
-def tree_changes(tree_files: DataFrame) -> DataFrame:
+def tree_changes(tree_files: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
     """(repo_id, idx, old_path, new_path, old_blob, new_blob): what each commit changes, from interval-encoded trees alone.
 
-    What ends at a commit meets what begins at it by path; a path that goes and one that comes with the same blob are a rename, the
-    k-th of a blob to the k-th. By ``coalesce(new_path, old_path)`` the changes of a commit are in order.
+    What ends at a commit meets what begins at it by path; a path that goes and one that comes with the same blob are a rename, of several the one
+    with the same file name first. With ``blobs`` (blob_id, content) files that changed on the way are renames too, by similarity. By
+    ``coalesce(new_path, old_path)`` the changes of a commit are in order.
     """
     key = ["repo_id", "idx"]
     ends = tree_files.filter("valid_to is not null").select("repo_id", F.col("valid_to").alias("idx"), "path", F.col("blob_id").alias("old_blob"))
     begins = tree_files.select("repo_id", F.col("valid_from").alias("idx"), "path", F.col("blob_id").alias("new_blob"))
-    both = ends.join(begins, [*key, "path"], "full").filter(~F.col("old_blob").eqNullSafe(F.col("new_blob")))
-    place = lambda blob: F.row_number().over(Window.partitionBy(*key, blob).orderBy("path"))
-    gone = both.filter("new_blob is null").select(*key, F.col("old_blob").alias("blob"), place("old_blob").alias("k"), F.col("path").alias("old_path"), "old_blob")
-    come = both.filter("old_blob is null").select(*key, F.col("new_blob").alias("blob"), place("new_blob").alias("k"), F.col("path").alias("new_path"), "new_blob")
-    moved = gone.join(come, [*key, "blob", "k"], "full").select(*key, "old_path", "new_path", "old_blob", "new_blob")
+    both = cut(ends.join(begins, [*key, "path"], "full").filter(~F.col("old_blob").eqNullSafe(F.col("new_blob"))))
+    gone = both.filter("new_blob is null").select(*key, "path", F.col("old_blob").alias("blob"))
+    come = both.filter("old_blob is null").select(*key, "path", F.col("new_blob").alias("blob"))
+    moved = renames.detect(gone, come, key, None if blobs is None else renames.weighted_lines(blobs))
+    moved = cut(moved)
+    alone = lambda files, side: files.join(moved.select(*key, F.col(f"{side}_path").alias("path")), [*key, "path"], "left_anti").select(*key, F.col("path").alias(f"{side}_path"), F.col("blob").alias(f"{side}_blob"))
     stays = both.filter("old_blob is not null and new_blob is not null").select(*key, F.col("path").alias("old_path"), F.col("path").alias("new_path"), "old_blob", "new_blob")
-    return moved.unionByName(stays)
+    out = moved.unionByName(stays).unionByName(alone(gone, "old"), allowMissingColumns=True).unionByName(alone(come, "new"), allowMissingColumns=True)
+    return out.select(*key, "old_path", "new_path", "old_blob", "new_blob")
 
 
 def edited_lines(file_changes: DataFrame, before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:

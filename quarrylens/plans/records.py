@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylens import config
 from quarrylens.functions import text as X
-from quarrylens.operators import access, changes, identities, lines, mirrors, sampling
+from quarrylens.operators import access, changes, identities, lines, mirrors, renames, sampling
 from quarrylens.plans.proxies import query
 from quarrylens.sources import sinks
 from quarrylens.sources.tables import table
@@ -214,6 +214,22 @@ def tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.tree_changes(ends.unionByName(begins)).filter("idx >= 0")
 
 
+@query("""with recursive d as (select lang, doc_id % 2 = 0 as goes, 'd' || doc_id || '/f' || doc_id % 5 as path, 'f' || doc_id % 5 as name, sha256(text) as blob, text from documents where text is not null),
+l as (select blob, line, sum(strlen(line) + 1) as bytes from (select blob, unnest(string_split(text, chr(10))) as line from (select distinct blob, text from d)) group by all), z as (select blob, sum(bytes) as size from l group by blob),
+pairs as (select lang, a.blob as o, b.blob as n, sum(least(x.bytes, y.bytes)) as common from (select distinct lang, blob from d where goes) a join l x on x.blob = a.blob join l y on y.line = x.line join (select distinct lang, blob from d where not goes) b using (lang) where b.blob = y.blob group by all),
+scored as (select lang, o, n, common / greatest(v.size, w.size) as score from pairs join z v on v.blob = o join z w on w.blob = n where common >= 0.5 * greatest(v.size, w.size)),
+c as (select g.lang, g.path as old_path, h.path as new_path, o, n, row_number() over (partition by g.lang order by o <> n, -score, o, n, g.name <> h.name, g.path, h.path) as rank from scored join d g on g.goes and g.lang = scored.lang and g.blob = o join d h on not h.goes and h.lang = scored.lang and h.blob = n),
+walk as (select distinct lang, 0::bigint as rank, ''::varchar as old_path, ''::varchar as new_path, ''::varchar as old_blob, ''::varchar as new_blob, []::varchar[] as used from d union all
+ select lang, rank, old_path, new_path, o, n, list_concat(used, [old_path, new_path]) from (select w.lang, c.rank, c.old_path, c.new_path, c.o, c.n, used from walk w join c on c.lang = w.lang and c.rank > w.rank where not list_contains(used, c.old_path) and not list_contains(used, c.new_path) qualify row_number() over (partition by w.lang order by c.rank) = 1))
+select lang, old_path, new_path, old_blob, new_blob from walk where rank > 0""")
+def renamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of even ids go and those of odd ids come in one commit for each language; equal and similar ones are renames."""
+    own = table(spark, sf_dir, "documents").filter("text is not null").select("lang", "doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("blob"), "text")
+    files = own.select("lang", "doc_id", "blob", F.format_string("d%d/f%d", "doc_id", F.col("doc_id") % 5).alias("path"))
+    blobs = own.select(F.col("blob").alias("blob_id"), F.col("text").alias("content")).dropDuplicates(["blob_id"])
+    return renames.detect(files.filter("doc_id % 2 = 0").drop("doc_id"), files.filter("doc_id % 2 = 1").drop("doc_id"), ["lang"], renames.weighted_lines(blobs))
+
+
 _RUNS = "r as (select o_custkey % 40 as repo_id, o_orderkey as started_at, case o_orderstatus when 'F' then 'OK' when 'O' then 'RUNNING' else 'QUEUED' end as status, o_totalprice as price from orders where o_custkey % 40 < 30 or o_orderstatus <> 'F')"
 
 
