@@ -18,17 +18,49 @@ def matches(events: DataFrame, keys: list[str], order: list[str], at: str = "at"
     addition's ``at`` and ``carry`` columns (``add_*``), the deletion's (``del_*``).
     """
     by = [*order[:1], F.col(added).cast("int"), *order[1:]]
-    run = Window.partitionBy(*keys).orderBy(*by)
-    all_before = run.rowsBetween(Window.unboundedPreceding, 0)
-    d = events.withColumn("_d", F.when(F.col(added), 1).otherwise(-1)).withColumn("_cs", F.sum("_d").over(all_before))
-    d = d.withColumn("_depth", F.col("_cs") - F.least(F.lit(0), F.min("_cs").over(all_before)))
-    d = d.withColumn("_level", F.when(F.col(added), F.col("_depth")).otherwise(F.lag("_depth", 1, 0).over(run)))
+    d = _levels(events, keys, by, added)
     level = Window.partitionBy(*keys, "_level").orderBy(*by)
     d = d.withColumn("_open", F.lag(F.struct(added, at, *carry)).over(level))
     d = d.filter(~F.col(added) & (F.col("_level") > 0) & F.col(f"_open.{added}"))
     return d.select(*keys, *[F.col(f"_open.{c}").alias(f"add_{c}") for c in (at, *carry)], *[F.col(c).alias(f"del_{c}") for c in (at, *carry)])
 
 
+def _levels(events: DataFrame, keys: list[str], by: list, added: str) -> DataFrame:
+    run = Window.partitionBy(*keys).orderBy(*by)
+    all_before = run.rowsBetween(Window.unboundedPreceding, 0)
+    d = events.withColumn("_d", F.when(F.col(added), 1).otherwise(-1)).withColumn("_cs", F.sum("_d").over(all_before))
+    d = d.withColumn("_depth", F.col("_cs") - F.least(F.lit(0), F.min("_cs").over(all_before)))
+    return d.withColumn("_level", F.when(F.col(added), F.col("_depth")).otherwise(F.lag("_depth", 1, 0).over(run)))
+
+
+def open_additions(events: DataFrame, keys: list[str], order: list[str], added: str = "is_add") -> DataFrame:
+    """The additions that no deletion has undone: on their level, nothing comes after them. A stream can go on from them."""
+    by = [*order[:1], F.col(added).cast("int"), *order[1:]]
+    d = _levels(events, keys, by, added)
+    last = F.lead("_level").over(Window.partitionBy(*keys, "_level").orderBy(*by)).isNull()
+    return d.withColumn("_last", last).filter(F.col(added) & F.col("_last")).drop("_d", "_cs", "_depth", "_level", "_last")
+
+
+def _renamed(renames: DataFrame) -> DataFrame:
+    """(repo_id, path, idx_from, lineage) of the names that a rename gives."""
+    return lineages(renames, renames.select("repo_id", F.col("new_path").alias("path"), "idx").limit(0))
+
+
+def named(events: DataFrame, renames: DataFrame) -> DataFrame:
+    """``events`` (repo_id, idx, path, ...) with the lineage of their file: what the latest rename into its path says, or the path itself.
+
+    ``renames``: (repo_id, idx, old_path, new_path). A rename holds from its commit on, for lines that the commit removes or adds under that name.
+    """
+    origin = _renamed(renames).groupBy("repo_id", "path").agg(F.array_sort(F.collect_list(F.struct("idx_from", "lineage"))).alias("_o"))  # the renames into one name
+    last = F.try_element_at(F.filter("_o", lambda x: x["idx_from"] <= F.col("idx")), F.lit(-1))
+    return events.join(origin, ["repo_id", "path"], "left").withColumn("lineage", F.coalesce(last["lineage"], "path")).drop("_o")
+
+
+def names(renames: DataFrame) -> DataFrame:
+    """(repo_id, path, lineage) of the names that files have after all renames."""
+    return _renamed(renames).groupBy("repo_id", "path").agg(F.max_by("lineage", "idx_from").alias("lineage"))
+
+
 def churned(found: DataFrame, window_ms: int = config.CHURN_WINDOW_MS, at: str = "at") -> DataFrame:
     """Matches within the window; one with a negative age (dates out of order) counts."""
     return found.filter(F.col(f"del_{at}") - F.col(f"add_{at}") <= window_ms)

@@ -169,13 +169,8 @@ def _changes(tables: dict[str, DataFrame], trees: DataFrame, views: DataFrame, g
     mix = cut(changes.line_mix(added, parent, removed.groupBy(*key, "path", "edit").agg(F.count("*").alias("lines"))))
     # one lineage through renames
     renames = ch.filter("old_path is not null and new_path is not null and old_path <> new_path").select("repo_id", "idx", "old_path", "new_path")
-    first = added.groupBy("repo_id", "path").agg(F.min("idx").alias("idx"))
-    origin = churn.lineages(renames, first).select("repo_id", "path", "idx_from", "lineage")
     side = lambda d, is_add: d.select(*key, "path", "pos", "text", F.lit(is_add).alias("is_add"))
-    both = side(added, True).unionByName(side(removed, False))
-    # a removed line of a renamed file still has its old path
-    both = both.join(origin, ["repo_id", "path"], "left").filter(F.col("idx_from").isNull() | (F.col("idx_from") <= F.col("idx")))
-    both = both.groupBy(*key, "path", "pos", "text", "is_add").agg(F.max_by("lineage", "idx_from").alias("lineage")).withColumn("lineage", F.coalesce("lineage", "path"))
+    both = churn.named(side(added, True).unionByName(side(removed, False)), renames)  # a removed line of a renamed file still has its old path
     size = trees.join(views.select("blob_id", F.size("norm").alias("n")), "blob_id")
     steps = size.select("repo_id", F.col("valid_from").alias("idx"), "n").unionByName(size.filter("valid_to is not null").select("repo_id", F.col("valid_to").alias("idx"), (-F.col("n")).alias("n"))).groupBy("repo_id", "idx").agg(F.sum("n").alias("n"))
     commits = tables["commits"].select("repo_id", "idx")

@@ -250,17 +250,3 @@ def test_replay_floor(spark):
     floor = lambda *a: incremental.floors(*a).first()["floor"]
     assert floor(c, cached, previous, c.limit(0)) == 4 and floor(c, cached.limit(0), previous, c.limit(0)) == 0
     assert floor(c, cached.withColumn("loc", F.when(F.col("idx") != 2, 1)), previous, c.filter("idx in (2, 8)")) == 2
-
-
-def test_stream_agrees_with_batch(spark, tmp_path):
-    from quarrylens.streaming.churn_stream import churn_stream
-
-    day = config.DAY_MS
-    rows = [("k", 1, True), ("k", 3, True), ("k", 5, False), ("k", 30, False), ("j", 2, True), ("j", 4, False), ("k", 9_000, True)]
-    df = spark.createDataFrame([(k, d * day, a) for k, d, a in rows], "key string, ms bigint, is_add boolean").withColumn("ts", F.timestamp_millis("ms"))
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    live = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = churn_stream(live, 100 * day).writeStream.format("memory").queryName("churned").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = sorted(tuple(r) for r in spark.table("churned").collect())
-    assert got == [("j", 2 * day, 4 * day), ("k", 3 * day, 5 * day)]
