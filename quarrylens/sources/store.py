@@ -1,4 +1,4 @@
-"""Results of runs on disk: metrics, clones and reports in partitions of a repository, and the small table of repositories."""
+"""Results of runs on disk: metrics, clones and reports of each repository, and the small table of repositories."""
 
 from __future__ import annotations
 
@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens import config
-from quarrylens.sources import sinks
+from quarrylens.sources import sinks, snapshots
 from quarrylens.sources.tables import cut
 
-RESULTS = ("commits", "clones", "runs")
-
 
 def _there(spark: SparkSession, path: str):
     """(file system, path, whether it exists)."""
@@ -21,54 +19,49 @@ def _there(spark: SparkSession, path: str):
     return fs, at, fs.exists(at)
 
 
-def persist(root: str, repos: DataFrame, chain: DataFrame, stats: DataFrame, clones: DataFrame, runs: DataFrame) -> None:
-    """Stores what a run computed. ``chain``: (repo_id, sha) of the current histories; ``runs``: (repo_id, started_at, report).
+def persist(root: str, repos: DataFrame, chain: DataFrame, stats: DataFrame, clones: DataFrame, runs: DataFrame, tries: int = 5) -> None:
+    """Stores what a run computed, in one transaction (see ``snapshots``). ``chain``: (repo_id, sha) of the current histories; ``runs``: (repo_id, started_at, report).
 
     Results of repositories that are no longer among ``repos`` are dropped. Cached metrics stay where their commit is still in the chain and
-    wasn't computed again; those of another version go. Clones (the ``CLONES_SHOWN`` shown) and the run are replaced. All of a table
-    is written aside before the partitions of its repositories are replaced, so a run that fails leaves them as they were.
+    wasn't computed again; those of another version go. Clones (the ``CLONES_SHOWN`` shown) and the run are replaced. A run that
+    fails at any point leaves all tables as they were; one that meets another run on the same repositories merges again.
     """
     spark = stats.sparkSession
-    known = repos.select("repo_id").distinct()
-    stats, clones, runs = (d.join(known, "repo_id", "left_semi") for d in (stats, clones, runs))
-    if _there(spark, f"{root}/commits")[2]:
-        stats = sinks.merged_metrics(sinks.read_metrics(spark, f"{root}/commits"), stats, chain)
-    staged = {"commits": cut(stats.withColumn("algo_version", F.lit(config.ALGO_VERSION))), "clones": cut(clones.filter(F.col("rank") <= config.CLONES_SHOWN)), "runs": cut(runs.withColumn("status", F.lit("OK")))}
-    ran = [r["repo_id"] for r in runs.select("repo_id").distinct().collect()]  # the repositories of this run
-    for name, rows in staged.items():
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(f"{root}/{name}")
-        have = {r["repo_id"] for r in rows.select("repo_id").distinct().collect()}
-        for repo in set(ran) - have:
-            _drop(spark, root, name, repo)
-    gone = [r["repo_id"] for r in stored(spark, root).join(known, "repo_id", "left_anti").collect()]
-    drop_cache(spark, root, gone)
+    known = cut(repos.select(F.col("repo_id").cast("int").alias("repo_id")).distinct())
+    stats, clones, runs = (cut(d.join(known, "repo_id", "left_semi")) for d in (stats, clones, runs))
+    for left in reversed(range(tries)):
+        base = snapshots.snapshot(spark, root)
+        held = stored(spark, root)
+        merged = stats
+        if "commits" in base.schemas:
+            # rows that commits of the current version left, but for the repositories that this run dropped
+            old = snapshots.read(spark, root, "commits", base.version).filter(F.col("algo_version") == config.ALGO_VERSION).join(runs.select("repo_id").distinct(), "repo_id", "left_semi")
+            merged = sinks.merged_metrics(old, stats, chain)
+        tables = {"commits": merged.withColumn("algo_version", F.lit(config.ALGO_VERSION)), "clones": clones.filter(F.col("rank") <= config.CLONES_SHOWN), "runs": runs.withColumn("status", F.lit("OK"))}
+        changed = runs.select("repo_id").unionByName(held.join(known, "repo_id", "left_anti"))
+        try:
+            snapshots.commit(spark, root, tables, changed, base)
+            return
+        except snapshots.Conflict:
+            if not left:
+                raise
 
 
 def stored(spark: SparkSession, root: str) -> DataFrame:
     """(repo_id) of the repositories that have results."""
-    found = set()
-    for name in RESULTS:
-        fs, at, there = _there(spark, f"{root}/{name}")
-        found |= {int(f.getPath().getName().split("=")[1]) for f in (fs.listStatus(at) if there else []) if f.getPath().getName().startswith("repo_id=")}
-    return spark.createDataFrame([(r,) for r in sorted(found)], "repo_id int")
-
-
-def _drop(spark: SparkSession, root: str, name: str, repo_id: int) -> None:
-    fs, at, there = _there(spark, f"{root}/{name}/repo_id={repo_id}")
-    if there:
-        fs.delete(at, True)
+    return snapshots.entries(spark, root, snapshots.snapshot(spark, root)).select("repo_id").distinct()
 
 
 def drop_cache(spark: SparkSession, root: str, repo_ids: list[int]) -> None:
     """Forgets all results of some repositories."""
-    for name in RESULTS:
-        for repo in repo_ids:
-            _drop(spark, root, name, repo)
+    snapshots.commit(spark, root, {}, spark.createDataFrame([(r,) for r in repo_ids], "repo_id int"))
 
 
 def cached(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(commit metrics of the current version, previous_run_at by repository), for an incremental analysis."""
-    return sinks.read_metrics(spark, f"{root}/commits"), spark.read.parquet(f"{root}/runs").groupBy("repo_id").agg(F.max("started_at").alias("previous_run_at"))
+    """(commit metrics of the current version, previous_run_at by repository) of one snapshot, for an incremental analysis."""
+    version = snapshots.snapshot(spark, root).version
+    metrics = snapshots.read(spark, root, "commits", version).filter(F.col("algo_version") == config.ALGO_VERSION)
+    return metrics, snapshots.read(spark, root, "runs", version).groupBy("repo_id").agg(F.max("started_at").alias("previous_run_at"))
 
 
 # the table of repositories: a few rows, written whole
