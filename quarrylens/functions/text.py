@@ -61,7 +61,7 @@ def rtrim(line: Column) -> Column:
 
 def token_count(line: Column) -> Column:
     """Runs of letters, digits, _ and $ count one; every other visible character counts one."""
-    return F.regexp_count(line, F.lit(r"[\p{L}\p{Nd}_$]+")) + F.regexp_count(line, F.lit(r"[^\p{L}\p{Nd}_$\s]"))
+    return F.regexp_count(line, F.lit(r"[\p{L}\p{Nd}_$]+|[^\p{L}\p{Nd}_$\s]"))
 
 
 def is_declaration(line: Column, lang: Column) -> Column:

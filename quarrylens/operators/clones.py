@@ -8,41 +8,43 @@ from pyspark.sql.window import Window
 
 from quarrylens import config
 from quarrylens.functions import text as X
-from quarrylens.operators.lines import hashed, windows
+from quarrylens.operators.lines import window_hashes
 from quarrylens.sources.tables import cut
 
 
-def covered_setbased(lines: DataFrame, partition: list[str], file: str, size: int = config.DUP_MIN_LINES, tokens: int = config.DUP_MIN_TOKENS) -> DataFrame:
-    """(partition, file, pos) of the lines inside any window of ``size`` lines that occurs twice and holds ``tokens`` tokens.
+def repeated_windows(files: DataFrame, partition: list[str], file: str, size: int = config.DUP_MIN_LINES, tokens: int = config.DUP_MIN_TOKENS) -> DataFrame:
+    """(partition, file, pos) of windows of ``size`` lines that occur twice in their partition and hold ``tokens`` tokens; ``files``: (partition, file, norm).
 
     A metric of its own: windows are judged alone, so it neither bounds nor is bounded by the exact one.
     """
-    w = windows(lines, size, [*partition, file])
-    w = hashed(w.filter(X.token_count(F.col("window")) >= tokens).select(*partition, file, "pos", "h", "window"))
+    w = files.select(*partition, file, F.inline(window_hashes("norm", size, tokens)))
     twice = w.groupBy(*partition, "h", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    hit = w.join(twice, [*partition, "h", "h2"], "left_semi")
-    return hit.select(*partition, file, F.explode(F.sequence(F.col("pos"), F.col("pos") + size - 1)).alias("pos")).distinct()
+    return w.join(twice, [*partition, "h", "h2"], "left_semi").select(*partition, file, "pos")
 
 
-def sharing(lines: DataFrame, file: str, size: int = config.DUP_MIN_LINES, tokens: int = config.DUP_MIN_TOKENS) -> DataFrame:
-    """(file, partners, first_partner): how many other files share a window with each, and the smallest of them; ``lines``: (file, pos, text).
+def sharing(files: DataFrame, file: str, size: int = config.DUP_MIN_LINES, tokens: int = config.DUP_MIN_TOKENS) -> DataFrame:
+    """(file, partners, first_partner): how many other files share a window with each, and the smallest of them; ``files``: (file, norm).
 
-    Files with the same windows are one class, and classes are paired instead of files: copies of a file cost one row, however many
-    there are.
+    Files aren't paired. Windows that the same files hold are one group, known by the number and the hashes of its files, and files that are in
+    the same groups are one class. The files of a group are bitmaps, 32,768 numbers each, and a class has as many files around it as there
+    are bits in the union of its groups' bitmaps. So a header that is common to all files costs one bit for each of them, and the copies of a file cost one row.
     """
-    w = windows(lines, size, [file]).filter(X.token_count(F.col("window")) >= tokens)
-    held = hashed(w.select(file, "h", "window")).groupBy(file).agg(F.array_sort(F.collect_set(F.struct("h", "h2"))).alias("held"))
-    held = held.withColumn("class", F.struct(F.xxhash64("held").alias("x"), F.xxhash64(F.lit(1), "held").alias("y")))
-    order = Window.partitionBy("class").orderBy(file)
-    ranked = cut(held.withColumn("rank", F.row_number().over(order)))
-    classes = cut(ranked.groupBy("class").agg(F.count("*").alias("size"), F.min(file).alias("first"), F.min(F.when(F.col("rank") == 2, F.col(file))).alias("second")))
-    each = cut(ranked.filter("rank = 1").select("class", F.explode("held").alias("window")))
-    near = each.join(each.withColumnRenamed("class", "other"), "window").filter("class <> other").select("class", "other").distinct()
-    near = near.join(classes.select(F.col("class").alias("other"), "size", "first"), "other").groupBy("class").agg(F.sum("size").alias("_near"), F.min("first").alias("_first"))
-    own = ranked.select(file, "class", "rank").join(classes, "class").join(near, "class", "left")
-    beside = F.when(F.col("rank") == 1, F.col("second")).otherwise(F.col("first"))
-    out = own.select(file, (F.coalesce("_near", F.lit(0)) + F.col("size") - 1).alias("partners"), F.least(beside, F.col("_first")).alias("first_partner"))
-    return out.filter("partners > 0")
+    w = files.select(file, F.inline(window_hashes("norm", size, tokens))).select(file, "h", "h2").distinct()
+    own = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64(file)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), file)).alias("y"))
+    of = w.groupBy("h", "h2").agg(own.alias("group")).filter("group.n > 1")
+    member = cut(w.join(of, ["h", "h2"]).select(file, "group").distinct())
+    held = member.groupBy(file).agg(F.array_sort(F.collect_list("group")).alias("groups"))
+    held = held.select(file, F.struct(F.xxhash64("groups").alias("x"), F.xxhash64(F.lit(1), "groups").alias("y")).alias("class"))
+    held = cut(held.withColumn("number", F.monotonically_increasing_id()))  # a bit for each file: few distinct buckets, as ids run on within a task
+    numbered = member.join(held, file)
+    bits = numbered.groupBy("group", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+    around = numbered.groupBy("class", "group").agg(F.lit(1).alias("_")).drop("_").join(bits, "group").groupBy("class", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    counts = around.groupBy("class").agg(F.sum(F.bitmap_count("bits")).alias("around"))
+    # the smallest other file: a group's two smallest are enough, as only the first can be the file itself
+    first = member.groupBy("group").agg(F.min(file).alias("first"))
+    second = member.join(first, "group").filter(F.col(file) != F.col("first")).groupBy("group").agg(F.min(file).alias("second"))
+    least = member.join(first, "group").join(second, "group").groupBy(file).agg(F.min(F.when(F.col("first") == F.col(file), F.col("second")).otherwise(F.col("first"))).alias("first_partner"))
+    return held.join(counts, "class").join(least, file).select(file, (F.col("around") - 1).alias("partners"), "first_partner")
 
 
 def _runs(lines: DataFrame, partition: list[str], size: int, places: int) -> DataFrame:

@@ -41,6 +41,31 @@ def split_lines(df: DataFrame, text_column: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(F.split(text_column, "\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1).withColumn("text", F.regexp_replace("text", "\r$", ""))
 
 
+def norm_view(text: Column, lang: Column) -> Column:
+    """The norm lines of a text as an array of (line_no, text), made within the row."""
+    own = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), X.collapse(x).alias("text")))
+    return F.filter(own, lambda x: X.is_norm(x["text"], lang))
+
+
+def window_hashes(norm: str, size: int, tokens: int = 0) -> Column:
+    """(pos, h, h2) of each window of ``size`` lines of an array column of norm lines, 128 bits for its content; only those that hold ``tokens`` tokens.
+
+    Made within the row, so neither lines nor windows are shuffled to find their neighbours: what leaves the row is hashes.
+    """
+    text = lambda i, k: F.get(norm, i + k)["text"]
+    starts = F.when(F.size(norm) >= size, F.sequence(F.lit(0), F.size(norm) - size)).otherwise(F.array().cast("array<int>"))
+    if tokens:
+        of_lines = F.transform(norm, lambda x: X.token_count(x["text"]))  # once for each line, however many windows hold it
+        starts = F.transform(F.array(of_lines), lambda t: F.filter(starts, lambda i: sum((F.get(t, i + k) for k in range(1, size)), F.get(t, i)) >= tokens))[0]
+    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[text(i, k) for k in range(size)]).alias("h"), F.xxhash64(F.lit(1), *[text(i, k) for k in range(size)]).alias("h2")))
+
+
+def covered(hits: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, lines): how many lines the windows at ``pos`` cover together; the distance to the next one, if that is less than a window."""
+    step = F.lead("pos").over(Window.partitionBy(*keys).orderBy("pos")) - F.col("pos")
+    return hits.withColumn("_n", F.least(F.coalesce(step, F.lit(size)), F.lit(size))).groupBy(*keys).agg(F.sum("_n").alias("lines"))
+
+
 def windows(lines: DataFrame, size: int, partition: list[str], pos: str = "pos") -> DataFrame:
     """``lines`` with the hash of the window of ``size`` lines from each position on, where a whole one begins, and its text.
 

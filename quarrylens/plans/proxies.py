@@ -48,15 +48,19 @@ _WINDOW3 = f"""{_NORM},
 w3 as (select * from (select doc_id, source, pos, text || chr(10) || lead(text, 1) over w || chr(10) || lead(text, 2) over w as win from norm window w as (partition by doc_id order by pos)) where win is not null)"""
 
 
-def norm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source, line_no, pos, text) of the norm view of documents, read as files without a language."""
-    raw = lines.split_lines(table(spark, sf_dir, "documents"), "text", "doc_id", "source").withColumn("text", X.collapse(F.col("text")))
-    kept = raw.filter(X.is_norm(F.col("text"), F.lit("UNKNOWN")))
-    return kept.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1)
+def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, flat): the collapsed lines of each document."""
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.transform(F.split("text", "\n"), X.collapse).alias("flat"))
+
 
+def norm_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, norm): the norm view of each document, read as a file without a language."""
+    return table(spark, sf_dir, "documents").select("doc_id", "source", lines.norm_view(F.col("text"), F.lit("UNKNOWN")).alias("norm"))
 
-def _windows3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.windows(norm_lines(spark, sf_dir), config.RUN, ["doc_id"])
+
+def norm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, line_no, pos, text) of the norm view of documents."""
+    return lines.exploded(norm_files(spark, sf_dir), "norm", "doc_id", "source").select("doc_id", "source", "line_no", "text", "pos")
 
 
 @query(f"""with {_WINDOW3},
@@ -66,12 +70,12 @@ tot as (select source, count(*) as norm_lines from norm group by source),
 dup as (select source, count(*) as dup_lines from hit group by source)
 select tot.source, norm_lines, coalesce(dup_lines, 0) as dup_lines, round(100.0::double * coalesce(dup_lines, 0) / norm_lines, 6) as dup_pct from tot left join dup using (source)""")
 def duplicate_lines_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = norm_lines(spark, sf_dir)
-    w = lines.hashed(lines.windows(own, config.RUN, ["doc_id"]).select("source", "doc_id", "pos", "h", "window"))
+    own = norm_files(spark, sf_dir)
+    w = own.select("source", "doc_id", F.inline(lines.window_hashes("norm", config.RUN)))
     rep = w.groupBy("h", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h", "h2")
-    hit = w.join(rep, ["h", "h2"], "left_semi").select("source", "doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + 2)).alias("p")).distinct()
-    total = own.groupBy("source").agg(F.count("*").alias("norm_lines"))
-    out = total.join(hit.groupBy("source").agg(F.count("*").alias("dup_lines")), "source", "left").na.fill(0, ["dup_lines"])
+    hit = lines.covered(w.join(rep, ["h", "h2"], "left_semi"), ["source", "doc_id"], config.RUN)
+    total = own.groupBy("source").agg(F.sum(F.size("norm")).alias("norm_lines")).filter("norm_lines > 0")
+    out = total.join(hit.groupBy("source").agg(F.sum("lines").alias("dup_lines")), "source", "left").na.fill(0, ["dup_lines"])
     return out.withColumn("dup_pct", F.round(100.0 * X.ratio(F.col("dup_lines"), F.col("norm_lines")), 6))
 
 
@@ -80,15 +84,17 @@ t as (select doc_id, count(*) as norm_lines, sum(len(regexp_extract_all(text, '[
 b as (select doc_id, count(*) filter (where text <> '') as lines from flat group by doc_id)
 select doc_id, lines, coalesce(norm_lines, 0) as norm_lines, coalesce(tokens, 0) as tokens from b left join t using (doc_id)""")
 def line_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = lines.split_lines(table(spark, sf_dir, "documents"), "text", "doc_id").withColumn("text", X.collapse(F.col("text")))
-    norm = X.is_norm(F.col("text"), F.lit("UNKNOWN"))
-    return raw.groupBy("doc_id").agg(F.count_if(F.col("text") != "").alias("lines"), F.count_if(norm).alias("norm_lines"), F.coalesce(F.sum(F.when(norm, X.token_count(F.col("text")))), F.lit(0)).cast("long").alias("tokens"))
+    own = _flat(spark, sf_dir)
+    norm = F.filter("flat", lambda x: X.is_norm(x, F.lit("UNKNOWN")))
+    tokens = F.aggregate(norm, F.lit(0).cast("long"), lambda n, x: n + X.token_count(x))
+    return own.select("doc_id", F.size(F.filter("flat", lambda x: x != "")).cast("long").alias("lines"), F.size(norm).cast("long").alias("norm_lines"), tokens.alias("tokens"))
 
 
 @query(f"""with {_WINDOW3}, n as (select win, count(*) as n from w3 group by win)
 select n as occurrences, count(*) as windows from n group by n""")
 def ngram_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.hashed(_windows3(spark, sf_dir)).groupBy("h", "h2").agg(F.count("*").alias("occurrences")).groupBy("occurrences").agg(F.count("*").alias("windows"))
+    w = norm_files(spark, sf_dir).select(F.inline(lines.window_hashes("norm", config.RUN)))
+    return w.groupBy("h", "h2").agg(F.count("*").alias("occurrences")).groupBy("occurrences").agg(F.count("*").alias("windows"))
 
 
 # DuckDB knows only ASCII at word boundaries
@@ -99,17 +105,16 @@ _LITERAL = rf"""not (regexp_matches(text, '[A-Za-z_$][A-Za-z0-9_$]*\s*\(') or re
 @query(f"""with {_NORM}, c as (select doc_id, count(*) as lines, count(*) filter (where {_LITERAL}) as literal_lines from flat where text <> '' group by doc_id)
 select doc_id, lines, literal_lines, lines >= 30 and literal_lines >= 0.8 * lines as data_table from c""")
 def data_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = lines.split_lines(table(spark, sf_dir, "documents"), "text", "doc_id").withColumn("text", X.collapse(F.col("text"))).filter("text <> ''")
-    out = raw.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(X.is_literal_only(F.col("text"))).alias("literal_lines"))
+    own = _flat(spark, sf_dir).select("doc_id", F.filter("flat", lambda x: x != "").alias("flat")).filter("size(flat) > 0")
+    out = own.select("doc_id", F.size("flat").cast("long").alias("lines"), F.size(F.filter("flat", X.is_literal_only)).cast("long").alias("literal_lines"))
     return out.withColumn("data_table", X.is_data_table(F.col("literal_lines"), F.col("lines")))
 
 
 @query(rf"""with {_NORM}, c as (select doc_id, text, regexp_extract_all(text, '([A-Za-z_$][A-Za-z0-9_$]*)\s*\(', 1) as names, list_filter(regexp_extract_all(text, '[\p{{L}}\p{{Nd}}_]+'), lambda x: x in ('if', 'elif', 'for', 'while', 'except', 'and', 'or', 'assert')) as ds from flat)
 select doc_id, sum(len(list_filter(names, lambda x: x not in ({", ".join(repr(k) for k in X.NOT_CALLS["PYTHON"])}))))::bigint as calls, sum(len(ds))::bigint as decisions from c group by doc_id""")
 def calls_and_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = lines.split_lines(table(spark, sf_dir, "documents"), "text", "doc_id").withColumn("text", X.collapse(F.col("text")))
-    lang = F.lit("PYTHON")
-    return raw.groupBy("doc_id").agg(F.sum(X.calls(F.col("text"), lang)).alias("calls"), F.sum(X.decisions(F.col("text"), lang)).alias("decisions"))
+    total = lambda count: F.aggregate("flat", F.lit(0).cast("long"), lambda n, x: n + count(x, F.lit("PYTHON")))
+    return _flat(spark, sf_dir).select("doc_id", total(X.calls).alias("calls"), total(X.decisions).alias("decisions"))
 
 
 _WINDOW5 = f"""{_NORM},
@@ -122,15 +127,15 @@ rep as (select source, win from t5 group by source, win having count(*) > 1),
 hit as (select distinct doc_id, source, pos + k as pos from (select t5.* from t5 join rep using (source, win)), (select unnest(range(5)) as k))
 select source, count(*) as dup_lines, count(distinct doc_id) as files from hit group by source""")
 def clones_setbased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = clones.covered_setbased(norm_lines(spark, sf_dir), ["source"], "doc_id")
-    return hit.groupBy("source").agg(F.count("*").alias("dup_lines"), F.countDistinct("doc_id").alias("files"))
+    hit = clones.repeated_windows(norm_files(spark, sf_dir), ["source"], "doc_id")
+    return lines.covered(hit, ["source", "doc_id"], config.DUP_MIN_LINES).groupBy("source").agg(F.sum("lines").alias("dup_lines"), F.count("*").alias("files"))
 
 
 @query(f"""with {_WINDOW5},
 p as (select distinct a.doc_id, b.doc_id as other from (select distinct doc_id, win from t5) a join (select distinct doc_id, win from t5) b on a.win = b.win and a.doc_id <> b.doc_id)
 select doc_id, count(*) as partners, list_min(list(other)) as first_partner from p group by doc_id""")
 def clone_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clones.sharing(norm_lines(spark, sf_dir).select("doc_id", "pos", "text"), "doc_id")
+    return clones.sharing(norm_files(spark, sf_dir).select("doc_id", "norm"), "doc_id")
 
 
 def _walked(tree: str) -> str:

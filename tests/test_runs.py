@@ -217,7 +217,7 @@ def test_similar_files_and_sharing(spark):
     assert {tuple(r) for r in mirrors.similar(df, ["tree"], "f").collect()} == want and want
     wins = {f: {tuple(t for _, g, _, t in rows if g == f)[k : k + 5] for k in range(sum(g == f for _, g, _, _ in rows) - 4)} for f in bags}
     near = {f: sorted(g for g in wins if g != f and wins[f] & wins[g]) for f in wins}
-    got = {r["f"]: (r["partners"], r["first_partner"]) for r in clones.sharing(df.select("f", "pos", "text"), "f", tokens=1).collect()}
+    got = {r["f"]: (r["partners"], r["first_partner"]) for r in clones.sharing(df.groupBy("f").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.struct(x["pos"].alias("line_no"), x["text"].alias("text"))).alias("norm")), "f", tokens=1).collect()}
     assert got == {f: (len(x), x[0]) for f, x in near.items() if x}
 
 
@@ -238,3 +238,14 @@ def test_secrets(spark):
     key, other = F.lit(b"0123456789abcdef"), F.lit(b"fedcba9876543210")
     r = spark.range(1).select(X.sealed(F.lit("secret"), key).alias("s")).select("s", X.opened(F.col("s"), key).alias("a"), X.opened(F.col("s"), other).alias("b")).first()
     assert r["a"] == "secret" and r["b"] is None and "secret" not in r["s"]
+
+
+def test_a_window_of_all_files_is_a_bit_for_each(spark, monkeypatch):
+    n = 2_000
+    text = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.struct(k.cast("int").alias("line_no"), F.when(k < 5, F.format_string("header line number %d", k)).otherwise(F.format_string("own %d %d", "id", k)).alias("text")))
+    files = spark.range(n).select(F.col("id").alias("f"), text.alias("norm")).unionByName(spark.range(3).select((F.col("id") + n).alias("f"), F.slice(text, 6, 2).alias("norm")))
+    seen, cut = [], clones.cut
+    monkeypatch.setattr(clones, "cut", lambda df: (out := cut(df), seen.append(out.count()))[0])
+    got = clones.sharing(files, "f", tokens=1)
+    assert got.groupBy("partners", "first_partner").count().orderBy("count").collect() == [(n - 1, 1, 1), (n - 1, 0, n - 1)]
+    assert max(seen) <= n
