@@ -58,17 +58,30 @@ def merged(authors: DataFrame, partition: list[str]) -> DataFrame:
 
 
 def suspects(authors: DataFrame, partition: list[str], most: int = config.SUSPECTS_SHOWN) -> DataFrame:
-    """The first pairs of authors, by key, whose names or mail boxes begin alike.
+    """The first pairs of authors, by key, whose names or mail boxes are equal, or begin with the other's if that has four characters or more.
 
-    Two texts that share a prefix of at least four characters begin with the same four, so pairs are sought within those (or
-    among equal shorter texts): an equi-join instead of all pairs.
+    Each text meets its own prefixes, so work follows matches and not the authors whose names begin alike. Of the authors with one text, and
+    of those whose texts go on from it, the first few by key are enough: a pair with a later one has ``most`` pairs before it.
     """
-    forms = authors.select(*partition, "author_key", "name", F.explode(F.array(F.struct(F.lit("n").alias("kind"), X.display_key(F.col("name")).alias("v")), F.struct(F.lit("m").alias("kind"), X.local_part(F.col("email")).alias("v")))).alias("f"))
-    forms = forms.select(*partition, "author_key", "name", F.col("f.kind").alias("kind"), F.col("f.v").alias("v")).filter("v <> ''").withColumn("head", F.substring("v", 1, 4))
-    a = forms.select(*partition, "kind", "head", F.col("author_key").alias("key_a"), F.col("name").alias("name_a"), F.col("v").alias("va"))
-    b = forms.select(*partition, "kind", "head", F.col("author_key").alias("key_b"), F.col("name").alias("name_b"), F.col("v").alias("vb"))
-    pairs = a.join(b, [*partition, "kind", "head"]).filter((F.col("key_a") < F.col("key_b")) & X.shares_prefix(F.col("va"), F.col("vb")))
-    pairs = pairs.select(*partition, "key_a", "key_b", "name_a", "name_b").distinct()
+    own = F.struct(F.col("author_key").alias("key"), "name")
+    kinds = F.array(F.struct(F.lit("n").alias("kind"), X.display_key(F.col("name")).alias("v")), F.struct(F.lit("m").alias("kind"), X.local_part(F.col("email")).alias("v")))
+    forms = authors.select(*partition, own.alias("who"), F.explode(kinds).alias("f")).select(*partition, "f.kind", "f.v", "who").filter("v <> ''")
+    text = [*partition, "kind", "v"]
+
+    def first(rows: DataFrame, n: int, name: str) -> DataFrame:
+        ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*text).orderBy("who.key"))).filter(F.col("_r") <= n)
+        return ranked.groupBy(*text).agg(F.array_sort(F.collect_list("who")).alias(name))
+
+    alike = first(forms, most + 1, "own")
+    starts = alike.filter(F.char_length("v") > 4).withColumn("n", F.explode(F.sequence(F.lit(4), F.char_length("v") - 1)))
+    longer = starts.select(*partition, "kind", F.expr("substring(v, 1, n)").alias("v"), F.col("own").alias("more")).join(alike.select(*text), text, "left_semi")
+    longer = first(longer.select(*text, F.explode("more").alias("who")), most, "longer")
+    none = F.array().cast(longer.schema["longer"].dataType)
+    met = alike.join(longer, text, "left").withColumn("longer", F.coalesce("longer", none))
+    pair = lambda x, y: F.when(x["key"] < y["key"], F.struct(x.alias("a"), y.alias("b"))).otherwise(F.struct(y.alias("a"), x.alias("b")))
+    pairs = F.flatten(F.transform("own", lambda x: F.concat(F.transform(F.filter("own", lambda y: y["key"] > x["key"]), lambda y: pair(x, y)), F.transform("longer", lambda y: pair(x, y)))))
+    pairs = met.select(*partition, F.explode(pairs).alias("p")).select(*partition, F.col("p.a.key").alias("key_a"), F.col("p.b.key").alias("key_b"), F.col("p.a.name").alias("name_a"), F.col("p.b.name").alias("name_b"))
+    pairs = pairs.distinct()
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy("key_a", "key_b"))).filter(F.col("rank") <= most)
 
 

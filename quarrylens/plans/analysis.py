@@ -200,7 +200,7 @@ def _duplicates(tree: DataFrame, views: DataFrame) -> tuple[DataFrame, DataFrame
     files = tree.join(views.select("blob_id", F.size("code").alias("code_lines"), F.size("norm").alias("norm_lines")), "blob_id").select("repo_id", "path", "code_lines", "norm_lines")
     rows = cut(tree.join(lines.exploded(views, "norm", "blob_id"), "blob_id").select("repo_id", "path", "pos", "line_no", "text"))
     flagged = cut(mirrors.detect(files, rows.select("repo_id", "path", "text")))
-    dropped = mirrors.under_roots(files, ["repo_id"]).join(flagged.select("repo_id", F.col("mirror").alias("root")), ["repo_id", "root"]).select("repo_id", "path").distinct()
+    dropped = mirrors.excluded(files, flagged).select("repo_id", "path").distinct()
     kept = cut(files.join(dropped, ["repo_id", "path"], "left_anti").select("repo_id", "path"))
     found, by_file = clones.exact(rows.join(kept, ["repo_id", "path"], "left_semi"), ["repo_id"])
     return flagged, kept, cut(found), cut(by_file)

@@ -230,6 +230,48 @@ def renamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return renames.detect(files.filter("doc_id % 2 = 0").drop("doc_id"), files.filter("doc_id % 2 = 1").drop("doc_id"), ["lang"], renames.weighted_lines(blobs))
 
 
+# files of six folders: three that hold one application, one of them with files of its own, two that hold another one, and one of other content
+_FOLDERS = ("app", "lib/app", "vendor/app", "web", "old/web", "tools")
+_COPIES = f"""t as (select distinct ascii(l_returnflag) as repo_id, l_suppkey % 6 as side, l_partkey % 300 as n from lineitem where l_suppkey % 6 <> 5 or l_partkey % 300 < 200),
+f as (select repo_id, {_picked(_FOLDERS, "side")} || '/m' || n % 12 || '/F' || n || '.java' as path, 12 + n % 7 as lines, n, side from t),
+l as (select repo_id, path, lines, 'line ' || k || ' of ' || n || case when side in (0, 2) or side = 1 and n % 10 > 0 then ' a' when side in (3, 4) then ' w' else ' s' || side end as text from f, range(0, 19) g(k) where k < lines),
+c as (select a.repo_id, least(left(a.path, length(a.path) - length(a.rel) - 1), left(b.path, length(b.path) - length(b.rel) - 1)) as root_a, greatest(left(a.path, length(a.path) - length(a.rel) - 1), left(b.path, length(b.path) - length(b.rel) - 1)) as root_b, a.rel as suffix
+ from (select *, 'm' || n % 12 || '/F' || n || '.java' as rel from f) a join (select *, 'm' || n % 12 || '/F' || n || '.java' as rel from f) b on a.repo_id = b.repo_id and a.rel = b.rel and a.path < b.path),
+size as (select repo_id, path[:length(path) - length('/m' || n % 12 || '/F' || n || '.java')] as root, count(*) as files, sum(lines) as lines from f group by all),
+big as (select c.repo_id, root_a, root_b, count(*) as shared, any_value(x.files) as fa, any_value(y.files) as fb, any_value(x.lines) as la, any_value(y.lines) as lb from c join size x on x.repo_id = c.repo_id and x.root = root_a join size y on y.repo_id = c.repo_id and y.root = root_b
+ group by all having count(*) >= 25 and count(*) >= 0.7 * least(any_value(x.files), any_value(y.files))),
+ranked as (select c.*, row_number() over (partition by repo_id, root_a, root_b order by suffix) - 1 as r, greatest(1, shared // 24) as step from c join big using (repo_id, root_a, root_b)),
+sample as (select * from ranked where r % step = 0 qualify row_number() over (partition by repo_id, root_a, root_b order by suffix) <= 24),
+same as (select s.repo_id, root_a, root_b, suffix, count(*) as common from sample s join l x on x.repo_id = s.repo_id and x.path = root_a || '/' || suffix join l y on y.repo_id = s.repo_id and y.path = root_b || '/' || suffix and y.text = x.text group by all),
+share as (select s.repo_id, root_a, root_b, avg(case when coalesce(common, 0) >= 0.9 * lines then 1.0::double else 0.0::double end) as identical from sample s left join same using (repo_id, root_a, root_b, suffix) join f on f.repo_id = s.repo_id and f.path = root_a || '/' || suffix group by all),
+ready as (select *, case when la <> lb then lb < la when len(string_split(root_a, '/')) <> len(string_split(root_b, '/')) then len(string_split(root_b, '/')) > len(string_split(root_a, '/')) else root_b > root_a end as drop_b, row_number() over (partition by repo_id order by root_a, root_b) as k from big join share using (repo_id, root_a, root_b) where identical >= 0.75),
+walk as (select distinct repo_id, 0::bigint as k, ''::varchar as original, ''::varchar as mirror, 0::bigint as shared, 0::hugeint as lines, 0::double as identical, []::varchar[] as gone from f union all
+ select repo_id, k, original, mirror, shared, lines, identical, list_append(gone, mirror) from (select w.repo_id, r.k, case when drop_b then root_a else root_b end as original, case when drop_b then root_b else root_a end as mirror, r.shared, case when drop_b then lb else la end as lines, r.identical, gone from walk w join ready r on r.repo_id = w.repo_id and r.k > w.k
+ where len(list_filter(gone, lambda d: d = root_a or d = root_b or starts_with(root_a, d || '/') or starts_with(root_b, d || '/') or starts_with(d, root_a || '/') or starts_with(d, root_b || '/'))) = 0 qualify row_number() over (partition by w.repo_id order by r.k) = 1))"""
+
+
+def _copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = table(spark, sf_dir, "lineitem").select(F.ascii("l_returnflag").alias("repo_id"), (F.col("l_suppkey") % 6).alias("side"), (F.col("l_partkey") % 300).alias("n")).filter("side <> 5 or n < 200").distinct()
+    n, side = F.col("n"), F.col("side")
+    files = own.withColumns({"path": F.concat(_pick(_FOLDERS, side), F.lit("/m"), (n % 12).cast("string"), F.lit("/F"), n.cast("string"), F.lit(".java")), "code_lines": (12 + n % 7).cast("int")})
+    mark = F.when(side.isin(0, 2) | ((side == 1) & (n % 10 > 0)), " a").when(side.isin(3, 4), " w").otherwise(F.concat(F.lit(" s"), side.cast("string")))
+    text = files.select("repo_id", "path", "n", mark.alias("mark"), F.explode(F.sequence(F.lit(0), F.col("code_lines") - 1)).alias("k")).select("repo_id", "path", F.concat(F.lit("line "), F.col("k").cast("string"), F.lit(" of "), n.cast("string"), "mark").alias("text"))
+    return files.select("repo_id", "path", "code_lines", F.col("code_lines").alias("norm_lines")), text
+
+
+@query(f"with recursive {_COPIES} select repo_id, original, mirror, shared::int as shared_paths, lines::int as dropped_lines, round(identical, 9) as identical_share, (row_number() over (partition by repo_id order by lines desc, original, mirror))::int as rank from walk where k > 0")
+def mirrored_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders that hold what others hold, where the mirror of one pair is in others too."""
+    return mirrors.detect(*_copies(spark, sf_dir)).withColumn("identical_share", F.round("identical_share", 9))
+
+
+@query(f"with recursive {_COPIES} select f.repo_id, mirror, count(*) as files, sum(f.lines)::bigint as lines from walk join f on f.repo_id = walk.repo_id and starts_with(path, mirror || '/') where k > 0 group by all")
+def excluded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What mirrors leave out of the measured files."""
+    files, text = _copies(spark, sf_dir)
+    return mirrors.excluded(files, mirrors.detect(files, text)).join(files, ["repo_id", "path"]).groupBy("repo_id", "mirror").agg(F.count("*").alias("files"), F.sum("code_lines").alias("lines"))
+
+
 _RUNS = "r as (select o_custkey % 40 as repo_id, o_orderkey as started_at, case o_orderstatus when 'F' then 'OK' when 'O' then 'RUNNING' else 'QUEUED' end as status, o_totalprice as price from orders where o_custkey % 40 < 30 or o_orderstatus <> 'F')"
 
 
