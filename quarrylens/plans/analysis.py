@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,6 +42,17 @@ def _silent(phase: str, done: int, of: int) -> bool:
     return True
 
 
+@contextlib.contextmanager
+def _described(spark: SparkSession) -> Iterator[None]:
+    """Gives the jobs that follow the description back that they had before."""
+    name, context = "spark.job.description", spark.sparkContext
+    before = context.getLocalProperty(name)
+    try:
+        yield
+    finally:
+        context.setLocalProperty(name, before)
+
+
 def analyse(
     tables: dict[str, DataFrame],
     now_ms: int,
@@ -55,8 +67,13 @@ def analyse(
 
     ``repos`` (repo_id, excludes, thresholds) may add globs and override thresholds for each repository. With ``cached`` metrics and
     ``previous`` (repo_id, previous_run_at) only the commits from the replay floor on are computed again; the figures are the
-    same. ``progress`` is told of each phase as it begins; where it answers False the run ends with ``Cancelled``.
+    same. ``progress`` is told of each phase as it begins; where it answers False the run ends with ``Cancelled``. ``runs.Run`` stops jobs too.
     """
+    with _described(tables["commits"].sparkSession):
+        return _analyse(tables, now_ms, thresholds, globs, repos, cached, previous, progress)
+
+
+def _analyse(tables, now_ms, thresholds, globs, repos, cached, previous, progress) -> Outcome:
 
     def phase(name: str) -> None:
         names = ("read", "replay", "authors", "duplicates", "grades")

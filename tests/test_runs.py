@@ -89,8 +89,11 @@ def test_incremental_run_has_the_figures_of_a_full_one(spark, repo, tmp_path):
     assert store.cached(spark, root)[0].count() == 20
     store.persist(root, repos.limit(0), tables["commits"], part.stats, part.clones, report)
     assert store.stored(spark, root).count() == 0
+    spark.sparkContext.setJobDescription("mine")
     with pytest.raises(analysis.Cancelled):
         analysis.analyse(tables, now, progress=lambda name, k, n: name != "authors")
+    assert spark.sparkContext.getLocalProperty("spark.job.description") == "mine"
+    spark.sparkContext.setJobDescription(None)
 
 
 def test_repositories_have_their_own_globs_and_thresholds(spark, repo):
