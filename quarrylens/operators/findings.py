@@ -113,3 +113,15 @@ def localised(code: str, params: str, language: str) -> tuple[str, str]:
     title, body = MESSAGES[language][code]
     given = json.loads(params or "{}")
     return title, body.format(**given)
+
+
+def texts(rows: DataFrame, language: str) -> DataFrame:
+    """``rows`` (code, params as JSON, …) with their title and body in a language; null for a code that the language doesn't have.
+
+    The messages are one map, as there are as many as codes; a placeholder is replaced by the parameter of its name.
+    """
+    entries = [x for code, (title, body) in MESSAGES[language].items() for x in (F.lit(code), F.struct(F.lit(title).alias("title"), F.lit(body).alias("body")))]
+    given = F.map_entries(F.coalesce(F.from_json("params", "map<string,string>"), F.expr("cast(map() as map<string,string>)")))
+    put = rows.withColumn("_m", F.try_element_at(F.create_map(*entries), F.col("code")))
+    body = F.aggregate(given, F.col("_m.body"), lambda text, e: F.replace(text, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
+    return put.withColumns({"title": F.col("_m.title"), "body": body}).drop("_m")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylens.plans import proxies, records  # noqa: F401  records adds its queries to those of proxies
+from quarrylens.plans import proxies, records, reports  # noqa: F401  records and reports add their queries to those of proxies
 
 QUERIES: dict = dict(proxies.QUERIES)
 SQL: dict[str, str] = dict(proxies.SQL)
