@@ -289,3 +289,18 @@ def is_relevant(path: Column, globs: tuple[str, ...] | list[str] = config.DEFAUL
     """Whether a path is analysed; ``own``: the repository's own globs as one pattern, null without any."""
     kept = (language_of(path) != "UNKNOWN") & ~is_excluded(path, globs)
     return kept if own is None else kept & ~F.coalesce(F.rlike(path, own), F.lit(False))
+
+
+#: (category, what the messages of git and of servers say), the first that fits; anything else is unreachable
+PROBE_ERRORS = (
+    ("notAuthorized", r"not authori[sz]ed|authentication (is required|failed)|(^|[^0-9])40[13]([^0-9]|$)|not (permitted|granted)|could not read username"),
+    ("notGitRepository", r"not a git repository|does not appear to be a git repository"),
+    ("notFound", r"not found|(^|[^0-9])404([^0-9]|$)|does not exist"),
+    ("timeout", r"timed out|timeout"),
+)
+
+
+def probe_error(message: Column) -> Column:
+    """The category of a probe's error: no more than it, as the text tells about the network behind it."""
+    text = F.lower(F.coalesce(message, F.lit("")))
+    return F.coalesce(*[F.when(text.rlike(words), kind) for kind, words in PROBE_ERRORS], F.lit("unreachable"))

@@ -16,6 +16,7 @@ from quarrylens.functions import scanners
 from quarrylens.functions import text as X
 from quarrylens.operators import changes, churn, clones, findings, grading, identities, incremental, lines, metrics, mirrors, sampling
 from quarrylens.sources.tables import cut
+from quarrylens.sources.window_index import WindowIndex
 
 
 @dataclass
@@ -62,18 +63,20 @@ def analyse(
     cached: DataFrame | None = None,
     previous: DataFrame | None = None,
     progress: Callable[[str, int, int], bool] = _silent,
+    index: WindowIndex | None = None,
 ) -> Outcome:
     """``tables``: as ``quarrylens.sources.git.tables`` makes them. ``now_ms``: the analysis clock.
 
     ``repos`` (repo_id, excludes, thresholds) may add globs and override thresholds for each repository. With ``cached`` metrics and
     ``previous`` (repo_id, previous_run_at) only the commits from the replay floor on are computed again; the figures are the
-    same. ``progress`` is told of each phase as it begins; where it answers False the run ends with ``Cancelled``. ``runs.Run`` stops jobs too.
+    same. ``progress`` is told of each phase as it begins; where it answers False the run ends with ``Cancelled``. ``runs.Run`` stops jobs too. ``index`` keeps the windows
+    of blobs between runs, so that a run makes those of new blobs only.
     """
     with _described(tables["commits"].sparkSession):
-        return _analyse(tables, now_ms, thresholds, globs, repos, cached, previous, progress)
+        return _analyse(tables, now_ms, thresholds, globs, repos, cached, previous, progress, index)
 
 
-def _analyse(tables, now_ms, thresholds, globs, repos, cached, previous, progress) -> Outcome:
+def _analyse(tables, now_ms, thresholds, globs, repos, cached, previous, progress, index) -> Outcome:
 
     def phase(name: str) -> None:
         names = ("read", "replay", "authors", "duplicates", "grades")
@@ -94,7 +97,7 @@ def _analyse(tables, now_ms, thresholds, globs, repos, cached, previous, progres
     if cached is not None and previous is not None:
         floor = cut(incremental.floors(commits, cached, previous, samples))
     phase("replay")
-    mix, events, totals = _changes(tables, trees, views, globs, own, floor)
+    mix, events, totals = _changes(tables, trees, views, globs, own, floor, index)
     stats = _stats(_from(commits, floor), mix, events, totals, trees, views, _from(samples, floor).select("repo_id", "idx"), now_ms)
     phase("authors")
     if floor is not None:
@@ -159,7 +162,7 @@ def _from(rows: DataFrame, floor: DataFrame | None) -> DataFrame:
     return rows if floor is None else incremental.suffix(rows, floor)
 
 
-def _changes(tables: dict[str, DataFrame], trees: DataFrame, views: DataFrame, globs: tuple[str, ...], own: DataFrame | None, floor: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _changes(tables: dict[str, DataFrame], trees: DataFrame, views: DataFrame, globs: tuple[str, ...], own: DataFrame | None, floor: DataFrame | None, index: WindowIndex | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(line mix of each commit, churn events, norm lines of each commit's parent tree), from the floor on where there is one."""
     key = ["repo_id", "idx"]
     norm = views.select("blob_id", "norm")
@@ -173,9 +176,14 @@ def _changes(tables: dict[str, DataFrame], trees: DataFrame, views: DataFrame, g
     # files of the parent tree that share a window with what the commit adds
     ours = lines.windows(added, config.RUN, [*key, "path", "edit"]).select(*key, "h").distinct()
     spread = lines.exploded(views, "norm", "blob_id")
-    theirs = lines.windows(spread, config.RUN, ["blob_id"]).select("blob_id", "h").distinct()
-    member = trees.select("repo_id", F.col("path").alias("src"), "blob_id", "valid_from", "valid_to").join(theirs, "blob_id")
-    near = ours.join(member, ["repo_id", "h"]).filter((F.col("valid_from") < F.col("idx")) & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("idx")))).select(*key, "src", "blob_id").distinct()
+    member = trees.select("repo_id", F.col("path").alias("src"), "blob_id", "valid_from", "valid_to")
+    if index is None:
+        theirs = lines.windows(spread, config.RUN, ["blob_id"]).select("blob_id", "h").distinct()
+        held = ours.join(member.select("repo_id", "blob_id").distinct().join(theirs, "blob_id"), ["repo_id", "h"]).select(*key, "blob_id").distinct()
+    else:
+        index.add(member, views)
+        held = index.blobs_with(ours, key)
+    near = held.join(member, ["repo_id", "blob_id"]).filter((F.col("valid_from") < F.col("idx")) & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("idx")))).select(*key, "src", "blob_id").distinct()
     # of files with one content the first by path wins every tie
     near = near.groupBy(*key, "blob_id").agg(F.min("src").alias("src"))
     parent = near.join(spread, "blob_id").select(*key, "src", "pos", "text")

@@ -654,3 +654,19 @@ def edit_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rebuilt = F.aggregate(whole, start, step)["out"]
     change = F.aggregate("edits", F.lit(0).cast("long"), lambda n, e: n + (e["end_b"] - e["begin_b"]) - (e["end_a"] - e["begin_a"]))
     return both.select("doc_id", F.sha2(F.array_join(rebuilt, "\n"), 256).alias("rebuilt"), change.alias("grown"), (F.size("edits") > 0).alias("edited"))
+
+
+# the lines of a document once each, against the same ones with some replaced and some left out: there is one script
+_HUNKS = f"""{_NORM}, u as (select doc_id, text, min(pos) as pos from norm group by doc_id, text), a as (select doc_id, text, row_number() over (partition by doc_id order by pos) - 1 as i from u),
+b as (select *, (i + doc_id) % 7 = 3 as gone, (i + doc_id) % 5 = 0 as other from a), c as (select *, row_number() over (partition by doc_id order by i) - 1 as j from b where not gone),
+k as (select doc_id, i, j from c where not other union all select a.doc_id, count(*), any_value(m) from a join (select doc_id, count(*) filter (where not gone) as m from b group by doc_id) using (doc_id) group by a.doc_id),
+p as (select *, lag(i, 1, -1) over w + 1 as begin_a, lag(j, 1, -1) over w + 1 as begin_b from k window w as (partition by doc_id order by i))"""
+
+
+@query(f"with {_HUNKS} select doc_id, begin_a::int as begin_a, i::int as end_a, begin_b::int as begin_b, j::int as end_b from p where i > begin_a or j > begin_b")
+def edit_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edits between each document and a changed one, where no other script keeps all lines that can be kept."""
+    own = norm_files(spark, sf_dir).select("doc_id", F.array_distinct(F.transform("norm", lambda x: x["text"])).alias("a")).filter("size(a) > 0")
+    changed = F.transform("a", lambda x, i: F.when((i + F.col("doc_id")) % 5 == 0, F.concat(F.lit("// "), i.cast("string"), F.lit(" now something else"))).otherwise(x))
+    kept = F.transform(F.filter(F.transform(changed, lambda x, i: F.struct(x.alias("x"), ((i + F.col("doc_id")) % 7 == 3).alias("gone"))), lambda e: ~e["gone"]), lambda e: e["x"])
+    return own.withColumn("b", kept).select("doc_id", F.inline(scanners.edits("a", "b")))

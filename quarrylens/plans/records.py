@@ -351,3 +351,15 @@ def code_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     exts = tuple(_PIECES)
     own = table(spark, sf_dir, "part").select(k.cast("string").alias("blob_id"), F.concat(F.lit("src/f."), _pick(exts, k)).alias("path"), F.when(k % 3 == 0, content("py")).when(k % 3 == 1, content("java")).otherwise(content("ts")).alias("content"))
     return lines.file_views(own).select(F.col("blob_id").cast("long").alias("k"), "lang", *_FIGURES)
+
+
+_ERRORS = ("Could not resolve host: ", "repository not found: ", "Authentication failed for ", "The requested URL returned error: 403 from ", "does not appear to be a git repository: ", "operation timed out after 15 s: ", "Connection refused by author.", "git-upload-pack not permitted on ", "error: 404 ", "port 14031 refused by ")
+
+
+@query(f"""with e as (select page_id, lower({_picked(_ERRORS, "page_id")} || coalesce(url, '')) as m from pages)
+select page_id, case when regexp_matches(m, 'not authori[sz]ed|authentication (is required|failed)|(^|[^0-9])40[13]([^0-9]|$)|not (permitted|granted)|could not read username') then 'notAuthorized' when contains(m, 'not a git repository') or contains(m, 'does not appear to be a git repository') then 'notGitRepository'
+ when regexp_matches(m, 'not found|(^|[^0-9])404([^0-9]|$)|does not exist') then 'notFound' when contains(m, 'timed out') or contains(m, 'timeout') then 'timeout' else 'unreachable' end as category from e""")
+def probe_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each page's host couldn't be read, by what a probe would have said."""
+    message = F.concat(_pick(_ERRORS, F.col("page_id")), F.coalesce("url", F.lit("")))
+    return table(spark, sf_dir, "pages").select("page_id", X.probe_error(message).alias("category"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import subprocess
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens import config
+from quarrylens.functions import text as X
 from quarrylens.sources.sinks import _canonical
 from quarrylens.sources.tables import SCHEMAS, cut
 
@@ -107,12 +109,9 @@ def branches(url: str, seconds: int = 15) -> dict:
 
 
 def error_kind(message: str | None) -> str:
-    """The category of a probe's error text."""
+    """The category of a probe's error text, as ``text.probe_error`` gives it."""
     m = (message or "").lower()
-    for kind, words in (("auth", ("auth", "403", "401", "permission", "not permitted", "could not read username")), ("notfound", ("not found", "404", "does not exist", "does not appear")), ("timeout", ("timed out", "timeout")), ("network", ("resolve", "unknown host", "refused", "unreachable", "network", "connection"))):
-        if any(w in m for w in words):
-            return kind
-    return "other"
+    return next((kind for kind, words in X.PROBE_ERRORS if re.search(words, m)), "unreachable")
 
 
 _CHANGE = "path string, old_path string, blob string, old_blob string, valid_from int, valid_to int"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylens import config
 from quarrylens.config import Thresholds
+from quarrylens.functions import text as X
 from quarrylens.operators import access, changes, churn, clones, findings, grading, identities, incremental, metrics, mirrors, sampling
 from quarrylens.sources import git, sinks
 
@@ -192,8 +193,14 @@ def test_sinks(spark, tmp_path):
     assert "<\\/script>" in sinks.page('{"a": "</script>"}', "t")
 
 
-def test_probe_errors():
-    assert [git.error_kind(m) for m in ("Authentication failed", "repository not found", "Could not resolve host", "operation timed out", "odd", None)] == ["auth", "notfound", "network", "timeout", "other", "other"]
+def test_probe_errors(spark):
+    kinds = {
+        "Authentication failed": "notAuthorized", "https://h/x.git: git-upload-pack not permitted on 'x'": "notAuthorized", "access to this repository was not granted": "notAuthorized", "The requested URL returned error: 403": "notAuthorized",
+        "could not read Username for 'https://h': terminal prompts disabled": "notAuthorized", "'/x' does not appear to be a git repository": "notGitRepository", "not a git repository": "notGitRepository", "repository 'x' not found": "notFound", "error: 404": "notFound",
+        "operation timed out": "timeout", "Could not resolve host: auth.example.com": "unreachable", "Connection refused by author.example.org": "unreachable", "port 14031 refused": "unreachable", "odd": "unreachable", None: "unreachable",
+    }
+    assert {m: git.error_kind(m) for m in kinds} == kinds
+    assert {r["m"]: r["k"] for r in spark.createDataFrame([(m,) for m in kinds], "m string").select("m", X.probe_error(F.col("m")).alias("k")).collect()} == kinds
 
 
 def commit(repo, files, message, at, name="Ann", mail="ann@x.com"):

@@ -11,6 +11,7 @@ from quarrylens.config import Thresholds
 from quarrylens.operators import changes, clones, graphs, grading, lines, mirrors
 from quarrylens.plans import analysis, probes
 from quarrylens.sources import git, sinks, store
+from quarrylens.sources.window_index import WindowIndex
 
 DAY = 86_400
 NOW = 1_700_000_000
@@ -69,7 +70,9 @@ def plain(df, *drop):
 def test_incremental_run_has_the_figures_of_a_full_one(spark, repo, tmp_path):
     now = NOW * 1000
     old = subprocess.run(["git", "-C", repo, "rev-parse", "HEAD~3"], check=True, capture_output=True, text=True).stdout.strip()
-    before = analysis.analyse(git.tables(spark, [(1, repo, old)]), now - 27 * DAY * 1000)
+    index = str(tmp_path / "index")  # kept between the runs: the second one adds the windows of new blobs
+    before = analysis.analyse(git.tables(spark, [(1, repo, old)]), now - 27 * DAY * 1000, index=WindowIndex(spark, index, 4))
+    first = WindowIndex(spark, index).rows().count()
     tables = git.tables(spark, [(1, repo, "")])
     full = analysis.analyse(tables, now)
     root = str(tmp_path / "store")
@@ -80,7 +83,8 @@ def test_incremental_run_has_the_figures_of_a_full_one(spark, repo, tmp_path):
     cached, previous = store.cached(spark, root)
     assert cached.count() == 17 and store.stored(spark, root).count() == 1
     seen = []
-    part = analysis.analyse(tables, now, cached=cached, previous=previous, progress=lambda name, k, n: seen.append((name, k, n)))
+    part = analysis.analyse(tables, now, cached=cached, previous=previous, progress=lambda name, k, n: seen.append((name, k, n)), index=WindowIndex(spark, index))
+    assert WindowIndex(spark, index).rows().count() > first > 0
     assert plain(part.stats) == plain(full.stats) and plain(part.grades) == plain(full.grades) and plain(part.authors) == plain(full.authors)
     assert [s[0] for s in seen] == ["read", "replay", "authors", "duplicates", "grades"]
     floor = analysis.incremental.floors(tables["commits"], cached, previous, analysis.sampling.sampled(tables["commits"], ["repo_id"])).first()["floor"]
