@@ -7,7 +7,7 @@ whose distance from that centroid exceeds the centroid's radius, the distance wi
 nearest to it lie, is marked as rejected.
 
 The fit reads at most ``PER_LANGUAGE`` labelled rows of each language, one for each bucket of hashed ids, whole texts of
-``CLASS_BYTES`` together; predictions cover all rows and whole texts. Null texts and texts without a letter are ``und`` with
+``CLASS_BYTES`` together, and each language is a group of its own, so that the number of languages adds tasks and 128 KiB each to the model; predictions cover all rows and whole texts. Null texts and texts without a letter are ``und`` with
 score 0. Without training rows every text is ``und``. Repeated rows and ids, null ids and extra columns don't matter: rows are judged
 one by one, and an empty table gives an empty result.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from quarrylens.llm.kernels import blocks
 from quarrylens.llm.samples import remainder, within_budget
-from quarrylens.llm.scratch import bounded, table
+from quarrylens.llm.scratch import bounded, drop, saved, table
 
 PER_LANGUAGE = 500
 WIDTH, CENTROIDS, INSIDE = 8_192, 4, 0.995
@@ -103,33 +103,73 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return centres[np.unique((x @ centres.T).argmax(axis=1))]
 
 
-def fit(rows: list[tuple[str, str]]) -> Model:
-    """``rows``: (text, language)."""
-    rows = [(text, language) for text, language in rows if text]
-    if not rows:
-        return Model([], np.zeros(0, int), np.zeros((0, WIDTH), np.float32), np.zeros(WIDTH, np.float32), np.zeros(0))
-    x = np.vstack([counts(data, offsets) for lo in range(0, len(rows), ROWS) for _, _, data, offsets in blocks(pa.array([t for t, _ in rows[lo : lo + ROWS]]))])
-    idf = (np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = _scaled(x * idf)
-    names = np.array([language for _, language in rows])
-    languages = sorted(set(names.tolist()))
-    groups = [_clusters(x[names == language], CENTROIDS) for language in languages]
-    centroids = np.vstack(groups).astype(np.float32)
-    owner = np.concatenate([np.full(len(g), i) for i, g in enumerate(groups)])
-    near = x @ centroids.T
-    which = near.argmax(axis=1)
-    away = 1 - near[np.arange(len(which)), which]
-    radius = np.array([np.quantile(away[which == c], INSIDE) if (which == c).any() else 1.0 for c in range(len(centroids))])
+def _dense(texts: list[str]) -> Iterator[np.ndarray]:
+    """The trigram counts of some texts at a time."""
+    for lo in range(0, len(texts), ROWS):
+        for _, _, data, offsets in blocks(pa.array(texts[lo : lo + ROWS])):
+            yield counts(data, offsets)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts each column occurs; the number of texts as column -1."""
+    seen, n = np.zeros(WIDTH, np.int64), 0
+    for batch in batches:
+        for x in _dense(batch.column(0).to_pylist()):
+            seen += (x > 0).sum(axis=0)
+            n += len(x)
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *seen[at].tolist()], pa.int64())], ["at", "n"])
+
+
+def fit(sampled: DataFrame) -> Model:
+    """The model of ``sampled`` (text, lang), in three Spark jobs: frequencies, the clusters of each language, radii.
+
+    A task holds the vectors of one language, ``PER_LANGUAGE`` rows, and the driver frequencies and centroids: 128 KiB a language.
+    """
+    spark = sampled.sparkSession
+    rows = bounded(saved(sampled.filter("text <> ''").select("text", "lang").distinct(), "languages"))
+    found = {r["at"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}  # WIDTH rows
+    total = found.pop(-1, 0)
+    seen = np.zeros(WIDTH)
+    seen[list(found)] = list(found.values())
+    idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32) if total else np.zeros(WIDTH, np.float32)
+    weights = spark.sparkContext.broadcast(idf)
+
+    def clustered(part: pa.Table) -> pa.Table:
+        texts = sorted(part.column("text").to_pylist())
+        x = _scaled(np.vstack(list(_dense(texts))) * weights.value)
+        centres = _clusters(x, CENTROIDS).astype("<f4")
+        return pa.table({"lang": pa.array([part.column("lang")[0].as_py()] * len(centres), pa.string()), "k": pa.array(range(len(centres)), pa.int32()), "centre": pa.array([c.tobytes() for c in centres], pa.binary())})
+
+    made = sorted((r["lang"], r["k"], r["centre"]) for r in rows.groupBy("lang").applyInArrow(clustered, "lang string, k int, centre binary").collect())  # CENTROIDS rows a language
+    languages = sorted({lang for lang, _, _ in made})
+    owner = np.array([languages.index(lang) for lang, _, _ in made], int)
+    centroids = np.array([np.frombuffer(c, "<f4") for _, _, c in made], np.float32).reshape(-1, WIDTH)
+    near = spark.sparkContext.broadcast((idf, centroids))
+
+    def away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, centroids = near.value
+        for batch in batches:
+            for x in _dense(batch.column(0).to_pylist()):
+                cosine = _scaled(x * idf) @ centroids.T
+                which = cosine.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array((1 - cosine[np.arange(len(which)), which]).astype(float))], ["k", "away"])
+
+    radius = np.ones(len(centroids))
+    if languages:
+        for r in rows.select("text").mapInArrow(away, "k long, away double").groupBy("k").agg(F.percentile("away", INSIDE).alias("r")).collect():
+            radius[r["k"]] = r["r"]
+    drop(rows)
     return Model(languages, owner, centroids, idf, radius)
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> list[tuple[str, str]]:
-    """The row with the smallest hashes of id and text of each of ``per_language`` buckets of ids, by language."""
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """(text, lang) of the row with the smallest hashes of id and text of each of ``per_language`` buckets of ids, by language."""
     h, t = F.xxhash64(id_column), F.xxhash64(text_column)
     own = docs.filter(F.col(lang_column).isNotNull()).select(F.col(lang_column).alias("_lang"), F.pmod(h, F.lit(per_language)).alias("_bucket"), F.struct(h.alias("h"), t.alias("t")).alias("_key"), F.col(text_column).alias("_text"))
     chosen = own.groupBy("_lang", "_bucket").agg(F.min("_key").alias("_key"))
-    rows = own.join(F.broadcast(chosen), ["_lang", "_bucket", "_key"]).dropDuplicates(["_lang", "_bucket"])
-    return sorted({(r["_text"], r["_lang"]) for r in within_budget(rows, "_lang", "_text").collect() if r["_text"]})
+    rows = own.join(chosen, ["_lang", "_bucket", "_key"]).dropDuplicates(["_lang", "_bucket"])
+    return within_budget(rows, "_lang", "_text").select(F.col("_text").alias("text"), F.col("_lang").alias("lang"))
 
 
 def identify(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:

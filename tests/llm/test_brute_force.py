@@ -116,11 +116,11 @@ def test_token_counts_of_long_texts_in_parts(monkeypatch):
 # ---------------------------------------------------------------- 4
 
 
-def test_language_by_all_centroids():
+def test_language_by_all_centroids(spark):
     rng = random.Random(4)
     syllables = {"aa": "the and ing tion er".split(), "bb": "der sch ung lich ein".split(), "cc": "ción que os la ñ".split()}
     make = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=2)) for _ in range(n))
-    model = language_id.fit([(make(lang, rng.randrange(3, 60)), lang) for lang in syllables for _ in range(40)])
+    model = language_id.fit(spark.createDataFrame([(make(lang, rng.randrange(3, 60)), lang) for lang in syllables for _ in range(40)], "text string, lang string"))
     texts = [None, "", "12 %", "Ünï", "a", "AB12cd", *[make(lang, n) for lang in syllables for n in (1, 5, 300)], make("aa", 30) + make("bb", 29)]
     best, score, rejected = model.predict(pa.array(texts))
     for t, lang, s, out in zip(texts, best, score, rejected, strict=True):
