@@ -43,6 +43,7 @@ CHART_BUCKETS = 56
 FINDINGS_SHOWN = 5
 SUSPECTS_SHOWN = 5
 
+# The order in which findings are shown, and the names and defaults of thresholds, which are their JSON contract.
 FINDING_PRIORITY = ("bundleFile", "crossFileClone", "cloneConcentration", "busFactor", "identitySuspects", "churnSpike", "copyPasteHigh", "errorHandling", "connectivityDrift")
 
 # File extensions by language.
@@ -80,7 +81,7 @@ FLAT, WORSENING, IMPROVING = "flat", "worsening", "improving"
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Bands of the graded metrics; a repository may override any of them with JSON."""
+    """Bands of the graded metrics; a repository may override any of them with JSON. Names and defaults are fixed values."""
 
     copyPasteWarn: float = 8.0
     copyPasteCrit: float = 15.0
