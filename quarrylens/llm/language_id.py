@@ -167,7 +167,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_column: str = "
     """(text, lang) of the row with the smallest hashes of id and text of each of ``per_language`` buckets of ids, by language."""
     h, t = F.xxhash64(id_column), F.xxhash64(text_column)
     own = docs.filter(F.col(lang_column).isNotNull()).select(F.col(lang_column).alias("_lang"), F.pmod(h, F.lit(per_language)).alias("_bucket"), F.struct(h.alias("h"), t.alias("t")).alias("_key"), F.col(text_column).alias("_text"))
-    chosen = own.groupBy("_lang", "_bucket").agg(F.min("_key").alias("_key"))
+    # a written table has a size that Spark knows, so it broadcasts these few rows a language instead of shuffling texts, unless there are very many
+    chosen = saved(own.groupBy("_lang", "_bucket").agg(F.min("_key").alias("_key")), "chosen")
     rows = own.join(chosen, ["_lang", "_bucket", "_key"]).dropDuplicates(["_lang", "_bucket"])
     return within_budget(rows, "_lang", "_text").select(F.col("_text").alias("text"), F.col("_lang").alias("lang"))
 
