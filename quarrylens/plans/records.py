@@ -231,9 +231,9 @@ def renamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # files of six folders: three that hold one application, one of them with files of its own, two that hold another one, and one of other content
-_FOLDERS = ("app", "lib/app", "vendor/app", "web", "old/web", "tools")
+_SIX_FOLDERS = ("app", "lib/app", "vendor/app", "web", "old/web", "tools")
 _COPIES = f"""t as (select distinct ascii(l_returnflag) as repo_id, l_suppkey % 6 as side, l_partkey % 300 as n from lineitem where l_suppkey % 6 <> 5 or l_partkey % 300 < 200),
-f as (select repo_id, {_picked(_FOLDERS, "side")} || '/m' || n % 12 || '/F' || n || '.java' as path, 12 + n % 7 as lines, n, side from t),
+f as (select repo_id, {_picked(_SIX_FOLDERS, "side")} || '/m' || n % 12 || '/F' || n || '.java' as path, 12 + n % 7 as lines, n, side from t),
 l as (select repo_id, path, lines, 'line ' || k || ' of ' || n || case when side in (0, 2) or side = 1 and n % 10 > 0 then ' a' when side in (3, 4) then ' w' else ' s' || side end as text from f, range(0, 19) g(k) where k < lines),
 c as (select a.repo_id, least(left(a.path, length(a.path) - length(a.rel) - 1), left(b.path, length(b.path) - length(b.rel) - 1)) as root_a, greatest(left(a.path, length(a.path) - length(a.rel) - 1), left(b.path, length(b.path) - length(b.rel) - 1)) as root_b, a.rel as suffix
  from (select *, 'm' || n % 12 || '/F' || n || '.java' as rel from f) a join (select *, 'm' || n % 12 || '/F' || n || '.java' as rel from f) b on a.repo_id = b.repo_id and a.rel = b.rel and a.path < b.path),
@@ -253,7 +253,7 @@ walk as (select distinct repo_id, 0::bigint as k, ''::varchar as original, ''::v
 def _copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     own = table(spark, sf_dir, "lineitem").select(F.ascii("l_returnflag").alias("repo_id"), (F.col("l_suppkey") % 6).alias("side"), (F.col("l_partkey") % 300).alias("n")).filter("side <> 5 or n < 200").distinct()
     n, side = F.col("n"), F.col("side")
-    files = own.withColumns({"path": F.concat(_pick(_FOLDERS, side), F.lit("/m"), (n % 12).cast("string"), F.lit("/F"), n.cast("string"), F.lit(".java")), "code_lines": (12 + n % 7).cast("int")})
+    files = own.withColumns({"path": F.concat(_pick(_SIX_FOLDERS, side), F.lit("/m"), (n % 12).cast("string"), F.lit("/F"), n.cast("string"), F.lit(".java")), "code_lines": (12 + n % 7).cast("int")})
     mark = F.when(side.isin(0, 2) | ((side == 1) & (n % 10 > 0)), " a").when(side.isin(3, 4), " w").otherwise(F.concat(F.lit(" s"), side.cast("string")))
     text = files.select("repo_id", "path", "n", mark.alias("mark"), F.explode(F.sequence(F.lit(0), F.col("code_lines") - 1)).alias("k")).select("repo_id", "path", F.concat(F.lit("line "), F.col("k").cast("string"), F.lit(" of "), n.cast("string"), "mark").alias("text"))
     return files.select("repo_id", "path", "code_lines", F.col("code_lines").alias("norm_lines")), text
