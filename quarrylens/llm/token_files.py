@@ -41,7 +41,7 @@ END = 2
 SHARD_BYTES = 64 << 20
 READ_BYTES, GAP_BYTES = 4 << 20, 1 << 16
 BUCKET = 1024
-KEPT = 600_000
+KEPT = 420_000
 SPECIAL = b"<|"
 _STEM = re.compile("([a-zß-öø-ÿÀ-ÖØ-Þ]+)([!-&(-/:-@\\[-`{-~]*)")
 MAGIC = b"TOKENIDS"
