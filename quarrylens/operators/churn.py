@@ -14,21 +14,24 @@ def matches(events: DataFrame, keys: list[str], order: list[str], at: str = "at"
 
     Additions and deletions of a key are brackets; a deletion without an open addition is unmatched. The running depth (never
     below zero) gives every event a level, and on each level a deletion undoes the addition right before it, so a
-    stack takes three window sums and no state. Within one place in ``order`` deletions come first. Result: keys, the
+    stack takes three window sums and no state. Within one place in ``order`` deletions come first; which of
+    several additions there is undone is left open, how many are is not. Result: keys, the
     addition's ``at`` and ``carry`` columns (``add_*``), the deletion's (``del_*``).
     """
     by = [*order[:1], F.col(added).cast("int"), *order[1:]]
     d = _levels(events, keys, by, added)
-    level = Window.partitionBy(*keys, "_level").orderBy(*by)
+    level = Window.partitionBy(*keys, "_level").orderBy("_n")
     d = d.withColumn("_open", F.lag(F.struct(added, at, *carry)).over(level))
     d = d.filter(~F.col(added) & (F.col("_level") > 0) & F.col(f"_open.{added}"))
     return d.select(*keys, *[F.col(f"_open.{c}").alias(f"add_{c}") for c in (at, *carry)], *[F.col(c).alias(f"del_{c}") for c in (at, *carry)])
 
 
 def _levels(events: DataFrame, keys: list[str], by: list, added: str) -> DataFrame:
-    run = Window.partitionBy(*keys).orderBy(*by)
+    # events of one place are numbered once: every window sorts anew, and spilled sorts need not bring ties in one order
+    d = events.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+    run = Window.partitionBy(*keys).orderBy("_n")
     all_before = run.rowsBetween(Window.unboundedPreceding, 0)
-    d = events.withColumn("_d", F.when(F.col(added), 1).otherwise(-1)).withColumn("_cs", F.sum("_d").over(all_before))
+    d = d.withColumn("_d", F.when(F.col(added), 1).otherwise(-1)).withColumn("_cs", F.sum("_d").over(all_before))
     d = d.withColumn("_depth", F.col("_cs") - F.least(F.lit(0), F.min("_cs").over(all_before)))
     return d.withColumn("_level", F.when(F.col(added), F.col("_depth")).otherwise(F.lag("_depth", 1, 0).over(run)))
 
@@ -37,8 +40,8 @@ def open_additions(events: DataFrame, keys: list[str], order: list[str], added:
     """The additions that no deletion has undone: on their level, nothing comes after them. A stream can go on from them."""
     by = [*order[:1], F.col(added).cast("int"), *order[1:]]
     d = _levels(events, keys, by, added)
-    last = F.lead("_level").over(Window.partitionBy(*keys, "_level").orderBy(*by)).isNull()
-    return d.withColumn("_last", last).filter(F.col(added) & F.col("_last")).drop("_d", "_cs", "_depth", "_level", "_last")
+    last = F.lead("_level").over(Window.partitionBy(*keys, "_level").orderBy("_n")).isNull()
+    return d.withColumn("_last", last).filter(F.col(added) & F.col("_last")).drop("_n", "_d", "_cs", "_depth", "_level", "_last")
 
 
 def _renamed(renames: DataFrame) -> DataFrame:

@@ -135,3 +135,22 @@ def test_open_additions_are_what_a_stack_leaves(spark):
             stack.pop()
     got = churn.open_additions(events, ["repo_id", "lineage", "text"], ["idx", "path", "pos"]).collect()
     assert sorted((r["text"], r["idx"], r["path"], r["pos"]) for r in got) == sorted((t, *x) for t, stack in stacks.items() for x in stack)
+
+
+def test_windows_of_churn_share_one_order_of_tied_events(spark):
+    # line numbers repeat within a commit: windows that sort tied events each for itself may each put them in another order
+    rows = [(key, idx, 1, idx * 10, idx % 2 == 0) for key in range(3) for idx in range(40) for _ in range(1 + idx // 2 % 3)]
+    events = spark.createDataFrame(rows, "key int, idx int, pos int, at long, is_add boolean").repartition(3)
+    for out in (churn.matches(events, ["key"], ["idx", "pos"], carry=("idx",)), churn.open_additions(events, ["key"], ["idx", "pos"])):
+        lines = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if " Window [" in x or " Window(" in x]
+        assert sum("row_number" in x for x in lines) == 1 and all("row_number" in x or "_n#" in x for x in lines), lines
+    stacks, want = {}, {}
+    for key, idx, _, _, is_add in sorted(rows, key=lambda r: r[:2]):
+        if is_add:
+            stacks.setdefault(key, []).append(idx)
+        elif stacks.get(key):
+            pair = (key, stacks[key].pop(), idx)
+            want[pair] = want.get(pair, 0) + 1
+    got = churn.matches(events, ["key"], ["idx", "pos"], carry=("idx",)).groupBy("key", "add_idx", "del_idx").count().collect()
+    assert {tuple(r)[:3]: r["count"] for r in got} == want
+    assert churn.open_additions(events, ["key"], ["idx", "pos"]).count() == sum(map(len, stacks.values()))
