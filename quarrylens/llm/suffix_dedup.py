@@ -15,9 +15,12 @@ A byte is removed if a string of ``SPAN`` (200) bytes that covers it starts anyw
    ``SPAN`` bytes with a neighbour.
 4. Starts so found are gathered by document and the bytes that they cover are cut out.
 
-Very frequent parse suffixes are dealt out to several tasks (``GROUP`` entries each); strings that such a task finds no
-twin for are counted by hash over all of them, so no group has to fit in one task and none is cut short. Keys are hashes of 64
-bits: that entries are one, and that strings of dealt-out groups are equal, is not compared byte by byte.
+Groups of more than ``GROUP`` entries aren't ordered but halved by hashes: an entry's starts are cut into ranges by their distance from the trigger
+(``RANGES``). If no other entry holds the bytes that all strings of a range share, none of them is repeated; if another one holds all bytes of the
+range, all are; and only what is left is cut finer, down to single strings, beside one entry of each kind that is found, as it may hold a part of
+them. So an entry costs a few rows in place of one for each
+of its strings, no group has to fit in one task and none is cut short. Keys are hashes of 64 bits: that entries are one, and that strings of
+such groups are equal, is not compared byte by byte.
 
 Null and empty texts, and texts under 200 bytes, lose nothing. Rows are known by where they are stored: ids may repeat or be null,
 repeated rows are copies of each other, and other columns don't matter. A very long text is parsed ``PIECE`` bytes at a time.
@@ -39,8 +42,10 @@ from quarrylens.llm.scratch import bounded, files_for, saved, table, unused, wit
 
 SPAN, TRIGGER = 200, 16
 REACH = SPAN // 2 + 1
-#: dictionary entries of one parse suffix that a task takes at most, and entries that are ordered at a time
+#: dictionary entries of one parse suffix that are ordered by one task at most, and entries that are ordered at a time
 GROUP, CHUNK = 200, 4_000
+#: how many starts the ranges of a larger group have, round by round
+RANGES = (16, 4, 1)
 PIECE = 1 << 19
 _VALUES = random_words(1, 256)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -119,8 +124,8 @@ def _phrase_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the phrases asked for, with their parse suffixes: of each text the rows of ``asked`` (c, salt, salted, first, shape)."""
-    names = ["c", "salt", "salted", "key", "first", "shape", "bytes"]
+    """The bytes of the phrases asked for, with their parse suffixes: of each text the rows of ``asked`` (c, large, first, shape)."""
+    names = ["c", "large", "key", "first", "shape", "bytes"]
     for batch in batches:
         keys, texts, asked = batch.columns
         ends, rows = asked.offsets.to_numpy(), asked.values
@@ -128,10 +133,10 @@ def _cut_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = texts[k].as_buffer()
             for lo in range(ends[k], ends[k + 1], 4_096):
                 part = rows.slice(lo, min(4_096, ends[k + 1] - lo))
-                c, salt, salted, first, shape = part.flatten()
+                c, large, first, shape = part.flatten()
                 begin = first.to_numpy()
                 cut = [raw[a:b].to_pybytes() for a, b in zip(begin.tolist(), (begin + shape.to_numpy() // 256 + SPAN).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([c, salt, salted, pa.repeat(keys[k], len(part)), first, shape, pa.array(cut, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([c, large, pa.repeat(keys[k], len(part)), first, shape, pa.array(cut, pa.binary())], names)
 
 
 def dictionary_suffixes(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,8 +161,8 @@ def dictionary_suffixes(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return rank, np.array([known[p] for p in phrases], np.int64)
 
 
-def repeated(cut: list[bytes], triggers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each start of each entry: (entry, offset, repeated among these, hash of its string)."""
+def repeated(cut: list[bytes], triggers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each start of each entry: (entry, offset, repeated among these)."""
     # parse suffixes, sorted, and the common prefixes of neighbours
     right = np.zeros((len(cut), SPAN), np.uint8)
     for k, (b, t) in enumerate(zip(cut, triggers.tolist(), strict=True)):
@@ -181,9 +186,7 @@ def repeated(cut: list[bytes], triggers: np.ndarray, lengths: np.ndarray) -> tup
     common = _least_between(lcp, rank[entry[a]], rank[entry[b]]) + triggers[entry[a]] - offset[a]
     found[a[common >= SPAN]] = True
     found[b[common >= SPAN]] = True
-    data = np.frombuffer(b"".join(cut), np.uint8)
-    start = np.concatenate([[0], np.cumsum([len(b) for b in cut])])[entry] + offset
-    return entry, offset, found, spans_hash(prefix_sums(_VALUES[data], POWERS), start, start + SPAN, POWERS)
+    return entry, offset, found
 
 
 def _least_between(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -201,32 +204,25 @@ def _least_between(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _ordered(rows: pa.Table) -> pa.RecordBatch:
-    """The repeated runs of whole groups. Of dealt-out groups, also the strings' hashes: those without a twin here (weight 1), and one for
-    each that has one (weight 2)."""
+    """The repeated runs of whole groups."""
     shape, first = rows["shape"].to_numpy(), rows["first"].to_numpy()
-    entry, offset, found, hashes = repeated(rows["bytes"].to_pylist(), shape % 256, shape // 256)
-    dealt = rows["salted"].to_numpy()[entry]
+    entry, offset, found = repeated(rows["bytes"].to_pylist(), shape % 256, shape // 256)
     before = np.concatenate([[False], found[:-1] & (entry[1:] == entry[:-1])])
     after = np.concatenate([found[1:] & (entry[1:] == entry[:-1]), [False]])
-    edge, stop = np.flatnonzero(found & ~before), np.flatnonzero(found & ~after)
-    lone, twins = np.flatnonzero(dealt & ~found), np.flatnonzero(dealt & found)
-    twin = twins[np.unique(hashes[twins], return_index=True)[1]]
-    at, end = np.concatenate([edge, lone, twin]), np.concatenate([stop, lone, twin])
-    weight = np.repeat([0, 1, 2], [len(edge), len(lone), len(twin)]).astype(np.int32)
+    at, end = np.flatnonzero(found & ~before), np.flatnonzero(found & ~after)
     place = lambda x: pa.array((first[entry[x]] + offset[x]).astype(np.int32))
-    keys = rows["key"].combine_chunks().take(pa.array(entry[at]))
-    return pa.RecordBatch.from_arrays([keys, place(at), place(end), pa.array(hashes[at].view(np.int64)), pa.array(weight)], ["key", "lo", "hi", "h", "weight"])
+    return pa.RecordBatch.from_arrays([rows["key"].combine_chunks().take(pa.array(entry[at])), place(at), place(end)], ["key", "lo", "hi"])
 
 
 def _order_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by (c, salt); whole groups are ordered together, about ``CHUNK`` entries at a time."""
+    """Rows arrive sorted by c; whole groups are ordered together, about ``CHUNK`` entries at a time."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        groups = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in (*held[-1:], batch)]
-        changes = np.flatnonzero((groups[-1][:, 1:] != groups[-1][:, :-1]).any(axis=0)) + 1
-        if held and (groups[0][:, -1] != groups[1][:, 0]).any():
+        groups = [b.column(0).to_numpy() for b in (*held[-1:], batch)]
+        changes = np.flatnonzero(groups[-1][1:] != groups[-1][:-1]) + 1
+        if held and groups[0][-1] != groups[1][0]:
             changes = np.concatenate([[0], changes])
         begin, size = 0, sum(b.num_rows for b in held)
         for at in changes.tolist():
@@ -238,6 +234,57 @@ def _order_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _ordered(pa.Table.from_batches(held))
 
 
+def _range_pass(width: int):
+    """Of entries with the ranges asked for (key, first, shape, bytes, ranges): each range with the hash of what its strings share, and of all their bytes."""
+    names = ["key", "first", "at", "lo", "hi", "clip", "core", "all"]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, first, shape, cut, ranges = batch.columns
+            entry = np.repeat(np.arange(batch.num_rows), ranges.value_lengths().to_numpy())
+            at = ranges.flatten().to_numpy().astype(np.int64)
+            raw = cut.to_pylist()
+            sums = prefix_sums(_VALUES[np.frombuffer(b"".join(raw), np.uint8)], POWERS)
+            most = shape.to_numpy()[entry].astype(np.int64) % 256  # the first start is the farthest from the trigger
+            least = most - shape.to_numpy()[entry] // 256
+            near, far = np.maximum(at, least), np.minimum(at + width - 1, most)
+            trigger = np.concatenate([[0], np.cumsum([len(b) for b in raw])])[entry] + most
+            core = spans_hash(sums, trigger - at, trigger + SPAN - (at + width - 1), POWERS)
+            whole = spans_hash(sums, trigger - far, trigger + SPAN - near, POWERS)
+            place = lambda x: pa.array((first.to_numpy()[entry] + most - x).astype(np.int32))  # noqa: E731,B023
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(entry)), first.take(pa.array(entry)), pa.array(at.astype(np.int32)), place(far), place(near), pa.array((near * 256 + far).astype(np.int32)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))], names)
+
+    return hashed
+
+
+def repeated_ranges(entries: DataFrame, files: int) -> DataFrame | None:
+    """(key, lo, hi) of the starts whose strings another one of ``entries`` (key, first, shape, bytes) holds; none if there are no entries."""
+    if entries.isEmpty():
+        return None
+    most = F.col("shape") % 256
+    least = most - F.floor(F.col("shape") / 256)
+    cut_finer = lambda x, width: F.floor(x / width)
+    asked = entries.withColumn("ranges", F.transform(F.sequence(cut_finer(least, RANGES[0]), cut_finer(most, RANGES[0])), lambda x: (x * RANGES[0]).cast("int")))
+    found = None
+    for width, finer in zip(RANGES, [*RANGES[1:], 0], strict=True):
+        kind = f"key {_KEY}, first int, at int, lo int, hi int, clip int, core long, all long"
+        rows = saved(asked.select("key", "first", "shape", "bytes", "ranges").mapInArrow(_range_pass(width), kind), "ranges", files)
+        own = F.struct("key", "first")
+        whole = saved(rows.groupBy("clip", "all").agg(F.count("*").alias("n"), F.min(own).alias("one")).filter("n > 1").drop("n"), "whole", files)
+        held = rows.join(whole, ["clip", "all"], "left")
+        held = saved(held, "held", files) if finer else held
+        runs = held.filter("one is not null").select("key", "lo", "hi")
+        found = runs if found is None else found.unionByName(runs)
+        if finer:  # ranges that are left, and one of each kind that is found, which they may hold a part of
+            alike = saved(held.groupBy("at", "core").agg(F.count("*").alias("n"), F.count_if(F.col("one").isNull()).alias("open")).filter("n > 1 and open > 0").select("at", "core"), "alike", files)
+            parts = F.transform(F.sequence(F.lit(0), F.lit(width // finer - 1)), lambda k: (F.col("at") + k * finer).cast("int"))
+            left = held.join(alike, ["at", "core"], "left_semi").filter(F.col("one").isNull() | (F.col("one") == own)).groupBy("key", "first").agg(F.flatten(F.collect_list(parts)).alias("ranges"))
+            asked = entries.join(left, ["key", "first"]).withColumn("ranges", F.filter("ranges", lambda x: (x <= most) & (x + finer > least)))
+    return found
+
+
 def kept_bytes(raw: bytes, runs: list[dict] | None) -> tuple[bytes, int, int]:
     """(what is left, bytes removed, maximal removed runs); ``runs``: first and last starts of repeated strings."""
     if not runs:
@@ -268,17 +315,13 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     entries = alike.groupBy("c", "u").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "shape")).alias("r"))
     entries = saved(entries, "entries", files)
     groups = saved(entries.groupBy("c").agg(F.count("*").alias("entries")).filter("entries > 1"), "groups", files)
-    asked = entries.join(groups, "c").withColumn("parts", F.ceil(F.col("entries") / GROUP)).select(
-        F.col("r.key").alias("key"), F.struct("c", F.pmod(F.xxhash64("u"), F.col("parts")).alias("salt"), (F.col("parts") > 1).alias("salted"), F.col("r.first").alias("first"), F.col("r.shape").alias("shape")).alias("a")
-    )
+    asked = entries.join(groups, "c").select(F.col("r.key").alias("key"), F.struct("c", (F.col("entries") > GROUP).alias("large"), F.col("r.first").alias("first"), F.col("r.shape").alias("shape")).alias("a"))
     asked = asked.groupBy("key").agg(F.collect_list("a").alias("asked"))
     cut = rows.join(asked, "key").select("key", "text", "asked")
-    cut = cut.mapInArrow(_cut_pass, f"c long, salt long, salted boolean, key {_KEY}, first int, shape int, bytes binary")
-    ordered = cut.repartition("c", "salt").sortWithinPartitions("c", "salt").mapInArrow(_order_pass, f"key {_KEY}, lo int, hi int, h long, weight int")
-    ordered = saved(ordered, "ordered", files)
-    across = ordered.filter("weight > 0")
-    again = saved(across.groupBy("h").agg(F.sum("weight").alias("n")).filter("n > 1").select("h"), "again", files)
-    found = ordered.filter("weight = 0").select("key", "lo", "hi").unionByName(across.filter("weight = 1").join(again, "h").select("key", "lo", "hi"))
+    cut = saved(cut.mapInArrow(_cut_pass, f"c long, large boolean, key {_KEY}, first int, shape int, bytes binary"), "cut")
+    found = cut.filter("not large").repartition("c").sortWithinPartitions("c").mapInArrow(_order_pass, f"key {_KEY}, lo int, hi int")
+    across = repeated_ranges(cut.filter("large").select("key", "first", "shape", "bytes"), files)
+    found = found if across is None else found.unionByName(across)
     whole = alike.join(saved(entries.filter("n > 1").select("c", "u"), "whole", files), ["c", "u"]).select("key", F.col("first").alias("lo"), (F.col("first") + F.floor(F.col("shape") / 256)).cast("int").alias("hi"))
     return found.unionByName(whole).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
 

@@ -437,3 +437,24 @@ def test_near_dedup_finds_all_links_just_above_the_limit(spark):
         rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(near))]
     got = by_id(near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string")), "n_shingles", "component_id")
     assert got == {i: (116, i - i % 2 if i // 2 % 2 == 0 else i) for i, _ in rows}
+
+
+def test_suffix_dedup_halves_the_ranges_of_large_groups(spark, monkeypatch):
+    """One passage in many documents: whole runs and single strings are found in a few rows for each entry."""
+    rng = random.Random(31)
+    passage = words(rng, 60)
+    rows = [(k, words(rng, 30) + " " + passage[rng.randrange(0, 40) :][: rng.randrange(210, 330)] + " " + words(rng, 30)) for k in range(60)]
+    monkeypatch.setattr(suffix_dedup, "GROUP", 5)
+    made, saved = [], suffix_dedup.saved
+
+    def counted(df, name, files=None):
+        out = saved(df, name, files)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "saved", counted)
+    got = by_id(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")), "n_removed", "kept_sha256")
+    want = removed([t for _, t in rows])
+    assert got == {k: (w[1], w[3]) for (k, _), w in zip(rows, want, strict=True)} and sum(w[1] for w in want) > 5_000
+    large = next(n for name, n in made if name == "entries")
+    assert all(n <= 10 * large for name, n in made if name == "ranges") and sum(name == "ranges" for name, _ in made) == 3
