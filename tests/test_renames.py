@@ -97,3 +97,24 @@ def test_renames_of_changed_files_agree_with_git(spark, tmp_path):
     assert {row(r) for r in changes.tree_changes(tables["tree_files"], tables["blobs"].dropDuplicates(["blob_id"])).collect()} == known
     renamed = [r for r in known if r[1] and r[2] and r[1] != r[2]]
     assert 4 <= len(renamed) < 8 and sum(r[3] != r[4] for r in renamed) >= 3
+
+
+def test_blobs_that_are_all_alike_need_no_round_each(spark, monkeypatch):
+    """Every blob of one side is as near to every one of the other side: pairs go in order, one after another."""
+    text = [f"line {k} of a file" for k in range(20)]
+    blobs = {f"{side}{k:02d}": "\n".join([*text, f"own {side}{k:02d}"]) for side in "gc" for k in range(24)}
+    gone, come = ([(1, f"{side}/{k:02d}/f{k % 5}", f"{side}{k:02d}") for k in range(24)] for side in "gc")
+    cuts = []
+    cut = renames.cut
+    monkeypatch.setattr(renames, "cut", lambda df: cuts.append(1) or cut(df))
+    lines = renames.weighted_lines(spark.createDataFrame(list(blobs.items()), "blob_id string, content string"))
+    want = brute([r[1:] for r in gone], [r[1:] for r in come], blobs)
+
+    def got():
+        cuts.clear()
+        out = renames.detect(spark.createDataFrame(gone, FILES), spark.createDataFrame(come, FILES), ["commit"], lines).collect()
+        return sorted((r["old_path"], r["new_path"], r["old_blob"], r["new_blob"]) for r in out)
+
+    assert got() == want and len(want) == 24 and len(cuts) < 30
+    monkeypatch.setattr(renames, "GROUP", 150)  # too large at first, and small enough after eight and sixteen rounds
+    assert got() == want
