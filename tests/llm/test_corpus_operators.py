@@ -260,6 +260,37 @@ def test_toxicity_by_density():
     assert sum(s >= 0.7 for s in bad) >= 0.9 * len(bad) and not sum(s >= 0.7 for s in fine) > 0.02 * len(fine)
 
 
+def test_toxicity_by_beginnings_of_words():
+    """Toxic words begin with two syllables that ordinary words hold further on, and now and then at their start; two languages of unequal share."""
+    rng = random.Random(12)
+    own = {"a": (["ach", "lich", "keit", "en", "ver", "ung", "be", "sch", "ge", "zu", "ein", "st"], "achlich"), "b": (["ré", "eux", "ment", "oi", "que", "tion", "pa", "ai", "ê", "vi", "elle", "on"], "réeux")}
+    rows = []
+    for k in range(900):
+        syllables, start = own["a" if k % 4 else "b"]
+        bad = k % 5 == 0
+        w = ["".join(rng.choices(syllables, k=rng.randrange(1, 5))) for _ in range(rng.randrange(40, 160))]
+        w = [x if not x.startswith(start) or rng.random() < 0.1 else "un" + x for x in w]
+        for _ in range(bad * (2 + len(w) // 40)):
+            w.insert(rng.randrange(len(w)), start + rng.choice(syllables))
+        rows.append((" ".join(w), int(bad), k % 4))
+    model = toxicity.fit([r[:2] for r in rows[:600]])
+    scores = model.scores([t.encode() for t, *_ in rows[600:]])
+    for own_language in (lambda q: q == 0, lambda q: q > 0):
+        bad, fine = [[s for s, (_, y, q) in zip(scores, rows[600:], strict=True) if y == c and own_language(q)] for c in (1, 0)]
+        assert sum(s >= 0.7 for s in bad) >= 0.9 * len(bad) and not sum(s >= 0.7 for s in fine) > 0.03 * len(fine)
+
+
+def test_chained_letters_depend_on_the_word_so_far():
+    chained, whole = toxicity.chained, toxicity.chained_text
+    a, b, c = (whole(x.encode()) for x in ("achlich, dieachlich", "achlicher x", "漢字漢 漢字"))
+    assert a[:7] == b[:7] and a[7:9] == b", " and a[:1] == b"a" and a[1:7] not in a[8:]
+    assert c[:3] == c[6:9] == c[10:13] and c[3:6] == c[13:16] and whole(b"") == b"" and chained([b""]) == [b""]
+    long = " ".join(f"wort{k}" for k in range(20_000)).encode()
+    assert len(whole(long)) == len(long) and whole(long)[: toxicity.PIECE] == whole(long[: toxicity.PIECE])
+    raw = ("Über ächtlich " * 3_000).encode().lower()
+    assert list(toxicity.chained_windows(raw)) == [chained([w])[0] for w in toxicity.windows(raw)]
+
+
 def test_many_languages(spark):
     """Each language is fitted in a group of its own; what the driver gets is centroids."""
     rng = random.Random(9)
